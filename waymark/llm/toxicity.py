@@ -2,7 +2,7 @@
 
 A document is the mean of the vectors of all its subwords (the whole word between marks and its character n-grams, hashed into
 `buckets` rows); a linear softmax over that mean gives the score. Vectors and softmax are trained jointly in numpy by
-full-batch Adam on at most `per_class` labelled rows of each class (the least hashes of the ids), each class weighted to its
+stochastic gradient steps on at most `per_class` labelled rows of each class (the least hashes of the ids), each class weighted to its
 share among all labelled rows. The model has a fixed size, so sending it to every task is bounded; all texts are scored whole.
 
 Nulls: a null text counts as empty; a text without words gets the score of the class shares. Labels that are null, or
@@ -27,8 +27,8 @@ from waymark.llm.shared import table
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (3, 5)
-PER_CLASS = 2500
-EPOCHS = 60
+PER_CLASS = 4000
+EPOCHS = 6
 RATE = 0.1
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
@@ -49,56 +49,58 @@ class Model:
         self.weight, self.bias = weight, bias
 
 
-def _bags(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket, share) entries of the mean bag of each text."""
+def _bags(texts: list[bytes], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, shares) of the mean bag of each text."""
     known: dict[bytes, list[int]] = {}
-    rows, cols, shares = [], [], []
-    for d, raw in enumerate(texts):
+    bags = []
+    for raw in texts:
         ids: list[int] = []
         for w in words(raw):
             if w not in known:
                 known[w] = subwords(w, buckets)
             ids += known[w]
         col, n = np.unique(np.array(ids, np.int64), return_counts=True)
-        rows.append(np.full(len(col), d))
-        cols.append(col)
-        shares.append(n / max(1, len(ids)))
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(shares).astype(np.float32)
+        bags.append((col, (n / max(1, len(ids))).astype(np.float32)))
+    return bags
 
 
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, prior: float, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Joint training of subword vectors and softmax on the weighted log loss; prior: the share of label 1, where the bias begins."""
+    """Joint training of subword vectors and softmax on the weighted log loss, a text a step, steps scaled by the
+    gradients so far; prior: the share of label 1, where the bias begins."""
     logit = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     if len(texts) == 0 or len(set(labels.tolist())) < 2:
         return Model(np.zeros(buckets, np.float32), logit)
-    doc, col, share = _bags(texts, buckets)
-    used, col = np.unique(col, return_inverse=True)
-    by_col = np.argsort(col, kind="stable")
-    col_starts = np.searchsorted(col[by_col], np.arange(len(used)))
-    filled, doc_starts = np.unique(doc, return_index=True)
+    bags = _bags(texts, buckets)
     rng = np.random.default_rng(seed)
-    # Means of thousands of subwords are tiny: scaling them keeps the steps of the vectors and the softmax alike.
-    share = share * np.float32(math.sqrt(len(doc) / max(1, len(filled))))
-    scale = float(math.sqrt(len(doc) / max(1, len(filled))))
-    p = {"e": rng.normal(0, 0.1, (len(used), dimensions)).astype(np.float32), "w": rng.normal(0, 0.3, (dimensions, 2)).astype(np.float32), "b": np.array([0, logit], np.float32)}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    target = np.eye(2, dtype=np.float32)[labels]
-    each = (weights / weights.sum()).astype(np.float32)[:, None]
-    for t in range(1, epochs + 1):
-        hidden = np.zeros((len(texts), dimensions), np.float32)
-        hidden[filled] = np.add.reduceat(p["e"][col] * share[:, None], doc_starts)
-        z = hidden @ p["w"] + p["b"]
-        z = np.exp(z - z.max(1, keepdims=True))
-        error = (z / z.sum(1, keepdims=True) - target) * each
-        back = error @ p["w"].T
-        grad = {"w": hidden.T @ error, "b": error.sum(0), "e": np.add.reduceat(back[doc[by_col]] * share[by_col][:, None], col_starts)}
-        for k, g in grad.items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.999 * v[k] + 0.001 * g * g
-            p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-9)
-    weight = np.zeros(buckets, np.float32)
-    weight[used] = p["e"] @ (p["w"][:, 1] - p["w"][:, 0]) * scale
-    return Model(weight, float(p["b"][1] - p["b"][0]))
+    vectors = rng.normal(0, 0.05, (buckets, dimensions)).astype(np.float32)
+    softmax = rng.normal(0, 0.3, (dimensions, 2)).astype(np.float32)
+    bias = np.array([0, logit], np.float32)
+    seen_v, seen_s, seen_b = (np.full(x, 1e-8, np.float32) for x in (buckets, softmax.shape, 2))
+    each = (weights / weights.mean()).astype(np.float32)
+    # Means of thousands of subwords are tiny: this keeps the steps of the vectors and of the softmax alike.
+    scale = np.float32(math.sqrt(np.mean([len(c) for c, _ in bags])))
+    for _ in range(epochs):
+        for k in rng.permutation(len(bags)):
+            col, share = bags[k]
+            if not len(col):
+                continue
+            share = share * scale
+            old = vectors[col]
+            hidden = share @ old
+            z = hidden @ softmax + bias
+            z = np.exp(z - z.max())
+            error = z / z.sum()
+            error[labels[k]] -= 1
+            error *= each[k]
+            back = softmax @ error
+            seen_v[col] += share * share * float(back @ back)
+            vectors[col] = old - np.outer(share * (rate / np.sqrt(seen_v[col])), back)
+            step = np.outer(hidden, error)
+            seen_s += step * step
+            seen_b += error * error
+            softmax -= rate * step / np.sqrt(seen_s)
+            bias -= 0.1 * rate * error / np.sqrt(seen_b)
+    return Model(vectors @ (softmax[:, 1] - softmax[:, 0]) * scale, float(bias[1] - bias[0]))
 
 
 class WordScores(dict):
