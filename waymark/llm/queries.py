@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from waymark.llm.chat import OP10_SQL, op10_chat
 from waymark.llm.decontam import op7_decontamination
+from waymark.llm.embeddings import op5_embeddings
 from waymark.llm.packing import op9_packing
+from waymark.llm.pii import op8_pii
 from waymark.llm.secrets import op6_secrets
 from waymark.llm.simhash import op3_simhash
 from waymark.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_toxicity, op6_secrets, op7_decontamination, op9_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_toxicity, op5_embeddings, op6_secrets, op7_decontamination, op8_pii, op9_packing, op10_chat)}
 SQL = {"op10_chat": OP10_SQL}
