@@ -35,9 +35,9 @@ SPAN = "struct<start:long,kind:int,end:long,value:string>"
 def _spans(text: Column, pattern: str, kind: int, value: Column | None = None) -> Column:
     """Array of SPAN for all matches of the pattern, leftmost and non-overlapping, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = found if value is None else value
-    between = F.split(text, pattern, -1)
-    step = F.transform(found, lambda m, i: F.struct(F.char_length(F.get(between, i)).cast("long").alias("gap"), F.char_length(m).cast("long").alias("n"), F.get(values, i).alias("v")))
+    # Zipped, so that each array is made once a text; there is one piece more than there are matches.
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("m"), *([] if value is None else [value.alias("v")]))
+    step = F.transform(F.filter(zipped, lambda z: z["m"].isNotNull()), lambda z: F.struct(F.char_length(z["gap"]).cast("long").alias("gap"), F.char_length(z["m"]).cast("long").alias("n"), z["m" if value is None else "v"].alias("v")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
     add = lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + x["n"]).alias("at"),
