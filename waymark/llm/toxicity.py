@@ -27,7 +27,7 @@ from waymark.llm.shared import table
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (3, 5)
-PER_CLASS = 4000
+PER_CLASS = 2500
 EPOCHS = 6
 RATE = 0.1
 THRESHOLD = 0.3
@@ -51,15 +51,16 @@ class Model:
 
 def _bags(texts: list[bytes], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, shares) of the mean bag of each text."""
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, bytes] = {}
     bags = []
     for raw in texts:
-        ids: list[int] = []
+        parts = []
         for w in words(raw):
             if w not in known:
-                known[w] = subwords(w, buckets)
-            ids += known[w]
-        col, n = np.unique(np.array(ids, np.int64), return_counts=True)
+                known[w] = np.array(subwords(w, buckets), np.int32).tobytes()
+            parts.append(known[w])
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        col, n = np.unique(ids, return_counts=True)
         bags.append((col, (n / max(1, len(ids))).astype(np.float32)))
     return bags
 
