@@ -10,7 +10,8 @@ from waymark.llm.packing import op9_packing
 from waymark.llm.pii import op8_pii
 from waymark.llm.secrets import op6_secrets
 from waymark.llm.simhash import op3_simhash
+from waymark.llm.substrings import op2_substrings
 from waymark.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_simhash, op4_toxicity, op5_embeddings, op6_secrets, op7_decontamination, op8_pii, op9_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substrings, op3_simhash, op4_toxicity, op5_embeddings, op6_secrets, op7_decontamination, op8_pii, op9_packing, op10_chat)}
 SQL = {"op1_line_dedup": OP1_SQL, "op10_chat": OP10_SQL}

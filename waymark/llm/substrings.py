@@ -38,6 +38,7 @@ LENGTH = 100
 GRAM = 40
 UNIT_BYTES = 4 << 20
 HASHED_AT_ONCE = 1 << 20
+PLACE_BITS = np.uint64(21)
 BUCKETS_A_PARTITION = 4
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -66,14 +67,16 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
     text, wide = np.frombuffer(raw, np.uint8), length - GRAM + 1
     hashes, starts = [], []
     for at in range(0, max(0, len(text) - length + 1), HASHED_AT_ONCE):
-        least = _gram_hashes(text[at : at + HASHED_AT_ONCE + length - 1])
+        full = _gram_hashes(text[at : at + HASHED_AT_ONCE + length - 1])
+        # The low bits hold the place: of equal hashes the leftmost is the anchor, and each anchor has its own segment.
+        least = (full >> PLACE_BITS << PLACE_BITS) | np.arange(len(full), dtype=np.uint64)
         n, span = len(least) - wide + 1, 1
         while span * 2 <= wide:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         least = np.minimum(least[:n], least[wide - span : wide - span + n])
         new = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        hashes.append(least[new])
+        hashes.append(full[(least[new] & np.uint64((1 << int(PLACE_BITS)) - 1)).astype(np.int64)])
         starts.append(new + at)
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
