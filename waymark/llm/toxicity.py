@@ -122,6 +122,15 @@ class WordScores(dict):
 _scores: dict[int, WordScores] = {}
 
 
+def _known(weight: np.ndarray, bias: float) -> tuple[WordScores, float]:
+    """The worker's cache of word scores for a model."""
+    mark = zlib.crc32(weight.tobytes())
+    if mark not in _scores:
+        _scores.clear()
+        _scores[mark] = WordScores(weight)
+    return _scores[mark], bias
+
+
 def score(raw: bytes, known: WordScores, bias: float) -> float:
     total = sum(map(known.__getitem__, words(raw)), 0j)
     z = bias + (total.real / total.imag if total.imag else 0.0)
@@ -150,12 +159,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias = sent.value
-        mark = zlib.crc32(weight.tobytes())
-        if mark not in _scores:
-            _scores.clear()
-            _scores[mark] = WordScores(weight)
-        known = _scores[mark]
+        known, bias = _known(*sent.value)
         for b in batches:
             found = [score(x.as_py() or b"", known, bias) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
@@ -163,6 +167,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bias = _known(*sent.value)
+        for b in batches:
+            yield b.filter(pa.array([score((x.as_py() or "").encode(), known, bias) < threshold for x in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id) -> object:
     """Rows never learned from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
