@@ -15,7 +15,7 @@ def unix_seconds(ts: Column) -> Column:
 
 
 def seconds_between(a: Column, b: Column) -> Column:
-    return F.abs(unix_seconds(b) - unix_seconds(a))
+    return F.abs(F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
 
 
 def parse_time(text: Column) -> Column:

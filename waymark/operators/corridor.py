@@ -24,7 +24,7 @@ def corridor_onset(points: DataFrame, metres: float = 7.5, run: int = 3) -> Data
     flip = (F.col("x") > F.col("x2")) | ((F.col("x") == F.col("x2")) & (F.col("y") > F.col("y2")))
     ends = ends.select("user", *[F.when(flip, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x", "x2"), ("y", "y2"), ("x2", "x"), ("y2", "y"))])
     users = ends.groupBy("x", "y", "x2", "y2").agg(F.min("user").alias("u1"), F.max("user").alias("u2"))
-    size = max(metres, 25.0)
+    size = max(metres, 100.0)
     cell = lambda v: F.floor(v / size).cast("long")
     box = [F.explode(F.sequence(cell(F.least(a, b) - metres), cell(F.greatest(a, b) + metres))) for a, b in (("x", "x2"), ("y", "y2"))]
     spread = users.withColumn("cx", box[0]).withColumn("cy", box[1])

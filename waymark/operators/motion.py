@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import bearing, distance, equirectangular, haversine, manhattan
-from waymark.functions.scalars import unix_seconds
+from waymark.functions.scalars import seconds_between
 
 
 def by_time(*keys: str):
@@ -21,7 +21,7 @@ def motion(points: DataFrame, *keys: str, lagged_speed: bool = True) -> DataFram
     """
     w = by_time(*keys)
     before = points.withColumns({"_lat": F.lag("lat").over(w), "_lon": F.lag("lon").over(w), "_t": F.lag("ts").over(w)})
-    dt = F.coalesce(F.abs(unix_seconds(F.col("ts")) - unix_seconds(F.col("_t"))), F.lit(0.0))
+    dt = F.coalesce(seconds_between(F.col("_t"), F.col("ts")), F.lit(0.0))
     dx = F.coalesce(haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
     out = before.withColumns({"dx": dx, "dt": dt}).withColumn("speed", F.when(F.col("dt") > 0, F.col("dx") / F.col("dt")).otherwise(0.0))
     last = F.coalesce(F.lag("speed").over(w), F.lit(0.0)) if lagged_speed else F.lit(0.0)
@@ -35,7 +35,7 @@ def motion_flat(points: DataFrame, *keys: str, legacy: bool = True) -> DataFrame
     before = points.withColumns({"_lat": F.lag("lat").over(w), "_lon": F.lag("lon").over(w), "_t": F.lag("ts").over(w)})
     args = [F.col(c) for c in ("_lat", "_lon", "lat", "lon")]
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    out = before.withColumns({"dx_euclidean": zero(equirectangular(*args, legacy)), "dx_manhattan": zero(manhattan(*args, legacy)), "dx": zero(distance(*args, legacy=legacy)), "bearing": zero(bearing(*args)), "dt": zero(F.abs(unix_seconds(F.col("ts")) - unix_seconds(F.col("_t"))))})
+    out = before.withColumns({"dx_euclidean": zero(equirectangular(*args, legacy)), "dx_manhattan": zero(manhattan(*args, legacy)), "dx": zero(distance(*args, legacy=legacy)), "bearing": zero(bearing(*args)), "dt": zero(seconds_between(F.col("_t"), F.col("ts")))})
     out = out.withColumn("velocity", F.when(F.col("dt") != 0, F.col("dx_euclidean") / F.col("dt")).otherwise(0.0))
     change = F.col("velocity") - F.coalesce(F.lag("velocity").over(w), F.lit(0.0))
     return out.withColumn("change", F.when(F.col("dt") != 0, change / F.col("dt")).otherwise(0.0)).drop("_lat", "_lon", "_t")
