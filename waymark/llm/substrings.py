@@ -179,10 +179,11 @@ def _segments(buckets: int, length: int):
             found = {d: anchors(texts[d], length) for d in order}
             every, count = np.unique(np.concatenate([np.empty(0, np.uint64), *[f[0] for f in found.values()]]), return_counts=True)
             wanted = np.union1d(shared, every[count > 1])
+            wanted = wanted if len(wanted) else np.zeros(1, np.uint64)
             seen: set[bytes] = set()
             for d in order:
                 h, first, n = found[d]
-                for k in np.flatnonzero(np.isin(h, wanted)).tolist():
+                for k in np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h).tolist():
                     s, m = int(first[k]), int(n[k])
                     segment = texts[d][s : s + m + length - 1]
                     if segment in seen:
