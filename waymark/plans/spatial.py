@@ -1 +1,211 @@
+"""Cells, spatial joins, stays, fences and segments."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.functions.cells import base32, base32_centre, cell_spacing, cell_xy, decode, encode, neighbours, rectangle
+from waymark.functions.geo import polyline_points, to_utm
+from waymark.operators.compress import StreamParams, compress, members
+from waymark.operators.joins import interval_segments, label_by_fence, nearest, radius_pairs
+from waymark.operators.legacy import filtered_tracks, kalman
+from waymark.operators.points import points, read
+from waymark.operators.stays import breakpoints, geofences, proximity_graph, stay_clusters
+from waymark.plans.base import BY_USER, POINTS, query, sql_haversine
+from waymark.sources.codecs import line_features, point_features, read_trajectories, trajectory_json
+from waymark.sources.tables import trajectory_headers
+
+LEVEL = 21
+STAY_SECONDS = 21_600
+#: Thresholds that suit the test grid's spacing and pace.
+SCALED = StreamParams(merging_distance=60, separation_distance=150, separation_time=43_200, max_acceleration=7, max_radius=100)
+
+#: Distinct places with ids, in both engines.
+PLACES = f"{POINTS}, places AS (SELECT row_number() OVER (ORDER BY lat, lon) AS id, lat, lon FROM (SELECT DISTINCT lat, lon FROM points))"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    # At most the 100 places of the grid, so one task may number them.
+    return points(spark, sf_dir).select("lat", "lon").distinct().withColumn("id", F.row_number().over(W.orderBy("lat", "lon")))
+
+
+def _hilbert_sql(lat: str, lon: str, level: int) -> str:
+    top = (1 << level) - 1
+    x = f"least({top}, CAST(floor(({lon} + 180) / 360 * {1 << level}) AS BIGINT))"
+    y = f"least({top}, CAST(floor(({lat} + 90) / 180 * {1 << level}) AS BIGINT))"
+    step = f"""lambda a, b: CASE
+      WHEN ((a.y >> b.s) & 1) = 1 THEN {{'x': a.x, 'y': a.y, 's': b.s, 'code': a.code || CAST(xor(3 * ((a.x >> b.s) & 1), 1) AS VARCHAR)}}
+      WHEN ((a.x >> b.s) & 1) = 1 THEN {{'x': {top} - a.y, 'y': {top} - a.x, 's': b.s, 'code': a.code || '3'}}
+      ELSE {{'x': a.y, 'y': a.x, 's': b.s, 'code': a.code || '0'}} END"""
+    seed = f"{{'x': {x}, 'y': {y}, 's': CAST(-1 AS BIGINT), 'code': ''}}"
+    rest = f"list_transform(range({level} - 1, -1, -1), lambda s: {{'x': CAST(0 AS BIGINT), 'y': CAST(0 AS BIGINT), 's': CAST(s AS BIGINT), 'code': ''}})"
+    return f"list_reduce(list_prepend({seed}, {rest}), {step}).code"
+
+
+_N = 1 << LEVEL
+
+
+@query(f"""WITH {PLACES} SELECT lat, lon, {_hilbert_sql('lat', 'lon', LEVEL)} AS cell,
+  round((floor((lon + 180) / 360 * {_N}) + 0.5) / {_N} * 360 - 180, 9) AS centre_lon, round((floor((lat + 90) / 180 * {_N}) + 0.5) / {_N} * 180 - 90, 9) AS centre_lat,
+  round(floor((lat + 90) / 180 * {_N}) / {_N} * 180 - 90, 9) AS south, {_hilbert_sql(f"(lat + 180.0::DOUBLE / {_N})", 'lon', LEVEL)} AS north_cell FROM places""")
+def geohash_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _places(spark, sf_dir).withColumn("cell", encode(F.col("lat"), F.col("lon"), LEVEL))
+    x, y = cell_xy(F.col("lat"), F.col("lon"), LEVEL)
+    centre, box = decode(F.col("cell")), rectangle(F.col("cell"))
+    return p.select("lat", "lon", "cell", F.round(centre["lon"], 9).alias("centre_lon"), F.round(centre["lat"], 9).alias("centre_lat"), F.round(box["min_lat"], 9).alias("south"), neighbours(x, y, LEVEL)["n"].alias("north_cell"))
+
+
+@query(None)
+def geohash_base32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _places(spark, sf_dir).withColumn("cell", base32(F.col("lat"), F.col("lon"), 9))
+    centre = base32_centre(F.col("cell"))
+    return p.select("lat", "lon", "cell", F.round(centre["lat"], 5).alias("centre_lat"), F.round(centre["lon"], 5).alias("centre_lon"), F.lit(round(cell_spacing(18), 3)).alias("spacing_18"))
+
+
+@query(f"""WITH {PLACES} SELECT a.id AS src, b.id AS dst, round({sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS dist FROM places a JOIN places b ON a.id < b.id AND {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 30""")
+def radius_pairs_30m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radius_pairs(_places(spark, sf_dir), 30).select("src", "dst", F.round("dist", 3).alias("dist"))
+
+
+@query(f"""WITH {PLACES}, e AS (SELECT a.id AS src, b.id AS dst, {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS dist FROM places a JOIN places b ON a.id < b.id AND {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 40)
+SELECT src, dst, round(dist / avg(dist) OVER (), 6) AS weight FROM e""")
+def proximity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity_graph(_places(spark, sf_dir), 40).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+#: Centroids off the grid: no two at the same distance from a place.
+CENTRES = "centres AS (SELECT id, lat + id * id * 0.0000000137::DOUBLE AS lat, lon + id * 0.0000000711::DOUBLE AS lon FROM places WHERE id % 3 = 0)"
+
+
+@query(f"""WITH {PLACES}, {CENTRES}, near AS (SELECT a.id AS point_id, b.id AS place_id, {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS dist FROM places a, centres b)
+SELECT point_id, place_id, round(dist, 3) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, place_id) AS rank FROM near WHERE dist <= 75) WHERE rank <= 10""")
+def knn_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _places(spark, sf_dir)
+    centres = p.where("id % 3 = 0").select("id", (F.col("lat") + F.col("id") * F.col("id") * 0.0000000137).alias("lat"), (F.col("lon") + F.col("id") * 0.0000000711).alias("lon"))
+    return nearest(p, centres, 75.0, 10).withColumn("dist", F.round("dist", 3))
+
+
+#: Three box fences; the second overlaps the first.
+BOXES = [(1, "home", 10.3799, 10.3810, 55.3599, 55.3607), (2, "work", 10.3808, 10.3817, 55.3605, 55.3613), (3, "shop", 10.3822, 10.3826, 55.3615, 55.3619)]
+FENCED = POINTS + ", labelled AS (SELECT *, CASE " + " ".join(f"WHEN lon > {w} AND lon < {e} AND lat > {s} AND lat < {n} THEN '{name}'" for _, name, w, e, s, n in BOXES) + " END AS label FROM points)"
+
+
+def _fences(spark: SparkSession) -> DataFrame:
+    rows = [(o, name, [(w, s), (e, s), (e, n), (w, n)], w, e, s, n) for o, name, w, e, s, n in BOXES]
+    return spark.createDataFrame(rows, "ord long, label string, ring array<struct<x:double,y:double>>, min_x double, max_x double, min_y double, max_y double")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_by_fence(points(spark, sf_dir), _fences(spark))
+
+
+@query(f"WITH {FENCED} SELECT event_id, label FROM labelled")
+def point_in_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select("event_id", "label")
+
+
+BREAKS = f"""{FENCED}, l AS (SELECT *, max(CASE WHEN label IS NOT NULL THEN ts END) OVER ({BY_USER}) AS lab FROM labelled),
+x AS (SELECT *, lab IS NOT NULL AND epoch_us(ts) - epoch_us(lab) >= {STAY_SECONDS}000000 AS leaves FROM l),
+o AS (SELECT *, CASE WHEN label IS NOT NULL AND (lag(lab) OVER ({BY_USER}) IS NULL OR lag(leaves) OVER ({BY_USER})) THEN 1 ELSE 0 END AS opens FROM x),
+n AS (SELECT *, sum(opens) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS stay FROM o),
+breaks AS (SELECT "user", min(CASE WHEN label IS NOT NULL THEN ts END) AS start_ts, max(CASE WHEN label IS NOT NULL THEN ts END) AS scan_ts, min(CASE WHEN leaves THEN ts END) AS last_ts
+  FROM n WHERE stay > 0 GROUP BY "user", stay HAVING min(CASE WHEN leaves THEN ts END) IS NOT NULL)"""
+
+
+@query(f"WITH {BREAKS} SELECT * FROM breaks")
+def stay_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breakpoints(_labelled(spark, sf_dir), STAY_SECONDS).select("user", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_ts", "scan_ts", "last_ts")])
+
+
+@query(f"""WITH {BREAKS}, b AS (SELECT *, row_number() OVER w AS n, lead(start_ts) OVER w AS hi FROM breaks WINDOW w AS (PARTITION BY "user" ORDER BY scan_ts)),
+spans AS (SELECT "user", n AS segment, scan_ts AS lo, hi FROM b UNION ALL SELECT "user", 0, NULL, start_ts FROM b WHERE n = 1)
+SELECT p."user", CAST(segment AS BIGINT) AS segment, count(*) AS n_points, min(p.ts) AS first_ts, max(p.ts) AS last_ts FROM points p JOIN spans s ON p."user" = s."user" AND (lo IS NULL OR p.ts >= lo) AND (hi IS NULL OR p.ts <= hi) GROUP BY ALL""")
+def interval_segment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = interval_segments(points(spark, sf_dir), breakpoints(_labelled(spark, sf_dir), STAY_SECONDS))
+    return seg.groupBy("user", F.col("segment").cast("long").alias("segment")).agg(F.count("*").alias("n_points"), F.min("ts").cast("timestamp_ntz").alias("first_ts"), F.max("ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+@query(None)
+def compress_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(points(spark, sf_dir), SCALED).select("user", "traj_id", "ord", "ts", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "weight", F.round("dx", 3).alias("dx"), "dt")
+
+
+@query(f"WITH {POINTS} SELECT \"user\", count(*) AS n FROM points GROUP BY \"user\"")
+def compress_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With no limit on acceleration every point is a member of exactly one trajectory."""
+    whole = StreamParams(60, 150, 43_200, 1e9, 100)
+    return members(compress(points(spark, sf_dir), whole)).groupBy("user").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = compress(points(spark, sf_dir), SCALED)
+    n = F.sum(F.when(F.size("members") > 0, F.size("members")).otherwise(1))
+    return c.groupBy("user").agg(n.alias("raw"), F.count("*").alias("compressed")).withColumn("ratio", F.round(100 * (F.col("raw") - F.col("compressed")) / F.col("raw"), 4))
+
+
+@query(None)
+def trajectory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory_headers(compress(points(spark, sf_dir), SCALED))
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = compress(points(spark, sf_dir), SCALED).where("weight > 0")
+    stays = c.select("user", F.xxhash64("traj_id", "ord").alias("id"), "lat", "lon", "weight")
+    return stay_clusters(stays, 40.0, percent=25)
+
+
+@query(None)
+def stay_cluster_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir).groupBy("user", "cluster", "mid_lat", "mid_lon").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def cluster_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geofences(_clusters(spark, sf_dir), 28.0).select("user", "label", F.size("ring").alias("corners"), *[F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
+
+
+@query(None)
+def legacy_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered_tracks(points(spark, sf_dir), min_time=43_200)
+
+
+@query(None)
+def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kalman(filtered_tracks(points(spark, sf_dir), min_time=43_200))
+
+
+@query("""SELECT e.event_id, p.lat, p.lon FROM events e, (VALUES (38.5, -120.2), (40.7, -120.95), (43.252, -126.453)) AS p(lat, lon) WHERE event_id % 100 = 0""")
+def polyline_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").where("event_id % 100 = 0").select("event_id", F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@").alias("line"))
+    each = rows.select("event_id", F.explode(polyline_points(F.col("line"), 1e-5)).alias("p"))
+    return each.select("event_id", F.round("p.lat", 5).alias("lat"), F.round("p.lon", 5).alias("lon"))
+
+
+@query(f"""WITH {POINTS} SELECT "user", '{{"type":"FeatureCollection","features":[' || string_agg('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || printf('%.4f', lon) || ',' || printf('%.4f', lat) || ']}},"properties":{{"id":' || event_id || '}}}}', ',' ORDER BY ts, event_id) || ']}}' AS geojson FROM points GROUP BY "user" """)
+def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return point_features(points(spark, sf_dir))
+
+
+@query(f"""WITH {POINTS} SELECT "user", '{{"type":"LineString","coordinates":[' || string_agg('[' || printf('%.4f', lon) || ',' || printf('%.4f', lat) || ']', ',' ORDER BY ts, event_id) || ']}}' AS geojson FROM points GROUP BY "user" """)
+def geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_features(points(spark, sf_dir))
+
+
+@query(f"""WITH {POINTS} SELECT CAST("user" AS VARCHAR) AS "user", 'raw' AS tag, row_number() OVER ({BY_USER}) - 1 AS ord, lat AS latitude, lon AS longitude, ts AS external_timestamp FROM points""")
+def trajectory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = read_trajectories(trajectory_json(points(spark, sf_dir)))
+    return back.select("user", "tag", "ord", "latitude", "longitude", F.col("external_timestamp").cast("timestamp_ntz").alias("external_timestamp"))
+
+
+@query(None)
+def traversed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.operators.motion import by_time
+
+    east, north = to_utm(F.col("lat"), F.col("lon"))
+    p = points(spark, sf_dir).withColumns({"e": east, "n": north})
+    step = F.hypot(F.col("e") - F.lag("e").over(by_time()), F.col("n") - F.lag("n").over(by_time()))
+    return p.withColumn("step", step).groupBy("user").agg(F.round(F.coalesce(F.sum("step"), F.lit(0.0)), 2).alias("traversed"), F.count("*").alias("n"))

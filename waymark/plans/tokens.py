@@ -1 +1,139 @@
+"""Token sequences, support, similarity scores, detectors and their evaluation."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.functions.cells import encode
+from waymark.functions.sequences import common_subsequence, contains_run, drop_repeats
+from waymark.operators.evaluate import leave_one_out_support, rates
+from waymark.operators.ibdd import IbddParams, detect, fit
+from waymark.operators.points import points
+from waymark.operators.tokens import anomaly, covering_patterns, sequences, similarity, support_fraction, support_set, token_rows, window_tokens
+from waymark.plans.base import BY_USER, POINTS, query
+from waymark.plans.spatial import _hilbert_sql
+
+LEVEL = 20
+PERIOD = "1440T"
+
+#: Cells of the points, repeats dropped. The grid has 100 places, so each is encoded once.
+TOKENS = f"""{POINTS}, cells AS (SELECT lat, lon, {_hilbert_sql('lat', 'lon', LEVEL)} AS geohash FROM (SELECT DISTINCT lat, lon FROM points)),
+celled AS (SELECT * FROM points JOIN cells USING (lat, lon)),
+tokens AS (SELECT * FROM (SELECT *, lag(geohash) OVER ({BY_USER}) AS before FROM celled) WHERE before IS NULL OR before <> geohash)"""
+
+
+def _rows(spark: SparkSession, sf_dir: str, interpolate: bool = False) -> DataFrame:
+    return token_rows(points(spark, sf_dir), LEVEL, interpolate=interpolate)
+
+
+@query(f"""WITH {TOKENS} SELECT "user", list(geohash ORDER BY ts, event_id) AS seq FROM tokens GROUP BY "user" """)
+def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences(_rows(spark, sf_dir))
+
+
+@query(None)
+def interpolated_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences(_rows(spark, sf_dir, interpolate=True))
+
+
+#: Short sequences: the cells of a user's day.
+DAYS = f"""{TOKENS}, days AS (SELECT "user", CAST(ts AS DATE) AS day, list(geohash ORDER BY ts, event_id) AS seq FROM tokens GROUP BY ALL)"""
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "geohash")))
+    return rows.groupBy("user", "day").agg(F.transform(ordered, lambda r: r["geohash"]).alias("seq"))
+
+
+@query(f"""WITH {DAYS} SELECT seq, count(*) AS freq FROM days GROUP BY seq""")
+def support_set_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return support_set(_days(spark, sf_dir))
+
+
+@query(None)
+def closed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering_patterns(_days(spark, sf_dir), "user", 2)
+
+
+@query(f"""WITH {TOKENS} SELECT event_id, list(geohash) OVER w AS sequence FROM tokens WINDOW w AS (PARTITION BY "user" ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW)""")
+def window_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_tokens(_rows(spark, sf_dir), PERIOD).select("event_id", "sequence")
+
+
+#: The supports that a day's windows meet: the day sequences that the same user had before at least twice, or the user's first day.
+_LCS = """list_reduce(list_prepend({'row': list_transform(range(0, len(p) + 1), lambda x: 0), 't': ''}, list_transform(s, lambda t: {'row': list_transform(range(0, 0), lambda x: 0), 't': t})),
+  lambda a, b: {'row': list_reduce(list_prepend([0], list_transform(range(1, len(p) + 1), lambda j: [CAST(j AS INTEGER)])), lambda done, j: list_append(done, CASE WHEN p[j[1]] = b.t THEN a.row[j[1]] + 1 ELSE greatest(a.row[j[1] + 1], done[len(done)]) END)), 't': b.t}).row[len(p) + 1]"""
+
+
+@query(None)
+def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    windows = window_tokens(rows, PERIOD).select("user", "ts", "event_id", "sequence")
+    first = _days(spark, sf_dir).groupBy("user").agg(F.min_by("seq", "day").alias("pattern")).withColumnRenamed("user", "owner")
+    scored = anomaly(similarity(windows, first, F.col("user") == F.col("owner")), 0.5)
+    return scored.select("event_id", F.round("similarity", 9).alias("similarity"), F.round("anomaly_score", 9).alias("anomaly_score"), "anomaly")
+
+
+@query(f"""WITH {DAYS}, f AS (SELECT "user", arg_min(seq, day) AS p FROM days GROUP BY "user"), d AS (SELECT "user", day, seq AS s, p FROM days JOIN f USING ("user"))
+SELECT "user", day, CAST(({_LCS}) AS INTEGER) AS score FROM d""")
+def alignment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _days(spark, sf_dir)
+    first = days.groupBy("user").agg(F.min_by("seq", "day").alias("p"))
+    return days.join(first, "user").select("user", "day", common_subsequence(F.col("seq"), F.col("p")).alias("score"))
+
+
+@query(f"""WITH {DAYS}, runs AS (SELECT DISTINCT seq[1:2] AS run FROM days WHERE len(seq) >= 2), u AS (SELECT "user", list(geohash ORDER BY ts, event_id) AS seq FROM tokens GROUP BY "user")
+SELECT array_to_string(run, '-') AS run_id, round(avg(CASE WHEN contains('-' || array_to_string(seq, '-') || '-', '-' || array_to_string(run, '-') || '-') THEN 1.0::DOUBLE ELSE 0 END), 9) AS support FROM runs, u GROUP BY ALL""")
+def support_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _days(spark, sf_dir).where("size(seq) >= 2").select(F.slice("seq", 1, 2).alias("run")).distinct()
+    runs = runs.select(F.array_join("run", "-").alias("run_id"), "run")
+    return support_fraction(sequences(_rows(spark, sf_dir)), runs).select("run_id", F.round("support", 9).alias("support"))
+
+
+@query(f"""WITH {TOKENS}, u AS (SELECT "user", list(geohash ORDER BY ts, event_id) AS seq FROM tokens GROUP BY "user") SELECT "user", len(seq) AS n, true AS has_tail FROM u""")
+def sequence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats are gone, and the last three tokens are a run of the sequence."""
+    s = sequences(token_rows(points(spark, sf_dir), LEVEL, interpolate=False))
+    return s.select("user", F.size(drop_repeats(F.col("seq"))).cast("long").alias("n"), contains_run(F.col("seq"), F.slice("seq", F.greatest(F.lit(1), F.size("seq") - 2), F.lit(3))).alias("has_tail"))
+
+
+@query(None)
+def ibdd_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    params = IbddParams(precision=LEVEL)
+    known = fit(p, params)
+    mine = p.select("user").distinct()
+    # Each user meets the sequences of the next ten users, so the pairs grow with the users.
+    others = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.col("user") - i)).alias("user"), "seq").join(mine, "user", "left_semi")
+    return detect(p, others, params)
+
+
+@query(None)
+def loo_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-out over users: a user's first day against the first days of all others; precision sweep as columns."""
+    out = None
+    for level in (18, 20):
+        rows = token_rows(points(spark, sf_dir), level, interpolate=False)
+        day = rows.withColumn("day", F.to_date("ts"))
+        first = day.groupBy("user").agg(F.min("day").alias("day"))
+        ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "geohash")))
+        seqs = day.join(first, ["user", "day"]).groupBy(F.col("user").alias("uid")).agg(F.transform(ordered, lambda r: r["geohash"]).alias("seq"))
+        support = leave_one_out_support(seqs)
+        best = seqs.join(support, "uid").select("uid", (common_subsequence(F.col("seq"), F.col("pattern")) / F.size("seq")).alias("s")).groupBy("uid").agg(F.max("s").alias("similarity"))
+        judged = best.withColumns({"anomalous": F.col("uid") % 10 == 0, "outcome": 1 - F.col("similarity") > 0.4, "precision": F.lit(level)})
+        r = rates(judged, "precision")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query(f"""WITH {TOKENS} SELECT "user", count(*) AS n_rows, count(DISTINCT geohash) AS n_cells FROM tokens GROUP BY "user" """)
+def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir).groupBy("user").agg(F.count("*").alias("n_rows"), F.countDistinct("geohash").alias("n_cells"))
+
+
+@query(None)
+def cells_in_alphabets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = points(spark, sf_dir).select("lat", "lon").distinct()
+    return places.select("lat", "lon", *[encode(F.col("lat"), F.col("lon"), p, b).alias(f"base_{1 << b}") for p, b in ((20, 2), (10, 4), (6, 6))])
