@@ -132,14 +132,15 @@ def polyline_points(encoded: Column, precision: float = 1e-6) -> Column:
         return F.struct(F.when(done, F.lit(0).cast("long")).otherwise(value).alias("value"), F.when(done, 0).otherwise(acc["shift"] + 5).alias("shift"), F.when(done, F.concat(acc["out"], F.array(signed))).otherwise(acc["out"]).alias("out"))
 
     steps = F.aggregate(F.filter(codes, lambda c: c >= 0), start, step, lambda acc: acc["out"])
-    total = F.struct(F.lit(0).cast("long").alias("lat"), F.lit(0).cast("long").alias("lon"), F.array().cast("array<struct<lat:double,lon:double>>").alias("out"))
-    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size(steps) / 2).cast("int")), lambda i: F.struct(F.get(steps, 2 * i - 2).alias("a"), F.get(steps, 2 * i - 1).alias("o")))
+    # Differences alternate: a latitude waits for its longitude.
+    total = F.struct(F.lit(0).cast("long").alias("lat"), F.lit(0).cast("long").alias("lon"), F.lit(False).alias("waits"), F.array().cast("array<struct<lat:double,lon:double>>").alias("out"))
 
-    def add(acc: Column, p: Column) -> Column:
-        lat, lon = acc["lat"] + p["a"], acc["lon"] + p["o"]
-        return F.struct(lat.alias("lat"), lon.alias("lon"), F.concat(acc["out"], F.array(F.struct((lat * precision).alias("lat"), (lon * precision).alias("lon")))).alias("out"))
+    def add(acc: Column, d: Column) -> Column:
+        lat, lon = F.when(acc["waits"], acc["lat"]).otherwise(acc["lat"] + d), F.when(acc["waits"], acc["lon"] + d).otherwise(acc["lon"])
+        point = F.array(F.struct((lat * precision).alias("lat"), (lon * precision).alias("lon")))
+        return F.struct(lat.alias("lat"), lon.alias("lon"), (~acc["waits"]).alias("waits"), F.when(acc["waits"], F.concat(acc["out"], point)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(steps) >= 2, F.aggregate(pairs, total, add, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<lat:double,lon:double>>"))
+    return F.aggregate(steps, total, add, lambda acc: acc["out"])
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -15,9 +15,15 @@ from waymark.functions.geo import from_utm, to_utm, utm_zone
 TOKENS = "array<string>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def drop_repeats(tokens: Column) -> Column:
     """The first of each run of equal tokens."""
-    return F.filter(F.transform(tokens, lambda t, i: F.when((i == 0) | (t != F.get(tokens, i - 1)), t)), lambda t: t.isNotNull())
+    add = lambda done, t: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1) == t), done).otherwise(F.concat(done, F.array(t)))
+    return F.aggregate(tokens, F.array().cast(TOKENS), add)
 
 
 def contains_run(tokens: Column, run: Column) -> Column:
@@ -46,13 +52,17 @@ def line_cells(lat1: Column, lon1: Column, lat2: Column, lon2: Column, precision
     check_precision(precision, bits)
     zone = utm_zone(lon1)
     (e1, n1), (e2, n2) = to_utm(lat1, lon1, zone), to_utm(lat2, lon2, zone)
-    points = F.greatest(F.lit(2), F.floor(F.hypot(e2 - e1, n2 - n1) / spacing).cast("int") + 1)
+    ends = F.struct(zone.alias("zone"), e1.alias("e1"), n1.alias("n1"), e2.alias("e2"), n2.alias("n2"))
+
+    def cells(line: Column) -> Column:
+        count = F.greatest(F.lit(2), F.floor(F.hypot(line["e2"] - line["e1"], line["n2"] - line["n1"]) / spacing).cast("int") + 1)
+        return let(F.struct(line.alias("l"), count.alias("n")), lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: cell(x["l"], i / (x["n"] - 1))))
 
-    def cell(i: Column) -> Column:
-        lat, lon = from_utm(e1 + (e2 - e1) * i / (points - 1), n1 + (n2 - n1) * i / (points - 1), zone)
-        return encode(lat, lon, precision, bits)
+    def cell(line: Column, part: Column) -> Column:
+        lat, lon = from_utm(line["e1"] + (line["e2"] - line["e1"]) * part, line["n1"] + (line["n2"] - line["n1"]) * part, line["zone"])
+        return let(F.struct(lat.alias("lat"), lon.alias("lon")), lambda p: encode(p["lat"], p["lon"], precision, bits))
 
-    return drop_repeats(F.transform(F.sequence(F.lit(0), points - 1), cell))
+    return drop_repeats(let(ends, cells))
 
 
 class ScoringFunction:

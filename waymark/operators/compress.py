@@ -142,19 +142,25 @@ def compress(points: DataFrame, params: StreamParams = StreamParams()) -> DataFr
     sessions = gap_segments(points.withColumn("_gap", gap), F.coalesce(F.col("_gap") > params.separation_time, F.lit(False)), name="session")
     names = [c.split()[0] for c in COMPRESSED.split(", ")]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"])
-        user, session, machine, out, traj = int(rows.user.iloc[0]), int(rows.session.iloc[0]), Machine(params), [], 0
-        for lat, lon, t in zip(rows.lat, rows.lon, rows.t, strict=True):
-            if done := machine.push(lat, lon, t):
-                out += compressed_rows(user, session, traj, done)
-                traj += 1
-        if done := machine.finish():
-            out += compressed_rows(user, session, traj, done)
-        return pd.DataFrame(out, columns=names)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Partitions come sorted by session and time; one machine runs on, and a new session finishes the last."""
+        machine, last, traj = Machine(params), None, 0
+        for rows in batches:
+            out: list[tuple] = []
+            for user, session, lat, lon, t in zip(rows.user, rows.session, rows.lat, rows.lon, rows.t, strict=True):
+                if (user, session) != last:
+                    if last and (done := machine.finish()):
+                        out += compressed_rows(*last, traj, done)
+                    last, traj = (user, session), 0
+                if done := machine.push(lat, lon, t):
+                    out += compressed_rows(*last, traj, done)
+                    traj += 1
+            yield pd.DataFrame(out, columns=names)
+        if last and (done := machine.finish()):
+            yield pd.DataFrame(list(compressed_rows(*last, traj, done)), columns=names)
 
     timed = sessions.select("user", "session", "event_id", "lat", "lon", unix_seconds(F.col("ts")).alias("t"))
-    found = timed.groupBy("user", "session").applyInPandas(fold, COMPRESSED)
+    found = timed.repartition("user", "session").sortWithinPartitions("user", "session", "t", "event_id").mapInPandas(fold, COMPRESSED)
     return found.withColumn("traj_id", F.sha2(F.concat_ws("|", "user", "session", "traj"), 256))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import segment_distance
 from waymark.operators.motion import by_time, gap_segments, motion_flat
 
+TRACK_COLUMNS = ["user", "track", "ord", "ts", "lat", "lon", "n"]
 TRACK = "user long, track int, ord int, ts double, lat double, lon double, n long"
 
 
@@ -20,47 +23,55 @@ def filtered_tracks(points: DataFrame, max_acceleration: float = 2.5, merge: flo
     measured = motion_flat(points)
     split = gap_segments(measured.where(F.abs("change") <= max_acceleration), F.col("dt") > min_time, name="track")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"])
-        out: list[list] = []
-        held: list[tuple[float, float, float]] = []
-        for lat, lon, t in zip(g.lat, g.lon, g.t, strict=True):
-            if held:
-                m_lat, m_lon = (sum(h[k] for h in held) / len(held) for k in (0, 1))
-                near = abs(lat - m_lat) * 111_120 + abs(lon - m_lon) * 111_120 * np.cos(np.radians(m_lat)) <= merge
-                if not near:
-                    out.append([m_lat, m_lon, held[-1][2], len(held)])
-                    held = []
-            held.append((lat, lon, t))
+    def mean(held: list) -> tuple[float, float]:
+        return sum(h[0] for h in held) / len(held), sum(h[1] for h in held) / len(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, k, held = None, 0, []
+        for g in batches:
+            out = []
+            for user, track, lat, lon, t in zip(g.user, g.track, g.lat, g.lon, g.t, strict=True):
+                if held:
+                    m_lat, m_lon = mean(held)
+                    near = abs(lat - m_lat) * 111_120 + abs(lon - m_lon) * 111_120 * np.cos(np.radians(m_lat)) <= merge
+                    if (user, track) != last or not near:
+                        out.append((*last, k, held[-1][2], m_lat, m_lon, len(held)))
+                        held, k = [], k + 1
+                if (user, track) != last:
+                    last, k = (user, track), 0
+                held.append((lat, lon, t))
+            yield pd.DataFrame(out, columns=TRACK_COLUMNS)
         if held:
-            out.append([sum(h[0] for h in held) / len(held), sum(h[1] for h in held) / len(held), held[-1][2], len(held)])
-        return pd.DataFrame([(g.user.iloc[0], g.track.iloc[0], k, t, a, o, n) for k, (a, o, t, n) in enumerate(out)], columns=["user", "track", "ord", "ts", "lat", "lon", "n"])
+            yield pd.DataFrame([(*last, k, held[-1][2], *mean(held), len(held))], columns=TRACK_COLUMNS)
 
-    return split.select("user", "track", "event_id", "lat", "lon", F.col("ts").cast("double").alias("t")).groupBy("user", "track").applyInPandas(run, TRACK)
+    timed = split.select("user", "track", "event_id", "lat", "lon", F.col("ts").cast("double").alias("t"))
+    return timed.repartition("user", "track").sortWithinPartitions("user", "track", "t", "event_id").mapInPandas(run, TRACK)
 
 
 def kalman(tracks: DataFrame, noise: float = 1e-5, drift: float = 1e-8) -> DataFrame:
     """tracks(user, track, ord, ts, lat, lon) smoothed by a constant-velocity filter with four states, started anew in each track."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ord")
-        state, cov, last = None, None, None
-        seen, out = np.eye(2, 4), []
-        for lat, lon, t in zip(g.lat, g.lon, g.ts, strict=True):
-            z = np.array([lat, lon])
-            if state is None:
-                state, cov = np.array([lat, lon, 0.0, 0.0]), np.eye(4) * noise
-            else:
-                move = np.eye(4)
-                move[0, 2] = move[1, 3] = t - last
-                state, cov = move @ state, move @ cov @ move.T + np.eye(4) * drift
-                gain = cov @ seen.T @ np.linalg.inv(seen @ cov @ seen.T + np.eye(2) * noise)
-                state, cov = state + gain @ (z - seen @ state), (np.eye(4) - gain @ seen) @ cov
-            last = t
-            out.append((state[0], state[1]))
-        return g.assign(lat=[a for a, _ in out], lon=[b for _, b in out])[["user", "track", "ord", "ts", "lat", "lon"]]
-
-    return tracks.select("user", "track", "ord", "ts", "lat", "lon").groupBy("user", "track").applyInPandas(run, "user long, track int, ord int, ts double, lat double, lon double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, state, cov, last = None, None, None, None
+        seen = np.eye(2, 4)
+        for g in batches:
+            out = []
+            for user, track, lat, lon, t in zip(g.user, g.track, g.lat, g.lon, g.ts, strict=True):
+                z = np.array([lat, lon])
+                if (user, track) != before:
+                    before, state, cov = (user, track), np.array([lat, lon, 0.0, 0.0]), np.eye(4) * noise
+                else:
+                    move = np.eye(4)
+                    move[0, 2] = move[1, 3] = t - last
+                    state, cov = move @ state, move @ cov @ move.T + np.eye(4) * drift
+                    gain = cov @ seen.T @ np.linalg.inv(seen @ cov @ seen.T + np.eye(2) * noise)
+                    state, cov = state + gain @ (z - seen @ state), (np.eye(4) - gain @ seen) @ cov
+                last = t
+                out.append((state[0], state[1]))
+            yield g.assign(lat=[a for a, _ in out], lon=[b for _, b in out])[["user", "track", "ord", "ts", "lat", "lon"]]
+
+    rows = tracks.select("user", "track", "ord", "ts", "lat", "lon").repartition("user", "track").sortWithinPartitions("user", "track", "ord")
+    return rows.mapInPandas(run, "user long, track int, ord int, ts double, lat double, lon double")
 
 
 def triples(points: DataFrame) -> DataFrame:

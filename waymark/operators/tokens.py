@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.cells import cell_spacing, encode
 from waymark.functions.scalars import period_micros
-from waymark.functions.sequences import contains_run, drop_repeats, ensemble, line_cells
+from waymark.functions.sequences import drop_repeats, ensemble, line_cells
 from waymark.operators.filters import drop_consecutive
 
 
@@ -124,9 +124,18 @@ def anomaly(scored: DataFrame, threshold: float, key: str = "user") -> DataFrame
 
 
 def support_fraction(seqs: DataFrame, runs: DataFrame) -> DataFrame:
-    """For each of runs(run_id, run) the share of seqs(seq) that contain it as a contiguous part; 0 without sequences."""
-    pairs = runs.join(seqs.select("seq"), F.lit(True), "left")
-    return pairs.groupBy("run_id").agg(F.coalesce(F.avg(contains_run(F.col("seq"), F.col("run")).cast("double")), F.lit(0.0)).alias("support"))
+    """For each of runs(run_id, run) the share of seqs(seq) that contain it as a contiguous part; 0 without sequences.
+
+    Containment is equality with one of a sequence's parts of the same length, so runs meet sequences in an equi-join.
+    """
+    rows = seqs.select(F.monotonically_increasing_id().alias("_s"), "seq")
+    total = seqs.agg(F.count("*").alias("_n"))
+    lengths = runs.select(F.size("run").alias("m")).distinct()
+    starts = F.explode(F.when(F.size("seq") >= F.col("m"), F.sequence(F.lit(1), F.size("seq") - F.col("m") + 1)).otherwise(F.array().cast("array<int>")))
+    parts = rows.join(lengths, F.col("m") > 0).select("_s", "seq", "m", starts.alias("i")).select("_s", F.slice("seq", F.col("i"), F.col("m")).alias("run")).distinct()
+    held = parts.groupBy("run").agg(F.count("*").alias("_k"))
+    share = F.when(F.col("_n") == 0, 0.0).when(F.size("run") == 0, 1.0).otherwise(F.coalesce("_k", F.lit(0)) / F.col("_n"))
+    return runs.join(held, "run", "left").crossJoin(F.broadcast(total)).select("run_id", share.alias("support"))
 
 
 def lcs_prefixes(seq: list[str], pattern: list[str]) -> Iterator[int]:

@@ -178,9 +178,9 @@ def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kalman(filtered_tracks(points(spark, sf_dir), min_time=43_200))
 
 
-@query("""SELECT e.event_id, p.lat, p.lon FROM events e, (VALUES (38.5, -120.2), (40.7, -120.95), (43.252, -126.453)) AS p(lat, lon) WHERE event_id % 100 = 0""")
+@query("""SELECT e.event_id, p.lat, p.lon FROM events e, (VALUES (38.5::DOUBLE, -120.2::DOUBLE), (40.7::DOUBLE, -120.95::DOUBLE), (43.252::DOUBLE, -126.453::DOUBLE)) AS p(lat, lon)""")
 def polyline_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").where("event_id % 100 = 0").select("event_id", F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@").alias("line"))
+    rows = read(spark, sf_dir, "events").select("event_id", F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@").alias("line"))
     each = rows.select("event_id", F.explode(polyline_points(F.col("line"), 1e-5)).alias("p"))
     return each.select("event_id", F.round("p.lat", 5).alias("lat"), F.round("p.lon", 5).alias("lon"))
 

@@ -38,14 +38,14 @@ def read_trajectories(documents: DataFrame) -> DataFrame:
 
 def point_features(points: DataFrame, key: str = "user") -> DataFrame:
     """(key, geojson): a FeatureCollection of each key's points in order."""
-    feature = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), F.format_number("lon", "0.0000"), F.lit(","), F.format_number("lat", "0.0000"), F.lit(']},"properties":{"id":'), F.col("event_id").cast("string"), F.lit("}}"))
+    feature = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), F.format_string("%.4f", "lon"), F.lit(","), F.format_string("%.4f", "lat"), F.lit(']},"properties":{"id":'), F.col("event_id").cast("string"), F.lit("}}"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", feature.alias("f")))), lambda r: r["f"])
     return points.groupBy(key).agg(ordered.alias("f")).select(key, F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("f", ","), F.lit("]}")).alias("geojson"))
 
 
 def line_features(points: DataFrame, key: str = "user") -> DataFrame:
     """(key, geojson): a LineString of each key's points in order."""
-    pair = F.concat(F.lit("["), F.format_number("lon", "0.0000"), F.lit(","), F.format_number("lat", "0.0000"), F.lit("]"))
+    pair = F.concat(F.lit("["), F.format_string("%.4f", "lon"), F.lit(","), F.format_string("%.4f", "lat"), F.lit("]"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", pair.alias("f")))), lambda r: r["f"])
     return points.groupBy(key).agg(ordered.alias("f")).select(key, F.concat(F.lit('{"type":"LineString","coordinates":['), F.array_join("f", ","), F.lit("]}")).alias("geojson"))
 
