@@ -188,16 +188,6 @@ def simhash_groups(docs: DataFrame, width: int = 3, distance: int = 2, seed: int
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def without_near_copies(docs: DataFrame, width: int = 5, distance: int = 2, seed: int = 42) -> DataFrame:
-    """docs without the rows whose group holds a smaller doc_id; rows that repeat a kept doc_id and text go too.
-    Rows with a null doc_id stay."""
-    groups = simhash_groups(docs.select("doc_id", "text"), width, distance, seed)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    again = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(-1)
-    return kept.withColumn("_row", again).dropDuplicates(["doc_id", "_text", "_row"]).select(*docs.columns)
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
