@@ -1,7 +1,7 @@
 """Toxicity from a bag of subwords: character n-grams of each word share vectors, so unseen misspellings lie near the known word.
 
 A document is the mean of the vectors of all its subwords (the whole word between marks and its character n-grams, hashed into
-`buckets` rows); a linear softmax over that mean gives the score. Vectors and softmax are trained jointly in numpy by
+`buckets` rows) and `NEUTRAL` zero vectors; a linear softmax over that mean gives the score. Vectors and softmax are trained jointly in numpy by
 stochastic gradient steps on at most `per_class` labelled rows of each class (the least hashes of the ids), each class weighted to its
 share among all labelled rows. The model has a fixed size, so sending it to every task is bounded; all texts are scored whole.
 
@@ -32,6 +32,8 @@ EPOCHS = 6
 RATE = 0.1
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
+#: Zero vectors that stand beside a text's subwords in its mean, so a few odd words don't decide over a short text.
+NEUTRAL = 500
 
 
 def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -50,7 +52,7 @@ class Model:
 
 
 def _bags(texts: list[bytes], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, shares) of the mean bag of each text."""
+    """(buckets, shares) of the mean bag of each text; the shares of the neutral vectors are left out."""
     known: dict[bytes, bytes] = {}
     bags = []
     for raw in texts:
@@ -61,7 +63,7 @@ def _bags(texts: list[bytes], buckets: int) -> list[tuple[np.ndarray, np.ndarray
             parts.append(known[w])
         ids = np.frombuffer(b"".join(parts), np.int32)
         col, n = np.unique(ids, return_counts=True)
-        bags.append((col, (n / max(1, len(ids))).astype(np.float32)))
+        bags.append((col, (n / (len(ids) + NEUTRAL)).astype(np.float32)))
     return bags
 
 
@@ -133,7 +135,7 @@ def _known(weight: np.ndarray, bias: float) -> tuple[WordScores, float]:
 
 def score(raw: bytes, known: WordScores, bias: float) -> float:
     total = sum(map(known.__getitem__, words(raw)), 0j)
-    z = bias + (total.real / total.imag if total.imag else 0.0)
+    z = bias + total.real / (total.imag + NEUTRAL)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
