@@ -36,7 +36,14 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def release(staged: DataFrame) -> None:
+    """Deletes the files of a staged result once all that was made of it is staged itself."""
+    _remove(staged.sparkSession, staged.staged_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.sais import permuted_reach, suffix_array
-from waymark.llm.shared import stage, table
+from waymark.llm.shared import release, stage, table
 
 LENGTH = 100
 GRAM = 40
@@ -40,6 +40,7 @@ UNIT_BYTES = 4 << 20
 HASHED_AT_ONCE = 1 << 20
 PLACE_BITS = np.uint64(21)
 BUCKETS_A_PARTITION = 4
+LEVEL = 3
 
 _FACTOR = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
@@ -148,7 +149,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(t) for t in texts], np.int64)
         known = np.array([i is not None for i in ids], np.int64)
         head = np.concatenate([[len(ids)], known, [i or 0 for i in ids], sizes]).astype(np.int64).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([zstandard.compress(head + b"".join(texts), 1)], pa.binary())], ["unit", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([zstandard.compress(head + b"".join(texts), LEVEL)], pa.binary())], ["unit", "docs"])
 
 
 def _unpacked(packed: bytes) -> tuple[list, list[bytes]]:
@@ -191,7 +192,7 @@ def _segments(buckets: int, length: int):
                         continue
                     seen.add(segment)
                     sent.setdefault(int(h[k]) % buckets, []).append(((int(h[k]), np.iinfo(np.int64).min if ids[d] is None else ids[d], unit, d, s, m), segment))
-        rows = [(b, unit, zstandard.compress(len(x).to_bytes(8, "little") + np.array([y[0] for y in x], HEAD).tobytes() + b"".join(y[1] for y in x), 1)) for b, x in sent.items()]
+        rows = [(b, unit, zstandard.compress(len(x).to_bytes(8, "little") + np.array([y[0] for y in x], HEAD).tobytes() + b"".join(y[1] for y in x), LEVEL)) for b, x in sent.items()]
         rows.append((None, unit, np.array(covered, np.int64).tobytes()))
         return pa.Table.from_batches([_batch(SENT, [list(c) for c in zip(*rows, strict=True)])])
 
@@ -307,6 +308,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     packed = raw.mapInArrow(_packed, PACKED_DDL)
     sent = packed.groupBy("unit").cogroup(shared.unionByName(copies).groupBy("unit")).applyInArrow(_segments(buckets, length), SENT_DDL)
     sent = stage(sent, "segments")
+    release(scanned)
     covered = sent.where("bucket is not null").groupBy("bucket").applyInArrow(_covered(length), COVERED_DDL)
     covered = covered.unionByName(sent.where("bucket is null").select("unit", "blob")).withColumn("copy", F.lit(None).cast("int"))
     return packed.groupBy("unit").cogroup(covered.unionByName(copies).groupBy("unit")).applyInArrow(_finished(length, keep_text), RESULT_DDL)
