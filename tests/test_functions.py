@@ -89,3 +89,11 @@ def test_queue_ranges_like_python(spark):
     for r in rows.collect():
         lo, hi = (x + 20 if x < 0 else x for x in (r.a, r.b))
         assert r.got == items[lo : hi + 1]
+
+
+def test_crossed_cells(spark):
+    assert sequences._walk(0.5, 0.5, 3.5, 0.6) == [(0, 0), (1, 0), (2, 0), (3, 0)]
+    assert sequences._walk(2.5, 2.5, 0.4, 0.3)[-1] == (0, 0) and sequences._walk(1.2, 1.2, 1.4, 1.3) == [(1, 1)]
+    rows = spark.createDataFrame([(55.36, 10.38, 55.361, 10.382)], "a double, b double, c double, d double")
+    got = rows.select(sequences.crossed_cells(*[F.col(c) for c in "abcd"], 20).alias("w"), cells.encode(F.col("a"), F.col("b"), 20).alias("first"), cells.encode(F.col("c"), F.col("d"), 20).alias("last")).first()
+    assert got.w[0] == got["first"] and got.w[-1] == got["last"] and len(set(got.w)) == len(got.w) > 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waymark.functions.cells import check_precision, encode
+from waymark.functions.cells import check_precision, encode, encode_xy
 from waymark.functions.geo import from_utm, to_utm, utm_zone
 
 TOKENS = "array<string>"
@@ -92,3 +93,37 @@ def ensemble(a: Column, b: Column, weighted: dict[str, tuple[ScoringFunction | N
     for fn, weight in (weighted or {"alignment": (None, 1.0)}).values():
         total = total + weight * (common_subsequence(a, b).cast("double") if fn is None else fn.column(a, b))
     return F.when(F.size(a) > 0, total / F.size(a)).otherwise(0.0)
+
+
+def _walk(x: float, y: float, x2: float, y2: float) -> list[tuple[int, int]]:
+    """Grid cells that a segment crosses, in order; a corner counts as a step in x, then in y."""
+    cell, last = [math.floor(x), math.floor(y)], (math.floor(x2), math.floor(y2))
+    out = [tuple(cell)]
+    move = (x2 - x, y2 - y)
+    step = [1 if d > 0 else -1 for d in move]
+    reach = [abs(1 / d) if d else math.inf for d in move]
+    ahead = [((cell[k] + (step[k] > 0)) - p) / d if (d := move[k]) else math.inf for k, p in enumerate((x, y))]
+    while tuple(cell) != last and len(out) <= 1000:
+        k = 0 if ahead[0] <= ahead[1] else 1
+        if ahead[k] > 1:
+            break
+        cell[k] += step[k]
+        ahead[k] += reach[k]
+        out.append(tuple(cell))
+    return out
+
+
+def crossed_cells(lat1: Column, lon1: Column, lat2: Column, lon2: Column, precision: int, bits: int = 2) -> Column:
+    """All cells that the straight line between two points crosses, in order (1000 at most, as a guard against lines around the globe).
+
+    The walk is a loop without a length known before, so it runs on Arrow batches; the names of its cells are Column folds.
+    """
+    level = check_precision(precision, bits)
+    side = 1 << level
+
+    @F.pandas_udf("array<struct<x:long,y:long>>")
+    def walk(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        at = lambda lat, lon: ((lon + 180) / 360 * side, (lat + 90) / 180 * side)
+        return pd.Series([None if any(v is None or v != v for v in p) else [{"x": x, "y": y} for x, y in _walk(*at(p[0], p[1]), *at(p[2], p[3]))] for p in zip(a, b, c, d, strict=True)])
+
+    return F.transform(walk(lat1, lon1, lat2, lon2), lambda p: encode_xy(p["x"], p["y"], level, bits))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from waymark.functions.cells import base32, base32_centre, cell_spacing, cell_xy, decode, encode, neighbours, rectangle
 from waymark.functions.geo import polyline_points, to_utm
+from waymark.functions.sequences import crossed_cells
 from waymark.operators.compress import StreamParams, compress, members
+from waymark.operators.equality import children, same_point
 from waymark.operators.joins import interval_segments, label_by_fence, nearest, radius_pairs
 from waymark.operators.legacy import filtered_tracks, kalman
 from waymark.operators.points import points, read
@@ -209,3 +211,30 @@ def traversed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).withColumns({"e": east, "n": north})
     step = F.hypot(F.col("e") - F.lag("e").over(by_time()), F.col("n") - F.lag("n").over(by_time()))
     return p.withColumn("step", step).groupBy("user").agg(F.round(F.coalesce(F.sum("step"), F.lit(0.0)), 2).alias("traversed"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {BREAKS}, b AS (SELECT *, row_number() OVER w AS n, lead(start_ts) OVER w AS hi FROM breaks WINDOW w AS (PARTITION BY "user" ORDER BY scan_ts)),
+spans AS (SELECT "user", n AS segment, scan_ts AS lo, hi FROM b UNION ALL SELECT "user", 0, NULL, start_ts FROM b WHERE n = 1)
+SELECT sha256(p."user" || '|' || segment) AS traj_id, p."user" AS parent_id, 'subtrajectory' AS tag, min(p.ts) AS start_ts, max(p.ts) AS end_ts, count(*) AS n_points
+FROM points p JOIN spans s ON p."user" = s."user" AND (lo IS NULL OR p.ts >= lo) AND (hi IS NULL OR p.ts <= hi) GROUP BY p."user", segment""")
+def subtrajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = children(interval_segments(points(spark, sf_dir), breakpoints(_labelled(spark, sf_dir), STAY_SECONDS)))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
+
+
+@query(f"""WITH {POINTS} SELECT event_id, coalesce(lat = plat AND lon = plon AND ts = pts, false) AS same_point FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(ts) OVER w AS pts FROM points WINDOW w AS ({BY_USER}))""")
+def point_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.operators.motion import by_time
+
+    own = points(spark, sf_dir).withColumn("p", F.struct("lat", "lon", "ts"))
+    return own.withColumn("q", F.lag("p").over(by_time())).select("event_id", same_point(F.col("p"), F.col("q")).alias("same_point"))
+
+
+@query(None)
+def crossed_cell_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.operators.motion import by_time
+
+    p = points(spark, sf_dir).withColumns({"a": F.lag("lat").over(by_time()), "o": F.lag("lon").over(by_time())})
+    # The same step between two places is walked once.
+    steps = p.where("a is not null").groupBy("a", "o", "lat", "lon").agg(F.count("*").alias("n"))
+    return steps.select("a", "o", "lat", "lon", "n", crossed_cells(F.col("a"), F.col("o"), F.col("lat"), F.col("lon"), LEVEL).alias("cells"))
