@@ -214,4 +214,18 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP7_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+items AS (SELECT item_id, {_WORDS} AS ws, least({WINDOW}, len({_WORDS})) AS n FROM benchmark),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(ws[k + 1:k + n], ' ') AS w FROM (SELECT *, unnest(range(len(ws) - n + 1)) AS k FROM items WHERE n > 0)),
+places AS (SELECT doc_id, n, p, array_to_string(ws[p + 1:p + n], ' ') AS w FROM (SELECT d.*, s.n, unnest(range(len(ws) - s.n + 1)) AS p FROM docs d, (SELECT DISTINCT n FROM windows) s WHERE len(ws) >= s.n)),
+hits AS (SELECT doc_id, p, n, item_id FROM places JOIN windows USING (n, w)),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

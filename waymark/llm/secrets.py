@@ -101,3 +101,26 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.concat("base", "owned")).alias("spans"))
+
+
+def _sql_spans(pattern: str, kind: int, group: int) -> str:
+    """Spans of one kind as rows: lengths of the pieces between matches and of the matches, added up."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, {kind} AS kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start, length(ms[i]) AS n, vs[i] AS value
+      FROM (SELECT doc_id, source, gaps, ms, vs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, source, string_split_regex(text, '{quoted}') AS gaps, regexp_extract_all(text, '{quoted}') AS ms, regexp_extract_all(text, '{quoted}', {group}) AS vs FROM docs))"""
+
+
+OP6_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+base AS (SELECT *, start + n AS "end" FROM (
+  {_sql_spans(ASSIGN, 0, 2)} UNION ALL {_sql_spans(ACCESS, 1, 0)} UNION ALL {_sql_spans(HEX, 2, 0)}) WHERE kind > 0 OR length(value) >= {LEAST["assign"]}),
+tokens AS (SELECT *, start + n AS "end" FROM ({_sql_spans(TOKEN, 3, 0)}) WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')),
+more AS (SELECT * FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.start < t."end" AND t.start < b."end")),
+few AS (SELECT value FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY value HAVING count(DISTINCT source) < {COPIED_SOURCES}),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM more WHERE value IN (SELECT value FROM few)),
+listed AS (SELECT doc_id, kind, start, "end", ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || "end" AS s FROM every),
+by_doc AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c,
+  string_agg(s, ',' ORDER BY start, kind, "end") FILTER (WHERE kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind, "end") AS spans FROM listed GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN by_doc USING (doc_id)
+"""
