@@ -171,4 +171,4 @@ def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 10""")
 def top_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id"))
-    return read(spark, sf_dir, "events").select("user_id", "event_id", rank.alias("rn")).where("rn <= 10")
+    return read(spark, sf_dir, "events").select("user_id", "event_id", rank.cast("long").alias("rn")).where("rn <= 10")

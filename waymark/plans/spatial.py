@@ -31,7 +31,7 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     # At most the 100 places of the grid, so one task may number them.
-    return points(spark, sf_dir).select("lat", "lon").distinct().withColumn("id", F.row_number().over(W.orderBy("lat", "lon")))
+    return points(spark, sf_dir).select("lat", "lon").distinct().withColumn("id", F.row_number().over(W.orderBy("lat", "lon")).cast("long"))
 
 
 def _hilbert_sql(lat: str, lon: str, level: int) -> str:
@@ -87,7 +87,7 @@ SELECT point_id, place_id, round(dist, 3) AS dist, rank FROM (SELECT *, row_numb
 def knn_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _places(spark, sf_dir)
     centres = p.where("id % 3 = 0").select("id", (F.col("lat") + F.col("id") * F.col("id") * 0.0000000137).alias("lat"), (F.col("lon") + F.col("id") * 0.0000000711).alias("lon"))
-    return nearest(p, centres, 75.0, 10).withColumn("dist", F.round("dist", 3))
+    return nearest(p, centres, 75.0, 10).withColumns({"dist": F.round("dist", 3), "rank": F.col("rank").cast("long")})
 
 
 #: Three box fences; the second overlaps the first.
@@ -200,7 +200,7 @@ def geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POINTS} SELECT CAST("user" AS VARCHAR) AS "user", 'raw' AS tag, row_number() OVER ({BY_USER}) - 1 AS ord, lat AS latitude, lon AS longitude, ts AS external_timestamp FROM points""")
 def trajectory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_trajectories(trajectory_json(points(spark, sf_dir)))
-    return back.select("user", "tag", "ord", "latitude", "longitude", F.col("external_timestamp").cast("timestamp_ntz").alias("external_timestamp"))
+    return back.select("user", "tag", F.col("ord").cast("long").alias("ord"), "latitude", "longitude", F.col("external_timestamp").cast("timestamp_ntz").alias("external_timestamp"))
 
 
 @query(None)
