@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import EARTH_RADIUS, haversine, in_ring
 
-#: A table of regions under this size goes to every task; larger ones meet points through grid cells.
-BROADCAST_BYTES = 8 << 20
-
 
 def _cell(lat: Column, lon: Column, step: float, shrink: float) -> tuple[Column, Column]:
     return F.floor((lat + 90) / step).cast("long"), F.floor((lon + 180) / step * shrink).cast("long")
