@@ -14,7 +14,6 @@ are judged alike; repeated items each count unless they share their id. Empty ta
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
