@@ -137,3 +137,31 @@ def test_stage_columns(spark):
     for _, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, docs, "/root/testdata/sf0.001").schema.names == docs.columns
     assert docs.where(F.col("doc_id") < 0).count() == 0
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], DOCS).repartition(3)
+
+
+def test_true_copies_of_a_template_are_not_displaced(spark, monkeypatch):
+    # Unrelated texts of one template are closer by fingerprint bits than the bit limits; true mates are at 0.81 or so.
+    monkeypatch.setattr(nearcopies, "BLOCK", 16)
+    rng = random.Random(12)
+    base, rows = text(rng, 500).split(), []
+    for k in range(120):
+        mate = [*base, *text(rng, 100).split()]
+        other = list(mate)
+        for at in range(3, 12):
+            other[at * 40 + k % 30] = f"edit{k}"
+        rows += [(2 * k, " ".join(mate)), (2 * k + 1, " ".join(other))]
+    links = {(a, b) for a in range(240) for b in range(a + 1, 240) if similarity(rows[a][1], rows[b][1]) >= 0.8}
+    assert {(2 * k, 2 * k + 1) for k in range(120)} <= links
+    root = list(range(240))
+    for _ in range(240):
+        before = list(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    got = {r.doc_id: r.group_id for r in nearcopies.near_copies(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(root))

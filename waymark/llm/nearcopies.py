@@ -1,13 +1,15 @@
-"""Groups of documents whose word shingles have a Jaccard similarity of 0.8 or more, by long SimHash fingerprints.
+"""Groups of documents whose word shingles have a Jaccard similarity of 0.8 or more; the decision is exact.
 
-The two differing bits that 64-bit fingerprints allow catch few pairs at similarity 0.8 (about ten bits differ there), so fingerprints
-here have 256 bits: four XXH64 seeds. `TABLES` fixed random choices of `KEY_BITS` bits each deal the distinct fingerprints out; in
-a group the Gray-order tree over the first 64 bits prunes, the other bits decide, and a spanning forest of the closest pairs goes on. Groups
-longer than `BLOCK` are solved block by block in Gray order; then the roots of the blocks' trees meet, and so on, so a dense group costs a
-block's work for each member. Its edges are verified on the whole texts: exact Jaccard similarity of the sets of shingles. Components of verified edges are the groups.
+Documents with equal sets of shingles (a 128-bit hash of the set) are one class. Candidates come twice:
 
-Two texts at similarity 0.8 share a group of some table with a probability of about 0.97, at 0.85 or more of nearly 1; equal
-texts always do. Nothing is removed that is not verified, apart from equal fingerprints, which are one class.
+1. Long SimHash fingerprints collapse dense groups at little cost. They have 256 bits, made of the set; `TABLES` fixed random choices of
+`KEY_BITS` bits each deal the distinct fingerprints out; in a group the Gray-order tree over the first 64 bits prunes, the other bits decide, and a
+spanning forest of the closest pairs goes on, block by block in groups longer than `BLOCK`. This pass may miss links.
+2. Prefix filtering finds every link that the first left out. Shingles have one order for all texts, frequent ones last (the order decides
+the work alone, never the result); two sets at the similarity must share one of the first n - ceil(similarity * n) + 1. Lists of these prefixes give
+the pairs of different groups that sizes, positions and the number of shared prefix shingles still allow; none that could reach the similarity is left out.
+
+Candidates of both are verified on whole texts: exact Jaccard similarity of the sets of shingles (64-bit hashes). Components of verified edges are the groups.
 
 Nulls: a null text counts as empty; texts without words form one class. Texts of fewer words than a shingle are one shingle. A null doc_id
 never names a group and is never removed. Repeated rows are one class. Empty tables give no rows.
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import components, stage
+from waymark.llm.shared import components, release, stage
 from waymark.llm.simhash import SHINGLES_AT_ONCE, Forest, GrayTree, gray_rank
 
 WIDTH = 5
@@ -37,6 +39,13 @@ BLOCK = 512
 FIRST_BITS = 18
 ALL_BITS = 54
 
+#: Shingles that the common order of shingles knows as frequent.
+FREQUENT = 1 << 18
+PAIRS_AT_ONCE = 1 << 20
+#: Keeps rounding from losing a pair at the similarity itself.
+SLACK = 1e-9
+
+_SEEDS = np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(WORDS)], np.uint64)
 _CHOICES = np.stack([np.random.default_rng(k).choice(64 * WORDS, KEY_BITS, replace=False) for k in range(TABLES)])
 
 
@@ -51,25 +60,82 @@ def shingles(raw: bytes, width: int) -> tuple[bytes, list[int], list[int]]:
     return b" ".join(words), starts.tolist(), ends[width - 1 :].tolist()
 
 
-def long_fingerprint(raw: bytes, width: int) -> bytes:
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
     joined, starts, ends = shingles(raw, width)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], 3) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def _fingerprint(found: np.ndarray) -> bytes:
+    """Each distinct shingle has one vote on each bit."""
     counts = np.zeros(64 * WORDS, np.int64)
-    high, low = xxhash.xxh3_128_digest, xxhash.xxh128_digest
-    for at in range(0, len(starts), SHINGLES_AT_ONCE):
-        part = slice(at, at + SHINGLES_AT_ONCE)
-        texts = [joined[s:e] for s, e in zip(starts[part], ends[part], strict=True)]
-        for k, (digest, seed) in enumerate(((high, 1), (low, 2))):
-            bits = np.unpackbits(np.frombuffer(b"".join([digest(t, seed) for t in texts]), np.uint8).reshape(-1, 16), axis=1)
-            counts[128 * k : 128 * (k + 1)] += bits.sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(starts)).tobytes()
+    for at in range(0, len(found), SHINGLES_AT_ONCE):
+        x = found[at : at + SHINGLES_AT_ONCE, None] + _SEEDS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = np.ascontiguousarray(x ^ (x >> np.uint64(31)))
+        counts += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(found)).tobytes()
+
+
+def long_fingerprint(raw: bytes, width: int) -> bytes:
+    return _fingerprint(shingle_set(raw, width))
+
+
+def _digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(found.tobytes())
 
 
-def _prints(docs: DataFrame, width: int) -> DataFrame:
+def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
+    return np.minimum(n, n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1)
+
+
+def _prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> bytes:
+    """The first shingles of a set in the common order, 32 bits of each (a clash only adds candidates)."""
+    at = np.searchsorted(frequent, found)
+    at[at == len(frequent)] = 0
+    place = np.where(frequent[at] == found, rank[at], 0) if len(frequent) else np.zeros(len(found), np.int64)
+    n = int(prefix_length(np.array([len(found)]), similarity)[0])
+    return found[np.lexsort((found, place))[:n]].astype(np.uint32).tobytes()
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come often in a quarter of the texts, sorted, and their ranks, rarest first. They only order the shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def often() -> pa.RecordBatch:
+            found, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(found[count > 1].view(np.int64)), pa.array(count[count > 1])], ["h", "n"])
+
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([long_fingerprint(x.as_py() or b"", width) for x in b.column(1)], pa.binary())], ["doc_id", "fp"])
+            for raw in b.column(0):
+                held.append(shingle_set(raw.as_py() or b"", width))
+                n += len(held[-1])
+                if n >= 1 << 21:
+                    yield often()
+                    held, n = [], 0
+        yield often()
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(4)) == 0).select(F.col("text").cast("binary").alias("text"))
+    most = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    found = most.column("h").to_numpy().view(np.uint64)
+    at = np.argsort(found)
+    return found[at], (len(found) - np.arange(len(found)))[at]
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+
+def _prints(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, digest, fp, size, prefix) for each row of docs: all but doc_id follow from the set of shingles."""
+    order = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(_digest(s), _fingerprint(s), len(s), _prefix(s, *order.value, similarity)) for s in (shingle_set(x.as_py() or b"", width) for x in b.column(1))]
+            digest, fp, size, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(fp, pa.binary()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "digest", "fp", "size", "prefix"])
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, fp binary, size long, prefix binary")
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +207,65 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(*held)
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, id, comp, size, at) for each shingle of the prefixes."""
+    for b in batches:
+        prefixes = [np.frombuffer(x.as_py(), np.uint32) for x in b.column(3)]
+        n = np.array([len(x) for x in prefixes], np.int64)
+        if not n.sum():
+            continue
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        of = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int32)), *(b.column(k).take(of) for k in range(3)), pa.array(at.astype(np.int32))], ["h", "id", "comp", "size", "at"])
+
+
+def _meeting(similarity: float):
+    """Pairs of a list that may reach the similarity and are of different groups; partitions come sorted by h. `least` is the number of
+    prefix shingles that a pair must share: more common shingles than these and the rest of one set it cannot have."""
+
+    def solve(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
+        length = np.diff(np.r_[begin, len(h)])
+        keep = np.repeat(mixed, length)
+        run = np.repeat(np.arange(len(begin)), length)[keep]
+        ids, comp, size, at = (x[keep] for x in (ids, comp, size, at))
+        order = np.lexsort((size, run))
+        run, ids, comp, size, at = (x[order] for x in (run, ids, comp, size, at))
+        spread = int(size.max(initial=0) / similarity) + 2
+        n = np.searchsorted(run * spread + size, run * spread + np.floor(size / similarity + SLACK).astype(np.int64), "right") - np.arange(len(run)) - 1
+        rest = size - prefix_length(size, similarity)
+        total = np.cumsum(n)
+        first = 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS_AT_ONCE, "right")))
+            m = n[first:last]
+            a = np.repeat(np.arange(first, last), m)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+            first = last
+            differ = comp[a] != comp[b]
+            a, b = a[differ], b[differ]
+            wanted = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - SLACK).astype(np.int64)
+            ok = np.minimum(at[a], at[b]) + np.minimum(size[a] - at[a], size[b] - at[b]) >= wanted
+            a, b, wanted = a[ok], b[ok], wanted[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(wanted - np.maximum(rest[a], rest[b]))], ["a", "b", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.empty(0, np.int64) for _ in range(5))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = tuple(np.r_[x, c.to_numpy()] for x, c in zip(held, b.columns, strict=True))
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield from solve(*(x[:last] for x in held))
+            held = tuple(x[last:] for x in held)
+        if len(held[0]):
+            yield from solve(*held)
+
+    return run
+
+
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,40 +273,52 @@ def _verified(similarity: float):
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= similarity * (len(p) + len(q) - both))
+                ok.append(both >= similarity * (len(p) + len(q) - both) - SLACK)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (b.column(0), b.column(1))], ["a", "b"])
 
     return run
 
 
 def _sets(width: int):
+    """(id, s): the set of each class, from (id, digest, text); one doc_id may have other texts, which the digest tells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for raw in b.column(1):
-                joined, starts, ends = shingles(raw.as_py() or b"", width)
-                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], 3) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "s"])
+            found = [shingle_set(raw.as_py() or b"", width) for raw in b.column(2)]
+            ok = pa.array([_digest(s) == d.as_py() for s, d in zip(found, b.column(1), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), pa.array([s.tobytes() for s in found], pa.binary()).filter(ok)], ["id", "s"])
 
     return run
 
 
+def _sure(docs: DataFrame, classes: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges (a, b) between classes whose sets reach the similarity."""
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "least", "digest"), "id")
+    texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("binary").alias("text")).join(wanted, "least")
+    sets = stage(texts.select("id", "digest", "text").mapInArrow(_sets(width), "id long, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingle-sets")
+    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    sure = stage(pairs.select("a", "b", "sa", "sb").mapInArrow(_verified(similarity), "a long, b long"), "sure-edges")
+    release(sets)
+    return sure
+
+
 def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, group_id) for each row of docs(doc_id, text): group_id is the least doc_id of the row's group."""
-    prints = stage(_prints(docs, width), "long-prints")
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.monotonically_increasing_id().alias("id"), "fp", "least"), "print-classes")
+    prints = stage(_prints(docs, width, similarity), "long-prints")
+    same = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]
+    classes = stage(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), *same).select(F.monotonically_increasing_id().alias("id"), "digest", "least", "fp", "size", "prefix"), "print-classes")
     dealt = classes.select("id", "fp").mapInArrow(_dealt, "t long, key long, id long, fp binary")
     edges = dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_close, "a long, b long")
-    edges = stage(edges.distinct(), "near-edges")
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "least"), "id")
-    texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("binary").alias("text")).join(wanted, "least")
-    sets = stage(texts.select("id", "text").mapInArrow(_sets(width), "id long, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingle-sets")
-    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    sure = pairs.select("a", "b", "sa", "sb").mapInArrow(_verified(similarity), "a long, b long")
+    sure = _sure(docs, classes, stage(edges.distinct(), "near-edges"), width, similarity)
     roots = components(sure).withColumnRenamed("node", "id")
-    named = classes.join(roots, "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
+    lists = classes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("comp"), "size", "prefix").mapInArrow(_listed, "h int, id long, comp long, size long, at int")
+    pairs = lists.repartition("h").sortWithinPartitions("h").mapInArrow(_meeting(similarity), "a long, b long, least long")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
+    more = _sure(docs, classes, stage(pairs, "prefix-edges"), width, similarity)
+    roots = components(sure.unionByName(more)).withColumnRenamed("node", "id")
+    named = classes.join(roots, "id", "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("group_id"))
-    return prints.join(named.join(names, "root").select("fp", "group_id"), "fp", "left").select("doc_id", "group_id")
+    return prints.select("doc_id", "digest").join(named.join(names, "root").select("digest", "group_id"), "digest", "left").select("doc_id", "group_id")
 
 
 def without_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
