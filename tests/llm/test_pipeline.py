@@ -165,3 +165,10 @@ def test_true_copies_of_a_template_are_not_displaced(spark, monkeypatch):
             break
     got = {r.doc_id: r.group_id for r in nearcopies.near_copies(frame(spark, rows)).collect()}
     assert got == dict(enumerate(root))
+
+
+def test_equal_fingerprints_do_not_make_copies(spark):
+    rng = random.Random(13)
+    rows = [(k, "| " * 600 + text(rng, 400)) for k in range(4)]
+    assert max(similarity(rows[0][1], t) for _, t in rows[1:]) < 0.1
+    assert {r.doc_id for r in nearcopies.without_near_copies(frame(spark, rows)).collect()} == {0, 1, 2, 3}
