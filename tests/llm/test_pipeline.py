@@ -172,3 +172,21 @@ def test_equal_fingerprints_do_not_make_copies(spark):
     rows = [(k, "| " * 600 + text(rng, 400)) for k in range(4)]
     assert max(similarity(rows[0][1], t) for _, t in rows[1:]) < 0.1
     assert {r.doc_id for r in nearcopies.without_near_copies(frame(spark, rows)).collect()} == {0, 1, 2, 3}
+
+
+def test_repeated_shingles_do_not_hide_copies(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(10):
+        w = text(rng, 300)
+        rows += [(2 * k, w), (2 * k + 1, w + (" " + text(rng, 10)) * 40)]
+    # Pairs at 0.80 to 0.85: so many single words differ.
+    for k in range(10, 210):
+        w = text(rng, 104).split()
+        v = list(w)
+        v[10] = v[50] = "edit"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    near = [similarity(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(210)]
+    assert min(near[:10]) > 0.9 and min(near[10:]) >= 0.8 and max(near[10:]) < 0.85
+    got = {r.doc_id: r.group_id for r in nearcopies.near_copies(frame(spark, rows)).collect()}
+    assert all(got[2 * k + 1] == 2 * k == got[2 * k] for k in range(210))
