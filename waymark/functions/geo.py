@@ -161,3 +161,32 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
     hits = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(crosses(i), F.lit(False)))
     return (n >= 3) & (F.size(hits) % 2 == 1)
+
+
+def _segments(path: Column) -> Column:
+    """array<struct<a, b, n>>: the segments of a path (array<struct<x, y>>) and their lengths."""
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("n"))
+    m = F.greatest(F.size(path) - 1, F.lit(0))
+    return F.zip_with(F.slice(path, F.lit(1), m), F.slice(path, F.lit(2), m), pair)
+
+
+def path_length(path: Column) -> Column:
+    """Length of a path, an array<struct<x, y>> in plane coordinates; 0 for one point or none."""
+    return F.aggregate(_segments(path), F.lit(0.0), lambda acc, s: acc + s["n"])
+
+
+def point_along(path: Column, metres: Column) -> Column:
+    """struct<x, y> so far along a path; its ends for lengths below 0 or beyond it. A path needs two points or more."""
+    start = F.struct(F.lit(0.0).alias("done"), F.get(path, 0).alias("p"))
+
+    def step(acc: Column, s: Column) -> Column:
+        part = F.when(s["n"] > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (metres - acc["done"]) / s["n"]))).otherwise(F.lit(0.0))
+        at = F.struct((s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * part).alias("x"), (s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * part).alias("y"))
+        return F.struct((acc["done"] + s["n"]).alias("done"), F.when(metres > acc["done"], at).otherwise(acc["p"]).alias("p"))
+
+    return F.aggregate(_segments(path), start, step, lambda acc: acc["p"])
+
+
+def near_path(x: Column, y: Column, path: Column, metres: Column | float) -> Column:
+    """Whether a point is within a buffer of so many metres around a path."""
+    return F.exists(_segments(path), lambda s: segment_distance(x, y, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) <= metres)

@@ -64,3 +64,28 @@ def range_slice(items: Column, start: Column, end: Column) -> Column:
     lo = F.greatest(F.lit(0), F.when(start < 0, start + n).otherwise(start))
     hi = F.least(n - 1, F.when(end < 0, end + n).otherwise(end))
     return F.slice(items, lo + 1, F.greatest(F.lit(0), hi - lo + 1))
+
+
+def push_right(items: Column, *new: Column) -> Column:
+    return F.concat(items, F.array(*new))
+
+
+def pop_left(items: Column) -> tuple[Column, Column]:
+    """(the first item or null, the others)."""
+    return F.get(items, 0), F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
+def pop_right(items: Column) -> tuple[Column, Column]:
+    """(the last item or null, the others)."""
+    return F.get(items, F.size(items) - 1), F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
+def item_at(items: Column, at: Column) -> Column:
+    """The item at a position; negative ones count from the end, null outside."""
+    return F.get(items, F.when(at < 0, at + F.size(items)).otherwise(at))
+
+
+def set_at(items: Column, at: Column, value: Column) -> Column:
+    """items with one replaced; a position outside leaves them as they are."""
+    k = F.when(at < 0, at + F.size(items)).otherwise(at)
+    return F.transform(items, lambda x, i: F.when(i == k, value).otherwise(x))

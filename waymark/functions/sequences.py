@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waymark.functions.cells import check_precision, encode, encode_xy
+from waymark.functions.cells import check_precision, decode, encode, encode_xy
 from waymark.functions.geo import from_utm, to_utm, utm_zone
 
 TOKENS = "array<string>"
@@ -66,6 +66,24 @@ def line_cells(lat1: Column, lon1: Column, lat2: Column, lon2: Column, precision
     return drop_repeats(let(ends, cells))
 
 
+def interpolated(cells: Column, between: Column) -> Column:
+    """A sequence of cells with the cells between neighbours (an array for each pair) put in, joints once; one token or none comes back as it is."""
+    pairs = F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), lambda c, i: F.concat(F.get(between, i), F.array(c)))
+    return F.when(F.size(cells) < 2, cells).otherwise(drop_repeats(F.concat(F.slice(cells, 1, 1), F.flatten(pairs))))
+
+
+def line_of(cells: Column, bits: int = 2) -> Column:
+    """array<struct<x, y>>: the UTM line through the centres of a sequence's cells, in the zone of the first; null for fewer than two."""
+    centres = F.transform(cells, lambda c: decode(c, bits))
+
+    def line(points: Column) -> Column:
+        zone = utm_zone(F.get(points, 0)["lon"])
+        plane = lambda p: F.struct(*[v.alias(n) for v, n in zip(to_utm(p["lat"], p["lon"], zone), "xy", strict=True)])
+        return F.transform(points, plane)
+
+    return F.when(F.size(cells) >= 2, let(centres, line))
+
+
 class ScoringFunction:
     """A named function of two token lists with a float result; tried on random lists when it is made."""
 
@@ -97,24 +115,23 @@ def ensemble(a: Column, b: Column, weighted: dict[str, tuple[ScoringFunction | N
 
 def _walk(x: float, y: float, x2: float, y2: float) -> list[tuple[int, int]]:
     """Grid cells that a segment crosses, in order; a corner counts as a step in x, then in y."""
-    cell, last = [math.floor(x), math.floor(y)], (math.floor(x2), math.floor(y2))
-    out = [tuple(cell)]
+    cell = [math.floor(x), math.floor(y)]
     move = (x2 - x, y2 - y)
     step = [1 if d > 0 else -1 for d in move]
-    reach = [abs(1 / d) if d else math.inf for d in move]
-    ahead = [((cell[k] + (step[k] > 0)) - p) / d if (d := move[k]) else math.inf for k, p in enumerate((x, y))]
-    while tuple(cell) != last and len(out) <= 1000:
-        k = 0 if ahead[0] <= ahead[1] else 1
-        if ahead[k] > 1:
-            break
+    left = [abs(math.floor(b) - c) for b, c in zip((x2, y2), cell, strict=True)]
+    # Part of the way at the next grid line on each axis; both axes have as many lines as lie between the ends.
+    ahead = lambda k: ((cell[k] + (step[k] > 0)) - (x, y)[k]) / move[k] if left[k] else math.inf
+    out = [tuple(cell)]
+    while left[0] or left[1]:
+        k = 0 if ahead(0) <= ahead(1) else 1
         cell[k] += step[k]
-        ahead[k] += reach[k]
+        left[k] -= 1
         out.append(tuple(cell))
     return out
 
 
 def crossed_cells(lat1: Column, lon1: Column, lat2: Column, lon2: Column, precision: int, bits: int = 2) -> Column:
-    """All cells that the straight line between two points crosses, in order (1000 at most, as a guard against lines around the globe).
+    """All cells that the straight line between two points crosses, in order.
 
     The walk is a loop without a length known before, so it runs on Arrow batches; the names of its cells are Column folds.
     """

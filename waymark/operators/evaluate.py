@@ -25,7 +25,7 @@ def delays(detected: DataFrame, truth: DataFrame, key: str = "uid") -> DataFrame
     """(key, anomalous, outcome, delay): first detection less true onset in seconds, only where it is not negative."""
     first = detected.where("anomaly").groupBy(key).agg(F.min("ts").alias("first_ts"))
     both = truth.join(first, key, "left").withColumn("outcome", F.col("first_ts").isNotNull())
-    late = F.col("first_ts").cast("double") - F.col("onset").cast("double")
+    late = (F.unix_micros(F.col("first_ts").cast("timestamp")) - F.unix_micros(F.col("onset").cast("timestamp"))) / 1e6
     return both.select(key, "anomalous", "outcome", F.when(late >= 0, late).alias("delay"))
 
 

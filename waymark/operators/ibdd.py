@@ -15,7 +15,10 @@ from waymark.operators.motion import motion
 
 @dataclass(frozen=True)
 class IbddParams:
-    """precision: of cells; theta: least support; limits for deviations (rd) and loops (rl); compat_loops: loops are never seen."""
+    """precision: of cells; theta: least support; limits for deviations (rd) and loops (rl); compat_loops: loops are never seen.
+
+    separation (metres) and rate (metres a point) hold for all trajectories where they are given, else each has its own estimates.
+    """
 
     precision: int = 18
     theta: float = 0.1
@@ -23,8 +26,12 @@ class IbddParams:
     max_rl: int = 3
     last_three: bool = True
     compat_loops: bool = False
+    separation: float | None = None
+    rate: float | None = None
 
     def __post_init__(self):
+        if any(v is not None and v <= 0 for v in (self.separation, self.rate)):
+            raise ValueError("separation and rate must be positive")
         if not 0 <= self.theta <= 1:
             raise ValueError("theta must be from 0 to 1")
         if self.max_rd <= 0 or self.max_rl <= 0:
@@ -106,10 +113,16 @@ def _celled(points: DataFrame, precision: int) -> DataFrame:
     return points.withColumns({"cell": encode(F.col("lat"), F.col("lon"), precision), "east": east, "north": north})
 
 
+def _measured(points: DataFrame, params: IbddParams, key: str) -> DataFrame:
+    """points with their cells and the trajectory's separation and rate."""
+    rows = _celled(points, params.precision).join(estimates(points, key), key)
+    return rows.withColumns({c: F.lit(float(v)) for c, v in (("separation", params.separation), ("rate", params.rate)) if v is not None})
+
+
 def fit(points: DataFrame, params: IbddParams, key: str = "user") -> DataFrame:
     """(key, seq): the cell sequence of each trajectory under its own estimates."""
     spacing = cell_spacing(params.precision)
-    rows = _celled(points, params.precision).join(estimates(points, key), key)
+    rows = _measured(points, params, key)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["ts", "event_id"])
@@ -126,7 +139,7 @@ def detect(points: DataFrame, supports: DataFrame, params: IbddParams, key: str
     supports(group, seq): sequences that a trajectory of that group may be compared with; they travel to the trajectory by a cogroup.
     """
     spacing = cell_spacing(params.precision)
-    rows = _celled(points, params.precision).join(estimates(points, key), key)
+    rows = _measured(points, params, key)
     kind = points.schema[key].dataType.simpleString()
 
     def run(g: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:

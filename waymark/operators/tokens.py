@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.cells import cell_spacing, encode
 from waymark.functions.scalars import period_micros
-from waymark.functions.sequences import drop_repeats, ensemble, line_cells
+from waymark.functions.sequences import ensemble, line_cells
 from waymark.operators.filters import drop_consecutive
 
 
@@ -37,17 +36,12 @@ def sequences(rows: DataFrame, key: str = "user") -> DataFrame:
     return rows.groupBy(key).agg(F.flatten(F.transform(ordered, lambda r: r["t"])).alias("seq"))
 
 
-def interpolated(cells: Column, between: Column) -> Column:
-    """A sequence with the cells between neighbours put in, joints once; one token or none comes back as it is."""
-    return F.when(F.size(cells) < 2, cells).otherwise(drop_repeats(F.flatten(between)))
+def support_set(seqs: DataFrame, *by: str) -> DataFrame:
+    """(by, freq, seq): at support 1 the closed patterns that cover sequences are the sequences themselves."""
+    return seqs.groupBy(*by, "seq").agg(F.count("*").alias("freq"))
 
 
-def support_set(seqs: DataFrame) -> DataFrame:
-    """(freq, seq): at support 1 the closed patterns that cover sequences are the sequences themselves."""
-    return seqs.groupBy("seq").agg(F.count("*").alias("freq"))
-
-
-def mine_closed(seqs: list[list[str]], least: int, longest: int = 64) -> list[tuple[int, tuple[str, ...]]]:
+def mine_closed(seqs: list[list[str]], least: int) -> list[tuple[int, tuple[str, ...]]]:
     """Closed frequent subsequences with their support, by growing prefixes over projected sequences."""
     found: dict[tuple[str, ...], int] = {}
 
@@ -60,7 +54,7 @@ def mine_closed(seqs: list[list[str]], least: int, longest: int = 64) -> list[tu
                     seen.add(t)
                     heads.setdefault(t, []).append((k, i + 1))
         for t in sorted(heads):
-            if len(heads[t]) >= least and len(prefix) < longest:
+            if len(heads[t]) >= least:
                 found[(*prefix, t)] = len(heads[t])
                 grow((*prefix, t), heads[t])
 
@@ -102,16 +96,19 @@ def window_tokens(rows: DataFrame, period: str, key: str = "user") -> DataFrame:
     return rows.withColumn("sequence", F.flatten(F.transform(F.array_sort(F.collect_list(each).over(w)), lambda r: r["t"])))
 
 
-def similarity(windows: DataFrame, support: DataFrame, on: Column | None = None, weighted=None) -> DataFrame:
-    """windows with `similarity`: the best ensemble score against any pattern of support(pattern, ...), 0 without one.
+def similarity(windows: DataFrame, support: DataFrame, by: str, weighted=None, skip_own: str | None = None) -> DataFrame:
+    """windows(by, sequence, ...) with `similarity`: the best ensemble score against the patterns of support(by, pattern, freq), 0 without one.
 
-    on: which patterns a row may meet; all where it is None. Support sets are small against the windows they score, so each
-    window row meets them in a join that Spark may broadcast by size.
+    Windows with equal tokens are scored once, so what meets the patterns is distinct. skip_own: a column of windows with the whole sequence of the
+    row's own trajectory; it is taken out of the support once (leave one out).
     """
-    keyed = windows.withColumn("_row", F.monotonically_increasing_id())
-    pairs = keyed.select("_row", "sequence", *[c for c in keyed.columns if c not in ("_row", "sequence")]).join(support, on if on is not None else F.lit(True))
-    best = pairs.select("_row", ensemble(F.col("sequence"), F.col("pattern"), weighted).alias("s")).groupBy("_row").agg(F.max("s").alias("similarity"))
-    return keyed.join(best, "_row", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0))).drop("_row")
+    own = [skip_own] if skip_own else []
+    needed = windows.select(by, "sequence", *own).distinct()
+    pairs = needed.join(support.select(by, "pattern", "freq"), by)
+    if skip_own:
+        pairs = pairs.where((F.col("freq") > 1) | (F.col("pattern") != F.col(skip_own)))
+    best = pairs.groupBy(by, "sequence", *own).agg(F.max(ensemble(F.col("sequence"), F.col("pattern"), weighted)).alias("similarity"))
+    return windows.join(best, [by, "sequence", *own], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 def anomaly(scored: DataFrame, threshold: float, key: str = "user") -> DataFrame:
@@ -136,13 +133,3 @@ def support_fraction(seqs: DataFrame, runs: DataFrame) -> DataFrame:
     held = parts.groupBy("run").agg(F.count("*").alias("_k"))
     share = F.when(F.col("_n") == 0, 0.0).when(F.size("run") == 0, 1.0).otherwise(F.coalesce("_k", F.lit(0)) / F.col("_n"))
     return runs.join(held, "run", "left").crossJoin(F.broadcast(total)).select("run_id", share.alias("support"))
-
-
-def lcs_prefixes(seq: list[str], pattern: list[str]) -> Iterator[int]:
-    """Length of the common subsequence of each prefix of seq with the pattern: one table serves all windows that begin together."""
-    row = [0] * (len(pattern) + 1)
-    for x in seq:
-        last = 0
-        for j, y in enumerate(pattern, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-        yield row[-1]
