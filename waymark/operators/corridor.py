@@ -41,3 +41,13 @@ def pairwise(rows: DataFrame, column: str, key: str, order: list[str]) -> DataFr
     """(key, first, second): neighbours in order."""
     w = W.partitionBy(key).orderBy(*order)
     return rows.select(key, F.col(column).alias("first"), F.lead(column).over(w).alias("second")).where("second is not null")
+
+
+def flag_onset(points: DataFrame, onsets: DataFrame) -> DataFrame:
+    """points with `onset`, true for the row at its user's start in onsets(user, start), and `anomalous`, true from there on.
+
+    The row is found by its position; equal coordinates elsewhere in the track do not count.
+    """
+    at = F.row_number().over(by_time()) - 1
+    joined = points.withColumn("_at", at).join(onsets, "user", "left")
+    return joined.withColumns({"onset": F.coalesce(F.col("_at") == F.col("start"), F.lit(False)), "anomalous": F.coalesce(F.col("_at") >= F.col("start"), F.lit(False))}).drop("_at", "start")

@@ -70,3 +70,30 @@ def page(rows: DataFrame, start: int, size: int, order: list[Column]) -> DataFra
     if total and start >= total:
         start = (total - 1) // size * size
     return rows.orderBy(*order).offset(start).limit(size)
+
+
+def select_rows(rows: DataFrame, matching: Column, flag: bool = True) -> DataFrame:
+    """rows with `selected` set where matching holds; a flag set before stays where it does not."""
+    before = F.col("selected") if "selected" in rows.columns else F.lit(False)
+    return rows.withColumn("selected", F.when(matching, F.lit(flag)).otherwise(before))
+
+
+def delete_selected(rows: DataFrame, matching: Column) -> DataFrame:
+    """rows less those that are selected and match."""
+    return rows.where(~(F.col("selected") & F.coalesce(matching, F.lit(False))))
+
+
+def first_groups(rows: DataFrame, groups: int, key: str, order: list[str]) -> DataFrame:
+    """The rows of the first groups only, in order: reading stops after so many tracks."""
+    first = rows.groupBy(key).agg(*[F.min(o).alias(o) for o in order]).orderBy(*order, key).limit(groups).select(key)
+    return rows.join(F.broadcast(first), key, "left_semi")
+
+
+def in_order(rows: DataFrame, column: str, direction: str | None = "asc", collation: str = "UNICODE_CI") -> DataFrame:
+    """rows sorted by a column, numbers as numbers and strings by a collation; None leaves them as they are."""
+    if direction is None:
+        return rows
+    if direction not in ("asc", "desc"):
+        raise ValueError("direction must be asc, desc or None")
+    key = F.collate(F.col(column), collation) if rows.schema[column].dataType.typeName() == "string" else F.col(column)
+    return rows.orderBy(key.asc() if direction == "asc" else key.desc())

@@ -54,3 +54,10 @@ def first_run(rows: DataFrame, flag: Column, length: int, keys: list[str], order
     numbered = numbered.where("_f").withColumn("_run", F.col("_i") - F.row_number().over(w))
     runs = numbered.groupBy(*keys, "_run").agg(F.min("_i").alias("start"), F.count("*").alias("n"))
     return runs.where(F.col("n") >= length).groupBy(*keys).agg(F.min("start").alias("start"))
+
+
+def measure_segments(flat: DataFrame, metres: float, measure: str = "dx_euclidean", *keys: str) -> DataFrame:
+    """motion_flat() rows with `segment`: a step longer than metres by the measure (dx_euclidean or dx_manhattan) opens one; other measures never
+    do."""
+    gap = F.col(measure) > metres if measure in ("dx_euclidean", "dx_manhattan") else F.lit(False)
+    return gap_segments(flat, gap, *keys)

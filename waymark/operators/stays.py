@@ -68,11 +68,28 @@ def communities(edges: list[tuple[int, int, float]], seed: int = 0) -> dict[int,
         graph = merged
 
 
-def stay_clusters(stays: DataFrame, metres: float, percent: int | None = None, least: float = 0.0, singletons: bool = True, seed: int = 0) -> DataFrame:
+def connected(edges: list[tuple[int, int, float]], seed: int = 0) -> dict[int, int]:
+    """The plainer grouping: all that edges connect; weights and seed do not matter."""
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while up.setdefault(v, v) != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for a, b, _ in edges:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    return {v: root(v) for v in list(up)}
+
+
+def stay_clusters(stays: DataFrame, metres: float, percent: int | None = None, least: float = 0.0, singletons: bool = True, seed: int = 0, grouping=communities) -> DataFrame:
     """stays(user, id, lat, lon, weight) that pass the filters, with `cluster`, `mid_lat`, `mid_lon`.
 
-    Neighbours are found in Spark for all users at once; a user's communities are one task. Without singletons, stays without a neighbour drop out.
+    Neighbours are found in Spark for all users at once; a user's communities (or what else grouping gives) are one task. Without singletons, stays
+    without a neighbour drop out. least must not be negative.
     """
+    if least < 0:
+        raise ValueError("least must not be negative")
     kept = heavier(stays, least)
     if percent is not None:
         kept = above_percentile(kept, percent)
@@ -81,7 +98,7 @@ def stay_clusters(stays: DataFrame, metres: float, percent: int | None = None, l
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         mean = rows.dist.mean()
-        found = communities([(int(s), int(d), float(w / mean) if mean else 1.0) for s, d, w in zip(rows.src, rows.dst, rows.dist, strict=True)], seed)
+        found = grouping([(int(s), int(d), float(w / mean) if mean else 1.0) for s, d, w in zip(rows.src, rows.dst, rows.dist, strict=True)], seed)
         least_of: dict[int, int] = {}
         for v, c in found.items():
             least_of[c] = min(v, least_of.get(c, v))
@@ -144,3 +161,18 @@ def breakpoints(labelled: DataFrame, seconds: float, tail: bool = False) -> Data
     numbered = before.withColumn("_stay", F.sum(F.when(opens, 1).otherwise(0)).over(so_far)).where("_stay > 0")
     stays = numbered.groupBy("user", "_stay").agg(F.min(F.when(F.col("label").isNotNull(), F.col("ts"))).alias("start_ts"), F.max(F.when(F.col("label").isNotNull(), F.col("ts"))).alias("scan_ts"), F.min(F.when(F.col("_exit"), F.col("ts"))).alias("last_ts"))
     return (stays if tail else stays.where("last_ts is not null")).drop("_stay")
+
+
+def without_start(breaks: DataFrame, points: DataFrame) -> DataFrame:
+    """breaks less those whose last labelled time is the first point of their user: a track that begins in a stay has no break there."""
+    first = points.groupBy("user").agg(F.min("ts").alias("_first"))
+    return breaks.join(first, "user").where(F.col("scan_ts") > F.col("_first")).drop("_first")
+
+
+def fences_at(points: DataFrame, fences: DataFrame, degrees: float = 0.01) -> DataFrame:
+    """The fences that may hold some of points(user, lat, lon), once a user and label: those whose boxes touch a grid cell of a point."""
+    cell = lambda v: F.floor(v / degrees).cast("long")
+    seen = points.select("user", cell(F.col("lon")).alias("_gx"), cell(F.col("lat")).alias("_gy")).distinct()
+    xs, ys = (F.explode(F.sequence(cell(F.col(f"min_{c}")), cell(F.col(f"max_{c}")))) for c in "xy")
+    spread = fences.withColumn("_gx", xs).withColumn("_gy", ys)
+    return seen.join(spread, ["_gx", "_gy"]).drop("_gx", "_gy").dropDuplicates(["user", "label"])

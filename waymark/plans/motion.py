@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import METRES_A_DEGREE, destination, from_utm, polar, to_utm
+from waymark.functions.geo import METRES_A_DEGREE, destination, distance, from_utm, polar, to_utm
 from waymark.functions.scalars import cyclic_time, unix_seconds
-from waymark.operators.corridor import corridor_onset, pairwise
+from waymark.operators.corridor import corridor_onset, flag_onset, pairwise
 from waymark.operators.legacy import triples
-from waymark.operators.motion import by_time, first_run, gap_segments, motion, motion_flat
+from waymark.operators.motion import by_time, first_run, gap_segments, measure_segments, motion, motion_flat
 from waymark.operators.points import points, read
-from waymark.plans.base import BY_USER, POINTS, STEPS, query
+from waymark.plans.base import BY_USER, POINTS, STEPS, query, sql_haversine, sql_utm
 
 GAP = 43_200
 FAR = 150
@@ -128,9 +128,60 @@ def first_far_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_run(m, F.col("dx") > FAR, 3, ["user"], ["ts", "event_id"]).withColumn("start", F.col("start").cast("long"))
 
 
-@query(None)
+def _straying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points, but every seventh user leaves the grid for a way of their own in the middle of the month."""
+    away = (F.col("user") % 7 == 0) & (F.dayofmonth("ts") >= 15)
+    return points(spark, sf_dir).withColumn("lon", F.when(away, F.col("lon") + 0.01 + F.col("user") * 0.0005).otherwise(F.col("lon")))
+
+
+#: A point is inside if it is within 7.5 m of a segment of another user, in plane coordinates; three outside in a row are the onset.
+CORRIDOR = f"""{POINTS}, astray AS (SELECT * REPLACE (CASE WHEN "user" % 7 = 0 AND day(ts) >= 15 THEN lon + 0.01::DOUBLE + "user" * 0.0005::DOUBLE ELSE lon END AS lon) FROM points),
+plane AS (SELECT "user", event_id, ts, east AS x, north AS y FROM {sql_utm('astray')}),
+ways AS (SELECT DISTINCT * FROM (SELECT "user" AS u, x AS ax, y AS ay, lead(x) OVER ({BY_USER}) AS b1, lead(y) OVER ({BY_USER}) AS b2 FROM plane) WHERE b1 IS NOT NULL),
+places AS (SELECT DISTINCT "user", x, y FROM plane),
+inside AS (SELECT DISTINCT p."user", p.x, p.y FROM places p JOIN ways w ON u <> "user" AND x BETWEEN least(ax, b1) - 8 AND greatest(ax, b1) + 8 AND y BETWEEN least(ay, b2) - 8 AND greatest(ay, b2) + 8
+  AND 7.5 >= CASE WHEN ax = b1 AND ay = b2 THEN sqrt(pow(x - ax, 2) + pow(y - ay, 2)) ELSE sqrt(pow(x - ax - (b1 - ax) * least(1, greatest(0, ((x - ax) * (b1 - ax) + (y - ay) * (b2 - ay)) / (pow(b1 - ax, 2) + pow(b2 - ay, 2)))), 2) + pow(y - ay - (b2 - ay) * least(1, greatest(0, ((x - ax) * (b1 - ax) + (y - ay) * (b2 - ay)) / (pow(b1 - ax, 2) + pow(b2 - ay, 2)))), 2)) END),
+f AS (SELECT "user", ts, event_id, i.x IS NULL AS outside, row_number() OVER ({BY_USER}) - 1 AS i FROM plane LEFT JOIN inside i USING ("user", x, y)),
+r AS (SELECT *, i - row_number() OVER ({BY_USER}) AS run FROM f WHERE outside),
+onsets AS (SELECT "user", min(s) AS start FROM (SELECT "user", min(i) AS s, count(*) AS n FROM r GROUP BY "user", run) WHERE n >= 3 GROUP BY "user")"""
+
+
+@query(f"WITH {CORRIDOR} SELECT * FROM onsets")
 def corridor_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corridor_onset(points(spark, sf_dir))
+    return corridor_onset(_straying(spark, sf_dir)).withColumn("start", F.col("start").cast("long"))
+
+
+@query(f"""WITH {CORRIDOR} SELECT event_id, i = coalesce(start, -1) AS onset, coalesce(i >= start, false) AS anomalous FROM f LEFT JOIN onsets USING ("user")""")
+def onset_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_onset(_straying(spark, sf_dir), corridor_onset(_straying(spark, sf_dir))).select("event_id", "onset", "anomalous")
+
+
+@query(f"""WITH {POINTS}, d AS (SELECT event_id, lat, lon, lat + value / 1000 AS lat2, lon + value / 2000 AS lon2 FROM points)
+SELECT event_id, round(CASE WHEN abs(lat2 - lat) > 0.2 OR abs(lon2 - lon) > 0.2 THEN {sql_haversine('lat', 'lon', 'lat2', 'lon2')} ELSE sqrt(pow((lat2 - lat) * {METRES_A_DEGREE!r}::DOUBLE, 2) + pow((lon2 - lon) * {METRES_A_DEGREE!r}::DOUBLE * cos(radians((lat + lat2) / 2)), 2)) END, 3) AS dx,
+  round({sql_haversine('lat', 'lon', 'lat2', 'lon2')}, 3) AS exact FROM d""")
+def distance_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    ends = (F.col("lat"), F.col("lon"), F.col("lat") + F.col("value") / 1000, F.col("lon") + F.col("value") / 2000)
+    return p.select("event_id", F.round(distance(*ends), 3).alias("dx"), F.round(distance(*ends, exact=True), 3).alias("exact"))
+
+
+#: Steps by the older flat measures.
+FLAT = f"""{STEPS}, flat AS (SELECT *, coalesce(sqrt(pow({_FLAT[0]}, 2) + pow({_FLAT[1]}, 2)), 0) AS euclidean, coalesce(abs({_FLAT[0]}) + abs({_FLAT[1]}), 0) AS manhattan FROM steps)"""
+
+
+@query(f"""WITH {FLAT} SELECT "user", round(sum(euclidean), 2) AS dx_euclidean, round(sum(manhattan), 2) AS dx_manhattan, count(*) AS n FROM flat GROUP BY "user" """)
+def track_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = motion_flat(points(spark, sf_dir))
+    return m.groupBy("user").agg(F.round(F.sum("dx_euclidean"), 2).alias("dx_euclidean"), F.round(F.sum("dx_manhattan"), 2).alias("dx_manhattan"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {FLAT}, s AS (SELECT "user", event_id, sum(CASE WHEN euclidean > {FAR} THEN 1 ELSE 0 END) OVER w AS euclidean, sum(CASE WHEN manhattan > {FAR} THEN 1 ELSE 0 END) OVER w AS manhattan FROM flat WINDOW w AS ({BY_USER} ROWS UNBOUNDED PRECEDING))
+SELECT event_id, CAST(euclidean AS BIGINT) AS euclidean, CAST(manhattan AS BIGINT) AS manhattan, CAST(0 AS BIGINT) AS other FROM s""")
+def segments_by_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = motion_flat(points(spark, sf_dir))
+    for name in ("euclidean", "manhattan", "other"):
+        rows = measure_segments(rows, FAR, f"dx_{name}").withColumnRenamed("segment", name)
+    return rows.select("event_id", *[F.col(c).cast("long").alias(c) for c in ("euclidean", "manhattan", "other")])
 
 
 @query(f"""WITH {POINTS}, way AS (SELECT event_id, lat, lon, radians(value % 360) AS way, radians(lat) AS a, 250.0::DOUBLE / 6371000.0::DOUBLE AS d FROM points),

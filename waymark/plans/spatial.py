@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.cells import base32, base32_centre, cell_spacing, cell_xy, decode, encode, neighbours, rectangle
+from waymark.functions.cells import BASE32, base32, base32_centre, cell_spacing, cell_xy, decode, encode, neighbours, rectangle
 from waymark.functions.geo import polyline_points, to_utm
 from waymark.functions.sequences import crossed_cells
 from waymark.operators.compress import StreamParams, compress, members
@@ -13,8 +13,9 @@ from waymark.operators.equality import children, same_point
 from waymark.operators.joins import interval_segments, label_by_fence, nearest, radius_pairs
 from waymark.operators.legacy import filtered_tracks, kalman
 from waymark.operators.points import points, read
-from waymark.operators.stays import breakpoints, geofences, proximity_graph, stay_clusters
-from waymark.plans.base import BY_USER, POINTS, query, sql_haversine
+from waymark.operators.stays import breakpoints, communities, connected, fences_at, geofences, proximity_graph, stay_clusters, without_start
+from waymark.plans.base import BY_USER, POINTS, query, sql_haversine, sql_spacing, sql_utm
+from waymark.plans.folds import sql_compress, sql_filtered, sql_kalman
 from waymark.sources.codecs import line_features, point_features, read_trajectories, trajectory_json
 from waymark.sources.tables import trajectory_headers
 
@@ -24,20 +25,17 @@ STAY_SECONDS = 21_600
 SCALED = StreamParams(merging_distance=60, separation_distance=150, separation_time=43_200, max_acceleration=7, max_radius=100)
 
 #: Distinct places with ids, in both engines.
-PLACES = f"{POINTS}, places AS (SELECT row_number() OVER (ORDER BY lat, lon) AS id, lat, lon FROM (SELECT DISTINCT lat, lon FROM points))"
+PLACES = f"{POINTS}, places AS (SELECT CAST(round((lat - 55.36) / 0.0002) * 10 + round((lon - 10.38) / 0.0003) + 1 AS BIGINT) AS id, lat, lon FROM (SELECT DISTINCT lat, lon FROM points))"
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    # At most the 100 places of the grid, so one task may number them.
-    return points(spark, sf_dir).select("lat", "lon").distinct().withColumn("id", F.row_number().over(W.orderBy("lat", "lon")).cast("long"))
+    """Distinct places; the id is the place on the grid, so no task numbers them all."""
+    row, column = F.round((F.col("lat") - 55.36) / 0.0002), F.round((F.col("lon") - 10.38) / 0.0003)
+    return points(spark, sf_dir).select("lat", "lon").distinct().withColumn("id", (row * 10 + column + 1).cast("long"))
 
 
-def _hilbert_sql(lat: str, lon: str, level: int) -> str:
+def _hilbert_xy_sql(x: str, y: str, level: int) -> str:
     top = (1 << level) - 1
-    x = f"least({top}, CAST(floor(({lon} + 180) / 360 * {1 << level}) AS BIGINT))"
-    y = f"least({top}, CAST(floor(({lat} + 90) / 180 * {1 << level}) AS BIGINT))"
     step = f"""lambda a, b: CASE
       WHEN ((a.y >> b.s) & 1) = 1 THEN {{'x': a.x, 'y': a.y, 's': b.s, 'code': a.code || CAST(xor(3 * ((a.x >> b.s) & 1), 1) AS VARCHAR)}}
       WHEN ((a.x >> b.s) & 1) = 1 THEN {{'x': {top} - a.y, 'y': {top} - a.x, 's': b.s, 'code': a.code || '3'}}
@@ -47,6 +45,12 @@ def _hilbert_sql(lat: str, lon: str, level: int) -> str:
     return f"list_reduce(list_prepend({seed}, {rest}), {step}).code"
 
 
+def _hilbert_sql(lat: str, lon: str, level: int) -> str:
+    top = (1 << level) - 1
+    at = lambda v, span: f"least({top}, CAST(floor(({v} + {span // 2}) / {span} * {1 << level}) AS BIGINT))"
+    return _hilbert_xy_sql(at(lon, 360), at(lat, 180), level)
+
+
 _N = 1 << LEVEL
 
 
@@ -60,7 +64,16 @@ def geohash_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("lat", "lon", "cell", F.round(centre["lon"], 9).alias("centre_lon"), F.round(centre["lat"], 9).alias("centre_lat"), F.round(box["min_lat"], 9).alias("south"), neighbours(x, y, LEVEL)["n"].alias("north_cell"))
 
 
-@query(None)
+def _base32_sql(precision: int) -> str:
+    lon, lat = (5 * precision + 1) // 2, 5 * precision // 2
+    x, y = (f"least({(1 << b) - 1}, CAST(floor(({v} + {span // 2}) / {span} * {1 << b}) AS BIGINT))" for v, span, b in (("lon", 360, lon), ("lat", 180, lat)))
+    bit = lambda i: f"((x >> {lon - 1 - i // 2}) & 1)" if i % 2 == 0 else f"((y >> {lat - 1 - i // 2}) & 1)"
+    letters = " || ".join("substr('" + BASE32 + "', CAST(1 + " + " + ".join(f"{16 >> i} * {bit(5 * k + i)}" for i in range(5)) + " AS INTEGER), 1)" for k in range(precision))
+    return f"""{PLACES}, xy AS (SELECT lat, lon, {x} AS x, {y} AS y FROM places), {sql_spacing(18)}
+SELECT lat, lon, {letters} AS cell, round((y + 0.5::DOUBLE) / {1 << lat} * 180 - 90, 5) AS centre_lat, round((x + 0.5::DOUBLE) / {1 << lon} * 360 - 180, 5) AS centre_lon, round(spacing, 3) AS spacing_18 FROM xy, spacing"""
+
+
+@query(f"WITH {_base32_sql(9)}")
 def geohash_base32(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _places(spark, sf_dir).withColumn("cell", base32(F.col("lat"), F.col("lon"), 9))
     centre = base32_centre(F.col("cell"))
@@ -130,9 +143,14 @@ def interval_segment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.groupBy("user", F.col("segment").cast("long").alias("segment")).agg(F.count("*").alias("n_points"), F.min("ts").cast("timestamp_ntz").alias("first_ts"), F.max("ts").cast("timestamp_ntz").alias("last_ts"))
 
 
-@query(None)
+#: The machine's trajectories as a recursive fold.
+MACHINE = f"""RECURSIVE {sql_compress(SCALED.merging_distance, SCALED.separation_distance, SCALED.separation_time, SCALED.max_acceleration, SCALED.max_radius)},
+tracks AS (SELECT "user", sha256("user" || '|' || session || '|' || traj) AS traj_id, ord, p FROM compressed)"""
+
+
+@query(f"""WITH {MACHINE} SELECT "user", traj_id, ord, p.t AS ts, round(p.lat, 7) AS lat, round(p.lon, 7) AS lon, p.w AS weight, round(p.dx, 3) AS dx, p.dt AS dt FROM tracks""")
 def compress_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compress(points(spark, sf_dir), SCALED).select("user", "traj_id", "ord", "ts", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "weight", F.round("dx", 3).alias("dx"), "dt")
+    return compress(points(spark, sf_dir), SCALED).select("user", "traj_id", F.col("ord").cast("long").alias("ord"), "ts", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "weight", F.round("dx", 3).alias("dx"), "dt")
 
 
 @query(f"WITH {POINTS} SELECT \"user\", count(*) AS n FROM points GROUP BY \"user\"")
@@ -142,22 +160,33 @@ def compress_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(compress(points(spark, sf_dir), whole)).groupBy("user").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(f"""WITH {MACHINE}, m AS (SELECT "user", traj_id, ord, unnest(CASE WHEN len(p.m) > 0 THEN p.m ELSE [{{'lat': p.lat, 'lon': p.lon, 't': p.t}}] END) AS m FROM tracks)
+SELECT "user", traj_id, ord, m.t AS ts, round(m.lat, 7) AS lat, round(m.lon, 7) AS lon FROM m""")
+def member_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = members(compress(points(spark, sf_dir), SCALED))
+    return own.select("user", "traj_id", F.col("ord").cast("long").alias("ord"), "ts", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+@query(f"""WITH {MACHINE} SELECT "user", CAST(sum(greatest(1, len(p.m))) AS BIGINT) AS raw, count(*) AS compressed, round(100.0::DOUBLE * (sum(greatest(1, len(p.m))) - count(*)) / sum(greatest(1, len(p.m))), 4) AS ratio FROM tracks GROUP BY "user" """)
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = compress(points(spark, sf_dir), SCALED)
     n = F.sum(F.when(F.size("members") > 0, F.size("members")).otherwise(1))
     return c.groupBy("user").agg(n.alias("raw"), F.count("*").alias("compressed")).withColumn("ratio", F.round(100 * (F.col("raw") - F.col("compressed")) / F.col("raw"), 4))
 
 
-@query(None)
+HEADERS = f"""{MACHINE}, headers AS (SELECT "user", traj_id, min(p.t) AS start_ts, max(p.t) AS end_ts, round(arg_min(p.lat, ord), 7) AS start_lat, round(arg_min(p.lon, ord), 7) AS start_lon, round(arg_max(p.lat, ord), 7) AS end_lat, round(arg_max(p.lon, ord), 7) AS end_lon, count(*) AS n_points FROM tracks GROUP BY "user", traj_id)"""
+
+
+@query(f"WITH {HEADERS} SELECT * FROM headers")
 def trajectory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory_headers(compress(points(spark, sf_dir), SCALED))
+    heads = trajectory_headers(compress(points(spark, sf_dir), SCALED))
+    return heads.withColumns({c: F.round(c, 7) for c in ("start_lat", "start_lon", "end_lat", "end_lon")})
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _clusters(spark: SparkSession, sf_dir: str, grouping=communities) -> DataFrame:
     c = compress(points(spark, sf_dir), SCALED).where("weight > 0")
-    stays = c.select("user", F.xxhash64("traj_id", "ord").alias("id"), "lat", "lon", "weight")
-    return stay_clusters(stays, 40.0, percent=25)
+    stays = c.select("user", F.round(F.col("ts") * 1000).cast("long").alias("id"), "lat", "lon", "weight")
+    return stay_clusters(stays, 40.0, percent=25, grouping=grouping)
 
 
 @query(None)
@@ -170,14 +199,19 @@ def cluster_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geofences(_clusters(spark, sf_dir), 28.0).select("user", "label", F.size("ring").alias("corners"), *[F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
 
 
-@query(None)
+def _placed(tracks: DataFrame) -> DataFrame:
+    rounded = {"lat": F.round("lat", 7), "lon": F.round("lon", 7), "track": F.col("track").cast("long"), "ord": F.col("ord").cast("long")}
+    return tracks.withColumns(rounded)
+
+
+@query(f"""WITH RECURSIVE {sql_filtered(43_200)} SELECT "user", track, ord, ts, round(lat, 7) AS lat, round(lon, 7) AS lon, n FROM filtered""")
 def legacy_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filtered_tracks(points(spark, sf_dir), min_time=43_200)
+    return _placed(filtered_tracks(points(spark, sf_dir), min_time=43_200))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {sql_filtered(43_200)}, {sql_kalman('filtered', 1e-5, 1e-8)} SELECT "user", track, ord, ts, round(lat, 7) AS lat, round(lon, 7) AS lon FROM smoothed""")
 def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kalman(filtered_tracks(points(spark, sf_dir), min_time=43_200))
+    return _placed(kalman(filtered_tracks(points(spark, sf_dir), min_time=43_200)))
 
 
 @query("""SELECT e.event_id, p.lat, p.lon FROM events e, (VALUES (38.5::DOUBLE, -120.2::DOUBLE), (40.7::DOUBLE, -120.95::DOUBLE), (43.252::DOUBLE, -126.453::DOUBLE)) AS p(lat, lon)""")
@@ -203,7 +237,7 @@ def trajectory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("user", "tag", F.col("ord").cast("long").alias("ord"), "latitude", "longitude", F.col("external_timestamp").cast("timestamp_ntz").alias("external_timestamp"))
 
 
-@query(None)
+@query(f"""WITH {POINTS} SELECT "user", round(coalesce(sum(step), 0), 2) AS traversed, count(*) AS n FROM (SELECT *, sqrt(pow(east - lag(east) OVER ({BY_USER}), 2) + pow(north - lag(north) OVER ({BY_USER}), 2)) AS step FROM {sql_utm('points')}) GROUP BY "user" """)
 def traversed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.operators.motion import by_time
 
@@ -230,7 +264,21 @@ def point_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("q", F.lag("p").over(by_time())).select("event_id", same_point(F.col("p"), F.col("q")).alias("same_point"))
 
 
-@query(None)
+_SIDE = 1 << LEVEL
+#: Between two places a line enters a cell at each grid line that it crosses, in order; a corner is a step in x, then in y.
+CROSSED = f"""{POINTS}, gone AS (SELECT a, o, lat, lon, count(*) AS n FROM (SELECT lat, lon, lag(lat) OVER ({BY_USER}) AS a, lag(lon) OVER ({BY_USER}) AS o FROM points) WHERE a IS NOT NULL GROUP BY ALL),
+grid AS (SELECT *, row_number() OVER () AS k, (o + 180) / 360 * {_SIDE} AS x, (a + 90) / 180 * {_SIDE} AS y, (lon + 180) / 360 * {_SIDE} AS x2, (lat + 90) / 180 * {_SIDE} AS y2 FROM gone),
+cuts AS (
+  SELECT k, 0 AS axis, (g - x) / (x2 - x) AS t, CASE WHEN x2 > x THEN 1 ELSE -1 END AS step FROM (SELECT *, unnest(CASE WHEN x2 > x THEN range(CAST(floor(x) AS BIGINT) + 1, CAST(floor(x2) AS BIGINT) + 1) ELSE range(CAST(floor(x) AS BIGINT), CAST(floor(x2) AS BIGINT), -1) END) AS g FROM grid)
+  UNION ALL
+  SELECT k, 1, (g - y) / (y2 - y), CASE WHEN y2 > y THEN 1 ELSE -1 END FROM (SELECT *, unnest(CASE WHEN y2 > y THEN range(CAST(floor(y) AS BIGINT) + 1, CAST(floor(y2) AS BIGINT) + 1) ELSE range(CAST(floor(y) AS BIGINT), CAST(floor(y2) AS BIGINT), -1) END) AS g FROM grid)),
+entered AS (SELECT k, row_number() OVER w AS i, sum(CASE WHEN axis = 0 THEN step ELSE 0 END) OVER w AS dx, sum(CASE WHEN axis = 1 THEN step ELSE 0 END) OVER w AS dy FROM cuts WINDOW w AS (PARTITION BY k ORDER BY t, axis ROWS UNBOUNDED PRECEDING)),
+walked AS (SELECT k, CAST(0 AS BIGINT) AS i, CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy FROM grid UNION ALL SELECT k, i, CAST(floor(x) + dx AS BIGINT), CAST(floor(y) + dy AS BIGINT) FROM entered JOIN grid USING (k)),
+names AS (SELECT cx, cy, {_hilbert_xy_sql('cx', 'cy', LEVEL)} AS cell FROM (SELECT DISTINCT cx, cy FROM walked))
+SELECT a, o, lat, lon, n, cells FROM grid JOIN (SELECT k, list(cell ORDER BY i) AS cells FROM walked JOIN names USING (cx, cy) GROUP BY k) USING (k)"""
+
+
+@query(f"WITH {CROSSED}")
 def crossed_cell_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.operators.motion import by_time
 
@@ -238,3 +286,77 @@ def crossed_cell_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The same step between two places is walked once.
     steps = p.where("a is not null").groupBy("a", "o", "lat", "lon").agg(F.count("*").alias("n"))
     return steps.select("a", "o", "lat", "lon", "n", crossed_cells(F.col("a"), F.col("o"), F.col("lat"), F.col("lon"), LEVEL).alias("cells"))
+
+
+@query(f"""WITH {POINTS}, {sql_spacing(LEVEL)}, xy AS (SELECT *, {_hilbert_sql('lat', 'lon', LEVEL)} AS c FROM {sql_utm('points')}),
+s AS (SELECT *, sqrt(pow(east - lag(east) OVER w, 2) + pow(north - lag(north) OVER w, 2)) AS step, lag(c) OVER w AS before FROM xy WINDOW w AS ({BY_USER})),
+r AS (SELECT *, sum(CASE WHEN c IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS run FROM s),
+runs AS (SELECT "user", run, sum(CASE WHEN c = before THEN step ELSE 0 END) AS way, count(*) AS n FROM r GROUP BY ALL)
+SELECT event_id, coalesce(step >= 100, false) AS noise, way <= spacing / 3 AND n <= spacing / (5 * 1.5) AS critical FROM r JOIN runs USING ("user", run), spacing""")
+def cell_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a step is noise, and whether the run of points in its cell barely touched it."""
+    from pyspark.sql import Window as W
+
+    from waymark.functions.scalars import unix_seconds
+    from waymark.operators.filters import is_critical, is_noise
+    from waymark.operators.motion import by_time
+
+    p = points(spark, sf_dir).withColumn("c", encode(F.col("lat"), F.col("lon"), LEVEL))
+    east, north = to_utm(F.col("lat"), F.col("lon"))
+    p = p.withColumns({"e": east, "n": north, "t": unix_seconds(F.col("ts")), "a": F.lag("lat").over(by_time()), "o": F.lag("lon").over(by_time()), "before": F.lag("c").over(by_time())})
+    p = p.withColumn("step", F.hypot(F.col("e") - F.lag("e").over(by_time()), F.col("n") - F.lag("n").over(by_time())))
+    p = p.withColumn("run", F.sum(F.when(~F.col("before").eqNullSafe(F.col("c")), 1).otherwise(0)).over(by_time().rowsBetween(W.unboundedPreceding, W.currentRow)))
+    run = W.partitionBy("user", "run")
+    way = F.sum(F.when(F.col("before") == F.col("c"), F.col("step")).otherwise(0.0)).over(run)
+    noise = F.coalesce(is_noise(F.col("a"), F.col("o"), F.col("lat"), F.col("lon"), 100.0), F.lit(False))
+    return p.select("event_id", noise.alias("noise"), is_critical(way, F.count("*").over(run), cell_spacing(LEVEL), 1.5).alias("critical"))
+
+
+@query(f"""WITH {BREAKS} SELECT b.* FROM breaks b JOIN (SELECT "user", min(ts) AS f FROM points GROUP BY "user") USING ("user") WHERE scan_ts > f""")
+def inner_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_start(breakpoints(_labelled(spark, sf_dir), STAY_SECONDS), points(spark, sf_dir))
+    return found.select("user", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_ts", "scan_ts", "last_ts")])
+
+
+_BOX_CELLS = " UNION ALL ".join(f"SELECT '{name}' AS label, unnest(range(CAST(floor({w} / 0.0005::DOUBLE) AS BIGINT), CAST(floor({e} / 0.0005::DOUBLE) AS BIGINT) + 1)) AS gx, {s}::DOUBLE AS s, {n}::DOUBLE AS n" for _, name, w, e, s, n in BOXES)
+
+
+@query(f"""WITH {POINTS}, wide AS ({_BOX_CELLS}), boxes AS (SELECT label, gx, unnest(range(CAST(floor(s / 0.0005::DOUBLE) AS BIGINT), CAST(floor(n / 0.0005::DOUBLE) AS BIGINT) + 1)) AS gy FROM wide)
+SELECT DISTINCT "user", label FROM points JOIN boxes ON gx = CAST(floor(lon / 0.0005::DOUBLE) AS BIGINT) AND gy = CAST(floor(lat / 0.0005::DOUBLE) AS BIGINT)""")
+def fences_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fences_at(points(spark, sf_dir), _fences(spark), 0.0005).select("user", "label")
+
+
+@query(f"""WITH {PLACES}, g AS (SELECT lat, lon, CAST(floor((lon + 180) / 360 * {_N}) AS BIGINT) AS x, CAST(floor((lat + 90) / 180 * {_N}) AS BIGINT) AS y FROM places)
+SELECT lat, lon, compass, {_hilbert_xy_sql('(x + dx)', '(y + dy)', LEVEL)} AS cell FROM g, (VALUES ('n', 0, 1), ('ne', 1, 1), ('e', 1, 0), ('se', 1, -1), ('s', 0, -1), ('sw', -1, -1), ('w', -1, 0), ('nw', -1, 1)) AS v(compass, dx, dy)""")
+def neighbour_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = cell_xy(F.col("lat"), F.col("lon"), LEVEL)
+    return _places(spark, sf_dir).select("lat", "lon", F.explode(neighbours(x, y, LEVEL)).alias("compass", "cell"))
+
+
+@query("WITH " + ", ".join(sql_spacing(level).replace("spacing AS", f"s{level} AS") for level in (17, 18, 19)) + " SELECT n_nationkey, " + ", ".join(f"(SELECT round(spacing, 6) FROM s{level}) AS spacing_{level}" for level in (17, 18, 19)) + " FROM nation")
+def cell_spacings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").select("n_nationkey", *[F.lit(round(cell_spacing(level), 6)).alias(f"spacing_{level}") for level in (17, 18, 19)])
+
+
+#: Stays of the machine above the first quartile of weights, joined to clusters within 40 m.
+STAYS = f"""{MACHINE}, stays AS (SELECT "user", CAST(round(p.t * 1000) AS BIGINT) AS id, p.lat, p.lon, p.w AS weight FROM tracks WHERE p.w > 0),
+heavy AS (SELECT * FROM stays WHERE weight > (SELECT quantile_cont(weight, 0.25::DOUBLE) FROM stays)),
+close AS (SELECT a."user", a.id AS a, b.id AS b FROM heavy a JOIN heavy b ON a."user" = b."user" AND a.id <> b.id AND {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 40),
+reach AS (SELECT "user", id AS a, id AS b FROM heavy UNION SELECT r."user", r.a, c.b FROM reach r JOIN close c ON c."user" = r."user" AND c.a = r.b),
+grouped AS (SELECT "user", a AS id, min(b) AS cluster FROM reach GROUP BY "user", a),
+clustered AS (SELECT * FROM heavy JOIN grouped USING ("user", id))"""
+
+
+@query(f"""WITH {STAYS} SELECT "user", id, cluster, round(median(lat) OVER (PARTITION BY "user", cluster), 7) AS mid_lat, round(median(lon) OVER (PARTITION BY "user", cluster), 7) AS mid_lon FROM clustered""")
+def connected_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters as all that neighbourhood connects, in place of communities."""
+    return _clusters(spark, sf_dir, connected).select("user", "id", "cluster", F.round("mid_lat", 7).alias("mid_lat"), F.round("mid_lon", 7).alias("mid_lon"))
+
+
+_BUFFER = 28.0 / 6371000.0 * 25
+
+
+@query(f"""WITH {STAYS} SELECT "user", CAST(cluster AS VARCHAR) AS label, round(min(lon) - {_BUFFER!r}::DOUBLE, 6) AS min_x, round(max(lon) + {_BUFFER!r}::DOUBLE, 6) AS max_x, round(min(lat) - {_BUFFER!r}::DOUBLE, 6) AS min_y, round(max(lat) + {_BUFFER!r}::DOUBLE, 6) AS max_y FROM clustered GROUP BY "user", cluster""")
+def connected_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geofences(_clusters(spark, sf_dir, connected), 28.0).select("user", "label", *[F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
