@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.plans import motion, relational, spatial, tokens  # noqa: F401
+from waymark.plans import motion, relational, spatial, stores, tokens  # noqa: F401
 from waymark.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

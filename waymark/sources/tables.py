@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +42,43 @@ def load(spark: SparkSession, path: str, **equal) -> DataFrame:
     for column, value in equal.items():
         rows = rows.where(F.col(column) == value)
     return rows
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate tables in the folder that all executors share (spark.checkpoint.dir, else the warehouse; on one machine
+    without it a temporary folder, deleted at the end)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None and spark.sparkContext.master.startswith("local"):
+        root = tempfile.mkdtemp(prefix="waymark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+
+
+def closed(breaks: DataFrame) -> DataFrame:
+    """The breakpoints that are stored: those whose stay has ended."""
+    return breaks.where("last_ts is not null")
+
+
+def clear(spark: SparkSession, path: str, by: str, values: list) -> None:
+    """Empties the partitions of a stored table whose `by` is one of the values; the others stay."""
+    for value in values:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def into_table(path: str, by: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: each batch is a folder of its own (batch=...), so a batch that runs again replaces itself."""
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch}")
+
+    return sink
+
+
+def into_documents(path: str) -> Callable[[DataFrame, int], None]:
+    """The same with each row as a JSON document."""
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(f"{path}/batch={batch}")
+
+    return sink
