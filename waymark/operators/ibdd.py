@@ -108,14 +108,14 @@ class Detector:
         return 0
 
 
-def _celled(points: DataFrame, precision: int) -> DataFrame:
+def celled(points: DataFrame, precision: int) -> DataFrame:
     east, north = to_utm(F.col("lat"), F.col("lon"))
     return points.withColumns({"cell": encode(F.col("lat"), F.col("lon"), precision), "east": east, "north": north})
 
 
 def _measured(points: DataFrame, params: IbddParams, key: str) -> DataFrame:
     """points with their cells and the trajectory's separation and rate."""
-    rows = _celled(points, params.precision).join(estimates(points, key), key)
+    rows = celled(points, params.precision).join(estimates(points, key), key)
     return rows.withColumns({c: F.lit(float(v)) for c, v in (("separation", params.separation), ("rate", params.rate)) if v is not None})
 
 
