@@ -9,8 +9,10 @@ reveals it, and every occurrence in the corpus becomes a span; sanitised texts r
 Only terms that can pass go on to the count over all texts: near-entity texts bound n(t) from below. They reach the tasks as a bitmap of
 fixed size (2^24 bits), whose few false hits the following join removes, so nothing that is broadcast grows with the data.
 
-Nulls: a null text counts as empty; a null doc_id stays null. Repeated rows get equal results and count as one text. An empty table
-gives no rows; further columns are ignored.
+A term in a third of all texts is counted with map-side combining and its places are dealt over parts of its hash.
+
+Nulls: a null text counts as empty; a null doc_id stays null. Repeated rows get equal results and count as one text. Terms that tie are
+all judged, each by itself. A very long text is scanned whole, in time linear in its length. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import stage, table
+from waymark.llm.shared import meet, stage, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 5
@@ -36,8 +38,8 @@ BITS = 24
 
 #: The base patterns (the first sign stands alone where a pattern begins with a run).
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
-IP = re.compile(r"[0-9][0-9]*\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A run of digits that begins no address begins none further on, and a match ends with a whole run: so only whole runs are tried.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -67,7 +69,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in order of kind, then start."""
     found = [(0, *x) for x in emails(text)]
-    found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(1, *m.span()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits):
             found.append((2, *m.span()))
@@ -116,14 +118,24 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
     return out
 
 
-SCANNED = "row long, doc_id long, text string, base array<struct<kind:int,start:long,end:long>>, hits array<struct<term:string,start:long,end:long>>, mark long"
+def _hits(text: str, spans: list[tuple[int, int, int]], known: dict[str, bool]) -> list[dict]:
+    """The known words of a text, and whether they are free of base spans."""
+    found = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text) if known[m[0]]]
+    begins = np.array(sorted(s for _, s, _ in spans), np.int64)
+    ends = np.array(sorted(e for *_, e in spans), np.int64)
+    # A word overlaps as many spans as begin before its end, less those that end before its start.
+    over = np.searchsorted(begins, [e for *_, e in found], "left") - np.searchsorted(ends, [s for _, s, _ in found], "right")
+    return [{"term": t, "start": s, "end": e, "free": not n} for (t, s, e), n in zip(found, over.tolist(), strict=True)]
+
+
+SCANNED = "row long, doc_id long, text string, base array<struct<kind:int,start:long,end:long>>, hits array<struct<term:string,start:long,end:long,free:boolean>>, mark long"
 
 
 def _scan(docs: DataFrame, bitmap: np.ndarray, keep_text: bool) -> DataFrame:
     """Base spans of each row, and the places of words whose bit is set."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    hit = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    hit = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("free", pa.bool_())]))
 
     class Known(dict):
         def __missing__(self, word: str) -> bool:
@@ -139,9 +151,10 @@ def _scan(docs: DataFrame, bitmap: np.ndarray, keep_text: bool) -> DataFrame:
             bases, hits, marks = [], [], []
             for value in b.column(2):
                 text = value.as_py() or ""
-                bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base_spans(text)])
+                spans = base_spans(text)
+                bases.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 some = any(map(known.__getitem__, WORD.findall(text)))
-                hits.append([{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in WORD.finditer(text) if known[m[0]]] if some else [])
+                hits.append(_hits(text, spans, known) if some else [])
                 marks.append(xxhash.xxh64_intdigest(text, 42) - (1 << 63))
             text = b.column(2) if keep_text else pa.nulls(len(bases), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text, pa.array(bases, span), pa.array(hits, hit), pa.array(marks, pa.int64())], ["row", "doc_id", "text", "base", "hits", "mark"])
@@ -159,14 +172,15 @@ def find_private(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, di
     texts = scanned.select("mark").distinct().count()
     n_entity = pairs.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     hits = scanned.select("row", "mark", F.explode("hits").alias("h"))
-    n_term = hits.select(F.col("h.term").alias("term"), "mark").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = hits.groupBy(F.col("h.term").alias("term"), "mark").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("n_term"), F.sum("n").alias("n"))
     told = can.join(n_term, "term").join(n_entity, "entity")
     bits = F.log2(F.col("n_both") * F.lit(float(texts)) / (F.col("n_entity") * F.col("n_term")))
-    revealing = told.where((F.col("n_both") >= disclosure * F.col("n_term")) & (bits >= information)).select("term").distinct()
-    terms = hits.select("row", F.col("h.term").alias("term"), F.struct(F.lit(4).alias("kind"), F.col("h.start").alias("start"), F.col("h.end").alias("end")).alias("s")).join(revealing, "term")
-    terms = terms.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("terms"))
-    out = scanned.join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<kind:int,start:long,end:long>>")))
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    revealing = stage(told.where((F.col("n_both") >= disclosure * F.col("n_term")) & (bits >= information)).groupBy("term").agg(F.first("n").alias("n")), "pii-revealing")
+    terms = hits.select("row", F.col("h.term").alias("term"), F.struct(F.lit(4).alias("kind"), F.col("h.start").alias("start"), F.col("h.end").alias("end")).alias("s"), F.col("h.free").alias("free"))
+    terms = meet(terms, revealing, "term", revealing.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], F.xxhash64("row", "s.start"))
+    terms = terms.where("free").groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("terms"))
+    out = scanned.join(terms, "row", "left")
+    free = F.coalesce("terms", F.array().cast("array<struct<kind:int,start:long,end:long>>"))
     return out.select("doc_id", "text", "base", free.alias("terms"))
 
 
