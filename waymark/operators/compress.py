@@ -8,9 +8,9 @@ apart, which bounds the work of one very long key.
 from __future__ import annotations
 
 import math
+from bisect import bisect, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,9 +66,28 @@ class Point:
         return self.members or [(self.lat, self.lon, self.t)]
 
 
-def stay(members: list[tuple[float, float, float]]) -> Point:
-    """Coordinate-wise median, time of the last member, weight the seconds from first to last."""
-    return Point(median(m[0] for m in members), median(m[1] for m in members), members[-1][2], members[-1][2] - members[0][2], members=members)
+def _median_with(values: list[float], x: float | None = None) -> float:
+    """Median of sorted values, and of x as if it were among them."""
+    if x is None:
+        n = len(values)
+        return values[n // 2] if n % 2 else (values[n // 2 - 1] + values[n // 2]) / 2
+    n, k = len(values) + 1, bisect(values, x)
+    at = lambda i: values[i] if i < k else x if i == k else values[i - 1]
+    return at(n // 2) if n % 2 else (at(n // 2 - 1) + at(n // 2)) / 2
+
+
+class Middle:
+    """Coordinate-wise running median of a stay: sorted coordinates, so a member costs an insertion and a look costs a bisection."""
+
+    def __init__(self, members: list[tuple[float, float, float]]):
+        self.lats, self.lons = sorted(m[0] for m in members), sorted(m[1] for m in members)
+
+    def add(self, lat: float, lon: float) -> None:
+        insort(self.lats, lat)
+        insort(self.lons, lon)
+
+    def at(self, lat: float | None = None, lon: float | None = None) -> tuple[float, float]:
+        return _median_with(self.lats, lat), _median_with(self.lons, lon)
 
 
 class Machine:
@@ -78,6 +97,7 @@ class Machine:
         self.p = params
         self.head: Point | None = None
         self.merged: list[tuple[float, float, float]] = []
+        self.middle = Middle([])
         self.track: list[Point] = []
 
     def measure(self, point: Point, last: Point) -> None:
@@ -102,14 +122,15 @@ class Machine:
             self.head = Point(lat, lon, t)
             return done
         if point.dx <= self.p.merging_distance:
-            candidate = [*self.head.parts(), (lat, lon, t)]
-            middle = stay(candidate)
-            if great_circle(middle.lat, middle.lon, lat, lon) < self.p.max_radius:
+            tried = (self.middle if self.merged else Middle(self.head.parts())).at(lat, lon)
+            if great_circle(*tried, lat, lon) < self.p.max_radius:
                 if not self.merged:
-                    seed = self.track.pop() if self.track else self.head
-                    self.merged = list(seed.parts())
+                    self.merged = list((self.track.pop() if self.track else self.head).parts())
+                    self.middle = Middle(self.merged)
                 self.merged.append((lat, lon, t))
-                self.head = stay(list(self.merged))
+                self.middle.add(lat, lon)
+                # A stay has the time of its last member; its weight is the seconds from first to last. It shares the growing list.
+                self.head = Point(*self.middle.at(), t, t - self.merged[0][2], members=self.merged)
                 if self.track:
                     self.measure(self.head, self.track[-1])
                 return None

@@ -70,15 +70,24 @@ def update_from(stored: DataFrame, new: DataFrame, keys: list[str], columns: lis
 def interval_segments(points: DataFrame, breaks: DataFrame) -> DataFrame:
     """Points between the breakpoints(user, start_ts, scan_ts) of their user, both ends included, with the segment's number.
 
-    Segment 0 ends at the first start; the last begins at the last scan and has no end. Boundary points are in two segments.
+    Segment 0 ends at the first start; the last begins at the last scan and has no end. Boundary points are in two segments. Breakpoints lie
+    among the points in order of time, so one window finds the last scan up to a point and the start that ends its span; points and breaks never
+    multiply.
     """
-    w = W.partitionBy("user").orderBy("scan_ts")
-    b = breaks.withColumn("n", F.row_number().over(w))
-    between = b.select("user", F.col("n").alias("segment"), F.col("scan_ts").alias("lo"), F.lead("start_ts").over(w).alias("hi"))
-    first = b.where("n = 1").select("user", F.lit(0).alias("segment"), F.lit(None).cast("timestamp").alias("lo"), F.col("start_ts").alias("hi"))
-    spans = between.unionByName(first)
-    joined = points.join(spans, "user")
-    return joined.where((F.col("lo").isNull() | (F.col("ts") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("ts") <= F.col("hi")))).drop("lo", "hi")
+    order = W.partitionBy("user").orderBy("scan_ts")
+    b = breaks.withColumns({"n": F.row_number().over(order), "hi": F.lead("start_ts").over(order)})
+    spans = b.select("user", F.struct(F.col("n").alias("segment"), F.col("scan_ts").alias("lo"), "hi").alias("_span"), F.col("scan_ts").alias("_at"))
+    first = b.where("n = 1").select("user", F.struct(F.lit(0).alias("segment"), F.lit(None).cast("timestamp").alias("lo"), F.col("start_ts").alias("hi")).alias("_span"), F.lit(None).cast("timestamp").alias("_at"))
+    marks = spans.unionByName(first)
+    # Spans may overlap at their ends (a start at the scan before), so the last two spans up to a point can hold it.
+    both = points.select("*", F.lit(None).cast(marks.schema["_span"].dataType).alias("_span"), F.col("ts").alias("_at"), F.lit(1).alias("_kind")).unionByName(marks.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    so_far = W.partitionBy("user").orderBy(F.col("_at").asc_nulls_first(), "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = both.withColumn("_i", F.sum(1 - F.col("_kind")).over(so_far)).withColumn("_last", F.last("_span", ignorenulls=True).over(so_far))
+    known = W.partitionBy("user").orderBy(F.col("_at").asc_nulls_first(), "_kind")
+    near = near.withColumn("_previous", F.when(F.col("_kind") == 0, F.lag("_last").over(known))).withColumn("_previous", F.last("_previous", ignorenulls=True).over(so_far))
+    held = F.filter(F.array("_previous", "_last"), lambda s: s.isNotNull() & (s["lo"].isNull() | (F.col("ts") >= s["lo"])) & (s["hi"].isNull() | (F.col("ts") <= s["hi"])))
+    out = near.where("_kind = 1").withColumn("_s", F.explode(held))
+    return out.select(*points.columns, F.col("_s.segment").alias("segment"))
 
 
 def append_checked(kept: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -86,3 +86,17 @@ def sql_kalman(source: str, noise: float, drift: float) -> str:
   FROM (SELECT s.*, k.lat + k.v_lat * (s.ts - k.ts) AS x_lat, k.lon + k.v_lon * (s.ts - k.ts) AS x_lon, k.v_lat, k.v_lon, k.a + 2 * k.b * (s.ts - k.ts) + k.d * pow(s.ts - k.ts, 2) + {q} AS a1, k.b + k.d * (s.ts - k.ts) AS b1, k.d + {q} AS d1
     FROM k JOIN {source} s ON s."user" = k."user" AND s.track = k.track AND s.ord = k.ord + 1)),
 smoothed AS (SELECT "user", track, ord, ts, lat, lon FROM k)"""
+
+
+def sql_late_kalman(source: str, noise: float, place: float, speed: float, spread: float, unit: float, scale: float) -> str:
+    """late_smoothed: the same filter begun at zero, each step predicted with the time of the step before."""
+    n, f = f"{noise!r}::DOUBLE", f"({unit!r}::DOUBLE * wait)"
+    update = f"""x_lat + a1 / (a1 + {n}) * (z_lat - x_lat) AS lat, x_lon + a1 / (a1 + {n}) * (z_lon - x_lon) AS lon, v_lat + b1 / (a1 + {n}) * (z_lat - x_lat) AS v_lat, v_lon + b1 / (a1 + {n}) * (z_lon - x_lon) AS v_lon,
+    (1 - a1 / (a1 + {n})) * a1 AS a, (1 - a1 / (a1 + {n})) * b1 AS b, d1 - b1 / (a1 + {n}) * b1 AS d, step AS wait"""
+    predict = f"lat + {f} * v_lat AS x_lat, lon + {f} * v_lon AS x_lon, v_lat, v_lon, a + 2 * {f} * b + {f} * {f} * d + {place!r}::DOUBLE AS a1, b + {f} * d AS b1, d + {speed!r}::DOUBLE AS d1"
+    zero = f"0::DOUBLE AS lat, 0::DOUBLE AS lon, 0::DOUBLE AS v_lat, 0::DOUBLE AS v_lon, {spread!r}::DOUBLE AS a, 0::DOUBLE AS b, {spread!r}::DOUBLE AS d, 1::DOUBLE AS wait"
+    return f"""k2 AS (
+  SELECT "user", track, ord, ts, {update} FROM (SELECT *, {predict} FROM (SELECT f."user", f.track, f.ord, f.ts, f.lat * {scale} AS z_lat, f.lon * {scale} AS z_lon, 0::DOUBLE AS step, z.* FROM {source} f, (SELECT {zero}) z WHERE f.ord = 0) AS q("user", track, ord, ts, z_lat, z_lon, step, lat, lon, v_lat, v_lon, a, b, d, wait)) AS p("user", track, ord, ts, z_lat, z_lon, step, l1, l2, l3, l4, l5, l6, l7, l8, x_lat, x_lon, v_lat, v_lon, a1, b1, d1)
+  UNION ALL
+  SELECT "user", track, ord, ts, {update} FROM (SELECT "user", track, ord, ts, z_lat, z_lon, step, {predict} FROM (SELECT s."user", s.track, s.ord, s.ts, s.lat * {scale} AS z_lat, s.lon * {scale} AS z_lon, s.ts - k2.ts AS step, k2.lat, k2.lon, v_lat, v_lon, a, b, d, wait FROM k2 JOIN {source} s ON s."user" = k2."user" AND s.track = k2.track AND s.ord = k2.ord + 1))),
+late_smoothed AS (SELECT "user", track, ord, ts, lat / {scale} AS lat, lon / {scale} AS lon FROM k2)"""

@@ -11,11 +11,11 @@ from waymark.functions.sequences import crossed_cells
 from waymark.operators.compress import StreamParams, compress, members
 from waymark.operators.equality import children, same_point
 from waymark.operators.joins import interval_segments, label_by_fence, nearest, radius_pairs
-from waymark.operators.legacy import filtered_tracks, kalman
+from waymark.operators.legacy import OLDER, filtered_tracks, kalman, paired_tracks
 from waymark.operators.points import points, read
 from waymark.operators.stays import breakpoints, communities, connected, fences_at, geofences, proximity_graph, stay_clusters, without_start
 from waymark.plans.base import BY_USER, POINTS, query, sql_haversine, sql_spacing, sql_utm
-from waymark.plans.folds import sql_compress, sql_filtered, sql_kalman
+from waymark.plans.folds import sql_compress, sql_filtered, sql_kalman, sql_late_kalman
 from waymark.sources.codecs import line_features, point_features, read_trajectories, trajectory_json
 from waymark.sources.tables import trajectory_headers
 
@@ -237,6 +237,18 @@ def trajectory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("user", "tag", F.col("ord").cast("long").alias("ord"), "latitude", "longitude", F.col("external_timestamp").cast("timestamp_ntz").alias("external_timestamp"))
 
 
+@query(f"""WITH RECURSIVE {sql_filtered(43_200)}, {sql_late_kalman('filtered', OLDER.noise, OLDER.place, OLDER.speed, OLDER.spread, OLDER.unit, OLDER.scale)} SELECT "user", track, ord, ts, round(lat, 5) AS lat, round(lon, 5) AS lon FROM late_smoothed""")
+def older_kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks = kalman(filtered_tracks(points(spark, sf_dir), min_time=43_200), OLDER)
+    return _placed(tracks).withColumns({"lat": F.round("lat", 5), "lon": F.round("lon", 5)})
+
+
+@query(f"""WITH RECURSIVE {sql_filtered(43_200)}, pairs AS (SELECT "user", track, 'raw' AS tag, i - 1 AS ord, t AS ts, lat, lon FROM numbered UNION ALL SELECT "user", track, 'filtered', ord, ts, lat, lon FROM filtered)
+SELECT sha256("user" || '|' || track) AS track_id, tag, ord, ts, round(lat, 7) AS lat, round(lon, 7) AS lon FROM pairs""")
+def raw_and_filtered_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired_tracks(points(spark, sf_dir), min_time=43_200).withColumns({"lat": F.round("lat", 7), "lon": F.round("lon", 7)})
+
+
 @query(f"""WITH {POINTS} SELECT "user", round(coalesce(sum(step), 0), 2) AS traversed, count(*) AS n FROM (SELECT *, sqrt(pow(east - lag(east) OVER ({BY_USER}), 2) + pow(north - lag(north) OVER ({BY_USER}), 2)) AS step FROM {sql_utm('points')}) GROUP BY "user" """)
 def traversed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.operators.motion import by_time
