@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import compress, corridor, evaluate, filters, ibdd, joins, legacy, motion, simulate, stays, tokens
+from waymark.operators import compress, corridor, evaluate, filters, ibdd, joins, legacy, motion, patterns, simulate, stays, tokens
 from waymark.sources import batches, codecs, gpx, tables
 
 T0 = dt.datetime(2024, 1, 1)
@@ -55,8 +55,12 @@ def test_parameters():
         compress.StreamParams(max_radius=-1)
     with pytest.raises(TypeError):
         compress.StreamParams(max_radius="wide")
-    with pytest.raises(ValueError):
-        ibdd.IbddParams(theta=2)
+    for wrong in ({"theta": 2}, {"separation": 0}, {"rate": -1}, {"max_rd": 0}):
+        with pytest.raises(ValueError):
+            ibdd.IbddParams(**wrong)
+    for wrong in ({"threshold": 0}, {"threshold": 1.5}, {"window": "10 minutes"}, {"precision": 99}):
+        with pytest.raises(ValueError):
+            patterns.PatternParams(**wrong)
 
 
 def stream_of(spark, tmp_path, df, build, name):
@@ -125,6 +129,9 @@ def test_hull_and_clusters(spark):
     got = {r.id: r.cluster for r in stays.stay_clusters(df, 50).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
     assert stays.stay_clusters(df, 50, singletons=False).count() == 4
+    assert {r.id: r.cluster for r in stays.stay_clusters(df, 50, grouping=stays.connected).collect()} == got
+    with pytest.raises(ValueError):
+        stays.stay_clusters(df, 50, least=-1)
     assert stays.geofences(stays.stay_clusters(df, 50), 28.0).count() == 2
 
 
@@ -192,7 +199,18 @@ def test_simulation_and_batches(spark, tmp_path):
     got = batches.read_batches(spark, str(tmp_path / "b.json"))
     assert {r.uid for r in got.select("uid").distinct().collect()} == {"t3", "t4"} and got.where("ts is null or latitude is null").count() == 0
     assert got.where("anomalous").select("uid").distinct().count() == sum(k % 3 != 0 for k in (3, 4))
-    assert simulate.simulated(spark, 3, places).groupBy("uid").count().count() == 3
+    made = simulate.simulated(spark, 3, places, gap=600.0).collect()
+    span = {u: (min(r.ts for r in made if r.uid == u), max(r.ts for r in made if r.uid == u)) for u in range(3)}
+    assert all((span[u + 1][0] - span[u][1]).total_seconds() >= 600 for u in (0, 1))
+    # Onsets follow from the track: none on the regular one, one on a loop, on a detour where it leaves the direct way.
+    flags = {u: [r.ord for r in made if r.uid == u and r.anom_start] for u in range(3)}
+    assert flags[0] == [] and len(flags[1]) == 1 and len(flags[2]) <= 1
+    straight, detour = [(55.0 + k * 1e-4, 10.0, 5.0) for k in range(40)], [(55.0 + k * 1e-4, 10.0 + (0.002 if k >= 17 else 0), 5.0) for k in range(40)]
+    assert simulate.onset(straight, [(55.0, 10.0), (55.004, 10.0)]) is None and simulate.onset(detour, [(55.0, 10.0), (55.004, 10.0)]) == 17
+    assert sum(dt for *_, dt in simulate.stop(random.Random(1), simulate.WayPoint(55, 10, 300))) <= 300
+    profiles = [simulate.Profile("home", (simulate.WayPoint(*places[0], 60), simulate.WayPoint(*places[1])), 2), simulate.Profile("lost", (simulate.WayPoint(*places[2]), simulate.WayPoint(*places[3], 60)), 1, True)]
+    got = simulate.from_profiles(spark, profiles).groupBy("profile", "anomalous").agg(F.countDistinct("uid").alias("n")).collect()
+    assert {tuple(r) for r in got} == {("home", False, 2), ("lost", True, 1)}
     json.loads(simulate.batch([1], places))
 
 
@@ -214,6 +232,25 @@ def test_codecs_and_tables(spark, tmp_path):
     assert tables.load(spark, str(tmp_path / "t"), user=1).count() == heads.count() == tables.newest_first(heads, 1).count()
 
 
+def test_older_smoothing_is_the_four_state_filter(spark):
+    """The scalars of the older filter against its matrices."""
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(1, 0, k, float(k * k), 55 + k * 1e-4 + rng.gauss(0, 1e-4), 10 - k * 2e-4) for k in range(12)]
+    got = legacy.kalman(spark.createDataFrame(rows, "user long, track int, ord int, ts double, lat double, lon double"), legacy.OLDER).orderBy("ord").collect()
+    x, p, q, wait = np.zeros(4), np.eye(4) * 1e12, np.diag([1e-6, 1e-6, 1.0, 1.0]), 1.0
+    seen = np.eye(2, 4)
+    for k, r in enumerate(rows):
+        move = np.eye(4)
+        move[0, 2] = move[1, 3] = 0.001 * wait
+        x, p = move @ x, move @ p @ move.T + q
+        gain = p @ seen.T @ np.linalg.inv(seen @ p @ seen.T + np.eye(2) * 1e-5)
+        x, p = x + gain @ (np.array(r[4:6]) * 1000 - seen @ x), (np.eye(4) - gain @ seen) @ p
+        wait = r[3] - rows[k - 1][3] if k else 0.0
+        assert (got[k].lat, got[k].lon) == (pytest.approx(x[0] / 1000, abs=1e-7), pytest.approx(x[1] / 1000, abs=1e-7))
+
+
 def test_kalman_smooths_and_restarts(spark):
     rng = random.Random(2)
     rows = [(1, k // 20, k, float(k), 55 + k * 1e-4 + rng.gauss(0, 1e-4), 10.0) for k in range(40)]
