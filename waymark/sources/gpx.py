@@ -16,9 +16,8 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gpx_points(spark: SparkSession, path: str, user: int = 0) -> DataFrame:
-    """The scan as points (event_id, user, ts, lat, lon). The id is a hash of time and place, so nothing is sorted to make it; order is that of
-    ts and id."""
-    found = read_gpx(spark, path)
+    """The scan as points (event_id, user, ts, lat, lon), in order of time. The id is a hash of time and place, so it does not depend on that order."""
+    found = read_gpx(spark, path).orderBy("external_timestamp")
     return found.select(F.xxhash64("external_timestamp", "latitude", "longitude").alias("event_id"), F.lit(user).cast("long").alias("user"), F.col("external_timestamp").alias("ts"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
 
 
