@@ -1,27 +1,35 @@
 """Line dedup by content-defined chunks of lines.
 
-A text is cut at line feeds. A rolling hash over the hashes of `WINDOW` lines ends a chunk wherever it is divisible by `divisor`, so
-boundaries depend on the lines around them alone and come back in step after an insertion. Chunks of `least_lines` lines or more that occur
-again anywhere (in order of doc_id, then place) are removed; the first occurrence stays. Hashes only find candidates: a chunk counts as
-repeated if its bytes equal those of the first. Everything is DataFrame functions.
+A text is cut at line feeds. Each line has a hash, and a rolling hash goes over the hashes of `WINDOW` lines. A chunk ends at a line whose rolling
+hash is less than those of both neighbours, so boundaries depend on the lines around them alone and come back in step after an
+insertion, and a chunk has two lines at least (the first and the last two lines of a text end no chunk but the last). Chunks of `least_lines`
+lines or more that occur again anywhere (in order of doc_id, then place) are removed; the first occurrence stays. Hashes only find
+candidates: a chunk counts as repeated if its bytes equal those of the first. Everything is DataFrame functions.
 
-A hot chunk (in a third of all texts, say) is one grouped minimum with map-side combining and one equi-join, which skew handling splits. Texts
-move once, to meet their removed chunks.
+What stays: a repeated passage loses the chunks that lie within it whole. The lines before its first and after its last inner boundary share a
+chunk with their surroundings and stay, about two lines at either end; a document that is a whole copy loses all its lines.
+
+A hot chunk (in a third of all texts, say) is counted with map-side combining, and its rows are dealt over as many parts of its hash as
+its count asks for, so no task holds more than a fixed share of them. Texts move twice: as chunks that meet their likes, and whole to meet
+their removed chunks.
 
 Nulls: a null text counts as empty for the decision and stays null; a null doc_id comes before all others. Rows that repeat both doc_id
 and text are one document and get one result each; of rows with one doc_id but different texts the lesser text hash comes first. Chunks of
-white space only are never removed. An empty table gives no rows; further columns are kept by `remove_repeats` unless they begin with `_`.
+white space only are never removed. A very long text is one row whose lines stay one array; a long run of equal lines is one chunk. An empty
+table gives no rows; further columns are kept by `remove_repeats` unless they begin with `_` (ValueError).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import table
+from waymark.llm.shared import copies, deal, hot_keys, hot_limit, stage, table
 
 WINDOW = 2
-DIVISOR = 3
+FACTOR = 31
 LEAST_LINES = 2
 
 
@@ -29,15 +37,28 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _cut(docs: DataFrame, divisor: int) -> DataFrame:
+def _shifted(values: Column, by: int) -> Column:
+    """values moved `by` places to the right (to the left where it is negative); zeros come in, the size stays."""
+    n = F.size(values)
+    zeros = F.array_repeat(F.lit(0).cast("long"), F.least(F.lit(abs(by)), n))
+    if by < 0:
+        return F.concat(F.slice(values, F.lit(1 - by), F.greatest(n + by, F.lit(0))), zeros)
+    return F.concat(zeros, F.slice(values, F.lit(1), F.greatest(n - by, F.lit(0))))
+
+
+def _cut(docs: DataFrame) -> DataFrame:
     """docs with `_doc` (what names the document), `_lines` and `_ends` (index of the last line of each chunk)."""
     key = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    rolled = F.transform("_lines", lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long"))
-    marked = docs.withColumn("_doc", key).withColumn("_lines", _lines(F.col("text"))).withColumn("_hashes", rolled)
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.slice("_hashes", F.lit(1), F.size("_hashes") - 1)).alias("before"), F.col("_hashes").alias("now"))
-    flags = F.transform(pairs, lambda p, i: F.when((p["before"] * 31 + p["now"]) % divisor == 0, i).otherwise(F.lit(-1)))
+    hashes = F.transform("_lines", lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long"))
+    marked = docs.withColumn("_doc", key).withColumn("_lines", _lines(F.col("text"))).withColumn("_hashes", hashes)
+    add = lambda factor: lambda now, before: now + before * factor
+    rolled = reduce(lambda acc, j: F.zip_with(acc, _shifted(F.col("_hashes"), j), add(FACTOR**j)), range(1, WINDOW), F.col("_hashes"))
+    marked = marked.withColumn("_rolled", rolled)
+    three = F.arrays_zip(_shifted(F.col("_rolled"), 1).alias("before"), F.col("_rolled").alias("now"), _shifted(F.col("_rolled"), -1).alias("after"))
+    least = lambda p, i: (i >= 1) & (i <= F.size("_lines") - 3) & (p["now"] < p["before"]) & (p["now"] < p["after"])
+    flags = F.transform(three, lambda p, i: F.when(least(p, i), i).otherwise(F.lit(-1)))
     ends = F.array_union(F.filter(flags, lambda i: i >= 0), F.array(F.size("_lines") - 1))
-    return marked.withColumn("_ends", ends).drop("_hashes")
+    return marked.withColumn("_ends", ends).drop("_hashes", "_rolled")
 
 
 def _chunks(cut: DataFrame, least_lines: int) -> DataFrame:
@@ -45,29 +66,38 @@ def _chunks(cut: DataFrame, least_lines: int) -> DataFrame:
     starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("_ends", F.lit(1), F.size("_ends") - 1), lambda e: e + 1))
     each = cut.select("_doc", "_lines", F.posexplode(F.arrays_zip(starts.alias("s"), F.col("_ends").alias("e"))).alias("k", "c"))
     n = F.col("c.e") - F.col("c.s") + 1
-    each = each.where(n >= least_lines).select("_doc", "k", n.alias("n"), F.array_join(F.slice("_lines", F.col("c.s") + 1, n), "\n").alias("chunk"))
+    each = each.where(n >= least_lines).select("_doc", "k", F.array_join(F.slice("_lines", F.col("c.s") + 1, n), "\n").alias("chunk"))
     return each.where(F.trim("chunk") != "").withColumn("hash", F.xxhash64("chunk"))
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
+def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     """(_doc, removed): numbers of the chunks of each document that occur earlier; documents without any are left out."""
-    chunks = _chunks(_cut(docs.select("doc_id", "text"), divisor), least_lines)
+    chunks = _chunks(_cut(docs.select("doc_id", "text")), least_lines)
     place = F.struct("_doc", "k")
-    twice = chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("hash")
-    again = chunks.join(twice, "hash")
-    first = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"))
-    return again.join(first, ["hash", "chunk"]).where(place != F.col("first")).groupBy("_doc").agg(F.collect_set("k").alias("removed"))
-
-
-def mark_repeats(docs: DataFrame, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
+    twice = chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("hash", "n")
+    twice = stage(twice, "line-chunks")
+    limit = hot_limit(twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    salt = F.xxhash64("_doc.doc_id", "_doc.hash", "k")
+    # Sort-merge whatever the sizes: what a few repeated chunks cost is then what many cost.
+    again = deal(chunks, hot_keys(twice, "hash", limit), "hash", salt).join(copies(twice, limit).hint("merge"), ["hash", "_salt"])
+    # The first of a chunk: within each part where it lies, then over the parts, then back to all of them.
+    first = again.groupBy("hash", "_salt", "chunk").agg(F.min(place).alias("first"), F.first("n").alias("n"))
+    first = copies(first.groupBy("hash", "chunk").agg(F.min("first").alias("first"), F.first("n").alias("n")), limit)
+    first = first.select("hash", "_salt", F.col("chunk").alias("first_chunk"), "first")
+    later = again.join(first.hint("merge"), ["hash", "_salt"]).where((F.col("chunk") == F.col("first_chunk")) & (place != F.col("first")))
+    return later.groupBy("_doc").agg(F.collect_set("k").alias("removed"))
+
+
+def mark_repeats(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     """docs with `_n_lines`, `_n_removed` (lines) and `_kept` (the text without removed chunks)."""
-    removed = repeated_chunks(docs, divisor, least_lines)
+    if clash := [c for c in docs.columns if c.startswith("_")]:
+        raise ValueError(f"columns must not begin with _: {clash}")
+    removed = repeated_chunks(docs, least_lines)
     removed = removed.select(F.col("_doc.doc_id").alias("_id"), F.col("_doc.hash").alias("_hash"), F.array_sort("removed").alias("_removed"))
-    keyed = _cut(docs, divisor)
-    match = keyed["_doc"]["doc_id"].eqNullSafe(removed["_id"]) & (keyed["_doc"]["hash"] == removed["_hash"])
-    both = keyed.drop("_lines", "_ends").join(removed.hint("shuffle_hash"), match, "left").drop("_id", "_hash", "_doc")
-    cut = _cut(both, divisor)
-    gone = F.transform("_removed", lambda k: F.struct(F.when(k == 0, 0).otherwise(F.get(F.col("_ends"), k - 1) + 1).alias("s"), F.get(F.col("_ends"), k).alias("e"), F.size("_ends").alias("_")))
+    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    match = keyed["doc_id"].eqNullSafe(removed["_id"]) & (keyed["_text_hash"] == removed["_hash"])
+    cut = _cut(keyed.join(removed.hint("shuffle_hash"), match, "left").drop("_id", "_hash", "_text_hash"))
+    gone = F.transform("_removed", lambda k: F.struct(F.when(k == 0, 0).otherwise(F.get(F.col("_ends"), k - 1) + 1).alias("s"), F.get(F.col("_ends"), k).alias("e")))
     cut = cut.withColumn("_gone", gone)
     n_removed = F.aggregate("_gone", F.lit(0), lambda acc, g: acc + g["e"] - g["s"] + 1)
     # The stretches between removed chunks.
@@ -92,14 +122,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+_ROLLED = " + ".join(["h", *[f"{FACTOR**j} * coalesce(lag(h, {j}) OVER w, 0)" for j in range(1, WINDOW)]])
 OP1_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, len(string_split(coalesce(text, ''), chr(10))) AS size
   FROM documents),
 hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines),
+rolled AS (SELECT *, {_ROLLED} AS r FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 marked AS (
-  SELECT *, CASE WHEN (coalesce(lag(h) OVER w, 0) * 31 + h) % {DIVISOR} = 0 OR lead(h) OVER w IS NULL THEN 1 ELSE 0 END AS ends
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  SELECT *, CASE WHEN i = size - 1 OR (i BETWEEN 1 AND size - 3 AND r < lag(r) OVER w AND r < lead(r) OVER w) THEN 1 ELSE 0 END AS ends
+  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 placed AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM marked),
 chunks AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY doc_id, k),
 judged AS (SELECT *, n >= {LEAST_LINES} AND trim(chunk) <> '' AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM chunks),
