@@ -8,6 +8,9 @@ spanning forest of the closest pairs goes on, block by block in groups longer th
 2. Prefix filtering finds every link that the first left out. Shingles have one order for all texts, frequent ones last (the order decides
 the work alone, never the result); two sets at the similarity must share one of the first n - ceil(similarity * n) + 1. Lists of these prefixes give
 the pairs of different groups that sizes, positions and the number of shared prefix shingles still allow; none that could reach the similarity is left out.
+Pairs of a list longer than `LIST` do not leave the task: the groups that long lists join are a cluster, whose texts are cut into blocks by bytes, and
+each pair of blocks is a task that finds and verifies its pairs and gives a spanning forest. Work in such a cluster grows with its square, what
+is sent grows with its square over the block size.
 
 Candidates of both are verified on whole texts: exact Jaccard similarity of the sets of shingles (64-bit hashes). Components of verified edges are the groups.
 
@@ -18,6 +21,7 @@ never names a group and is never removed. Repeated rows are one class. Empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import components, release, stage
+from waymark.llm.shared import components, meet, release, stage
 from waymark.llm.simhash import SHINGLES_AT_ONCE, Forest, GrayTree, gray_rank
 
 WIDTH = 5
@@ -42,6 +46,9 @@ ALL_BITS = 54
 #: Shingles that the common order of shingles knows as frequent.
 FREQUENT = 1 << 18
 PAIRS_AT_ONCE = 1 << 20
+#: Entries of a list whose pairs leave the task; the groups of longer lists are compared in blocks of so many bytes.
+LIST = 128
+BLOCK_BYTES = 16 << 20
 #: Keeps rounding from losing a pair at the similarity itself.
 SLACK = 1e-9
 
@@ -90,6 +97,11 @@ def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(n, n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1)
 
 
+def index_length(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Of the smaller of two sets at the similarity, one of so many first shingles is the first that both have."""
+    return n - np.ceil(2 * similarity / (1 + similarity) * n - SLACK).astype(np.int64) + 1
+
+
 def _prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> bytes:
     """The first shingles of a set in the common order, 32 bits of each (a clash only adds candidates)."""
     at = np.searchsorted(frequent, found)
@@ -219,49 +231,126 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int32)), *(b.column(k).take(of) for k in range(3)), pa.array(at.astype(np.int32))], ["h", "id", "comp", "size", "at"])
 
 
+def _pairs(run: np.ndarray, comp: np.ndarray, size: np.ndarray, at: np.ndarray, similarity: float, first_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of entries of one list and of different groups that may reach the similarity by their sizes and places, and how many shingles
+    they must share then; entries come sorted by (run, size), a run is a list.
+
+    first_only: pairs are wanted once at least and not in every list, so entries too late in the smaller set to be the first that both share
+    begin none.
+    """
+    spread = int(size.max(initial=0) / similarity) + 2
+    n = np.searchsorted(run * spread + size, run * spread + np.floor(size / similarity + SLACK).astype(np.int64), "right") - np.arange(len(run)) - 1
+    if first_only:
+        # Sets of one size count in their order here.
+        n[at >= index_length(size, similarity)] = 0
+    total = np.cumsum(n)
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS_AT_ONCE, "right")))
+        m = n[first:last]
+        a = np.repeat(np.arange(first, last), m)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+        first = last
+        differ = comp[a] != comp[b]
+        a, b = a[differ], b[differ]
+        wanted = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - SLACK).astype(np.int64)
+        ok = np.minimum(at[a], at[b]) + np.minimum(size[a] - at[a], size[b] - at[b]) >= wanted
+        yield a[ok], b[ok], wanted[ok]
+
+
 def _meeting(similarity: float):
-    """Pairs of a list that may reach the similarity and are of different groups; partitions come sorted by h. `least` is the number of
-    prefix shingles that a pair must share: more common shingles than these and the rest of one set it cannot have."""
-
-    def solve(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
-        length = np.diff(np.r_[begin, len(h)])
-        keep = np.repeat(mixed, length)
-        run = np.repeat(np.arange(len(begin)), length)[keep]
-        ids, comp, size, at = (x[keep] for x in (ids, comp, size, at))
-        order = np.lexsort((size, run))
-        run, ids, comp, size, at = (x[order] for x in (run, ids, comp, size, at))
-        spread = int(size.max(initial=0) / similarity) + 2
-        n = np.searchsorted(run * spread + size, run * spread + np.floor(size / similarity + SLACK).astype(np.int64), "right") - np.arange(len(run)) - 1
+    """Of lists of up to LIST entries the pairs that may reach the similarity, with `least`, the number of prefix shingles that they must share: more
+    common shingles than these and the rest of one set they cannot have. Of longer lists each group with the list's first (least null), as they
+    are to meet elsewhere; a pair that shares a long list is met there, so it does not matter that its short ones count too few.
+    Partitions come sorted by h; a long list streams."""
+
+    def batch(a: np.ndarray, b: np.ndarray, least: np.ndarray | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()) if least is None else pa.array(least)], ["a", "b", "least"])
+
+    def short(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((size, h))
+        run, ids, comp, size, at = (x[order] for x in (np.cumsum(np.r_[0, h[1:] != h[:-1]])[: len(h)], ids, comp, size, at))
         rest = size - prefix_length(size, similarity)
-        total = np.cumsum(n)
-        first = 0
-        while first < len(n):
-            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS_AT_ONCE, "right")))
-            m = n[first:last]
-            a = np.repeat(np.arange(first, last), m)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
-            first = last
-            differ = comp[a] != comp[b]
-            a, b = a[differ], b[differ]
-            wanted = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - SLACK).astype(np.int64)
-            ok = np.minimum(at[a], at[b]) + np.minimum(size[a] - at[a], size[b] - at[b]) >= wanted
-            a, b, wanted = a[ok], b[ok], wanted[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(wanted - np.maximum(rest[a], rest[b]))], ["a", "b", "least"])
+        for a, b, wanted in _pairs(run, comp, size, at, similarity, False):
+            yield batch(ids[a], ids[b], wanted - np.maximum(rest[a], rest[b]))
+
+    def long(comp: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+        others = np.unique(comp)
+        others = others[others != first]
+        yield batch(np.full(len(others), first), others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tuple(np.empty(0, np.int64) for _ in range(5))
+        streaming, first = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
             held = tuple(np.r_[x, c.to_numpy()] for x, c in zip(held, b.columns, strict=True))
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if last:
-                yield from solve(*(x[:last] for x in held))
+            h = held[0]
+            begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.diff(np.r_[begin, len(h)])
+            # A list that may go on with the next batch waits, unless it is long already.
+            done = size <= LIST
+            done[-1] = False
+            if streaming is not None and h[0] == streaming:
+                done[0] = False
+            keep = np.repeat(done, size)
+            yield from short(*(x[keep] for x in held))
+            for k in np.flatnonzero(~done):
+                part = slice(begin[k], begin[k] + size[k])
+                if streaming != h[begin[k]]:
+                    if size[k] <= LIST:
+                        continue
+                    streaming, first = h[begin[k]], int(held[2][begin[k]])
+                yield from long(held[2][part], first)
+            last = begin[-1] if streaming != h[-1] else len(h)
             held = tuple(x[last:] for x in held)
         if len(held[0]):
-            yield from solve(*held)
+            yield from short(*held)
+
+    return run
+
+
+def _dense(similarity: float):
+    """A spanning forest of the links within a block of a cluster or between two; rows: lo, hi, b, id, comp, size, prefix, s."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        rows = rows.combine_chunks()
+        ids, comp, size, block = (rows.column(c).to_numpy() for c in ("id", "comp", "size", "b"))
+        prefixes = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("prefix")]
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("s")]
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(size) - size
+        m = np.array([len(x) for x in prefixes])
+        doc = np.repeat(np.arange(len(ids)), m)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(m) - m, m)
+        token = np.concatenate(prefixes).astype(np.int64)
+        order = np.lexsort((size[doc], token))
+        token, doc, at = token[order], doc[order], at[order]
+        found = [np.empty(0, np.int64)]
+        for a, b, _ in _pairs(np.cumsum(np.r_[0, token[1:] != token[:-1]])[: len(token)], comp[doc], size[doc], at, similarity, True):
+            a, b = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
+            if lo != hi:
+                across = block[a] != block[b]
+                a, b = a[across], b[across]
+            found.append(np.unique(a * len(ids) + b))
+        pairs = np.unique(np.concatenate(found))
+        left, right = pairs // len(ids), pairs % len(ids)
+        forest, mark = Forest(len(ids)), np.zeros(len(names), bool)
+        for part in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(left)) + 1) if len(pairs) else []:
+            a, others = left[part[0]], right[part]
+            own = flat[begin[a] : begin[a] + size[a]]
+            mark[own] = True
+            n = size[others]
+            starts = np.cumsum(n) - n
+            both = np.add.reduceat(mark[flat[np.repeat(begin[others] - starts, n) + np.arange(int(n.sum()))]].astype(np.int64), starts)
+            mark[own] = False
+            near = others[both >= similarity * (size[a] + n - both) - SLACK]
+            forest.join(np.full(len(near), a), near)
+        root = forest.flat()
+        linked = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": ids[linked], "b": ids[root[linked]]})
 
     return run
 
@@ -291,41 +380,73 @@ def _sets(width: int):
     return run
 
 
+def _class_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, s): the sets of the classes named in ids(id)."""
+    wanted = ids.join(classes.select("id", "least", "digest"), "id")
+    texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("binary").alias("text")).join(wanted, "least")
+    return texts.select("id", "digest", "text").mapInArrow(_sets(width), "id long, s binary").groupBy("id").agg(F.min("s").alias("s"))
+
+
 def _sure(docs: DataFrame, classes: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
     """The edges (a, b) between classes whose sets reach the similarity."""
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "least", "digest"), "id")
-    texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("binary").alias("text")).join(wanted, "least")
-    sets = stage(texts.select("id", "digest", "text").mapInArrow(_sets(width), "id long, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingle-sets")
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stage(_class_sets(docs, classes, ids, width), "shingle-sets")
     pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     sure = stage(pairs.select("a", "b", "sa", "sb").mapInArrow(_verified(similarity), "a long, b long"), "sure-edges")
     release(sets)
     return sure
 
 
-def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def _sure_within(docs: DataFrame, classes: DataFrame, comps: DataFrame, stars: DataFrame, width: int, similarity: float, block_bytes: int) -> DataFrame:
+    """A spanning forest of the links between classes of comps(id, comp, size, prefix) whose groups meet in long lists: stars(a, b) of groups.
+
+    Groups that such lists join are a cluster. Its classes are cut into blocks by the bytes of their sets, and each pair of blocks is a task that
+    verifies its pairs where they lie, so neither a pair nor more than two blocks leaves or enters a task.
+    """
+    roots = components(stars)
+    cluster = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().withColumnsRenamed({"node": "comp", "root": "cluster"})
+    cluster = stage(comps.groupBy("comp").agg(F.count("*").alias("n")).join(cluster, "comp"), "dense-groups")
+    total = cluster.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = stage(meet(comps, cluster, "comp", total, F.xxhash64("id")), "dense-classes")
+    sets = _class_sets(docs, classes, members.select("id"), width)
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.ceil(F.sum("size") * 8 / block_bytes).cast("int").alias("blocks"))
+    each = meet(members, sizes, "cluster", total, F.xxhash64("id")).join(sets, "id").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("cluster", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b", "id", "comp", "size", "prefix", "s")
+    return stage(each.groupBy("cluster", "lo", "hi").applyInArrow(_dense(similarity), "a long, b long"), "dense-edges")
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, group_id) for each row of docs(doc_id, text): group_id is the least doc_id of the row's group."""
     prints = stage(_prints(docs, width, similarity), "long-prints")
     same = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]
-    classes = stage(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), *same).select(F.monotonically_increasing_id().alias("id"), "digest", "least", "fp", "size", "prefix"), "print-classes")
+    classes = stage(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), *same).select(F.monotonically_increasing_id().alias("id"), "digest", "least", "rows", "fp", "size", "prefix"), "print-classes")
     dealt = classes.select("id", "fp").mapInArrow(_dealt, "t long, key long, id long, fp binary")
     edges = dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_close, "a long, b long")
     sure = _sure(docs, classes, stage(edges.distinct(), "near-edges"), width, similarity)
     roots = components(sure).withColumnRenamed("node", "id")
-    lists = classes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("comp"), "size", "prefix").mapInArrow(_listed, "h int, id long, comp long, size long, at int")
-    pairs = lists.repartition("h").sortWithinPartitions("h").mapInArrow(_meeting(similarity), "a long, b long, least long")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
-    more = _sure(docs, classes, stage(pairs, "prefix-edges"), width, similarity)
-    roots = components(sure.unionByName(more)).withColumnRenamed("node", "id")
-    named = classes.join(roots, "id", "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("group_id"))
-    return prints.select("doc_id", "digest").join(named.join(names, "root").select("digest", "group_id"), "digest", "left").select("doc_id", "group_id")
+    comps = classes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("comp"), "size", "prefix")
+    lists = comps.mapInArrow(_listed, "h int, id long, comp long, size long, at int")
+    met = stage(lists.repartition("h").sortWithinPartitions("h").mapInArrow(_meeting(similarity), "a long, b long, least long").groupBy("a", "b", F.col("least").isNull().alias("dense")).agg(F.count("*").alias("n"), F.max("least").alias("least")).where("dense or n >= least"), "prefix-edges")
+    found = [sure, _sure(docs, classes, met.where("not dense").select("a", "b"), width, similarity)]
+    if not (stars := met.where("dense").select("a", "b")).isEmpty():
+        found.append(_sure_within(docs, classes, comps, stars, width, similarity, block_bytes))
+    roots = components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "id")
+    named = stage(classes.join(roots, "id", "left").select("digest", "least", "rows", F.coalesce("root", "id").alias("root")), "near-classes")
+    total = named.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    names = named.groupBy("root").agg(F.min("least").alias("group_id"), F.count("*").alias("n"))
+    named = meet(named, names, "root", total[0], F.xxhash64("digest")).select("digest", F.col("rows").alias("n"), "group_id")
+    return meet(prints.select("doc_id", "digest"), stage(named, "near-names"), "digest", total[1], F.xxhash64("doc_id")).select("doc_id", "group_id")
 
 
 def without_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows whose group holds a smaller doc_id; rows that repeat a kept doc_id and text go too.
-    Rows with a null doc_id stay."""
-    groups = near_copies(docs.select("doc_id", "text"), width, similarity)
-    gone = groups.where("doc_id <> group_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
-    again = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(-1)
-    return kept.withColumn("__row", again).dropDuplicates(["doc_id", "__text", "__row"]).select(*docs.columns)
+    Rows with a null doc_id stay. Columns called `_gone`, `_twice` or `_text` are refused."""
+    if clash := {"_gone", "_twice", "_text"} & set(docs.columns):
+        raise ValueError(f"columns must not be called {sorted(clash)}")
+    groups = stage(near_copies(docs.select("doc_id", "text"), width, similarity), "near-groups")
+    marks = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("group_id")).alias("_gone"), (F.count("*") > 1).alias("_twice"))
+    kept = docs.join(marks.where("doc_id is not null and (_gone or _twice)"), "doc_id", "left").where("_gone is null or not _gone")
+    once = kept.where("_twice is null or not _twice")
+    again = kept.where("_twice").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
