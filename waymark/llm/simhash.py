@@ -6,11 +6,12 @@ four blocks; two fingerprints that differ in two bits or fewer agree on two bloc
 six pairs of blocks deals the fingerprints out by those 32 bits. Inside such a group fingerprints stand in
 order of Gray rank and form a tree: a node holds the bits that all below it share. Two nodes are compared on bits that
 both hold and that no ancestor pair had compared; once the accumulated difference passes the limit, all
-pairs below are pruned. A group gives a spanning forest of its links, never all pairs.
+pairs below are pruned. A group gives a spanning forest of its links, never all pairs. Groups with more than a fixed share of the fingerprints
+are dealt once more by the pairs of blocks of their open bits, which leaves at most 65536 rows in a group.
 
 Nulls: a null text counts as empty; documents without words have fingerprint zero and link like any others. Repeated
 rows get equal results; a null doc_id stays null and never names a component (a component of such rows only has
-a null id). An empty table gives an empty result; further columns are ignored.
+a null id). A very long text is one vote count, made in steps of bounded size. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import components, stage, table
+from waymark.llm.shared import HOT_KEYS, components, meet, stage, table
 
 BLOCKS = 4
 FAN_OUT = 8
 PAIRS_AT_ONCE = 1 << 20
 SHINGLES_AT_ONCE = 1 << 16
+#: Fingerprints of a group that one task may hold whatever their share of all.
+GROUP_ROWS = 1 << 16
 
 
 def fingerprint(raw: bytes, width: int = 3, seed: int = 42) -> int:
@@ -137,7 +140,7 @@ class Forest:
 
 
 def _forest(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of the groups in a partition that is sorted by (which, block); a group is held whole, others stream."""
+    """Spanning links of the groups in a partition that is sorted by (which, block, more, sub); a group is held whole, others stream."""
 
     def solve(group: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         at = np.lexsort((gray_rank(fps), group))
@@ -149,30 +152,57 @@ def _forest(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
         linked = np.flatnonzero(root != np.arange(len(fps)))
         return pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (linked, root[linked])], ["a", "b"])
 
-    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+    held = (np.empty((0, 4), np.int64), np.empty(0, np.uint64))
     for batch in batches:
-        which, block, fps = (np.asarray(c) for c in batch.columns)
-        which, block, fps = np.r_[held[0], which], np.r_[held[1], block], np.r_[held[2], fps.view(np.uint64)]
-        new = np.r_[True, (which[1:] != which[:-1]) | (block[1:] != block[:-1])]
-        last = np.flatnonzero(new)[-1] if len(new) else 0
+        if not batch.num_rows:
+            continue
+        keys = np.concatenate([held[0], np.stack([np.asarray(c) for c in batch.columns[:4]], axis=1)])
+        fps = np.r_[held[1], np.asarray(batch.column(4)).view(np.uint64)]
+        new = np.r_[True, (keys[1:] != keys[:-1]).any(1)]
+        last = np.flatnonzero(new)[-1]
         if last:
             yield solve(np.cumsum(new)[:last], fps[:last])
-        held = which[last:], block[last:], fps[last:]
+        held = keys[last:], fps[last:]
     if len(held[0]):
-        yield solve(np.zeros(len(held[0]), np.int64), held[2])
+        yield solve(np.zeros(len(held[0]), np.int64), held[1])
 
 
-def near_groups(fps: DataFrame, distance: int = 2) -> DataFrame:
+def _agreeing(fp: Column, size: int, first: int) -> list[Column]:
+    """(which, block) for each pair of the BLOCKS blocks of `size` bits from bit `first` on: the bits of that pair."""
+    blocks = [((1 << size) - 1) << (first + size * i) for i in range(BLOCKS)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return [F.struct(F.lit(k).cast("long").alias("which"), fp.bitwiseAND(F.lit(signed(blocks[i] | blocks[j]))).alias("block")) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
+
+
+def _dealt(distinct: DataFrame, group_rows: int) -> DataFrame:
+    """(which, block, more, sub, fp): distinct fingerprints by the pairs of blocks they may share. Groups of more rows than a fixed share
+    of all (and than group_rows) are dealt once more, by the pairs of four blocks of the bits that the first pair leaves open; two
+    fingerprints within two bits of each other agree on one of these as well. 16 open bits are left then, so no group has more than 65536 rows."""
+    size = 64 // BLOCKS
+    each = distinct.select("fp", F.explode(F.array(*_agreeing(F.col("fp"), size, 0))).alias("k")).select("fp", "k.which", "k.block")
+    counted = stage(each.groupBy("which", "block").agg(F.count("*").alias("n")).where(F.col("n") > group_rows), "simhash-blocks")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # A group is dealt again if it holds more than its share of the rows in large groups: fewer than HOT_KEYS do.
+    hot = counted.where(F.col("n") > total // HOT_KEYS).select("which", "block", F.lit(True).alias("hot"))
+    each = each.join(F.broadcast(hot), ["which", "block"], "left")
+    # The open bits of a pair of blocks, side by side in the low 32 bits.
+    pairs = list(combinations(range(BLOCKS), 2))
+    part = lambda i: F.shiftrightunsigned("fp", size * i).bitwiseAND((1 << size) - 1)
+    open_bits = [F.shiftleft(part(b), size).bitwiseOR(part(a)) for i, j in pairs for a, b in [[x for x in range(BLOCKS) if x not in (i, j)]]]
+    low = F.element_at(F.array(*open_bits), (F.col("which") + 1).cast("int"))
+    none = F.array(F.struct(F.lit(-1).cast("long").alias("which"), F.lit(0).cast("long").alias("block")))
+    each = each.withColumn("low", low)
+    again = F.explode(F.when(F.col("hot"), F.array(*_agreeing(F.col("low"), size // 2, 0))).otherwise(none)).alias("s")
+    return each.select("which", "block", "fp", again).select("which", "block", F.col("s.which").alias("more"), F.col("s.block").alias("sub"), "fp")
+
+
+def near_groups(fps: DataFrame, distance: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(fp, root) for each distinct fingerprint of fps: root is the least fingerprint reachable by links."""
     if not 0 <= distance <= BLOCKS - 2:
         raise ValueError(f"distance must be from 0 to {BLOCKS - 2}")
-    size = 64 // BLOCKS
-    blocks = [((1 << size) - 1) << (size * i) for i in range(BLOCKS)]
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    keys = [F.struct(F.lit(k).cast("long").alias("which"), F.col("fp").bitwiseAND(F.lit(signed(blocks[i] | blocks[j]))).alias("block")) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
     distinct = fps.select("fp").distinct()
-    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.which", "k.block", "fp")
-    dealt = dealt.repartition("which", "block").sortWithinPartitions("which", "block")
+    keys = ["which", "block", "more", "sub"]
+    dealt = _dealt(distinct, group_rows).repartition(*keys).sortWithinPartitions(*keys)
     links = dealt.mapInArrow(lambda it: _forest(it, distance), "a long, b long")
     roots = components(links)
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -182,10 +212,11 @@ def simhash_groups(docs: DataFrame, width: int = 3, distance: int = 2, seed: int
     """(doc_id, fp, component_id) for each row of docs(doc_id, text); component_id is the least doc_id that links reach."""
     fps = stage(fingerprints(docs, width, seed), "simhash")
     groups = stage(near_groups(fps, distance), "simhash-groups")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(groups, "fp")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).join(groups, "fp")
     names = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(names, "root").select("fp", "component_id")
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = stage(least.join(names, "root").select("fp", "component_id", "n"), "simhash-names")
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return meet(fps, named, "fp", total, F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
