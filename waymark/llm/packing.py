@@ -8,7 +8,7 @@ group packs its leftovers again, and its last ids are cut into sequences whose l
 No window, list of windows or id sequence of more than one document passes through the driver.
 
 Nulls: a null text counts as empty; an empty text is one piece holding only the end id. A null doc_id stays null. Repeated
-rows are packed once each. An empty table gives an empty result; further columns are ignored.
+rows are packed once each. A very long text is encoded whole and cut into windows as it comes. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -157,17 +156,17 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", length: int = LENGTH,
         yield pa.RecordBatch.from_pydict(_rows(packer.full, (part << GROUP_SHIFT) + n, part, False), schema)
         yield pa.RecordBatch.from_pydict(_rows(packer.open, None, part, True), schema)
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        packer, group = Packer(length, open_windows), int(key[0])
-        rows = rows.sort_values(["part", "doc_id", "start"], kind="stable")
-        for doc_id, start, total, raw in zip(rows.doc_id, rows.start, rows.doc_tokens, rows.ids, strict=True):
-            packer.add(None if pd.isna(doc_id) else int(doc_id), int(start), np.frombuffer(raw, "<u4"), int(total))
-        windows = packer.full + packer.finish()
-        out = pd.DataFrame(_rows(windows, -((group + 1) << GROUP_SHIFT), group, False))
-        return out.astype({f.name: "Int64" for f in PIECES.fields})[PIECES.names]
+    pieces = pa.schema([(n, pa.int64()) for n in PIECES.names])
+
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        packer, group = Packer(length, open_windows), key[0].as_py()
+        for r in rows.sort_by([("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).to_pylist():
+            packer.add(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"])
+        made = _rows(packer.full + packer.finish(), -((group + 1) << GROUP_SHIFT), group, False)
+        return pa.Table.from_pydict({n: made[n] for n in PIECES.names}, pieces)
 
     packed = stage(docs.select("doc_id", "text").mapInArrow(run, OPEN), "packed")
-    left = packed.where("ids is not null").groupBy((F.col("part") / merge_group).cast("long").alias("g")).applyInPandas(merge, PIECES)
+    left = packed.where("ids is not null").groupBy((F.col("part") / merge_group).cast("long").alias("g")).applyInArrow(merge, PIECES)
     return packed.where("ids is null").select(PIECES.names).unionByName(left)
 
 
