@@ -12,7 +12,8 @@ their anchor. All starts that share an anchor form a segment of text. Strings ca
 4. units read their documents again and take the covered bytes out.
 
 Copies of whole documents (equal SHA-256) are settled beforehand by one small row each. Hashes only deal segments out; bytes are
-compared in the shards. A hot passage reaches a bucket at most once a unit and context. Units travel compressed.
+compared in the shards. A hot passage reaches a bucket at most once a unit and context. Units travel compressed; they are cut once and staged, so a
+task that is run again sees the same ones. The numbers of buckets and of tasks grow with the input, so what a shard holds does not.
 
 Order: "earlier" is a smaller doc_id (null first), rows of one doc_id in order of reading; then the start.
 Nulls: a null text counts as empty. Repeated rows are documents of their own (the first stays). Texts under `length` bytes are kept whole. An
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.sais import permuted_reach, suffix_array
-from waymark.llm.shared import release, stage, table
+from waymark.llm.shared import meet, release, stage, table
 
 LENGTH = 100
 GRAM = 40
@@ -40,6 +41,9 @@ UNIT_BYTES = 4 << 20
 HASHED_AT_ONCE = 1 << 20
 PLACE_BITS = np.uint64(21)
 BUCKETS_A_PARTITION = 4
+#: Text a bucket stands for at most, and a task: larger inputs have more buckets and more tasks.
+BUCKET_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
 LEVEL = 3
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -86,7 +90,7 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(unit, doc_ids, texts) of consecutive documents; the same scan always gives the same units."""
+    """(unit, doc_ids, texts) of consecutive documents."""
     unit, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -113,7 +117,8 @@ def _scan(buckets: int, length: int):
     """For each unit: a row with its compressed documents' hashes by bucket, and a row for each document's identity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, ids, texts in _units(batches):
+        for unit, docs in (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            ids, texts = _unpacked(docs)
             found = np.unique(np.concatenate([anchors(t, length)[0] for t in texts]))
             by = (found % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(by, kind="stable")
@@ -140,7 +145,7 @@ def _shared_hashes(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(BACK, [[u for u, _ in back], [b.tobytes() for _, b in back], [None] * len(back)])])
 
 
-PACKED_DDL = "unit long, docs binary"
+PACKED_DDL = "unit long, docs binary, size long"
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +154,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(t) for t in texts], np.int64)
         known = np.array([i is not None for i in ids], np.int64)
         head = np.concatenate([[len(ids)], known, [i or 0 for i in ids], sizes]).astype(np.int64).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([zstandard.compress(head + b"".join(texts), LEVEL)], pa.binary())], ["unit", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([zstandard.compress(head + b"".join(texts), LEVEL)], pa.binary()), pa.array([int(sizes.sum())], pa.int64())], ["unit", "docs", "size"])
 
 
 def _unpacked(packed: bytes) -> tuple[list, list[bytes]]:
@@ -296,22 +301,26 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     """For each row of docs(doc_id, text): doc_id, n_bytes, removed (spans of bytes), kept_sha256, kept (bytes; null unless keep_text)."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_A_PARTITION
-    raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    scanned = stage(raw.mapInArrow(_scan(buckets, length), UNIT_DDL), "anchors")
+    # Units are cut once and staged: every later pass reads the same ones.
+    packed = stage(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_packed, PACKED_DDL), "units")
+    size = packed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks * BUCKETS_A_PARTITION, size // BUCKET_BYTES)
+    dealt = lambda df, key: df.repartition(n, key) if (n := size // TASK_BYTES) > tasks else df
+    packed = packed.select("unit", "docs")
+    scanned = stage(packed.mapInArrow(_scan(buckets, length), UNIT_DDL), "anchors")
     place = F.struct("doc_id", "unit", "doc")
-    first = scanned.where("sha is not null").groupBy("sha").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = scanned.where("sha is not null").join(first, "sha").where(place != F.col("first"))
+    names = scanned.where("sha is not null").select("sha", "doc_id", "unit", "doc")
+    first = stage(names.groupBy("sha").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
+    copies = meet(names, first, "sha", first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], F.xxhash64("unit", "doc")).where(place != F.col("first"))
     copies = stage(copies.select("unit", F.lit(None).cast("binary").alias("blob"), F.col("doc").alias("copy")), "copies")
-    shared = scanned.where("bucket is not null").select("bucket", "unit", "blob").groupBy("bucket").applyInArrow(_shared_hashes, BACK_DDL)
-    packed = raw.mapInArrow(_packed, PACKED_DDL)
-    sent = packed.groupBy("unit").cogroup(shared.unionByName(copies).groupBy("unit")).applyInArrow(_segments(buckets, length), SENT_DDL)
+    shared = dealt(scanned.where("bucket is not null").select("bucket", "unit", "blob"), "bucket").groupBy("bucket").applyInArrow(_shared_hashes, BACK_DDL)
+    sent = dealt(packed, "unit").groupBy("unit").cogroup(dealt(shared.unionByName(copies), "unit").groupBy("unit")).applyInArrow(_segments(buckets, length), SENT_DDL)
     sent = stage(sent, "segments")
     release(scanned)
-    covered = sent.where("bucket is not null").groupBy("bucket").applyInArrow(_covered(length), COVERED_DDL)
+    covered = dealt(sent.where("bucket is not null"), "bucket").groupBy("bucket").applyInArrow(_covered(length), COVERED_DDL)
     covered = covered.unionByName(sent.where("bucket is null").select("unit", "blob")).withColumn("copy", F.lit(None).cast("int"))
-    return packed.groupBy("unit").cogroup(covered.unionByName(copies).groupBy("unit")).applyInArrow(_finished(length, keep_text), RESULT_DDL)
+    return dealt(packed, "unit").groupBy("unit").cogroup(dealt(covered.unionByName(copies), "unit").groupBy("unit")).applyInArrow(_finished(length, keep_text), RESULT_DDL)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
