@@ -1,5 +1,6 @@
 """The near-copy stage against brute force, and the whole pipeline against a plain version of its stages."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -7,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -80,6 +82,8 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     rows = [(i, text(rng, 80) + "\n" + text(rng, 20)) for i in range(60)]
     rows += [(100 + i, text(rng, 30) + " stupid idiot moron scum " * 3) for i in range(30)]
     rows += [(200 + i, rows[5 + i][1]) for i in range(5)]
+    shared = "\n".join(text(rng, 9) for _ in range(12))
+    rows += [(220 + i, f"{text(rng, 70)}\n{shared}\n{text(rng, 20)}") for i in range(6)]
     rows += [(300 + i, text(rng, 20) + " " + bench[i][1] + " " + text(rng, 20)) for i in range(4)]
     rows += [(400, None), (401, "")]
     docs = pa.table({"doc_id": [i for i, _ in rows], "text": pa.array([t for _, t in rows], pa.string()), "lang": ["en"] * len(rows), "source": ["s"] * len(rows), "n_chars": [len(t or "") for _, t in rows]})
@@ -97,16 +101,13 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     seen, texts = set(), {}
     for i in sorted(clean):
         lines, chunks, now = (clean[i] or "").split("\n"), [], []
-        before = 0
+        h = [int(hashlib.md5(line.encode()).hexdigest()[:8], 16) for line in lines]
+        rolled = [h[k] + 31 * (h[k - 1] if k else 0) for k in range(len(h))]
         for k, line in enumerate(lines):
-            import hashlib
-
-            h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
             now.append(line)
-            if (before * 31 + h) % linededup.DIVISOR == 0 or k == len(lines) - 1:
+            if (1 <= k <= len(lines) - 3 and rolled[k] < min(rolled[k - 1], rolled[k + 1])) or k == len(lines) - 1:
                 chunks.append(now)
                 now = []
-            before = h
         kept = []
         for c in chunks:
             whole = "\n".join(c)
@@ -115,6 +116,7 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
             seen.add(whole)
             kept.append(whole)
         texts[i] = "\n".join(kept)
+    assert sum(len(texts[i]) < len(clean[i] or "") for i in range(221, 226)) == 5
     stays = [i for i in sorted(texts) if not any(j < i and similarity(texts[j], texts[i]) >= 0.8 for j in texts)]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
     windows = {tuple(w[k : k + 10]) for _, t in bench for w in [words(t)] for k in range(len(w) - 9)}
@@ -165,6 +167,33 @@ def test_true_copies_of_a_template_are_not_displaced(spark, monkeypatch):
             break
     got = {r.doc_id: r.group_id for r in nearcopies.near_copies(frame(spark, rows)).collect()}
     assert got == dict(enumerate(root))
+    # The same where the first pass finds nothing, lists are long and clusters have several blocks.
+    monkeypatch.setattr(nearcopies, "ALL_BITS", -1)
+    monkeypatch.setattr(nearcopies, "LIST", 8)
+    got = {r.doc_id: r.group_id for r in nearcopies.near_copies(frame(spark, rows), block_bytes=200_000).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_lists_stream_over_batches(monkeypatch):
+    """Long lists give a star of their groups, short ones their pairs, however the rows come in batches."""
+    monkeypatch.setattr(nearcopies, "LIST", 8)
+    rng = np.random.default_rng(2)
+    h = np.sort(np.repeat(np.arange(40), rng.integers(1, 30, 40)))
+    columns = [h, np.arange(len(h)), rng.integers(0, 500, len(h)), np.full(len(h), 50), np.zeros(len(h), np.int64)]
+    want_pairs, want_groups = set(), {}
+    for k in np.unique(h):
+        ids, comp = columns[1][h == k].tolist(), columns[2][h == k].tolist()
+        if len(ids) <= 8:
+            want_pairs |= {(a, b) for a in ids for b in ids if a < b and columns[2][a] != columns[2][b]}
+        elif len(set(comp)) > 1:
+            want_groups[k] = set(comp)
+    for n in (1, 3, 7, 1000):
+        found = list(nearcopies._meeting(0.8)(pa.RecordBatch.from_arrays([pa.array(c[i : i + n]) for c in columns], ["h", "id", "comp", "size", "at"]) for i in range(0, len(h), n)))
+        rows = {tuple(r.values()) for b in found for r in b.to_pylist()}
+        assert {(a, b) for a, b, least in rows if least is not None} == want_pairs
+        stars = {(a, b) for a, b, least in rows if least is None and a != b}
+        for own in want_groups.values():
+            assert any(own <= {c, *(b for a, b in stars if a == c), *(a for a, b in stars if b == c)} for c in own)
 
 
 def test_equal_fingerprints_do_not_make_copies(spark):
@@ -190,3 +219,19 @@ def test_repeated_shingles_do_not_hide_copies(spark):
     assert min(near[:10]) > 0.9 and min(near[10:]) >= 0.8 and max(near[10:]) < 0.85
     got = {r.doc_id: r.group_id for r in nearcopies.near_copies(frame(spark, rows)).collect()}
     assert all(got[2 * k + 1] == 2 * k == got[2 * k] for k in range(210))
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (1, "g h")]
+    docs = frame(spark, rows).withColumns({c: F.lit(1) for c in ("row", "id", "digest", "root", "n", "rows", "least", "t", "key", "__text", "__row", "group_id")})
+    kept = nearcopies.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "a b c d e f"), (1, "g h"), (None, "a b c d e f")], key=repr)
+    with pytest.raises(ValueError):
+        nearcopies.without_near_copies(docs.withColumn("_gone", F.lit(1)))
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -68,11 +68,14 @@ def test_lines_against_sql(spark, tmp_path, corpus):
 
 
 def test_lines_keep_columns_and_nulls(spark, docs):
-    got = linededup.remove_repeats(clashing(docs).withColumn("n_chars", F.length("text").cast("long")))
-    assert got.columns == [*clashing(docs).columns, "n_chars"] and got.count() == docs.count()
+    own = clashing(docs).drop("_row")
+    got = linededup.remove_repeats(own.withColumn("n_chars", F.length("text").cast("long")))
+    assert got.columns == [*own.columns, "n_chars"] and got.count() == docs.count()
     assert got.where("doc_id = 400").first().text is None
     assert got.where("n_chars <> length(text)").count() == 0
     assert linededup.remove_repeats(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        linededup.remove_repeats(clashing(docs))
 
 
 # Suffix arrays
@@ -148,6 +151,18 @@ def test_simhash_against_brute_force(spark, docs, corpus):
         simhash.near_groups(docs.select(F.lit(1).alias("fp")), 3)
 
 
+def test_hot_blocks_are_dealt_again(spark):
+    """Fingerprints that agree on half their bits: the same components whether a group is split or not."""
+    rng = random.Random(21)
+    fps = {0x1234567800000000 | rng.getrandbits(32) for _ in range(300)} | {0x1234567800000000 | 1 << i | 1 << j for i in range(32) for j in range(32)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    split = simhash._dealt(df, 8)
+    assert split.where("more >= 0").count() > 6 * 300 and split.where("more >= 0").groupBy("which", "block", "more", "sub").count().agg(F.max("count")).first()[0] < 300
+    whole = {r.fp: r.root for r in simhash.near_groups(df).collect()}
+    assert {r.fp: r.root for r in simhash.near_groups(df, group_rows=8).collect()} == whole
+    assert len(set(whole.values())) > 10 and len({whole[f] for f in fps if f & 0xFFFFFFFF in {1 << i for i in range(32)}}) == 1
+
+
 def test_gray_tree_finds_every_link():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -192,7 +207,7 @@ def test_vectors_against_brute_force(spark):
     rows = [(int(i), [float(np.float32(v)) for v in r]) for i, r in enumerate(x)] + [(5000 + i, [float(np.float32(v)) for v in x[0]]) for i in range(50)]
     odd = [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] + [1.0] * 15), (9003, [None] + [1.0] * 15), (9004, [1.0]), (9005, [float("inf")] + [1.0] * 15), (9006, [])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("label", F.lit(None).cast("int"))
-    got = {r.vec_id: r for r in embeddings.vector_groups(df, block=128).collect()}
+    got = {r.vec_id: r for r in embeddings.vector_groups(df, block_floats=128 * 16).collect()}
     m = np.array([r[1] for r in rows])
     m /= np.linalg.norm(m, axis=1)[:, None]
     near = m @ m.T >= 0.9
@@ -231,6 +246,26 @@ def test_secrets_against_brute_force(spark):
     assert secrets.scan_secrets(docs.where("false")).count() == 0
 
 
+def test_secrets_by_owners(spark):
+    """A token in many documents of one repository is a copied example; the same few times, in one or two, it is not."""
+    many, few = "Ab1" + "xY7zW2" * 4, "Cd5" + "pQ8rS3" * 4
+    rows = [(i, f"use {many} here {i}", "hot") for i in range(12)] + [(100 + i, f"use {few} here {i}", f"s{i % 2}") for i in range(9)]
+    rows += [(200 + i, f"use {few} here 0", "s0") for i in range(30)]  # copies of one document own once
+    got = {r.doc_id: [s.value for s in r.owned] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(not got[i] for i in range(12)) and all(got[i] == [few] for i in (*range(100, 109), *range(200, 230)))
+
+
+def test_secrets_of_a_long_text(spark):
+    rng = random.Random(5)
+    text = " ".join(f"{rng.getrandbits(64):016x} Zz9{'aB3dE5' * 3}{k:06d}" if k % 2 else f"token={'q' * 12}{k}" for k in range(100_000))
+    docs = spark.createDataFrame([(1, text, "s"), (None, None, None), (2, "", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    want = [(m.start(), 0, m.end()) for m in re.finditer(SECRETS, text) if len(m[2]) >= 12] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert [(s.start, s.kind, s.end) for s in got[1].base] == sorted(want)
+    assert len(got[1].owned) == 50_000 and all(text[s.start : s.end] == s.value for s in got[1].owned[::997])
+    assert not got[None].base and not got[2].live
+
+
 # Benchmark
 
 
@@ -251,10 +286,28 @@ def test_benchmark_against_brute_force(spark, docs, corpus):
                         hit.update(range(p, p + n))
                         found.add(i)
         want.append((d, len(w), len(hit), sorted(found)))
-    for options in ({}, {"shard_words": 50, "block_items": 3}):
+    for options in ({}, {"shard_words": 50, "block_items": 3}, {"block_words": 20}):
         got = decontam.benchmark_matches(clashing(docs), bench, **options).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=repr) == sorted(want, key=repr)
         assert all(sum(s.length for s in r.spans) == r.n_hit for r in got)
+    best = {}
+    for d, t in corpus:
+        w = split(t)
+        for i, q in items:
+            q = split(q)
+            for k in range(len(q)):
+                for p in range(len(w)):
+                    n = 0
+                    while k + n < len(q) and p + n < len(w) and q[k + n] == w[p + n]:
+                        n += 1
+                    if n >= min(10, len(q)):
+                        best[i] = max(best.get(i, 0), n)
+    texts = {d: split(t) for d, t in reversed(corpus)}
+    for options in ({}, {"shard_words": 50}):
+        got = decontam.longest_matches(docs, bench, **options).collect()
+        assert {r.item_id: r.length for r in got} == best
+        for r in got:
+            assert texts[r.doc_id][r.start : r.start + r.length] == split(dict(items)[r.item_id])[r.item_start : r.item_start + r.length]
     bad = {d for d, _, h, _ in want if h and d is not None}
     assert {r.doc_id for r in decontam.without_contaminated(docs, bench).collect()} == {d for d, *_ in want} - bad
     assert decontam.benchmark_matches(docs, bench.where("false")).where("n_hit > 0").count() == 0
@@ -292,6 +345,14 @@ def test_pii_patterns_against_regex():
         assert pii.base_spans(text) == slow_pii(text), text
 
 
+def test_pii_of_long_texts(spark):
+    digits, mails = "7" * 1_000_000, " ".join(f"u{k}@x.org" for k in range(50_000))
+    rows = [(1, digits), (2, "1." * 300_000), (3, mails), (4, "0" * 5000 + ".1.2.3"), (5, "a" * 300_000 + "@" * 1000), (6, "+1" * 100_000), (None, None)]
+    got = {r.doc_id: r for r in pii.find_private(spark.createDataFrame(rows, ID_TEXT)).collect()}
+    assert not got[1].base and not got[5].base and len(got[2].base) == 75_000 and len(got[3].base) == 50_000
+    assert [(s.kind, s.start, s.end) for s in got[4].base] == [(1, 0, 5006)]
+
+
 def test_pii_terms_reveal(spark):
     rng = random.Random(6)
     rows = [(i, f"{words_of(rng, 20)} common zanzibarov wrote from ann@mail.example.com {words_of(rng, 20)}") for i in range(6)]
@@ -343,6 +404,13 @@ def test_packing_round_trip(spark, corpus):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_keeps_large_and_null_ids(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(big, "one two"), (big + 2, "three"), (None, "four"), (None, None), (big, "one two")], ID_TEXT).coalesce(1)
+    got = sorted((r.doc_id for r in packing.pack(df).select("doc_id", "start").where("start = 0").collect()), key=repr)
+    assert got == sorted([big, big, big + 2, None, None], key=repr)
+
+
 # Chats
 
 
@@ -371,10 +439,27 @@ def test_chat_layouts(spark):
     assert len({chat.format_chats(f).first().formatted for f in frames}) == 1
     with pytest.raises(ValueError):
         chat.format_chats(spark.range(1))
+    # Rows of several layouts in one table, each by its own fingerprint; fields of no layout do not count.
+    mixed = "conv_id long, prompt string, completion string, response string, messages array<struct<role:string,content:string>>, score int"
+    rows = [(1, "q", "a", None, None, 3), (2, "q", None, "a", None, None), (3, None, None, None, [("user", "q"), ("assistant", "a")], None), (4, None, None, None, None, 1), (5, None, None, "a", None, None)]
+    got = {r.conv_id: r.formatted for r in chat.format_chats(spark.createDataFrame(rows, mixed)).collect()}
+    assert got[1] == got[2] == got[3] == chat.format_chats(frames[0]).first().formatted and got[4] == "" and "### user:\n</turn>" in got[5]
+    for row in ((6, "q", None, None, None, None), (7, "q", "a", "b", None, None)):
+        with pytest.raises(Exception, match="fits no declared layout"):
+            chat.format_chats(spark.createDataFrame([row], mixed)).collect()
+    partial = spark.createDataFrame([(1, "q", None, "a"), (2, None, "more", "a"), (3, None, None, None)], "conv_id long, instruction string, input string, output string")
+    assert {r.conv_id: len(r.turns) for r in chat.canonical_turns(partial).collect()} == {1: 2, 2: 2, 3: 0}
     nulls = spark.createDataFrame([(1, None)], "conv_id long, messages array<struct<role:string,content:string>>")
     assert chat.format_chats(nulls).first().formatted == ""
 
 
+def test_chat_with_many_turns(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("é ### "), F.col("id").cast("string")).alias("text"))
+    got = chat.format_chats(df).select("loss_spans", chat.masked(F.col("formatted"), F.col("loss_spans")).alias("learned"), F.size(chat.read_back(F.col("formatted"))).alias("n")).first()
+    assert got.n == n and got.learned == "".join(f"é ### {k}" for k in range(1, n, 2)) and len(got.loss_spans) == n // 2
+
+
 def test_chat_query_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
