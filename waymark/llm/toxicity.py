@@ -2,7 +2,7 @@
 
 A document is the mean of the vectors of all its subwords (the whole word between marks and its character n-grams, hashed into
 `buckets` rows) and `NEUTRAL` zero vectors; a linear softmax over that mean gives the score. Vectors and softmax are trained jointly in numpy by
-stochastic gradient steps on at most `per_class` labelled rows of each class (the least hashes of the ids), each class weighted to its
+stochastic gradient steps in one task, on at most `per_class` labelled rows of each class (the least hashes of the ids), each class weighted to its
 share among all labelled rows. The model has a fixed size, so sending it to every task is bounded; all texts are scored whole.
 
 Nulls: a null text counts as empty; a text without words gets the score of the class shares. Labels that are null, or
@@ -140,20 +140,32 @@ def score(raw: bytes, known: WordScores, bias: float) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Model from the labelled rows of docs(doc_id, text) and labels(doc_id, toxic)."""
+    """Model from the labelled rows of docs(doc_id, text) and labels(doc_id, toxic). The sample is bounded, so one task trains on it and the driver
+    gets the model alone."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     seen = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    texts, ys, each = [], [], []
-    for toxic in (0, 1):
-        ids = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
-        rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t")).orderBy("doc_id", "t").limit(per_class).collect()
-        texts += [bytes(r.t) for r in rows]
-        ys += [toxic] * len(rows)
-        each += [seen.get(toxic, 0) / max(1, len(rows))] * len(rows)
     total = seen.get(0, 0) + seen.get(1, 0)
     if not total:
         return Model(np.zeros(BUCKETS, np.float32), -math.inf)
-    return train(texts, np.array(ys, np.int64), np.array(each), seen.get(1, 0) / total)
+    prior = seen.get(1, 0) / total
+    sample = None
+    for toxic in (0, 1):
+        ids = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
+        rows = docs.join(F.broadcast(ids), "doc_id").select(F.lit(toxic).alias("toxic"), "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t")).orderBy("doc_id", "t").limit(per_class)
+        sample = rows if sample is None else sample.unionByName(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, texts = [], []
+        for b in batches:
+            labels += b.column(0).to_pylist()
+            texts += b.column(2).to_pylist()
+        ys = np.array(labels, np.int64)
+        each = np.array([seen[y] / labels.count(y) for y in (0, 1) if y in labels])[np.unique(ys, return_inverse=True)[1]] if labels else np.empty(0)
+        model = train(texts, ys, each, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weight", "bias"])
+
+    made = sample.repartition(1).sortWithinPartitions("toxic", "doc_id", "t").mapInArrow(run, "weight binary, bias double").first()
+    return Model(np.frombuffer(made.weight, np.float32), made.bias) if made else train([], np.empty(0, np.int64), np.empty(0), prior)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
