@@ -89,7 +89,10 @@ def meet(many: DataFrame, one: DataFrame, key: str, total: int, salt: Column, ho
     Spark's skew handling leaves joins alone whose other side is an aggregate on the same key. The salt must differ between the rows of a key.
     """
     limit = hot_limit(total)
-    return deal(many, hot_keys(one, key, limit), key, salt).join(copies(one, limit), [key, "_salt"], how).drop("_salt", "n")
+    hot = hot_keys(one, key, limit)
+    if how == "inner" and hot.isEmpty():
+        return many.join(one.drop("n"), key)
+    return deal(many, hot, key, salt).join(copies(one, limit), [key, "_salt"], how).drop("_salt", "n")
 
 
 def running(values: Column, combine: Callable[[Column, Column], Column] = lambda a, b: a + b, start: int = 0) -> Column:
@@ -105,10 +108,12 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _with_least(edges: DataFrame, limit: int) -> DataFrame:
+def _with_least(edges: DataFrame, limit: int | None) -> DataFrame:
     """edges(a, b) with m, the least b of each a. Nodes of more than limit edges meet their m by broadcast: of these there are at most
-    as many as limit goes into the number of edges."""
+    as many as limit goes into the number of edges. No limit: there are no such nodes."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    if limit is None:
+        return edges.join(least.drop("n"), "a")
     known = edges.join(F.broadcast(least.where(F.col("n") > limit).select("a", F.col("m").alias("hot"))), "a", "left")
     rest = known.where("hot is null").select("a", "b").join(least.select("a", "m"), "a")
     return known.where("hot is not null").select("a", "b", F.col("hot").alias("m")).unionByName(rest)
@@ -125,8 +130,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _state(edges)
     while True:
-        limit = hot_limit(2 * seen[0])
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # A node has no more edges after the first half of a round than it had neighbours before.
+        limit = hot_limit(2 * seen[0])
+        widest = both.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        limit = limit if widest is not None and widest > limit else None
         large = _with_least(both, limit).select("a", "b", F.least("a", "m").alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = _with_least(large.where("a <> b").distinct(), limit)
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
