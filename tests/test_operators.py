@@ -186,6 +186,57 @@ def test_detector_flags_deviation(spark):
     assert same.agg(F.sum("label")).first()[0] == 0 and far.agg(F.sum("label")).first()[0] >= 1
 
 
+def test_detector_loops_and_deviations():
+    """A run of three whose last cell is the first again is a loop and keeps two cells; any other unsupported run begins anew."""
+
+    def labels(seqs, tokens, **params):
+        d = ibdd.Detector(ibdd.IbddParams(**params), ibdd.Postings.of([list(s) for s in seqs]), 10.0, 1.0, 1.0)
+        return [d.take(t) for t in tokens], d
+
+    assert labels(["abcd"], "abqbrqz")[0] == [0, 0, 0, 0, 0, 1, 0]
+    got, d = labels(["abc"] * 3, "abababa", max_rl=2)
+    # a b a: unsupported, a loop, (b, a) stays; b a b: the second loop.
+    assert got == [0, 0, 0, 1, 0, 1, 0] and d.tail == ["b", "a"] and d.rl == 1
+    assert labels(["abc"] * 3, "abababa", max_rl=2, compat_loops=True)[0] == [0, 0, 0, 0, 0, 0, 1]
+    assert labels(["abcx", "bcd"], "abcd", theta=0.6)[0] == [0, 0, 0, 0]
+    assert labels(["abcde"] * 2, "abcde", last_three=False)[0] == [0] * 5
+
+
+def test_postings_follow_runs_and_leave_one_out():
+    index = ibdd.Postings.of([list("1234"), list("12345"), list("2345"), list("1212")])
+    run = index.then(index.then(index.at("1"), "2"), "3")
+    assert sorted(set((run >> 32).tolist())) == [0, 1] and len(index) == 4
+    left = index.without(1)
+    assert len(left) == 3 and (left.then(left.then(left.at("1"), "2"), "3") >> 32).tolist() == [0] and len(index.at("9")) == 0
+    assert ((ibdd.Postings.of([list("1212")]).then(ibdd.Postings.of([list("1212")]).at("1"), "2")) & 0xFFFFFFFF).tolist() == [1, 3]
+
+
+def test_comparison_detector_leaves_one_out(spark):
+    """Each trajectory against all others of its batch, in one part or many, and detections before the onset count as none."""
+    t0 = dt.datetime(2024, 1, 1)
+    path = lambda bend: [(55 + i * 0.001, 10.0 + 0.002 * max(0, i - bend)) for i in range(14)]
+    rows = [(100 * u + i, f"t{u}", u // 5, t0 + dt.timedelta(seconds=60 * i), lat, lon) for u in range(10) for i, (lat, lon) in enumerate(path(4 if u in (2, 7) else 99))]
+    points = spark.createDataFrame(rows, "event_id long, uid string, batch int, ts timestamp, lat double, lon double")
+    truth = spark.createDataFrame([(f"t{u}", u in (2, 7), t0 + dt.timedelta(seconds=60 * (3 if u == 2 else 13))) for u in range(10)], "uid string, anomalous boolean, onset timestamp")
+    seen, params = [], ibdd.IbddParams(separation=400.0, rate=20.0)
+    for size in (50_000, 20):
+        found = ibdd.leave_one_out(points, params, [18, 19], [0.1, 0.5], part_points=size)
+        seen.append(sorted((r.uid, r.precision, r.theta, tuple(r.event_ids)) for r in found.collect()))
+        assert all(r.fit_time > 0 and r.detect_time > 0 for r in found.collect())
+    assert seen[0] == seen[1] and len(seen[0]) == 40 and {u for u, _, _, e in seen[0] if e} == {"t2", "t7"}
+    out = ibdd.evaluate(points, truth, params, [18], [0.1]).collect()
+    by = {r.uid: r for r in out}
+    assert by["t2"].outcome and by["t2"].delay > 0 and not by["t7"].outcome and by["t7"].delay is None and not by["t0"].outcome
+    swept = evaluate.sweep(patterns.batch_rates(ibdd.evaluate(points, truth, params, [18], [0.1, 0.5])), "precision", "threshold").collect()
+    assert len(swept) == 2 and all(r.median_fit_time > 0 and r.median_detect_time > 0 for r in swept)
+    # With estimates of the others: parts of any size agree.
+    a, b = ([sorted(map(repr, ((r.uid, r.event_ids) for r in ibdd.leave_one_out(points, ibdd.IbddParams(), [18], [0.1], part_points=n).collect())))] for n in (50_000, 20))
+    assert a == b
+    estimated = {r.uid: (r.separation, r.rate) for r in ibdd.fold_estimates(points.where("uid in ('t0', 't1', 't2')").withColumn("batch", F.lit(0))).collect()}
+    steps = {r.uid: (r.separation, r.rate) for r in ibdd.estimates(points.where("uid in ('t1', 't2')").withColumn("user", F.lit(0)), "uid").collect()}
+    assert estimated["t0"][1] == pytest.approx((steps["t1"][1] + steps["t2"][1]) / 2)
+
+
 def test_simulation_and_batches(spark, tmp_path):
     places = [(55.36 + i * 0.002, 10.38 + i * 0.001) for i in range(7)]
     assert simulate.trajectory([simulate.WayPoint(*places[0], 60), simulate.WayPoint(*places[1])], 3) == simulate.trajectory([simulate.WayPoint(*places[0], 60), simulate.WayPoint(*places[1])], 3)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions.cells import cell_spacing, encode
@@ -13,6 +16,9 @@ from waymark.functions.geo import to_utm
 from waymark.operators.motion import motion
 
 
+_NOWHERE = np.zeros(0, np.int64)
+
+
 @dataclass(frozen=True)
 class IbddParams:
     """precision: of cells; theta: least support; limits for deviations (rd) and loops (rl); compat_loops: loops are never seen.
@@ -46,13 +52,39 @@ def estimates(points: DataFrame, key: str = "user", k: float = 3.0) -> DataFrame
     return agg
 
 
-def contains(seq: list[str], run: list[str]) -> bool:
-    n = len(run)
-    return any(seq[i : i + n] == run for i in range(len(seq) - n + 1))
+class Postings:
+    """Inverted index of support sequences: for each cell the sorted places where it stands, sequence << 32 | position.
+
+    The places of a run are an intersection: those of its last cell that lie one behind the places of the run before it. `own` leaves one
+    sequence out of all answers.
+    """
+
+    def __init__(self, places: dict[str, np.ndarray], total: int, own: int | None = None):
+        self.places, self.total, self.own, self._left = places, total, own, {}
+
+    @classmethod
+    def of(cls, seqs: list[list[str]]) -> Postings:
+        places: dict[str, list[int]] = {}
+        for k, seq in enumerate(seqs):
+            for i, cell in enumerate(seq):
+                places.setdefault(cell, []).append(k << 32 | i)
+        return cls({c: np.array(p, np.int64) for c, p in places.items()}, len(seqs))
+
+    def without(self, own: int) -> Postings:
+        return Postings(self.places, self.total, own)
 
+    def __len__(self) -> int:
+        return self.total - (self.own is not None)
 
-def support(seqs: list[list[str]], run: list[str]) -> float:
-    return sum(contains(s, run) for s in seqs) / len(seqs) if seqs else 0.0
+    def at(self, cell: str) -> np.ndarray:
+        if cell not in self._left:
+            found = self.places.get(cell, _NOWHERE)
+            self._left[cell] = found if self.own is None else found[found >> 32 != self.own]
+        return self._left[cell]
+
+    def then(self, run: np.ndarray, cell: str) -> np.ndarray:
+        """Places where cell comes right after a run that ends at the given places."""
+        return np.intersect1d(run + 1, self.at(cell), assume_unique=True)
 
 
 class CellRuns:
@@ -83,25 +115,45 @@ class CellRuns:
 
 
 class Detector:
-    """Labels points: 1 where deviations or loops reach their limits."""
+    """Labels points: 1 where deviations or loops reach their limits.
+
+    A run that too few of the working supports hold is a loop if its last cell is the one two before, and the last two cells stay; else it is
+    a deviation and the run begins anew. Either way all supports count again.
+    """
+
+    def __init__(self, params: IbddParams, index: Postings, spacing: float, separation: float, rate: float):
+        self.p, self.index, self.cells = params, index, CellRuns(spacing, separation, rate)
+        self.tail, self.pair, self.whole, self.working, self.rd, self.rl = [], _NOWHERE, _NOWHERE, None, 0, 0
 
-    def __init__(self, params: IbddParams, supports: list[list[str]], spacing: float, separation: float, rate: float):
-        self.p, self.all, self.cells = params, supports, CellRuns(spacing, separation, rate)
-        self.working, self.run, self.seen, self.rd, self.rl = supports, [], set(), 0, 0
+    def __getstate__(self) -> dict:
+        """Without the index, which is the same for all and travels apart."""
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
 
     def push(self, cell: str, x: float, y: float) -> int:
-        if (token := self.cells.push(cell, x, y)) is None:
-            return 0
-        self.run = [*self.run, token][-3:] if self.p.last_three else [*self.run, token]
-        if support(self.working, self.run) < self.p.theta:
-            if token in self.seen and not self.p.compat_loops:
-                self.rl += 1
+        token = self.cells.push(cell, x, y)
+        return 0 if token is None else self.take(token)
+
+    def take(self, token: str) -> int:
+        """The label of the next cell given out."""
+        before, pair = self.tail, self.index.at(token)
+        if before:
+            pair = self.index.then(self.index.at(before[-1]), token)
+        if len(before) < 2:
+            run = pair
+        else:
+            run = self.index.then(self.pair if self.p.last_three else self.whole, token)
+        holders = np.unique(run >> 32)
+        held = len(self.index) if self.working is None else len(self.working)
+        kept = holders if self.working is None else np.intersect1d(self.working, holders, assume_unique=True)
+        self.tail, self.pair, self.whole = [*before[-1:], token], pair, run
+        if (len(kept) / held if held else 0.0) < self.p.theta:
+            if len(before) == 2 and before[0] == token and not self.p.compat_loops:
+                self.whole, self.rl = pair, self.rl + 1
             else:
-                self.run, self.rd = [], self.rd + 1
-            self.working = self.all
+                self.tail, self.rd = [], self.rd + 1
+            self.working = None
         else:
-            self.working = [s for s in self.working if contains(s, self.run)]
-        self.seen.add(token)
+            self.working = kept
         if self.rd >= self.p.max_rd or self.rl >= self.p.max_rl:
             self.rd = self.rl = 0
             return 1
@@ -146,8 +198,117 @@ def detect(points: DataFrame, supports: DataFrame, params: IbddParams, key: str
         if g.empty:
             return pd.DataFrame({key: [], "event_id": [], "label": []})
         g = g.sort_values(["ts", "event_id"])
-        d = Detector(params, [list(s) for s in known.seq], spacing, float(g.separation.iloc[0] or 0) or float("inf"), max(float(g.rate.iloc[0] or 0), 1e-9))
+        d = Detector(params, Postings.of([list(s) for s in known.seq]), spacing, float(g.separation.iloc[0] or 0) or float("inf"), max(float(g.rate.iloc[0] or 0), 1e-9))
         return pd.DataFrame({key: g[key], "event_id": g.event_id, "label": [d.push(*p) for p in zip(g.cell, g.east, g.north, strict=True)]})
 
     rows = rows.select(key, "ts", "event_id", "cell", "east", "north", "separation", "rate")
     return rows.groupBy(key).cogroup(supports.groupBy(key)).applyInPandas(run, f"{key} {kind}, event_id long, label int")
+
+
+#: Points of trajectories that one task takes at a time.
+PART_POINTS = 50_000
+
+
+def fold_estimates(points: DataFrame, k: float = 3.0) -> DataFrame:
+    """For each trajectory of points(uid, batch, ...): `own_separation` and `own_rate`, and `separation` and `rate` of all others of its batch (the steps of all of them
+    together, the mean of their rates). Sums of a batch less the own ones, so nothing meets in pairs."""
+    moved = F.when(F.col("dt") > 0, F.col("dx"))
+    sums = {"steps": F.count(moved), "way": F.coalesce(F.sum(moved), F.lit(0.0)), "squares": F.coalesce(F.sum(moved * moved), F.lit(0.0)), "own_rate": F.when(F.count("*") > 1, F.sum("dx") / F.count("*"))}
+    each = motion(points, "uid").groupBy("batch", "uid").agg(*[c.alias(n) for n, c in sums.items()], F.count("*").alias("points"))
+    total = each.groupBy("batch").agg(*[F.sum(c).alias(f"all_{c}") for c in ("steps", "way", "squares", "own_rate", "points")], F.count("own_rate").alias("rates"), F.count("*").alias("members"))
+    both = each.join(total, "batch")
+    spread = lambda n, s, q: s / n + k * F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))
+    n, s, q = (F.col(f"all_{c}") - F.col(c) for c in ("steps", "way", "squares"))
+    others = F.col("rates") - F.col("own_rate").isNotNull().cast("int")
+    return both.select(
+        "batch", "uid", "points", "all_points", "members", "own_rate",
+        F.when(F.col("steps") > 0, spread(F.col("steps"), F.col("way"), F.col("squares"))).alias("own_separation"),
+        F.when(n > 0, spread(n, s, q)).alias("separation"),
+        F.when(others > 0, (F.col("all_own_rate") - F.coalesce("own_rate", F.lit(0.0))) / others).alias("rate"),
+    )
+
+
+def _limits(separation: float | None, rate: float | None) -> tuple[float, float]:
+    """Without steps nothing is too far; without a rate no cell is barely touched by its number of points alone."""
+    known = lambda v: v is not None and v == v and v > 0
+    return float(separation) if known(separation) else float("inf"), float(rate) if known(rate) else 1e-9
+
+
+def learned(rows: DataFrame, kind: str) -> DataFrame:
+    """(batch, precision, uid, seq, fit_time): the cells of each trajectory of rows under its own estimates, all of them kept."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        began = time.perf_counter()
+        g, first = g.sort_values(["ts", "event_id"]), g.iloc[0]
+        cells = CellRuns(float(first.spacing), *_limits(first.own_separation, first.own_rate))
+        seq = [c for c in (cells.push(*p) for p in zip(g.cell, g.east, g.north, strict=True)) if c] + [n for n, _ in cells.runs[-1:]]
+        return pd.DataFrame({"batch": [first.batch], "precision": [first.precision], "uid": [first.uid], "seq": [seq], "fit_time": [time.perf_counter() - began]})
+
+    return rows.groupBy("batch", "precision", "uid").applyInPandas(run, f"{kind}, seq array<string>, fit_time double")
+
+
+def postings(known: DataFrame) -> DataFrame:
+    """(batch, precision, cell, places): where each cell stands in the sequences of known(batch, precision, number, seq)."""
+    each = known.select("batch", "precision", "number", F.posexplode("seq").alias("place", "cell"))
+    at = F.shiftleft(F.col("number").cast("long"), 32) + F.col("place")
+    return each.groupBy("batch", "precision", "cell").agg(F.array_sort(F.collect_list(at)).alias("places"))
+
+
+def leave_one_out(points: DataFrame, params: IbddParams, precisions: list[int], thetas: list[float], part_points: int = PART_POINTS) -> DataFrame:
+    """(batch, precision, theta, uid, event_ids, fit_time, detect_time): the points that get label 1, for each trajectory of points(uid, batch, event_id, ts, lat, lon) against all
+    others of its batch, at all parameters in one plan.
+
+    Sequences are learned and indexed once a batch. A trajectory leaves its own postings out, and meets those of the cells that it and the other
+    trajectories of its part of the batch pass (parts have about part_points points). fit_time: seconds that the others' sequences took, detect_time: its own.
+    """
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("uid", "batch")}
+    kind = f"batch {kinds['batch']}, precision int, uid {kinds['uid']}"
+    base = celled(points, precisions[0]).drop("cell")
+    cells = F.array(*[F.struct(F.lit(p).alias("precision"), encode(F.col("lat"), F.col("lon"), p).alias("cell"), F.lit(cell_spacing(p)).alias("spacing")) for p in precisions])
+    rows = base.select("uid", "batch", "event_id", "ts", "east", "north", F.explode(cells).alias("c")).select("*", "c.*").drop("c")
+    rows = rows.join(fold_estimates(points), ["batch", "uid"])
+    rows = rows.withColumns({n: F.lit(float(v)) for v, ns in ((params.separation, ("separation", "own_separation")), (params.rate, ("rate", "own_rate"))) if v is not None for n in ns})
+    known = learned(rows.select("batch", "precision", "uid", "event_id", "ts", "cell", "east", "north", "spacing", "own_separation", "own_rate"), kind)
+    order = W.partitionBy("batch", "precision")
+    known = known.withColumn("number", F.row_number().over(order.orderBy("uid"))).withColumn("fit_time", F.sum("fit_time").over(order) - F.col("fit_time"))
+    parted = rows.join(known.select("batch", "precision", "uid", "number", "fit_time"), ["batch", "precision", "uid"])
+    part = F.pmod(F.xxhash64("uid"), F.ceil(F.col("all_points") / part_points)).cast("int")
+    parted = parted.select("batch", "precision", part.alias("part"), "uid", "number", "members", "fit_time", "event_id", "ts", "cell", "east", "north", "spacing", "separation", "rate")
+    group = ["batch", "precision", "part"]
+    met = parted.select(*group, "cell").distinct().join(postings(known), ["batch", "precision", "cell"])
+
+    def run(key: tuple, g: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if not g.empty:
+            whole = Postings({c: np.asarray(p, np.int64) for c, p in zip(index.cell_, index.places, strict=True)}, int(g.members.iloc[0]))
+        for uid, own in g.groupby("uid", sort=False):
+            own, first = own.sort_values(["ts", "event_id"]), own.iloc[0]
+            cells = CellRuns(float(first.spacing), *_limits(first.separation, first.rate))
+            given = [(e, t) for e, *p in zip(own.event_id, own.cell, own.east, own.north, strict=True) if (t := cells.push(*p)) is not None]
+            others = whole.without(int(first.number))
+            for theta in thetas:
+                began = time.perf_counter()
+                d = Detector(replace(params, theta=theta), others, float(first.spacing), 1.0, 1.0)
+                hits = [e for e, t in given if d.take(t)]
+                out.append((key[0], key[1], theta, uid, hits, first.fit_time, time.perf_counter() - began))
+        return pd.DataFrame(out, columns=["batch", "precision", "theta", "uid", "event_ids", "fit_time", "detect_time"])
+
+    schema = f"batch {kinds['batch']}, precision int, theta double, uid {kinds['uid']}, event_ids array<bigint>, fit_time double, detect_time double"
+    met = met.select(*[F.col(c).alias(f"{c}_") for c in (*group, "cell")], "places")  # names of its own: both sides come from the same rows
+    return parted.groupBy(group).cogroup(met.groupBy(*[f"{c}_" for c in group])).applyInPandas(run, schema)
+
+
+def evaluate(points: DataFrame, truth: DataFrame, params: IbddParams, precisions: list[int], thetas: list[float]) -> DataFrame:
+    """Leave-one-out outcomes of all trajectories at all parameters: (precision, threshold, batch, uid, anomalous, outcome, delay, fit_time, detect_time); threshold is theta.
+
+    truth(uid, anomalous, onset). delay: seconds from the onset of an anomalous trajectory to its first detection. A detection before the onset is none:
+    outcome is false and delay null.
+    """
+    found = leave_one_out(points, params, precisions, thetas)
+    each = found.select("precision", "theta", "uid", F.explode("event_ids").alias("event_id")).join(points.select("event_id", "ts"), "event_id")
+    first = each.groupBy("precision", "theta", "uid").agg(F.min("ts").alias("first_ts"))
+    rows = found.drop("event_ids").join(first, ["precision", "theta", "uid"], "left").join(truth, "uid")
+    late = (F.unix_micros(F.col("first_ts").cast("timestamp")) - F.unix_micros(F.col("onset").cast("timestamp"))) / 1e6
+    early = F.coalesce(F.col("anomalous") & (late < 0), F.lit(False))
+    outcome = F.col("first_ts").isNotNull() & ~early
+    return rows.select("precision", F.col("theta").alias("threshold"), "batch", "uid", "anomalous", outcome.alias("outcome"), F.when(outcome & F.col("anomalous"), late).alias("delay"), "fit_time", "detect_time")

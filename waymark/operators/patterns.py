@@ -74,7 +74,7 @@ def evaluate(points: DataFrame, truth: DataFrame, precisions: list[int], thresho
 
 
 def batch_rates(outcomes: DataFrame) -> DataFrame:
-    """Confusion counts and both AUCs of each batch at each parameter, with the median delay."""
+    """Confusion counts and both AUCs of each batch at each parameter, with the median delay and, where measured, the median times."""
     found = rates(outcomes, "precision", "threshold", "batch")
-    late = outcomes.groupBy("precision", "threshold", "batch").agg(F.median("delay").alias("delay"))
+    late = outcomes.groupBy("precision", "threshold", "batch").agg(*[F.median(c).alias(c) for c in ("delay", "fit_time", "detect_time") if c in outcomes.columns])
     return found.join(late, ["precision", "threshold", "batch"])

@@ -9,7 +9,8 @@ from waymark.functions.cells import ALPHABETS, encode
 from waymark.functions.geo import near_path, path_length, point_along
 from waymark.functions.sequences import common_subsequence, contains_run, drop_repeats, interpolated, line_of
 from waymark.operators.evaluate import sweep
-from waymark.operators.ibdd import IbddParams, detect, fit
+from waymark.operators.ibdd import IbddParams, fit, leave_one_out
+from waymark.operators.ibdd import evaluate as ibdd_evaluate
 from waymark.operators.patterns import PatternParams, batch_rates, evaluate
 from waymark.operators.patterns import detect as pattern_detector
 from waymark.operators.patterns import fit as pattern_fit
@@ -247,18 +248,6 @@ def sequence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("user", "day", F.size("line").cast("long").alias("n"), F.round("length", 3).alias("length"), F.round("half.x", 3).alias("half_x"), F.round("half.y", 3).alias("half_y"), near.alias("near_middle"))
 
 
-@query(None)
-def ibdd_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    params = IbddParams(precision=LEVEL)
-    known = fit(p, params)
-    # Users come in batches of fifteen; each meets the sequences of all others of its batch.
-    batch = F.floor(F.col("user") / 15)
-    mine = p.select("user").distinct().withColumn("batch", batch)
-    others = known.withColumn("batch", batch).withColumnRenamed("user", "owner").join(mine, "batch").where("user <> owner").select("user", "seq")
-    return detect(p, others, params)
-
-
 #: Runs of points in one cell, without noise and cells barely touched: what closes a run is the next cell.
 IBDD = f"""RECURSIVE {STEPS}, {sql_spacing(LEVEL)},
 measured AS (SELECT "user", CASE WHEN coalesce(avg(dx) FILTER (WHERE dt > 0) + 3 * stddev_pop(dx) FILTER (WHERE dt > 0), 0) = 0 THEN 'inf'::DOUBLE ELSE avg(dx) FILTER (WHERE dt > 0) + 3 * stddev_pop(dx) FILTER (WHERE dt > 0) END AS separation, greatest(CASE WHEN count(*) > 1 THEN sum(dx) / count(*) ELSE 0 END, 1e-9::DOUBLE) AS rate FROM steps GROUP BY "user"),
@@ -280,6 +269,99 @@ def ibdd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit(points(spark, sf_dir), IbddParams(precision=LEVEL))
 
 
+THETAS = (0.05, 0.1, 0.2)
+
+
+def _ibdd_loo_sql(levels: tuple[int, ...], thetas: tuple[float, ...], batch: str) -> str:
+    """Leave-one-out of the comparison detector over all users of a batch: labels(precision, theta, uid, event_id) of the points with label 1.
+
+    Two folds, a row a step for all users side by side: cells given out (under own estimates for what is learned, under the others' for what is
+    tested), then runs of at most three cells against the owners of equal runs."""
+    spacing = ", ".join(f"spacing{level} AS (WITH {sql_spacing(level)} SELECT spacing FROM spacing)" for level in levels)
+    cells = " UNION ALL ".join(f"SELECT {level} AS precision, lat, lon, {_hilbert_sql('lat', 'lon', level)} AS c, spacing FROM (SELECT DISTINCT lat, lon FROM points), spacing{level}" for level in levels)
+    limit = lambda v: f"CASE WHEN coalesce({v}, 0) > 0 THEN {v} ELSE 'inf'::DOUBLE END"
+    spread = lambda n, s, q: f"({s} / {n} + 3 * sqrt(greatest({q} / {n} - ({s} / {n}) * ({s} / {n}), 0)))"
+    kept = "list_filter(coalesce(g.owners, []), lambda o: o <> n.uid AND (n.working IS NULL OR list_contains(n.working, o)))"
+    return f"""RECURSIVE {STEPS}, {spacing},
+cells AS MATERIALIZED ({cells}),
+sums AS (SELECT "user" AS uid, {batch} AS batch, count(*) FILTER (WHERE dt > 0) AS n, coalesce(sum(dx) FILTER (WHERE dt > 0), 0) AS s, coalesce(sum(dx * dx) FILTER (WHERE dt > 0), 0) AS q, CASE WHEN count(*) > 1 THEN sum(dx) / count(*) END AS rate FROM steps GROUP BY ALL),
+total AS (SELECT batch, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(rate) AS rate, count(rate) AS rates, count(*) AS members FROM sums GROUP BY batch),
+folds AS MATERIALIZED (
+  SELECT uid, batch, members, 0 AS fold, {limit(spread('a.n', 'a.s', 'a.q'))} AS separation, CASE WHEN a.rate > 0 THEN a.rate ELSE 1e-9::DOUBLE END AS rate FROM sums a JOIN total b USING (batch)
+  UNION ALL SELECT uid, batch, members, 1, {limit(spread('(b.n - a.n)', '(b.s - a.s)', '(b.q - a.q)'))}, CASE WHEN b.rates > (a.rate IS NOT NULL)::INTEGER AND (b.rate - coalesce(a.rate, 0)) > 0 THEN (b.rate - coalesce(a.rate, 0)) / (b.rates - (a.rate IS NOT NULL)::INTEGER) ELSE 1e-9::DOUBLE END FROM sums a JOIN total b USING (batch)),
+q AS MATERIALIZED (SELECT fold, precision, uid, batch, event_id, c, east AS x, north AS y, separation, rate, spacing, row_number() OVER (PARTITION BY fold, precision, uid ORDER BY ts, event_id) AS i FROM {sql_utm('points')} JOIN cells USING (lat, lon) JOIN folds ON uid = "user"),
+m AS (
+  SELECT fold, precision, uid, i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS STRUCT(c VARCHAR, x DOUBLE, y DOUBLE, way DOUBLE, n INTEGER)) AS past, {{'c': c, 'x': x, 'y': y, 'way': 0::DOUBLE, 'n': 1}} AS now, CAST(NULL AS VARCHAR) AS token FROM q WHERE i = 1
+  UNION ALL
+  SELECT fold, precision, uid, i, event_id, CASE WHEN act = 'same' THEN past WHEN act = 'bounce' THEN NULL WHEN act = 'drop' THEN past ELSE now END,
+    CASE act WHEN 'same' THEN {{'c': c, 'x': x, 'y': y, 'way': now.way + step, 'n': now.n + 1}} WHEN 'bounce' THEN {{'c': c, 'x': x, 'y': y, 'way': past.way + sqrt(pow(past.x - x, 2) + pow(past.y - y, 2)), 'n': past.n + 1}} ELSE {{'c': c, 'x': x, 'y': y, 'way': 0::DOUBLE, 'n': 1}} END,
+    CASE WHEN act = 'next' THEN now.c END
+  FROM (SELECT *, CASE WHEN now.c = c THEN 'same' WHEN step >= separation OR (now.way <= spacing / 3 AND now.n <= spacing / (5 * rate)) THEN CASE WHEN past.c = c THEN 'bounce' ELSE 'drop' END ELSE 'next' END AS act
+    FROM (SELECT m.fold, m.precision, m.uid, q.i, q.event_id, q.c, q.x, q.y, q.separation, q.rate, q.spacing, m.past, m.now, sqrt(pow(m.now.x - q.x, 2) + pow(m.now.y - q.y, 2)) AS step FROM m JOIN q ON q.fold = m.fold AND q.precision = m.precision AND q.uid = m.uid AND q.i = m.i + 1))),
+learned AS (SELECT precision, uid, i, token FROM m WHERE fold = 0 AND token IS NOT NULL UNION ALL SELECT precision, uid, i + 1, now.c FROM m WHERE fold = 0 AND (m.precision, m.uid, m.i) IN (SELECT (precision, uid, max(i)) FROM q GROUP BY precision, uid)),
+behind AS (SELECT precision, uid, token AS a, lag(token) OVER w AS b, lag(token, 2) OVER w AS c FROM learned WINDOW w AS (PARTITION BY precision, uid ORDER BY i)),
+grams AS MATERIALIZED (SELECT precision, batch, run, list(DISTINCT uid) AS owners FROM (
+  SELECT precision, uid, unnest(list_filter([a, b || '-' || a, c || '-' || b || '-' || a], lambda r: r IS NOT NULL)) AS run FROM behind) JOIN (SELECT uid, batch FROM sums) USING (uid) GROUP BY ALL),
+given AS MATERIALIZED (SELECT precision, uid, batch, members, event_id, token, row_number() OVER (PARTITION BY precision, uid ORDER BY i) AS j FROM m JOIN (SELECT uid, batch, members FROM folds WHERE fold = 1) USING (uid) WHERE m.fold = 1 AND token IS NOT NULL),
+d AS (
+  SELECT precision, theta, uid, 0::BIGINT AS j, CAST([] AS VARCHAR[]) AS run, CAST(NULL AS BIGINT[]) AS working, 0 AS rd, 0 AS rl, 0 AS label, CAST(NULL AS BIGINT) AS event_id FROM (SELECT DISTINCT precision, uid FROM given), (VALUES {', '.join(f'({t}::DOUBLE)' for t in thetas)}) AS t(theta)
+  UNION ALL
+  SELECT precision, theta, uid, j, run, working, CASE WHEN full_ THEN 0 ELSE rd END, CASE WHEN full_ THEN 0 ELSE rl END, full_::INTEGER, event_id FROM (
+    SELECT *, rd >= 3 OR rl >= 3 AS full_ FROM (
+      SELECT precision, theta, uid, j, event_id, CASE WHEN NOT low THEN run WHEN loop_ THEN run[2:3] ELSE [] END AS run, CASE WHEN low THEN NULL ELSE kept END AS working, rd + (low AND NOT loop_)::INTEGER AS rd, rl + (low AND loop_)::INTEGER AS rl FROM (
+        SELECT *, CASE WHEN held > 0 THEN len(kept) / held::DOUBLE ELSE 0 END < theta AS low, len(run) = 3 AND run[1] = run[3] AS loop_ FROM (
+          SELECT n.precision, n.theta, n.uid, n.j, n.event_id, n.run, n.rd, n.rl, CASE WHEN n.working IS NULL THEN n.members - 1 ELSE len(n.working) END AS held, {kept} AS kept FROM (
+            SELECT d.precision, d.theta, d.uid, s.j, s.event_id, s.batch, s.members, list_append(d.run, s.token)[greatest(1, len(d.run) - 1):len(d.run) + 1] AS run, d.working, d.rd, d.rl FROM d JOIN given s ON s.precision = d.precision AND s.uid = d.uid AND s.j = d.j + 1) n
+          LEFT JOIN grams g ON g.precision = n.precision AND g.batch = n.batch AND g.run = array_to_string(n.run, '-')))))),
+labels AS (SELECT precision, theta, uid, event_id FROM d WHERE label = 1)"""
+
+
+@query(f"""WITH {_ibdd_loo_sql((LEVEL,), (0.1,), '0')} SELECT "user", p.event_id, CAST(l.event_id IS NOT NULL AS INTEGER) AS label FROM points p LEFT JOIN labels l USING (event_id)""")
+def ibdd_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's points against the sequences of all other users."""
+    p = points(spark, sf_dir)
+    found = leave_one_out(p.withColumns({"uid": F.col("user"), "batch": F.lit(0)}), IbddParams(), [LEVEL], [0.1])
+    hits = found.select(F.explode("event_ids").alias("event_id"), F.lit(1).alias("label"))
+    return p.select("user", "event_id").join(hits, "event_id", "left").select("user", "event_id", F.coalesce("label", F.lit(0)).alias("label"))
+
+
+#: A batch is the users of one nation (a user is the customer with that key), a trajectory a user's points. Every third user counts as anomalous from the fifth day of the own track on.
+IBDD_LOO = f"""{_ibdd_loo_sql(LEVELS, THETAS, '(SELECT any_value(c_nationkey) FROM customer WHERE c_custkey = steps."user")')},
+truth AS (SELECT "user" AS uid, any_value("user") % 3 = 0 AS anomalous, min(ts) + INTERVAL '5 days' AS onset FROM points GROUP BY 1),
+params AS (SELECT * FROM (VALUES {', '.join(f'({level})' for level in LEVELS)}) AS a(precision), (VALUES {', '.join(f'({t}::DOUBLE)' for t in THETAS)}) AS b(threshold)),
+hit AS (SELECT precision, theta AS threshold, uid, min(ts) AS first_ts FROM labels JOIN points USING (event_id) GROUP BY ALL),
+timed AS (SELECT precision, threshold, batch, uid, anomalous, first_ts, (epoch_us(first_ts) - epoch_us(onset)) / 1000000.0::DOUBLE AS late FROM truth CROSS JOIN params JOIN (SELECT uid, batch FROM sums) USING (uid) LEFT JOIN hit USING (precision, threshold, uid)),
+outcomes AS (SELECT precision, threshold, batch, uid, anomalous, first_ts IS NOT NULL AND NOT coalesce(anomalous AND late < 0, false) AS outcome, CASE WHEN anomalous AND late >= 0 THEN late END AS delay FROM timed),
+confusion AS (SELECT precision, threshold, batch, count(*) FILTER (WHERE anomalous AND outcome) AS tp, count(*) FILTER (WHERE anomalous AND NOT outcome) AS fn, count(*) FILTER (WHERE NOT anomalous AND outcome) AS fp, count(*) FILTER (WHERE NOT anomalous AND NOT outcome) AS tn, median(delay) AS delay FROM outcomes GROUP BY ALL),
+rated AS (SELECT *, CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (tp / (tp + fn)::DOUBLE + tn / (tn + fp)::DOUBLE) / 2 ELSE 0 END AS auc, CASE WHEN tp + fp > 0 AND tn + fn > 0 THEN (tp / (tp + fp)::DOUBLE + tn / (tn + fn)::DOUBLE) / 2 ELSE 0 END AS auc_swapped FROM confusion)"""
+
+
+def _ibdd_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("batch"))
+    p = points(spark, sf_dir).join(nations, "user", "left").withColumn("uid", F.col("user"))
+    truth = p.groupBy("uid").agg((F.first("user") % 3 == 0).alias("anomalous"), (F.min("ts") + F.expr("INTERVAL 5 DAYS")).alias("onset"))
+    return ibdd_evaluate(p, truth, IbddParams(), list(LEVELS), list(THETAS))
+
+
+@query(f"""WITH {IBDD_LOO} SELECT precision, threshold, batch, uid, anomalous, outcome, round(delay, 3) AS delay FROM outcomes""")
+def ibdd_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-out of the comparison detector: every user of every nation, three levels by three thetas."""
+    return _ibdd_outcomes(spark, sf_dir).select("precision", "threshold", "batch", "uid", "anomalous", "outcome", F.round("delay", 3).alias("delay"))
+
+
+@query(f"""WITH {IBDD_LOO} SELECT precision, threshold, batch, tp, fn, fp, tn, round(auc, 9) AS auc, round(auc_swapped, 9) AS auc_swapped, round(delay, 3) AS delay FROM rated""")
+def ibdd_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = batch_rates(_ibdd_outcomes(spark, sf_dir))
+    return r.select("precision", "threshold", "batch", "tp", "fn", "fp", "tn", F.round("auc", 9).alias("auc"), F.round("auc_swapped", 9).alias("auc_swapped"), F.round("delay", 3).alias("delay"))
+
+
+@query(f"""WITH {IBDD_LOO} SELECT precision, threshold, round(median(auc), 9) AS median_auc, round(median(delay), 3) AS median_delay FROM rated GROUP BY ALL""")
+def ibdd_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians over the nations for each level and theta; sweep() also has the median fit and detect times, which no SQL can repeat."""
+    r = sweep(batch_rates(_ibdd_outcomes(spark, sf_dir)), "precision", "threshold")
+    return r.select("precision", "threshold", F.round("median_auc", 9).alias("median_auc"), F.round("median_delay", 3).alias("median_delay"))
+
+
 @query(f"""WITH {TOKENS} SELECT "user", count(*) AS n_rows, count(DISTINCT geohash) AS n_cells FROM tokens GROUP BY "user" """)
 def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).groupBy("user").agg(F.count("*").alias("n_rows"), F.countDistinct("geohash").alias("n_cells"))

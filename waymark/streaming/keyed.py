@@ -18,7 +18,7 @@ from waymark.functions.cells import cell_spacing, encode
 from waymark.functions.scalars import period_micros, unix_seconds
 from waymark.functions.sequences import line_cells
 from waymark.operators.compress import Machine, StreamParams, compressed_rows
-from waymark.operators.ibdd import Detector, IbddParams, celled
+from waymark.operators.ibdd import Detector, IbddParams, Postings, celled
 
 OUT = "user long, session long, traj long, ord int, ts double, lat double, lon double, weight double, dx double, dt double, speed double, acceleration double"
 
@@ -246,18 +246,16 @@ class DetectorProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("detector", "data binary")
+        self.index = Postings.of(self.supports)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             d = pickle.loads(self.state.get()[0])
-            d.all = self.supports
-            d.working = [self.supports[k] for k in d.working]
+            d.index = self.index
         else:
-            d = Detector(self.params, self.supports, self.spacing, self.params.separation, self.params.rate)
+            d = Detector(self.params, self.index, self.spacing, self.params.separation, self.params.rate)
         every = pd.concat(list(rows)).sort_values(["t", "event_id"])
         out = [(int(key[0]), e, d.push(*p)) for e, *p in zip(every.event_id, every.cell, every.east, every.north, strict=True)]
-        number = {id(s): k for k, s in enumerate(self.supports)}
-        d.working, d.all = [number[id(s)] for s in d.working], []
         self.state.update((pickle.dumps(d),))
         yield pd.DataFrame(out, columns=["user", "event_id", "label"])
 
