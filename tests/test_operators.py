@@ -143,6 +143,28 @@ def test_radius_pairs_against_all(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("blocks", [4096, 16])
+def test_radius_pairs_on_the_seam_the_poles_and_in_hot_cells(spark, blocks):
+    """As brute force finds them; with blocks of 16 rows the cell with a third of all places is dealt over pairs of blocks."""
+    rng = random.Random(4)
+    far = [(i, rng.uniform(-0.0008, 0.0008), (180 + rng.uniform(-0.0008, 0.0008) + 180) % 360 - 180) for i in range(60)]
+    far += [(100 + i, pole * (90 - rng.random() * 0.0008), rng.uniform(-180, 180)) for i in range(40) for pole in (1, -1) if (pole == 1) == (i % 2 == 0)]
+    far += [(200 + i, 55 + rng.random() * 0.0002, 10 + rng.random() * 0.0002) for i in range(60)]
+    far += [(300, 90.0, 0.0), (301, 90.0, 77.0), (302, -90.0, 0.0), (303, 0.0, 180.0), (304, 0.0, -180.0)]
+    places = spark.createDataFrame(far, "id long, lat double, lon double")
+    got = sorted((r.src, r.dst) for r in joins.radius_pairs(places, 60, block_rows=blocks).collect())
+    want = sorted((a[0], b[0]) for a in far for b in far if a[0] < b[0] and compress.great_circle(*a[1:], *b[1:]) <= 60)
+    assert got == want and (300, 301) in got and (303, 304) in got and sum(a >= 200 and b < 300 for a, b in got) > 1000
+
+
+def test_radius_join_of_wide_and_of_no_distance(spark):
+    rows = [(1, 10.0, 20.0), (2, 10.0, 20.0), (3, -10.0, -160.0), (4, 40.0, 100.0)]
+    a = spark.createDataFrame(rows, "a_id long, a_lat double, a_lon double").withColumn("a_user", F.col("a_id") % 2)
+    b = spark.createDataFrame(rows, "b_id long, b_lat double, b_lon double").withColumn("b_user", F.col("b_id") % 2)
+    assert joins.radius_join(a, b, 30_000_000).count() == 16 and joins.radius_join(a, b, 30_000_000, by="user").count() == 8
+    assert sorted((r.a_id, r.b_id) for r in joins.radius_join(a, b, 0).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 4)]
+
+
 def test_filters(spark):
     p = frame(spark, [(55, 10, 0)])
     with pytest.raises(ValueError):

@@ -9,33 +9,75 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import EARTH_RADIUS, haversine, in_ring
+from waymark.sources.tables import staged
 
 
-def _cell(lat: Column, lon: Column, step: float, shrink: float) -> tuple[Column, Column]:
-    return F.floor((lat + 90) / step).cast("long"), F.floor((lon + 180) / step * shrink).cast("long")
+#: Rows of one side that meet in one task; a cell with more is cut into blocks. Of larger inputs the cells above a share of 1 in
+#: HOT_CELLS are cut instead, so the list of cells that are cut, which is broadcast, stays under HOT_CELLS rows.
+BLOCK_ROWS = 4096
+HOT_CELLS = 1 << 16
 
 
-def _bucketed(rows: DataFrame, metres: float, prefix: str, around: bool) -> DataFrame:
-    """Rows with a grid cell at least `metres` wide up to 80 degrees of latitude; around: a copy in each of the 3 by 3 cells."""
-    step = math.degrees(metres / EARTH_RADIUS) * 1.0001
-    cy, cx = _cell(F.col(f"{prefix}lat"), F.col(f"{prefix}lon"), step, math.cos(math.radians(80)))
-    if not around:
-        return rows.withColumns({"_cy": cy, "_cx": cx})
-    near = F.explode(F.array(*[F.struct((cy + dy).alias("y"), (cx + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    return rows.withColumn("_c", near).withColumns({"_cy": F.col("_c.y"), "_cx": F.col("_c.x")}).drop("_c")
+def _on_sphere(rows: DataFrame, prefix: str) -> DataFrame:
+    """rows with their place on the unit sphere: a grid of three axes has neither seam nor poles."""
+    lat, lon = F.radians(f"{prefix}lat"), F.radians(f"{prefix}lon")
+    return rows.withColumns({"_x": F.cos(lat) * F.cos(lon), "_y": F.cos(lat) * F.sin(lon), "_z": F.sin(lat)})
 
 
-def radius_join(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
-    """Pairs of a(a_id, a_lat, a_lon) and b(b_id, b_lat, b_lon) within a great-circle distance, with `dist`."""
-    both = _bucketed(a, metres, "a_", False).join(_bucketed(b, metres, "b_", True), ["_cy", "_cx"])
+def _reached(reach: float, side: float) -> Column:
+    """Cells of the grid that come as near to the place (_x, _y, _z) as reach and that the sphere passes through."""
+
+    def axis(v: str) -> Column:
+        cells = F.sequence(F.floor((F.col(v) - reach) / side), F.floor((F.col(v) + reach) / side))
+        low, high = (lambda i: i * side), (lambda i: (i + 1) * side)
+        off = lambda i: F.greatest(low(i) - F.col(v), F.col(v) - high(i), F.lit(0.0))
+        near = lambda i: F.when((low(i) <= 0) & (high(i) >= 0), F.lit(0.0)).otherwise(F.least(F.abs(low(i)), F.abs(high(i))))
+        far = lambda i: F.greatest(F.abs(low(i)), F.abs(high(i)))
+        return F.transform(cells, lambda i: F.struct(i.alias("i"), (off(i) * off(i)).alias("off"), (near(i) * near(i)).alias("near"), (far(i) * far(i)).alias("far")))
+
+    xs, ys, zs = axis("_x"), axis("_y"), axis("_z")
+    cell = lambda x, y, z: F.struct(x["i"].alias("cx"), y["i"].alias("cy"), z["i"].alias("cz"), *[(x[c] + y[c] + z[c]).alias(c) for c in ("off", "near", "far")])
+    every = F.flatten(F.transform(xs, lambda x: F.flatten(F.transform(ys, lambda y: F.transform(zs, lambda z: cell(x, y, z))))))
+    return F.filter(every, lambda c: (c["off"] <= reach * reach) & (c["near"] <= 1 + 1e-9) & (c["far"] >= 1 - 1e-9))
+
+
+def radius_join(a: DataFrame, b: DataFrame, metres: float, by: str | None = None, block_rows: int = BLOCK_ROWS, stored: bool = False) -> DataFrame:
+    """Pairs of a(a_id, a_lat, a_lon) and b(b_id, b_lat, b_lon) within a great-circle distance, with `dist`; by: only pairs whose
+    a_<by> and b_<by> are equal.
+
+    Rows meet in the cells of a grid on the unit sphere, as wide as the chord of the distance; b has a copy in each cell that it reaches. A
+    cell with more than block_rows rows on a side is dealt over pairs of blocks, so that no task has more than a block of each. Both sides are read
+    twice, to count cells and to join, so they are staged unless stored says that they are cheap to read.
+    """
+    a, b = (a, b) if stored else (staged(a, "radius-a"), staged(b, "radius-b"))
+    chord = 2 * math.sin(min(metres / EARTH_RADIUS, math.pi) / 2)
+    reach = chord * (1 + 1e-9) + 1e-12
+    side = min(max(reach, 1e-7), 2.0)
+    place = ["_cx", "_cy", "_cz", *(["_by"] if by else [])]
+    here = F.explode(F.array(F.struct(*[F.floor(F.col(v) / side).alias(f"c{v[1]}") for v in ("_x", "_y", "_z")])))
+    sides = []
+    for rows, prefix, cells in ((a, "a_", here), (b, "b_", F.explode(_reached(reach, side)))):
+        each = _on_sphere(rows, prefix).withColumn("_c", cells).withColumns({f"_c{v}": F.col(f"_c.c{v}") for v in "xyz"}).drop("_c", "_x", "_y", "_z")
+        sides.append(each.withColumn("_by", F.col(f"{prefix}{by}")) if by else each)
+    counts = [rows.groupBy(*place).agg(F.count("*").alias(n)) for rows, n in zip(sides, ("_na", "_nb"), strict=True)]
+    total = counts[0].agg(F.coalesce(F.sum("_na"), F.lit(0)).alias("_ta")).join(counts[1].agg(F.coalesce(F.sum("_nb"), F.lit(0)).alias("_tb")))  # one row
+    limits = {n: F.greatest(F.lit(block_rows), F.col(t) / HOT_CELLS) for n, t in (("_na", "_ta"), ("_nb", "_tb"))}
+    hot = counts[0].join(counts[1], place).join(F.broadcast(total), (F.col("_na") > limits["_na"]) | (F.col("_nb") > limits["_nb"]))
+    hot = hot.select(*place, *[F.ceil(F.col(n) / limits[n]).cast("int").alias(p) for n, p in (("_na", "_pa"), ("_nb", "_pb"))])
+    dealt = []
+    for rows, name, own, other in ((sides[0], "a_id", ("_pa", "_i"), ("_pb", "_j")), (sides[1], "b_id", ("_pb", "_j"), ("_pa", "_i"))):
+        rows = rows.join(F.broadcast(hot), place, "left").withColumn(own[1], F.coalesce(F.pmod(F.xxhash64(name), F.col(own[0])), F.lit(0)).cast("int"))
+        dealt.append(rows.withColumn(other[1], F.explode(F.sequence(F.lit(0), F.coalesce(other[0], F.lit(1)) - 1))).drop("_pa", "_pb"))
+    both = dealt[0].join(dealt[1], [*place, "_i", "_j"])
     dist = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return both.withColumn("dist", dist).where(F.col("dist") <= metres).drop("_cy", "_cx")
+    return both.withColumn("dist", dist).where(F.col("dist") <= metres).drop(*place, "_i", "_j")
 
 
-def radius_pairs(places: DataFrame, metres: float) -> DataFrame:
+def radius_pairs(places: DataFrame, metres: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Unordered pairs (src < dst) of places(id, lat, lon) within a distance."""
+    places = staged(places.select("id", "lat", "lon"), "places")
     a, b = (places.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lon")]) for p in "ab")
-    pairs = radius_join(a, b, metres).where("a_id < b_id")
+    pairs = radius_join(a, b, metres, block_rows=block_rows, stored=True).where("a_id < b_id")
     return pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "dist")
 
 

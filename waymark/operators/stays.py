@@ -14,6 +14,7 @@ from waymark.functions.geo import EARTH_RADIUS, haversine
 from waymark.functions.scalars import unix_seconds
 from waymark.operators.filters import above_percentile, heavier
 from waymark.operators.joins import radius_join, radius_pairs
+from waymark.sources.tables import staged
 
 
 def proximity_graph(places: DataFrame, metres: float, compat: bool = False) -> DataFrame:
@@ -93,8 +94,9 @@ def stay_clusters(stays: DataFrame, metres: float, percent: int | None = None, l
     kept = heavier(stays, least)
     if percent is not None:
         kept = above_percentile(kept, percent)
+    kept = staged(kept, "stays")
     a, b = (kept.select(F.col("id").alias(f"{p}_id"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"), F.col("user").alias(f"{p}_user")) for p in "ab")
-    edges = radius_join(a, b, metres).where("a_id < b_id and a_user = b_user").select(F.col("a_user").alias("user"), F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "dist")
+    edges = radius_join(a, b, metres, by="user", stored=True).where("a_id < b_id").select(F.col("a_user").alias("user"), F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "dist")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         mean = rows.dist.mean()

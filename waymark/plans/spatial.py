@@ -85,6 +85,21 @@ def radius_pairs_30m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radius_pairs(_places(spark, sf_dir), 30).select("src", "dst", F.round("dist", 3).alias("dist"))
 
 
+#: The grid's places once more across the 180th meridian and around both poles, where rows of the grid become circles.
+SEAM = f"""{PLACES}, far AS (SELECT id, lat - 55.36::DOUBLE AS up, lon - 10.38::DOUBLE AS right_ FROM places),
+seam AS (SELECT id, up AS lat, CASE WHEN 179.9985::DOUBLE + right_ > 180 THEN 179.9985::DOUBLE + right_ - 360 ELSE 179.9985::DOUBLE + right_ END AS lon FROM far
+  UNION ALL SELECT id + 1000, 90 - up, right_ * 120000 - 180 FROM far UNION ALL SELECT id + 2000, up - 90, right_ * 120000 - 180 FROM far)"""
+
+
+@query(f"""WITH {SEAM} SELECT a.id AS src, b.id AS dst, round({sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS dist FROM seam a JOIN seam b ON a.id < b.id AND {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 50""")
+def radius_pairs_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = _places(spark, sf_dir).select("id", (F.col("lat") - 55.36).alias("up"), (F.col("lon") - 10.38).alias("right"))
+    lon = 179.9985 + F.col("right")
+    around = F.array(*[F.struct((F.col("id") + n).alias("id"), lat.alias("lat"), x.alias("lon")) for n, lat, x in ((0, F.col("up"), F.when(lon > 180, lon - 360).otherwise(lon)), (1000, 90 - F.col("up"), F.col("right") * 120000 - 180), (2000, F.col("up") - 90, F.col("right") * 120000 - 180))])
+    seam = far.select(F.explode(around).alias("p")).select("p.*")
+    return radius_pairs(seam, 50).select("src", "dst", F.round("dist", 3).alias("dist"))
+
+
 @query(f"""WITH {PLACES}, e AS (SELECT a.id AS src, b.id AS dst, {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS dist FROM places a JOIN places b ON a.id < b.id AND {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 40)
 SELECT src, dst, round(dist / avg(dist) OVER (), 6) AS weight FROM e""")
 def proximity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the shared folder and read back: what uses them several times reads them, and a lost executor costs a reread."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def closed(breaks: DataFrame) -> DataFrame:
     """The breakpoints that are stored: those whose stay has ended."""
     return breaks.where("last_ts is not null")
