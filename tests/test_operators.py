@@ -4,9 +4,11 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.functions import alignment
 from waymark.operators import compress, corridor, evaluate, filters, ibdd, joins, legacy, motion, patterns, simulate, stays, tokens
 from waymark.sources import batches, codecs, gpx, tables
 
@@ -208,6 +210,45 @@ def test_detector_flags_deviation(spark):
     assert same.agg(F.sum("label")).first()[0] == 0 and far.agg(F.sum("label")).first()[0] >= 1
 
 
+def test_all_windows_at_once_equal_single_tables():
+    rng = random.Random(9)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for n, letters in ((1, "a"), (7, "ab"), (25, "abc"), (40, "abcdefgh")):
+        seq = [rng.choice(letters) for _ in range(n)]
+        patterns = [[rng.choice(letters + "z") for _ in range(rng.randint(1, 12))] for _ in range(5)]
+        spans = [(a, b) for a in range(n) for b in range(a + 1, n + 1)]
+        starts, ends = (np.array(c) for c in zip(*spans))
+        for some in (patterns[:1], patterns):
+            assert alignment.best_lengths(seq, some, starts, ends).tolist() == [max(common(seq[a:b], p) for p in some) for a, b in spans]
+    assert alignment.best_lengths(["a"], [], np.array([0]), np.array([1])).tolist() == [0]
+    assert alignment.best_lengths(["a"], [[]], np.array([0]), np.array([1])).tolist() == [0]
+
+
+@pytest.mark.parametrize("pack", [64, 2])
+def test_window_scores_equal_scored_windows(spark, pack):
+    """The same as scoring each window's own tokens, with patterns in one pack or several."""
+    rng = random.Random(12)
+    rows = [(100 * u + i, u, T0 + dt.timedelta(minutes=rng.choice([0, 1, 4]) + 3 * i), 55 + rng.randrange(4) * 0.001, 10.0) for u in range(4) for i in range(30)]
+    points = spark.createDataFrame(rows, "event_id long, user long, ts timestamp, lat double, lon double")
+    table = tokens.token_rows(points, 18, interpolate=False)
+    seqs = tokens.sequences(table).withColumn("user", F.pmod(F.col("user") + 1, F.lit(3)))
+    support = tokens.support_set(seqs, "user").withColumnRenamed("seq", "pattern")
+    support = support.unionByName(support.withColumn("pattern", F.slice("pattern", 2, 5))).unionByName(support.withColumn("pattern", F.reverse("pattern")))
+    want = {(r.event_id, round(r.similarity, 9)) for r in tokens.similarity(tokens.window_tokens(table, "12T"), support, "user").collect()}
+    got = tokens.window_scores(table, support, "12T", "user", pack=pack)
+    assert {(r.event_id, round(r.similarity, 9)) for r in got.collect()} == want and any(s == 0 for _, s in want) and any(0 < s for _, s in want)
+    some = tokens.window_scores(table, support, "12T", "user", wanted=F.col("event_id") % 2 == 0).collect()
+    assert {(r.event_id, round(r.similarity, 9)) for r in some} == {(e, s) for e, s in want if e % 2 == 0}
+
+
 def test_detector_loops_and_deviations():
     """A run of three whose last cell is the first again is a loop and keeps two cells; any other unsupported run begins anew."""
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from waymark.functions.cells import check_precision
 from waymark.functions.scalars import period_micros
 from waymark.operators.evaluate import rates
-from waymark.operators.tokens import anomaly, sequences, similarity, token_rows, window_tokens
+from waymark.operators.tokens import anomaly, sequences, token_rows, window_scores
+from waymark.sources.tables import staged
 
 
 @dataclass(frozen=True)
@@ -38,39 +39,37 @@ def fit(points: DataFrame, params: PatternParams, by: str) -> DataFrame:
 
 
 def detect(points: DataFrame, support: DataFrame, params: PatternParams, by: str, leave_one_out: bool = False) -> DataFrame:
-    """(uid, by, event_id, ts, lat, lon, sequence, similarity, anomaly_score, anomaly) of every trajectory of points, each by itself.
+    """(uid, by, event_id, ts, lat, lon, similarity, anomaly_score, anomaly) of every trajectory of points, each by itself.
 
     Rows are those whose cell differs from the row before; the score of a row is 1 less the least similarity of its trajectory so far.
-    leave_one_out: a trajectory's own sequence is taken out of the support that it meets.
+    leave_one_out: a trajectory's own sequence is taken out of the support that it meets. The windows themselves: window_tokens().
     """
     rows = token_rows(points, params.precision, "uid", params.interpolate)
-    windows = window_tokens(rows, params.window, "uid").select("uid", by, "event_id", "ts", "lat", "lon", "sequence")
-    if leave_one_out:
-        windows = windows.join(sequences(rows, "uid").withColumnRenamed("seq", "_own"), "uid")
-    scored = similarity(windows, support, by, skip_own="_own" if leave_one_out else None).drop("_own")
-    return anomaly(scored, params.threshold, "uid").select("uid", by, "event_id", "ts", "lat", "lon", "sequence", "similarity", "anomaly_score", "anomaly")
+    scored = window_scores(rows.select("uid", by, "event_id", "ts", "lat", "lon", "geohash", "between"), support, params.window, by, "uid", skip_own=leave_one_out)
+    return anomaly(scored, params.threshold, "uid").select("uid", by, "event_id", "ts", "lat", "lon", "similarity", "anomaly_score", "anomaly")
 
 
 def evaluate(points: DataFrame, truth: DataFrame, precisions: list[int], thresholds: list[float], window: str, interpolate: bool = True) -> DataFrame:
     """Leave-one-out outcomes of all trajectories at all parameters: (precision, threshold, batch, uid, anomalous, outcome, delay).
 
-    points(uid, batch, event_id, ts, lat, lon); truth(uid, anomalous, onset). One plan for all folds: supports are counted once a batch and the
-    own sequence is left out. Scores do not depend on the threshold, so a precision is scored once for all of them. delay: seconds from the
+    points(uid, batch, event_id, ts, lat, lon); truth(uid, anomalous, onset). One plan for all folds and parameters: points are encoded at all precisions at once, the
+    token rows are staged, supports are counted once a batch and the own sequence is left out. Scores do not depend on the threshold. delay: seconds from the
     onset to the first detection, null where that is negative or there is none.
     """
-    out = None
+    for p in precisions:
+        PatternParams(p, 1.0, window, interpolate)
+    rows = token_rows(points.select("uid", "batch", "event_id", "ts", "lat", "lon"), list(precisions), "uid", interpolate)
+    rows = staged(rows.select("precision", "uid", "batch", "event_id", "ts", "geohash", "between"), "token-rows")
+    own = sequences(rows, ["precision", "uid", "batch"])
+    support = own.groupBy("precision", "batch", F.col("seq").alias("pattern")).agg(F.count("*").alias("freq"))
+    found = anomaly(window_scores(rows, support, window, ["precision", "batch"], ["precision", "uid"], skip_own=True), 1.0, ["precision", "uid"])
     levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    for precision in precisions:
-        params = PatternParams(precision, 1.0, window, interpolate)
-        found = detect(points, fit(points, params, "batch"), params, "batch", leave_one_out=True)
-        each = found.select("uid", "ts", "anomaly_score", levels.alias("threshold")).where(F.col("anomaly_score") > F.col("threshold"))
-        first = each.groupBy("uid", "threshold").agg(F.min("ts").alias("first_ts"))
-        groups = points.groupBy("uid").agg(F.first("batch").alias("batch"))
-        rows = truth.join(groups, "uid").select("uid", "batch", "anomalous", "onset", levels.alias("threshold")).join(first, ["uid", "threshold"], "left")
-        late = (F.unix_micros("first_ts") - F.unix_micros("onset")) / 1e6
-        rows = rows.select(F.lit(precision).alias("precision"), "threshold", "batch", "uid", "anomalous", F.col("first_ts").isNotNull().alias("outcome"), F.when(late >= 0, late).alias("delay"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    each = found.select("precision", "uid", "ts", "anomaly_score", levels.alias("threshold")).where(F.col("anomaly_score") > F.col("threshold"))
+    first = each.groupBy("precision", "uid", "threshold").agg(F.min("ts").alias("first_ts"))
+    groups = own.select("precision", "uid", "batch")
+    wanted = groups.join(truth, "uid").select("precision", "uid", "batch", "anomalous", "onset", levels.alias("threshold")).join(first, ["precision", "uid", "threshold"], "left")
+    late = (F.unix_micros(F.col("first_ts").cast("timestamp")) - F.unix_micros(F.col("onset").cast("timestamp"))) / 1e6
+    return wanted.select("precision", "threshold", "batch", "uid", "anomalous", F.col("first_ts").isNotNull().alias("outcome"), F.when(late >= 0, late).alias("delay"))
 
 
 def batch_rates(outcomes: DataFrame) -> DataFrame:

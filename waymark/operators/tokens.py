@@ -3,37 +3,59 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.functions.alignment import best_lengths
 from waymark.functions.cells import cell_spacing, encode
 from waymark.functions.scalars import period_micros
 from waymark.functions.sequences import ensemble, line_cells
 from waymark.operators.filters import drop_consecutive
 
 
-def token_rows(points: DataFrame, precision: int, key: str = "user", interpolate: bool = True, bits: int = 2) -> DataFrame:
-    """points with `geohash` and `between` (cells passed since the row before, both rows' own left out); repeats are dropped."""
-    rows = points.withColumn("geohash", encode(F.col("lat"), F.col("lon"), precision, bits))
-    rows = drop_consecutive(rows, "geohash", [key], ["ts", "event_id"])
-    w = W.partitionBy(key).orderBy("ts", "event_id")
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def token_rows(points: DataFrame, precision: int | list[int], key: str | list[str] = "user", interpolate: bool = True, bits: int = 2) -> DataFrame:
+    """points with `geohash` and `between` (cells passed since the row before, both rows' own left out); repeats are dropped.
+
+    With a list of precisions there are rows for each, told apart by a column `precision`, which is one more key.
+    """
+    levels, keys = ([precision], _keys(key)) if isinstance(precision, int) else (precision, ["precision", *_keys(key)])
+    if isinstance(precision, int):
+        rows = points.withColumn("geohash", encode(F.col("lat"), F.col("lon"), precision, bits))
+    else:
+        each = F.explode(F.array(*[F.struct(F.lit(p).alias("precision"), encode(F.col("lat"), F.col("lon"), p, bits).alias("geohash")) for p in levels]))
+        rows = points.withColumn("_c", each).select(*points.columns, "_c.*")
+    rows = drop_consecutive(rows, "geohash", keys, ["ts", "event_id"])
+    none = F.array().cast("array<string>")
+    if not interpolate:
+        return rows.withColumn("between", none)
+    w = W.partitionBy(*keys).orderBy("ts", "event_id")
     rows = rows.withColumns({"_lat": F.lag("lat").over(w), "_lon": F.lag("lon").over(w), "_cell": F.lag("geohash").over(w)})
-    line = line_cells(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"), precision, cell_spacing(precision, bits), bits)
-    inner = F.filter(line, lambda c: (c != F.col("_cell")) & (c != F.col("geohash"))) if interpolate else F.array().cast("array<string>")
-    return rows.withColumn("between", F.when(F.col("_cell").isNull(), F.array().cast("array<string>")).otherwise(inner)).drop("_lat", "_lon", "_cell")
+    inner = none
+    for p in levels:
+        line = line_cells(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"), p, cell_spacing(p, bits), bits)
+        at = F.lit(True) if isinstance(precision, int) else F.col("precision") == p
+        inner = F.when(at, F.filter(line, lambda c: (c != F.col("_cell")) & (c != F.col("geohash")))).otherwise(inner)
+    return rows.withColumn("between", F.when(F.col("_cell").isNull(), none).otherwise(inner)).drop("_lat", "_lon", "_cell")
 
 
 def tokens_of(row_between: str = "between", row_cell: str = "geohash") -> Column:
     return F.concat(row_between, F.array(row_cell))
 
 
-def sequences(rows: DataFrame, key: str = "user") -> DataFrame:
+def sequences(rows: DataFrame, key: str | list[str] = "user") -> DataFrame:
     """(key, seq): all tokens of a trajectory in order."""
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", tokens_of().alias("t"))))
-    return rows.groupBy(key).agg(F.flatten(F.transform(ordered, lambda r: r["t"])).alias("seq"))
+    return rows.groupBy(*_keys(key)).agg(F.flatten(F.transform(ordered, lambda r: r["t"])).alias("seq"))
 
 
 def support_set(seqs: DataFrame, *by: str) -> DataFrame:
@@ -88,12 +110,64 @@ def covering_patterns(seqs: DataFrame, group: str, least: int) -> DataFrame:
     return seqs.select(group, "seq").groupBy(group).applyInPandas(run, f"{group} {kind}, freq long, seq array<string>")
 
 
-def window_tokens(rows: DataFrame, period: str, key: str = "user") -> DataFrame:
-    """rows with `sequence`: all tokens of the rows later than ts minus the period, up to ts; rows of one ts see each other."""
-    back = period_micros(period) - 1
-    w = W.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-back, 0)
-    each = F.struct("ts", "event_id", tokens_of().alias("t"))
-    return rows.withColumn("sequence", F.flatten(F.transform(F.array_sort(F.collect_list(each).over(w)), lambda r: r["t"])))
+def window_spans(rows: DataFrame, period: str, key: str | list[str] = "user") -> DataFrame:
+    """rows with `start`, `from` and `to`: where the row's tokens and its window begin in the trajectory's tokens, and where the window ends. The window holds
+    the rows later than ts minus the period, up to ts; rows of one ts see each other. Only positions are kept, however long windows are."""
+    order = W.partitionBy(*_keys(key))
+    back, n = period_micros(period) - 1, F.size("between") + 1
+    placed = rows.withColumn("_end", F.sum(n).over(order.orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("start", F.col("_end") - n)
+    near = order.orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-back, 0)
+    return placed.withColumns({"from": F.min("start").over(near), "to": F.max("_end").over(near)}).drop("_end")
+
+
+def window_tokens(rows: DataFrame, period: str, key: str | list[str] = "user") -> DataFrame:
+    """rows with `sequence`: all tokens of their windows, cut out of the trajectory's tokens."""
+    keys = _keys(key)
+    spans = window_spans(rows, period, key).join(sequences(rows, key), keys)
+    cut = F.slice("seq", (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int"))
+    return spans.withColumn("sequence", cut).select(*rows.columns, "sequence")
+
+
+#: Patterns that meet a trajectory at a time.
+PACK = 64
+
+
+def window_scores(rows: DataFrame, support: DataFrame, period: str, by: str | list[str], key: str | list[str] = "user", wanted: Column | None = None, skip_own: bool = False, pack: int = PACK) -> DataFrame:
+    """(key, event_id, similarity) of the token rows that are wanted (all, without it): the best common subsequence of the row's window with a pattern of support(by, pattern, freq), over
+    the window's length; 0 without patterns.
+
+    A trajectory is one row with all its tokens and its windows as positions in them, and meets the patterns of its group in packs. One pass over
+    trajectory x pattern answers all its windows. skip_own: the trajectory's own sequence is taken out of the support once (leave one out).
+    """
+    keys, groups = _keys(key), _keys(by)
+    spans = window_spans(rows, period, key).withColumn("_wanted", F.lit(True) if wanted is None else wanted)
+    each = F.struct("start", tokens_of().alias("t"), F.struct("event_id", "from", "to").alias("w"), "_wanted")
+    known = [c for c in groups if c not in keys]
+    whole = spans.groupBy(*keys).agg(*[F.first(c).alias(c) for c in known], F.array_sort(F.collect_list(each)).alias("r"))
+    asked = F.transform(F.filter("r", lambda r: r["_wanted"]), lambda r: r["w"])
+    whole = whole.select(*keys, *known, F.flatten(F.transform("r", lambda r: r["t"])).alias("tokens"), asked.alias("windows")).where(F.size("windows") > 0)
+    numbered = support.withColumn("_pack", F.floor((F.row_number().over(W.partitionBy(*groups).orderBy("pattern")) - 1) / pack))
+    packs = numbered.groupBy(*groups, "_pack").agg(F.collect_list(F.struct("pattern", "freq")).alias("patterns"))
+    met = whole.join(packs, groups).select(*keys, "tokens", "windows", "patterns")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns: list[list] = [[] for _ in range(len(keys) + 2)]
+            for row in range(b.num_rows):
+                tokens, windows = b.column("tokens")[row].as_py(), b.column("windows")[row].as_py()
+                patterns = [p["pattern"] for p in b.column("patterns")[row].as_py() if not (skip_own and p["freq"] == 1 and p["pattern"] == tokens)]
+                starts, ends = (np.array([w[c] for w in windows]) for c in ("from", "to"))
+                score = best_lengths(tokens, patterns, starts, ends) / (ends - starts)
+                for own, k in zip(columns, keys, strict=False):
+                    own += [b.column(k)[row].as_py()] * len(windows)
+                columns[-2] += [w["event_id"] for w in windows]
+                columns[-1] += score.tolist()
+            kinds = [*(b.schema.field(k).type for k in keys), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*keys, "event_id", "similarity"])
+
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    best = met.mapInArrow(run, f"{schema}, event_id long, similarity double").groupBy(*keys, "event_id").agg(F.max("similarity").alias("similarity"))
+    return spans.where("_wanted").drop("_wanted", "start", "from", "to").join(best, [*keys, "event_id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 def similarity(windows: DataFrame, support: DataFrame, by: str, weighted=None, skip_own: str | None = None) -> DataFrame:
@@ -111,11 +185,11 @@ def similarity(windows: DataFrame, support: DataFrame, by: str, weighted=None, s
     return windows.join(best, [by, "sequence", *own], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
-def anomaly(scored: DataFrame, threshold: float, key: str = "user") -> DataFrame:
+def anomaly(scored: DataFrame, threshold: float, key: str | list[str] = "user") -> DataFrame:
     """Running least similarity of the trajectory; anomaly_score is 1 less it, anomaly is strict."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    w = W.partitionBy(key).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy(*_keys(key)).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = scored.withColumn("anomaly_score", 1 - F.min("similarity").over(w))
     return out.withColumn("anomaly", F.col("anomaly_score") > threshold)
 

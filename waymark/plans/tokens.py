@@ -15,7 +15,7 @@ from waymark.operators.patterns import PatternParams, batch_rates, evaluate
 from waymark.operators.patterns import detect as pattern_detector
 from waymark.operators.patterns import fit as pattern_fit
 from waymark.operators.points import points
-from waymark.operators.tokens import anomaly, covering_patterns, sequences, similarity, support_fraction, support_set, token_rows, window_tokens
+from waymark.operators.tokens import anomaly, covering_patterns, sequences, support_fraction, support_set, token_rows, window_scores, window_tokens
 from waymark.plans.base import BY_USER, POINTS, STEPS, query, sql_from_utm, sql_spacing, sql_utm
 from waymark.plans.spatial import _hilbert_sql
 
@@ -118,9 +118,8 @@ scored AS (SELECT event_id, odd."user", ts, coalesce(similarity, 0) AS similarit
 
 @query(f"""WITH {SCORED} SELECT event_id, round(similarity, 9) AS similarity, round(low, 9) AS anomaly_score, low > 0.5 AS anomaly FROM (SELECT *, 1 - min(similarity) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING) AS low FROM scored)""")
 def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = window_tokens(_rows(spark, sf_dir), PERIOD).where(F.dayofmonth("ts") % 2 == 1).select("user", "ts", "event_id", "sequence")
     support = support_set(_days(spark, sf_dir).where(F.dayofmonth("day") % 2 == 0), "user").withColumnRenamed("seq", "pattern")
-    scored = anomaly(similarity(windows, support, "user"), 0.5)
+    scored = anomaly(window_scores(_rows(spark, sf_dir), support, PERIOD, "user", wanted=F.dayofmonth("ts") % 2 == 1), 0.5)
     return scored.select("event_id", F.round("similarity", 9).alias("similarity"), F.round("anomaly_score", 9).alias("anomaly_score"), "anomaly")
 
 
