@@ -1,15 +1,18 @@
 """Trajectory operators on small inputs: golden example, models, batch against stream."""
 
 import datetime as dt
+import itertools
 import json
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import alignment
-from waymark.operators import compress, corridor, evaluate, filters, ibdd, joins, legacy, motion, patterns, simulate, stays, tokens
+from waymark.operators import closed, compress, corridor, evaluate, filters, ibdd, joins, legacy, motion, patterns, simulate, stays, tokens
 from waymark.sources import batches, codecs, gpx, tables
 
 T0 = dt.datetime(2024, 1, 1)
@@ -115,7 +118,50 @@ def test_support(spark):
     runs = spark.createDataFrame([("a", list("123")), ("b", list("234"))], "run_id string, run array<string>")
     got = {r.run_id: r.support for r in tokens.support_fraction(seqs, runs).collect()}
     assert got == {"a": pytest.approx(2 / 3), "b": 1.0}
-    assert set(tokens.mine_closed([list("abc"), list("abd"), list("ab")], 2)) == {(3, ("a", "b"))}
+
+
+def held(a, b):
+    rest = iter(b)
+    return all(x in rest for x in a)
+
+
+def plain_closed(seqs, least):
+    every = {c for s in seqs for n in range(1, len(s) + 1) for c in itertools.combinations(s, n)}
+    often = {p: n for p in every if (n := sum(held(p, s) for s in seqs)) >= least}
+    return {(n, p) for p, n in often.items() if not any(m == n and len(q) > len(p) and held(p, q) for q, m in often.items())}
+
+
+@pytest.mark.parametrize("deal_tokens", [4096, 5])
+def test_closed_patterns_equal_brute_force(spark, deal_tokens):
+    rng = random.Random(2)
+    groups = {g: [[rng.choice("abcd") for _ in range(rng.randint(1, 8))] for _ in range(5)] for g in range(8)}
+    groups[8] = [list("abc"), list("abd"), list("ab")]
+    table = spark.createDataFrame([(g, s) for g, seqs in groups.items() for s in seqs], "user long, seq array<string>")
+    for least in (1, 2, 3):
+        want = {g: plain_closed(seqs, least) for g, seqs in groups.items()}
+        got = closed.closed_patterns(table, "user", least, deal_tokens).collect()
+        assert sorted((r.user, r.freq, tuple(r.seq)) for r in got) == sorted((g, n, p) for g, found in want.items() for n, p in found)
+        best = [(g, min((-len(p), p) for _, p in want[g] if held(p, s))[1]) for g, seqs in groups.items() for s in seqs if any(held(p, s) for _, p in want[g])]
+        covered = closed.covering_patterns(table, "user", least, deal_tokens).collect()
+        assert {(r.user, tuple(r.seq)): r.freq for r in covered} == Counter(best)
+
+
+def test_long_equal_sequences_are_mined_at_once(spark):
+    rng = random.Random(3)
+    for alphabet in (3, 50, 1000):
+        seq = [rng.randrange(alphabet) for _ in range(1000)]
+        began = time.perf_counter()
+        found = list(closed.mine([seq, list(seq)], 2, sorted(set(seq))))
+        assert found == [(seq, [0, 1])] and time.perf_counter() - began < 1
+
+
+def test_no_frequent_pattern_is_an_error(spark):
+    table = spark.createDataFrame([(1, ["a"]), (1, ["b"])], "user long, seq array<string>")
+    with pytest.raises(ValueError):
+        closed.extract_support(table, "user", 2)
+    with pytest.raises(ValueError):
+        closed.extract_support(table, "user", 3)
+    assert closed.extract_support(table, "user", 1).count() == 2
 
 
 def test_louvain_finds_two_cliques():

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -63,53 +61,6 @@ def support_set(seqs: DataFrame, *by: str) -> DataFrame:
     return seqs.groupBy(*by, "seq").agg(F.count("*").alias("freq"))
 
 
-def mine_closed(seqs: list[list[str]], least: int) -> list[tuple[int, tuple[str, ...]]]:
-    """Closed frequent subsequences with their support, by growing prefixes over projected sequences."""
-    found: dict[tuple[str, ...], int] = {}
-
-    def grow(prefix: tuple[str, ...], places: list[tuple[int, int]]) -> None:
-        heads: dict[str, list[tuple[int, int]]] = {}
-        for k, at in places:
-            seen = set()
-            for i in range(at, len(seqs[k])):
-                if (t := seqs[k][i]) not in seen:
-                    seen.add(t)
-                    heads.setdefault(t, []).append((k, i + 1))
-        for t in sorted(heads):
-            if len(heads[t]) >= least:
-                found[(*prefix, t)] = len(heads[t])
-                grow((*prefix, t), heads[t])
-
-    def inside(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-        rest = iter(b)
-        return all(x in rest for x in a)
-
-    grow((), [(k, 0) for k in range(len(seqs))])
-    by_support: dict[int, list[tuple[str, ...]]] = {}
-    for p, n in found.items():
-        by_support.setdefault(n, []).append(p)
-    return [(n, p) for p, n in found.items() if not any(len(q) > len(p) and inside(p, q) for q in by_support[n])]
-
-
-def covering_patterns(seqs: DataFrame, group: str, least: int) -> DataFrame:
-    """(group, freq, seq): for each sequence its longest closed pattern (first of equals), counted; groups are mined apart."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lists = [list(s) for s in rows.seq]
-        patterns = mine_closed(lists, least)
-
-        def covers(p: tuple[str, ...], s: list[str]) -> bool:
-            rest = iter(s)
-            return all(x in rest for x in p)
-
-        best = [max((p for _, p in patterns if covers(p, s)), key=len, default=None) for s in lists]
-        count = Counter(p for p in best if p)
-        return pd.DataFrame([(rows[group].iloc[0], n, list(p)) for p, n in sorted(count.items())], columns=[group, "freq", "seq"])
-
-    kind = seqs.schema[group].dataType.simpleString()
-    return seqs.select(group, "seq").groupBy(group).applyInPandas(run, f"{group} {kind}, freq long, seq array<string>")
-
-
 def window_spans(rows: DataFrame, period: str, key: str | list[str] = "user") -> DataFrame:
     """rows with `start`, `from` and `to`: where the row's tokens and its window begin in the trajectory's tokens, and where the window ends. The window holds
     the rows later than ts minus the period, up to ts; rows of one ts see each other. Only positions are kept, however long windows are."""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from waymark.functions.cells import ALPHABETS, encode
 from waymark.functions.geo import near_path, path_length, point_along
 from waymark.functions.sequences import common_subsequence, contains_run, drop_repeats, interpolated, line_of
+from waymark.operators.closed import closed_patterns as all_closed_patterns
+from waymark.operators.closed import extract_support
 from waymark.operators.evaluate import sweep
 from waymark.operators.ibdd import IbddParams, fit, leave_one_out
 from waymark.operators.ibdd import evaluate as ibdd_evaluate
@@ -15,7 +17,7 @@ from waymark.operators.patterns import PatternParams, batch_rates, evaluate
 from waymark.operators.patterns import detect as pattern_detector
 from waymark.operators.patterns import fit as pattern_fit
 from waymark.operators.points import points
-from waymark.operators.tokens import anomaly, covering_patterns, sequences, support_fraction, support_set, token_rows, window_scores, window_tokens
+from waymark.operators.tokens import anomaly, sequences, support_fraction, support_set, token_rows, window_scores, window_tokens
 from waymark.plans.base import BY_USER, POINTS, STEPS, query, sql_from_utm, sql_spacing, sql_utm
 from waymark.plans.spatial import _hilbert_sql
 
@@ -95,7 +97,13 @@ best AS (SELECT "user", day, pattern, row_number() OVER (PARTITION BY "user", da
 
 @query(f"""WITH {CLOSED} SELECT "user", count(*) AS freq, pattern AS seq FROM best WHERE rank = 1 GROUP BY "user", pattern""")
 def closed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covering_patterns(_days(spark, sf_dir), "user", 2)
+    return extract_support(_days(spark, sf_dir), "user", 2)
+
+
+@query(f"""WITH {CLOSED} SELECT "user", n AS freq, pattern AS seq FROM closed""")
+def all_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every closed pattern of a user's days that two of them hold."""
+    return all_closed_patterns(_days(spark, sf_dir), "user", 2)
 
 
 @query(f"""WITH {TOKENS} SELECT event_id, list(geohash) OVER w AS sequence FROM tokens WINDOW w AS (PARTITION BY "user" ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW)""")
