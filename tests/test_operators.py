@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import json
+import math
 import random
 import time
 from collections import Counter
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import alignment
-from waymark.operators import closed, compress, corridor, evaluate, filters, ibdd, joins, legacy, motion, patterns, simulate, stays, tokens
+from waymark.operators import closed, compress, corridor, evaluate, filters, ibdd, joins, legacy, motion, patterns, percentiles, simulate, stays, tokens
 from waymark.sources import batches, codecs, gpx, tables
 
 T0 = dt.datetime(2024, 1, 1)
@@ -183,6 +184,28 @@ def test_hull_and_clusters(spark):
     assert stays.geofences(stays.stay_clusters(df, 50), 28.0).count() == 2
 
 
+@pytest.mark.parametrize(("bins", "direct"), [(4096, 0), (64, 0), (4096, 1 << 17)])
+def test_exact_percentiles_by_refining_histograms(spark, bins, direct):
+    """Many groups, ties, one value, huge and tiny values; with 64 bins a round it takes more rounds."""
+    rng = random.Random(7)
+    groups = {"even": [rng.random() for _ in range(101)], "ties": [rng.choice([1.0, 2.0, 2.5]) for _ in range(60)], "one": [7.5], "two": [-1.0, 3.0], "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-30, 300) for _ in range(50)], None: [5.0, 5.0], "same": [4.0] * 30, "ends": [-1.7e308, 0.0, 5e-324, 1.7e308]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan")), ("none", None)]
+    table = spark.createDataFrame(rows, "g string, v double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.share): r.value for r in percentiles.exact_percentiles(table, "v", shares, ["g"], bins, direct).collect()}
+    want = {}
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        for s in shares:
+            at = (len(vs) - 1) * s
+            lo, hi = vs[math.floor(at)], vs[math.ceil(at)]
+            want[g, s] = lo if lo == hi else (math.ceil(at) - at) * lo + (at - math.floor(at)) * hi
+    assert got == want
+    assert percentiles.exact_percentiles(table, "v", [0.5], [], bins, direct).count() == 1 and percentiles.exact_percentiles(table.limit(0), "v", [0.5]).count() == 0
+    with pytest.raises(ValueError):
+        percentiles.exact_percentiles(table, "v", [50])
+
+
 def test_radius_pairs_against_all(spark):
     rng = random.Random(1)
     rows = [(i, 55 + rng.random() * 0.01, 10 + rng.random() * 0.01) for i in range(150)]
@@ -346,6 +369,43 @@ def test_comparison_detector_leaves_one_out(spark):
     assert estimated["t0"][1] == pytest.approx((steps["t1"][1] + steps["t2"][1]) / 2)
 
 
+def modularity(edges, of):
+    total, inside, degree = 0, Counter(), Counter()
+    for a, b, w in edges:
+        total += 2 * w
+        degree[of[a]] += w
+        degree[of[b]] += w
+        inside[of[a]] += 2 * w * (of[a] == of[b])
+    return sum(inside[c] / total - (degree[c] / total) ** 2 for c in degree)
+
+
+def test_merged_communities_are_as_good_as_local_moves(spark):
+    """Cliques, a ring of cliques, planted groups, a path and a star, all in one run; the same whatever the order of the edges."""
+    rng = random.Random(5)
+    clique = lambda base, n: [(a, b, 10) for a in range(base, base + n) for b in range(a + 1, base + n)]
+    graphs = {
+        1: clique(0, 5) + clique(10, 5) + [(4, 10, 1)],
+        2: [e for k in range(6) for e in clique(10 * k, 5)] + [(10 * k + 4, 10 * ((k + 1) % 6), 3) for k in range(6)],
+        3: [(a, b, 5) for a in range(40) for b in range(a + 1, 40) if rng.random() < (0.8 if a // 10 == b // 10 else 0.03)],
+        4: [(0, k, 2) for k in range(1, 9)],
+        5: [(1, 2, 0), (2, 3, 0)],
+    }
+    rows = [(g, a, b, w) if rng.random() < 0.5 else (g, b, a, w) for g, edges in graphs.items() for a, b, w in edges] + [(1, 7, 7, 3)]
+    runs = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        found = stays.merged_communities(spark.createDataFrame(rows, "user long, src long, dst long, weight long"), "user").collect()
+        runs.append(sorted((r.user, r.node, r.community) for r in found))
+    assert runs[0] == runs[1]
+    for g, edges in graphs.items():
+        of = {n: c for u, n, c in runs[0] if u == g}
+        assert set(of) == {n for a, b, _ in edges for n in (a, b)} and all(of[c] == c and c <= n for n, c in of.items())
+        if g in (1, 2, 3, 4):
+            local = stays.communities([(a, b, float(w)) for a, b, w in edges])
+            assert modularity(edges, of) >= modularity(edges, local) - 1e-9, g
+    assert len({c for u, _, c in runs[0] if u == 1}) == 2 and {c for u, n, c in runs[0] if u == 5} == {1, 2, 3}
+
+
 def test_simulation_and_batches(spark, tmp_path):
     places = [(55.36 + i * 0.002, 10.38 + i * 0.001) for i in range(7)]
     assert simulate.trajectory([simulate.WayPoint(*places[0], 60), simulate.WayPoint(*places[1])], 3) == simulate.trajectory([simulate.WayPoint(*places[0], 60), simulate.WayPoint(*places[1])], 3)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import to_utm
+from waymark.operators.percentiles import exact_percentiles
 
 
 def bounding_box(points: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
@@ -23,10 +24,10 @@ def heavier(rows: DataFrame, *least: float, column: str = "weight") -> DataFrame
 
 
 def above_percentile(rows: DataFrame, percent: int, column: str = "weight") -> DataFrame:
-    """Rows strictly above the exact percentile (linear interpolation); the one-row aggregate is broadcast."""
+    """Rows strictly above the exact percentile (linear interpolation); its one row is broadcast."""
     if not isinstance(percent, int) or not 0 < percent < 100:
         raise ValueError("percent must be a whole number between 0 and 100")
-    limit = rows.agg(F.expr(f"percentile({column}, {percent / 100})").alias("_limit"))
+    limit = exact_percentiles(rows, column, [percent / 100]).select(F.col("value").alias("_limit"))
     return rows.crossJoin(F.broadcast(limit)).where(F.col(column) > F.col("_limit")).drop("_limit")
 
 

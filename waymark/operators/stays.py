@@ -83,11 +83,47 @@ def connected(edges: list[tuple[int, int, float]], seed: int = 0) -> dict[int, i
     return {v: root(v) for v in list(up)}
 
 
+def merged_communities(edges: DataFrame, group: str) -> DataFrame:
+    """(group, node, community) of edges(group, src, dst, weight), weights being whole numbers: communities by rounds of joins, for all groups at once.
+
+    Each community begins as a node. In a round it offers to move into the neighbour that adds most to the modularity (ties: the pair with the least
+    numbers); where two offer to each other, one moves, and both are contracted to the lesser. The pair of greatest gain always does, so modularity grows with every
+    round until no move adds to it. Gains are compared as whole numbers, so the result depends on neither order nor engine. No group is
+    ever held by one task. A community is named after its least node.
+    """
+    flat = edges.where("src <> dst").groupBy(group, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
+    flat = staged(flat, "community-edges")
+    ends = flat.select(group, F.explode(F.array(F.struct(F.col("a").alias("node"), "w"), F.struct(F.col("b").alias("node"), "w"))).alias("e"))
+    degrees = staged(ends.groupBy(group, F.col("e.node").alias("node")).agg(F.sum("e.w").alias("t")), "community-degrees")
+    whole = degrees.groupBy(group).agg(F.sum("t").alias("all"))
+    t = lambda side: degrees.select(group, F.col("node").alias(side), F.col("t").alias(f"t{side}"))
+    pairs = staged(flat.join(t("a"), [group, "a"]).join(t("b"), [group, "b"]).join(whole, group), "community-pairs")
+    of = degrees.select(group, "node", F.col("node").alias("community"))
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    while True:
+        gain = big("w") * big("all") - big("ta") * big("tb")
+        offers = pairs.withColumn("gain", gain).where("gain > 0").withColumn("o", F.struct("gain", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"), (F.col("ta") + F.col("tb")).alias("t")))
+        best = offers.select(group, F.explode(F.array("a", "b")).alias("c"), "o").groupBy(group, "c").agg(F.max("o").alias("o"))
+        agreed = best.groupBy(group, "o").agg(F.count("*").alias("n")).where("n = 2")
+        moves = staged(agreed.select(group, (-F.col("o.a")).alias("to"), (-F.col("o.b")).alias("from"), F.col("o.t").alias("t")), "community-moves")
+        if moves.isEmpty():
+            return of
+        named = moves.select(group, F.explode(F.array(F.struct(F.col("to").alias("c"), "to", "t"), F.struct(F.col("from").alias("c"), "to", "t"))).alias("m")).select(group, "m.*")
+        for side in "ab":
+            there = named.select(group, F.col("c").alias(side), F.col("to").alias("_to"), F.col("t").alias("_t"))
+            pairs = pairs.join(there, [group, side], "left").withColumns({side: F.coalesce("_to", side), f"t{side}": F.coalesce("_t", f"t{side}")}).drop("_to", "_t")
+        turned = F.col("a") > F.col("b")
+        swapped = {x: F.when(turned, F.col(y)).otherwise(F.col(x)) for x, y in (("a", "b"), ("b", "a"), ("ta", "tb"), ("tb", "ta"))}
+        pairs = staged(pairs.where("a <> b").withColumns(swapped).groupBy(group, "a", "b", "ta", "tb", "all").agg(F.sum("w").alias("w")), "community-pairs")
+        moved = moves.select(group, F.col("from").alias("community"), "to")
+        of = staged(of.join(moved, [group, "community"], "left").select(group, "node", F.coalesce("to", "community").alias("community")), "communities")
+
+
 def stay_clusters(stays: DataFrame, metres: float, percent: int | None = None, least: float = 0.0, singletons: bool = True, seed: int = 0, grouping=communities) -> DataFrame:
     """stays(user, id, lat, lon, weight) that pass the filters, with `cluster`, `mid_lat`, `mid_lon`.
 
-    Neighbours are found in Spark for all users at once; a user's communities (or what else grouping gives) are one task. Without singletons, stays
-    without a neighbour drop out. least must not be negative.
+    Neighbours are found in Spark for all users at once. grouping: a function of a user's edges, which then are one task, or None for merged_communities(), with
+    distances in millimetres as weights. Without singletons, stays without a neighbour drop out. least must not be negative.
     """
     if least < 0:
         raise ValueError("least must not be negative")
@@ -106,7 +142,11 @@ def stay_clusters(stays: DataFrame, metres: float, percent: int | None = None, l
             least_of[c] = min(v, least_of.get(c, v))
         return pd.DataFrame([(rows.user.iloc[0], v, least_of[c]) for v, c in sorted(found.items())], columns=["user", "id", "cluster"])
 
-    label = edges.groupBy("user").applyInPandas(run, "user long, id long, cluster long")
+    if grouping is None:
+        found = merged_communities(edges.select("user", "src", "dst", F.round(F.col("dist") * 1000).cast("long").alias("weight")), "user")
+        label = found.select("user", F.col("node").alias("id"), F.col("community").alias("cluster"))
+    else:
+        label = edges.groupBy("user").applyInPandas(run, "user long, id long, cluster long")
     joined = kept.join(label, ["user", "id"], "left" if singletons else "inner").withColumn("cluster", F.coalesce("cluster", "id"))
     middle = joined.groupBy("user", "cluster").agg(F.median("lat").alias("mid_lat"), F.median("lon").alias("mid_lon"))
     return joined.join(middle, ["user", "cluster"])

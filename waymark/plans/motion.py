@@ -13,6 +13,7 @@ from waymark.operators.corridor import corridor_onset, flag_onset, pairwise
 from waymark.operators.legacy import triples
 from waymark.operators.motion import by_time, first_run, gap_segments, measure_segments, motion, motion_flat
 from waymark.operators.points import points, read
+from waymark.operators.percentiles import exact_percentiles
 from waymark.plans.base import BY_USER, POINTS, STEPS, query, sql_haversine, sql_utm
 
 GAP = 43_200
@@ -99,8 +100,12 @@ def extent(spark: SparkSession, sf_dir: str) -> DataFrame:
   list_transform(quantile_cont(value, [x / 100.0::DOUBLE for x in range(1, 100)]), lambda x: round(x, 6)) AS percentiles FROM events GROUP BY event_type""")
 def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lambda c: F.round(c, 6)
-    steps = ", ".join(str(p / 100) for p in range(1, 100))
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), r(F.min("value")).alias("least"), r(F.max("value")).alias("most"), r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("std"), r(F.median("value")).alias("middle"), F.transform(F.expr(f"percentile(value, array({steps}))"), lambda x: F.round(x, 6)).alias("percentiles"))
+    events = read(spark, sf_dir, "events").select("event_type", "value")
+    of = events.groupBy("event_type").agg(F.count("*").alias("n"), r(F.min("value")).alias("least"), r(F.max("value")).alias("most"), r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("std"))
+    each = exact_percentiles(events, "value", [p / 100 for p in range(1, 100)], ["event_type"])
+    # Ninety-nine rows for each type.
+    listed = each.groupBy("event_type").agg(F.max(F.when(F.col("share") == 0.5, r("value"))).alias("middle"), F.array_sort(F.collect_list(F.struct("share", r("value").alias("value")))).alias("v"))
+    return of.join(listed, "event_type").select(*of.columns, "middle", F.transform("v", lambda v: v["value"]).alias("percentiles"))
 
 
 @query(f"""WITH {STEPS}

@@ -387,3 +387,31 @@ _BUFFER = 28.0 / 6371000.0 * 25
 @query(f"""WITH {STAYS} SELECT "user", CAST(cluster AS VARCHAR) AS label, round(min(lon) - {_BUFFER!r}::DOUBLE, 6) AS min_x, round(max(lon) + {_BUFFER!r}::DOUBLE, 6) AS max_x, round(min(lat) - {_BUFFER!r}::DOUBLE, 6) AS min_y, round(max(lat) + {_BUFFER!r}::DOUBLE, 6) AS max_y FROM clustered GROUP BY "user", cluster""")
 def connected_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geofences(_clusters(spark, sf_dir, connected), 28.0).select("user", "label", *[F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
+
+
+def _merge_sql(rounds: int) -> str:
+    """Communities by rounds of moves that both sides offer, over close pairs of heavy stays."""
+    out = [f"""edges AS MATERIALIZED (SELECT a."user", a.id AS a, b.id AS b, CAST(round({sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} * 1000) AS BIGINT) AS w FROM heavy a JOIN heavy b ON a."user" = b."user" AND a.id < b.id AND {sql_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 40),
+c0 AS MATERIALIZED (SELECT "user", v, v AS c, sum(w) AS k FROM (SELECT "user", a AS v, w FROM edges UNION ALL SELECT "user", b, w FROM edges) GROUP BY ALL),
+whole AS MATERIALIZED (SELECT "user", sum(k) AS m FROM c0 GROUP BY "user")"""]
+    for i in range(rounds):
+        out.append(f"""t{i} AS MATERIALIZED (SELECT "user", c, sum(k) AS t FROM c{i} GROUP BY ALL),
+p{i} AS MATERIALIZED (SELECT e."user", least(x.c, y.c) AS lo, greatest(x.c, y.c) AS hi, sum(w) AS w FROM edges e JOIN c{i} x ON x."user" = e."user" AND x.v = e.a JOIN c{i} y ON y."user" = e."user" AND y.v = e.b WHERE x.c <> y.c GROUP BY ALL),
+o{i} AS MATERIALIZED (SELECT p."user", {{'g': CAST(w * m - x.t * y.t AS HUGEINT), 'lo': -lo, 'hi': -hi}} AS o FROM p{i} p JOIN t{i} x ON x."user" = p."user" AND x.c = lo JOIN t{i} y ON y."user" = p."user" AND y.c = hi JOIN whole ON whole."user" = p."user" WHERE w * m > x.t * y.t),
+m{i} AS MATERIALIZED (SELECT "user", -o.lo AS lo, -o.hi AS hi FROM (SELECT "user", c, max(o) AS o FROM (SELECT "user", -o.lo AS c, o FROM o{i} UNION ALL SELECT "user", -o.hi, o FROM o{i}) GROUP BY "user", c) GROUP BY "user", o HAVING count(*) = 2),
+c{i + 1} AS MATERIALIZED (SELECT c."user", v, coalesce(lo, c) AS c, k FROM c{i} c LEFT JOIN m{i} m ON m."user" = c."user" AND m.hi = c.c)""")
+    return ",\n".join([*out, f"""communities AS (SELECT heavy.*, coalesce(c, id) AS cluster FROM heavy LEFT JOIN c{rounds} g ON g."user" = heavy."user" AND v = id)"""])
+
+
+COMMUNITIES = f"{STAYS}, {_merge_sql(12)}"
+
+
+@query(f"""WITH {COMMUNITIES} SELECT "user", id, cluster, round(median(lat) OVER (PARTITION BY "user", cluster), 7) AS mid_lat, round(median(lon) OVER (PARTITION BY "user", cluster), 7) AS mid_lon FROM communities""")
+def community_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters as communities, found by rounds of joins."""
+    return _clusters(spark, sf_dir, None).select("user", "id", "cluster", F.round("mid_lat", 7).alias("mid_lat"), F.round("mid_lon", 7).alias("mid_lon"))
+
+
+@query(f"""WITH {COMMUNITIES} SELECT "user", CAST(cluster AS VARCHAR) AS label, round(min(lon) - {_BUFFER!r}::DOUBLE, 6) AS min_x, round(max(lon) + {_BUFFER!r}::DOUBLE, 6) AS max_x, round(min(lat) - {_BUFFER!r}::DOUBLE, 6) AS min_y, round(max(lat) + {_BUFFER!r}::DOUBLE, 6) AS max_y FROM communities GROUP BY "user", cluster""")
+def community_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geofences(_clusters(spark, sf_dir, None), 28.0).select("user", "label", *[F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
