@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import alignment
-from waymark.operators import closed, compress, corridor, evaluate, filters, ibdd, joins, legacy, motion, patterns, percentiles, simulate, stays, tokens
+from waymark.operators import closed, compress, corridor, evaluate, fences, filters, ibdd, joins, legacy, motion, patterns, percentiles, simulate, stays, tokens
 from waymark.sources import batches, codecs, gpx, tables
 
 T0 = dt.datetime(2024, 1, 1)
@@ -369,6 +369,38 @@ def test_comparison_detector_leaves_one_out(spark):
     assert estimated["t0"][1] == pytest.approx((steps["t1"][1] + steps["t2"][1]) / 2)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_fences_through_covers_equal_ring_tests(spark, broadcast_bytes):
+    """Small, wide and overlapping rings, one across the seam, one that is no ring; points on both sides and in no fence."""
+    rng = random.Random(8)
+
+    def star(x, y, size, n=9):
+        return [(x + size * rng.uniform(0.3, 1) * math.cos(2 * math.pi * k / n), y + size * rng.uniform(0.3, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+    rings = [star(10.5, 50.2, 0.01), star(10, 50, 5.0), star(11, 51, 4.0), star(179.5, -20, 3.0), star(-179.9, 40, 2.0), [(0, 0), (1, 1)], [(-60, -30), (-50, -30), (-50, -20), (-60, -20)]]
+    table = [(k, f"f{k}", [{"x": float(x), "y": float(y)} for x, y in r], *(float(f(v)) for v in (list(zip(*r))) for f in (min, max))) for k, r in enumerate(rings)]
+    fences_of = spark.createDataFrame(table, "ord long, label string, ring array<struct<x:double,y:double>>, min_x double, max_x double, min_y double, max_y double")
+    places = [(rng.uniform(*xs), rng.uniform(*ys)) for xs, ys in (((4, 16), (44, 56)), ((10.48, 10.52), (50.18, 50.22)), ((-180, 180), (-90, 90)), ((176, 180), (-24, -16)), ((-180, -176), (-24, 44)), ((-61, -49), (-31, -19))) for _ in range(120)]
+    points = spark.createDataFrame([(i, lat, lon) for i, (lon, lat) in enumerate(places)], "event_id long, lat double, lon double").unionByName(spark.createDataFrame([(9999, None, None)], "event_id long, lat double, lon double"))
+
+    def inside(ring, x, y):
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+    want = {i: next((f"f{k}" for k, r in enumerate(rings) if len(r) > 2 and any(inside(r, lon + turn, lat) for turn in (-360, 0, 360))), None) for i, (lon, lat) in enumerate(places)}
+    got = {r.event_id: r.label for r in fences.label_by_fence(points, fences_of, broadcast_bytes=broadcast_bytes).collect()}
+    assert got == want | {9999: None} and len(set(want.values())) == 7
+    cells = Counter(r.ord for r in fences.covers(fences_of).collect())
+    assert max(cells.values()) <= fences.CELLS and cells[5] == 0 and min(cells[k] for k in (1, 2, 6)) > 10
+
+
+def test_covers_have_inner_cells_inside():
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 4.0), (0.0, 10.0)]
+    found = fences.cover(ring, 200)
+    assert 100 < len(found) <= 200 and any(i for *_, i in found)
+    area = sum((360 / 2**z) ** 2 for z, _, _, i in found if i)
+    assert 0.75 * 70 < area < 70 < sum((360 / 2**z) ** 2 for z, *_ in found)
+
+
 def modularity(edges, of):
     total, inside, degree = 0, Counter(), Counter()
     for a, b, w in edges:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import EARTH_RADIUS, haversine
 from waymark.functions.scalars import unix_seconds
 from waymark.operators.filters import above_percentile, heavier
+from waymark.operators.fences import cell_at, covers
 from waymark.operators.joins import radius_join, radius_pairs
 from waymark.sources.tables import staged
 
@@ -212,9 +213,25 @@ def without_start(breaks: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def fences_at(points: DataFrame, fences: DataFrame, degrees: float = 0.01) -> DataFrame:
-    """The fences that may hold some of points(user, lat, lon), once a user and label: those whose boxes touch a grid cell of a point."""
+    """The fences that may hold some of points(user, lat, lon), once a user and label: those whose boxes touch a grid cell of a point.
+
+    The boxes, widened to whole grid cells, meet the points' cells through their covers, so a wide box is no more rows than a small one.
+    """
+    low, high = (lambda c: F.floor(F.col(c) / degrees) * degrees), (lambda c: (F.floor(F.col(c) / degrees) + 1) * degrees)
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    w, e, s, n = low("min_x"), high("max_x"), low("min_y"), high("max_y")
+    wide = covers(fences.select("*", F.col("ring").alias("_ring")).withColumn("ring", F.array(corner(w, s), corner(e, s), corner(e, n), corner(w, n))))
+    wide = staged(wide.drop("ring", "inner").withColumnRenamed("_ring", "ring"), "boxes")
     cell = lambda v: F.floor(v / degrees).cast("long")
     seen = points.select("user", cell(F.col("lon")).alias("_gx"), cell(F.col("lat")).alias("_gy")).distinct()
-    xs, ys = (F.explode(F.sequence(cell(F.col(f"min_{c}")), cell(F.col(f"max_{c}")))) for c in "xy")
-    spread = fences.withColumn("_gx", xs).withColumn("_gy", ys)
-    return seen.join(spread, ["_gx", "_gy"]).drop("_gx", "_gy").dropDuplicates(["user", "label"])
+    # A grid cell is looked up by its middle, which no border of a widened box passes.
+    middle = seen.withColumns({"lon": (F.col("_gx") + 0.5) * degrees, "lat": (F.col("_gy") + 0.5) * degrees})
+    levels = [r.level for r in wide.select("level").distinct().collect()]
+    if not levels:
+        return fences.select(F.lit(None).cast(points.schema["user"].dataType).alias("user"), "*").limit(0)
+    at = F.explode(F.array(*[F.struct(F.lit(z).alias("level"), cell_at(z)[0].alias("x"), cell_at(z)[1].alias("y")) for z in sorted(levels)]))
+    met = middle.select("user", "_gx", "_gy", at.alias("c")).select("user", "_gx", "_gy", "c.*").join(wide, ["level", "x", "y"])
+    around = lambda g: (g >= cell(F.col("min_x"))) & (g <= cell(F.col("max_x")))
+    turn = round(360 / degrees)
+    touches = (around(F.col("_gx")) | around(F.col("_gx") + turn) | around(F.col("_gx") - turn)) & F.col("_gy").between(cell(F.col("min_y")), cell(F.col("max_y")))
+    return met.where(touches).drop("level", "x", "y", "_gx", "_gy").dropDuplicates(["user", "label"])

@@ -10,7 +10,8 @@ from waymark.functions.geo import polyline_points, to_utm
 from waymark.functions.sequences import crossed_cells
 from waymark.operators.compress import StreamParams, compress, members
 from waymark.operators.equality import children, same_point
-from waymark.operators.joins import interval_segments, label_by_fence, nearest, radius_pairs
+from waymark.operators.fences import label_by_fence
+from waymark.operators.joins import interval_segments, nearest, radius_pairs
 from waymark.operators.legacy import OLDER, filtered_tracks, kalman, paired_tracks
 from waymark.operators.points import points, read
 from waymark.operators.stays import breakpoints, communities, connected, fences_at, geofences, proximity_graph, stay_clusters, without_start
@@ -339,6 +340,22 @@ def cell_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", noise.alias("noise"), is_critical(way, F.count("*").over(run), cell_spacing(LEVEL), 1.5).alias("critical"))
 
 
+#: A diamond for each nation, up to sixteen degrees wide, the first and the last across the 180th meridian; customers spread over the globe.
+DIAMONDS = """fences AS (SELECT n_nationkey AS ord, n_name AS label, n_nationkey * 15.0::DOUBLE - 179.5 AS x, (n_nationkey % 5) * 17.0::DOUBLE - 40.3 AS y, 5.0::DOUBLE + n_nationkey % 4 AS w, 4.0::DOUBLE + n_nationkey % 3 AS h FROM nation),
+people AS (SELECT c_custkey AS event_id, (c_custkey * 37 % 1201) / 10.0::DOUBLE - 60.05 AS lat, (c_custkey * 101 % 3601) / 10.0::DOUBLE - 180.01 + CASE WHEN (c_custkey * 101 % 3601) = 0 THEN 1 ELSE 0 END AS lon FROM customer)"""
+
+
+@query(f"""WITH {DIAMONDS} SELECT event_id, arg_min(label, ord) FILTER (WHERE abs(((lon - x + 900) % 360) - 180) / w + abs(lat - y) / h < 1) AS label FROM people, fences GROUP BY event_id""")
+def people_in_wide_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("label"), (F.col("n_nationkey") * 15.0 - 179.5).alias("x"), ((F.col("n_nationkey") % 5) * 17.0 - 40.3).alias("y"), (F.lit(5.0) + F.col("n_nationkey") % 4).alias("w"), (F.lit(4.0) + F.col("n_nationkey") % 3).alias("h"))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    fences = nations.select("ord", "label", F.array(corner(x - w, y), corner(x, y - h), corner(x + w, y), corner(x, y + h)).alias("ring"), (x - w).alias("min_x"), (x + w).alias("max_x"), (y - h).alias("min_y"), (y + h).alias("max_y"))
+    turn = F.col("c_custkey") * 101 % 3601
+    people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id"), ((F.col("c_custkey") * 37 % 1201) / 10.0 - 60.05).alias("lat"), (turn / 10.0 - 180.01 + F.when(turn == 0, 1).otherwise(0)).alias("lon"))
+    return label_by_fence(people, fences).select("event_id", "label")
+
+
 @query(f"""WITH {BREAKS} SELECT b.* FROM breaks b JOIN (SELECT "user", min(ts) AS f FROM points GROUP BY "user") USING ("user") WHERE scan_ts > f""")
 def inner_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_start(breakpoints(_labelled(spark, sf_dir), STAY_SECONDS), points(spark, sf_dir))
