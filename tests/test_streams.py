@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import ibdd, tokens
+from waymark.operators import ibdd, stays, tokens
+from waymark.operators.compress import StreamParams, compress
 from waymark.sources.tables import into_documents, into_table
-from waymark.streaming import keyed
+from waymark.streaming import chained, keyed
 
 T0 = dt.datetime(2024, 1, 1)
 POINTS = "event_id long, user long, ts timestamp, lat double, lon double"
@@ -109,3 +110,88 @@ def test_sinks_replace_a_batch_that_runs_again(spark, tmp_path):
         documents(rows, number)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
     assert spark.read.text(str(tmp_path / "d")).where("value = '{\"user\":1,\"v\":\"a\"}'").count() == 2
+
+
+def later(user, seconds, event_id=90_000):
+    """A point of another user that moves event time on."""
+    return (event_id, user, T0 + dt.timedelta(seconds=seconds), 10.0, 10.0)
+
+
+def test_points_to_scores_in_one_stream(spark, tmp_path):
+    """Two stateful stages in one query: forwarded points and markers, cells, scores; as the batch forms give them trajectory by trajectory."""
+    rows = by_time(track(11, 40))
+    far = [(5000 + k, 1, rows[-1][2] + dt.timedelta(seconds=2000 + 60 * k), 55.5 + 0.001 * k, 10.0) for k in range(8)]
+    rows = by_time(rows + far)
+    params, whole = StreamParams(separation_time=150), spark.createDataFrame(rows, POINTS)
+    done = compress(whole, params)
+    batch = done.select(F.concat_ws("|", "user", "session", "traj").alias("uid"), "user", F.col("ord").cast("long").alias("event_id"), F.timestamp_seconds("ts").alias("ts"), "lat", "lon")
+    table = tokens.token_rows(batch, 18, "uid", interpolate=False)
+    known = tokens.sequences(table, ["uid", "user"]).where("size(seq) > 2").select("user", F.slice("seq", 1, 3).alias("pattern"), F.lit(1).alias("freq")).distinct()
+    scored = tokens.anomaly(tokens.window_scores(table, known, "10T", "user", "uid"), 0.5, "uid").collect()
+    want = {(r.user, r.ts, r.geohash, round(r.similarity, 9), round(r.anomaly_score, 9), r.anomaly) for r in scored}
+    assert len({r.uid for r in scored}) > 4 and any(r.anomaly for r in scored)
+    # The last file moves event time on, so that silence ends what is open.
+    quiet = [later(9, 10**6), later(9, 2 * 10**6, 90_001), later(9, 3 * 10**6, 90_002)]
+    got = in_batches(spark, tmp_path, rows + quiet, POINTS, lambda s: chained.scored_trajectories(chained.forward_stream(s, params, "1 minute"), known, 18, "10T", 0.5), "chain", 5)
+    assert {(r.user, r.ts, r.geohash, round(r.similarity, 9), round(r.anomaly_score, 9), r.anomaly) for r in got if r.user != 9} == want
+
+
+def test_forwarded_points_markers_and_control_rows(spark, tmp_path):
+    rows = by_time(track(12, 40))
+    params = StreamParams(separation_time=150)
+    done = compress(spark.createDataFrame(rows, POINTS), params).collect()
+    want = sorted((r.user, round(r.ts, 3), round(r.lat, 9), round(r.weight, 3)) for r in done)
+    quiet = [later(9, 10**6), later(9, 2 * 10**6, 90_001)]
+    build = lambda s: chained.forward_stream(s, params, "1 minute")
+    got = [r for r in in_batches(spark, tmp_path, rows + quiet, POINTS, build, "forward", 6) if r.user != 9]
+    seconds = lambda r: r.ts.timestamp()
+    assert sorted((r.user, round(seconds(r), 3), round(r.lat, 9), round(r.weight, 3)) for r in got if not r.ended) == want
+    ends = [(r.user, r.traj, r.ord) for r in got if r.ended]
+    each = {(r.user, r.traj): r.ord + 1 for r in sorted((r for r in got if not r.ended), key=lambda r: r.ord)}
+    assert {(u, t): n for u, t, n in ends} == each and len(ends) == len(set(ends))
+    # A row without a place forgets what is open: nothing of the first ten points of user 1 comes out but what was handed on before.
+    cut = [r for r in rows if r[1] == 1][:10]
+    clear = (80_000, 1, cut[-1][2] + dt.timedelta(seconds=1), None, None)
+    after = [(81_000 + k, 1, cut[-1][2] + dt.timedelta(seconds=60 * (k + 1)), 56 + 0.002 * k, 10.0) for k in range(5)]
+    got = in_batches(spark, tmp_path, [*cut, clear, *after, *quiet], POINTS, build, "cleared", 2)
+    own = [r for r in got if r.user == 1]
+    assert {r.traj for r in own if r.lat is not None and r.lat >= 56} == {max(r.traj for r in own)} and sum(r.lat is not None and r.lat >= 56 for r in own) == 5
+
+
+def test_late_points_and_stays_that_silence_ends(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = "event_id long, user long, ts timestamp, label string"
+    rows = [(1, 1, at(0), "home"), (2, 1, at(100), "home"), (3, 1, at(900), None), (4, 2, at(950), "work"), (5, 1, at(1000), "work"), (6, 2, at(1000), "work")]
+    late = [(7, 1, at(5), "home")]
+    quiet = [(8, 9, at(50_000), None), (9, 9, at(60_000), None), (10, 9, at(70_000), None)]
+    got = in_batches(spark, tmp_path, rows + quiet[:1] + late + quiet[1:], schema, lambda s: chained.timed_breakpoints(s, 600, "10 seconds"), "stays", 5)
+    base = T0.replace(tzinfo=dt.timezone.utc).timestamp()
+    seen = sorted((r.user, r.start_ts - base, r.scan_ts - base, None if r.last_ts is None or r.last_ts != r.last_ts else r.last_ts - base) for r in got)
+    whole = stays.breakpoints(spark.createDataFrame(rows, schema), 600, tail=True).collect()
+    second = lambda v: None if v is None else v.replace(tzinfo=dt.timezone.utc).timestamp() - base
+    assert seen == sorted((r.user, second(r.start_ts), second(r.scan_ts), second(r.last_ts)) for r in whole) and len(seen) == 3
+
+
+def test_state_is_a_table_that_survives_a_restart(spark, tmp_path):
+    """The frames that a user's windows wait in are read back by batch, change with the next run, and are gone after a control row."""
+    params, source, check = StreamParams(), str(tmp_path / "in"), str(tmp_path / "check")
+    known = spark.createDataFrame([(1, ["x"])], "user long, pattern array<string>")
+    lines = [[(k + 10 * b, 1, T0 + dt.timedelta(seconds=60 * (k + 10 * b)), 55 + 0.002 * (k + 10 * b), 10.0) for k in range(10)] for b in range(2)]
+    lines.append([(99, 1, T0 + dt.timedelta(seconds=1300), None, None)])
+    sizes = []
+    for rows in lines:
+        spark.createDataFrame(rows, POINTS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(POINTS).parquet(source)
+        made = chained.scored_trajectories(chained.forward_stream(stream, params, "1 hour"), known, 18, "5T", 0.5)
+        q = made.writeStream.format("noop").option("checkpointLocation", check).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+        frame = chained.state_rows(spark, check, "window", operator=0).collect()
+        machine = chained.state_rows(spark, check, "machine", operator=1).collect()
+        sizes.append((len(frame), machine[0].traj, round(machine[0].last)))
+        assert {r.user for r in frame} <= {1} and [r.user for r in machine] == [1]
+    base = round(T0.replace(tzinfo=dt.timezone.utc).timestamp())
+    assert sizes[0][0] > 1 and sizes[0][1:] == (0, base + 540) and sizes[1][1:] == (0, base + 1140) and sizes[2][0] == 0 and sizes[2][1] == 1
+    # As it was after the first batch.
+    early = chained.state_rows(spark, check, "machine", operator=1, batch=0).collect()
+    assert [round(r.last) for r in early] == [base + 540]
