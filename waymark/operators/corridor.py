@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import segment_distance, to_utm
 from waymark.operators.motion import by_time, first_run
+from waymark.sources.tables import staged
 
 
 def corridor_onset(points: DataFrame, metres: float = 7.5, run: int = 3) -> DataFrame:
@@ -17,7 +18,8 @@ def corridor_onset(points: DataFrame, metres: float = 7.5, run: int = 3) -> Data
     grid cells they share, in plane coordinates, cells as wide as the longest reach.
     """
     east, north = to_utm(F.col("lat"), F.col("lon"))
-    plane = points.select("user", "ts", "event_id", east.alias("x"), north.alias("y"))
+    # Four uses follow: staged, the projection is worked out once and no later stage carries it along.
+    plane = staged(points.select("user", "ts", "event_id", east.alias("x"), north.alias("y")), "plane")
     w = by_time()
     ends = plane.select("user", "x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 is not null")
     # Repeated segments, either way round, cost one row a user.

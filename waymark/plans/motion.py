@@ -14,7 +14,8 @@ from waymark.operators.legacy import triples
 from waymark.operators.motion import by_time, first_run, gap_segments, measure_segments, motion, motion_flat
 from waymark.operators.points import points, read
 from waymark.operators.percentiles import exact_percentiles
-from waymark.plans.base import BY_USER, POINTS, STEPS, query, sql_haversine, sql_utm
+from waymark.operators.scans import Scan, hot_motion, scanned
+from waymark.plans.base import BY_USER, POINTS, STEPS, query, sql_haversine, sql_seconds, sql_utm
 
 GAP = 43_200
 FAR = 150
@@ -133,6 +134,23 @@ def first_far_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_run(m, F.col("dx") > FAR, 3, ["user"], ["ts", "event_id"]).withColumn("start", F.col("start").cast("long"))
 
 
+#: The points with a third of all users as one.
+HOT = f"""{POINTS}, hot AS (SELECT * REPLACE (CASE WHEN "user" % 3 = 0 THEN 0 ELSE "user" END AS "user") FROM points),
+steps AS (SELECT *, coalesce({sql_haversine('plat', 'plon', 'lat', 'lon')}, 0) AS dx, coalesce({sql_seconds('pts', 'ts')}, 0) AS dt FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(ts) OVER w AS pts FROM hot WINDOW w AS ({BY_USER})))"""
+
+
+@query(f"""WITH {HOT}
+SELECT event_id, "user", round(dx, 3) AS dx, dt, CAST(sum(CASE WHEN dt > {GAP} THEN 1 ELSE 0 END) OVER w AS BIGINT) AS segment, round(min(value) OVER w, 6) AS least, last(CASE WHEN dx > {FAR} THEN event_id END IGNORE NULLS) OVER w AS leap,
+  sum(CAST(round(dt * 1000000) AS BIGINT)) OVER w::BIGINT / 1000000.0::DOUBLE AS clock FROM steps WINDOW w AS ({BY_USER} ROWS UNBOUNDED PRECEDING)""")
+def hot_user_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps, segments, running least values, last leaps and clocks where one user has a third of all points; its track is scanned in blocks."""
+    one = points(spark, sf_dir).withColumn("user", F.when(F.col("user") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user")))
+    m = hot_motion(one, block_rows=256)
+    of = Scan(sums={"segment": F.when(F.col("dt") > GAP, 1).otherwise(0), "clock": F.round(F.col("dt") * 1e6).cast("long")}, least={"least": F.col("value")}, last={"leap": F.when(F.col("dx") > FAR, F.col("event_id"))})
+    found = scanned(m, of, "user")
+    return found.select("event_id", "user", F.round("dx", 3).alias("dx"), "dt", F.col("segment").cast("long").alias("segment"), F.round("least", 6).alias("least"), "leap", (F.col("clock") / 1e6).alias("clock"))
+
+
 def _straying(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points, but every seventh user leaves the grid for a way of their own in the middle of the month."""
     away = (F.col("user") % 7 == 0) & (F.dayofmonth("ts") >= 15)
