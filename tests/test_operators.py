@@ -10,10 +10,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions import alignment
-from waymark.operators import closed, compress, corridor, evaluate, fences, filters, ibdd, joins, legacy, motion, patterns, percentiles, simulate, stays, tokens
+from waymark.operators import closed, compress, corridor, evaluate, fences, filters, ibdd, joins, legacy, motion, patterns, percentiles, scans, simulate, stays, tokens
 from waymark.sources import batches, codecs, gpx, tables
 
 T0 = dt.datetime(2024, 1, 1)
@@ -521,3 +522,21 @@ def test_map_matching(spark):
 def test_motion_zero_dt(spark):
     got = motion.motion(frame(spark, [(55, 10, 0), (55.1, 10, 0)])).orderBy("event_id").collect()
     assert got[1].dt == 0 and got[1].speed == 0 and got[1].dx > 11_000
+
+
+@pytest.mark.parametrize("block_rows", [1 << 16, 40])
+def test_blocked_scans_equal_whole_ones(spark, block_rows):
+    """One user with half of all rows, ties in time across borders, nulls; blocks hold no more than a share."""
+    rng = random.Random(4)
+    rows = [(i, 0 if rng.random() < 0.5 else rng.randrange(1, 9), T0 + dt.timedelta(seconds=rng.choice([0, 5, 5, 60]) + 7 * (i // 3)), 55 + rng.random() * 0.01, 10 + rng.random() * 0.01, None if rng.random() < 0.3 else rng.randrange(100)) for i in range(900)]
+    points = spark.createDataFrame(rows, "event_id long, user long, ts timestamp, lat double, lon double, value int")
+    found = scans.hot_motion(points, block_rows=block_rows)
+    want = {r.event_id: (round(r.dx, 6), r.dt, round(r.speed, 6), round(r.acceleration, 6)) for r in motion.motion(points).collect()}
+    got = found.collect()
+    assert {r.event_id: (round(r.dx, 6), r.dt, round(r.speed, 6), round(r.acceleration, 6)) for r in got} == want
+    sizes = Counter((r.user, r._block) for r in got if r._block is not None)
+    assert (len(sizes) > 8 and max(sizes.values()) < 120) if block_rows == 40 else not sizes
+    run = motion.by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = points.select("event_id", F.sum("value").over(run).alias("s"), F.min("value").over(run).alias("m"), F.last("value", True).over(run).alias("l"), F.lag("value").over(motion.by_time()).alias("p"))
+    each = scans.scanned(scans.blocked(points, "user", block_rows=block_rows), scans.Scan({"p": "value"}, {"s": F.col("value")}, {"m": F.col("value")}, {"l": F.col("value")}), "user")
+    assert sorted(map(repr, ((r.event_id, r.s, r.m, r.l, r.p) for r in each.collect()))) == sorted(map(repr, ((r.event_id, r.s, r.m, r.l, r.p) for r in plain.collect())))
