@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.functions import alignment
+from waymark.functions import alignment, geo
 from waymark.operators import closed, compress, corridor, evaluate, fences, filters, ibdd, joins, legacy, motion, patterns, percentiles, scans, simulate, stays, tokens
 from waymark.sources import batches, codecs, gpx, tables
 
@@ -263,9 +263,10 @@ def test_evaluation(spark):
     rows = spark.createDataFrame([(True, True)] * 3 + [(True, False)] + [(False, False)] * 4, "anomalous boolean, outcome boolean")
     r = evaluate.rates(rows).first()
     assert r.auc == pytest.approx((3 / 4 + 1) / 2) and r.auc_swapped == pytest.approx((1 + 4 / 5) / 2)
-    seqs = spark.createDataFrame([(1, ["a"]), (2, ["a"]), (3, ["b"])], "uid long, seq array<string>")
-    got = {(r.uid, r.pattern[0], r.freq) for r in evaluate.leave_one_out_support(seqs).collect()}
-    assert got == {(1, "a", 1), (1, "b", 1), (2, "a", 1), (2, "b", 1), (3, "a", 2)}
+    every, some = (spark.createDataFrame([(k,) for k in ks], "uid string") for ks in ("uvw", "uv"))
+    assert {(r.uid, r.test) for r in evaluate.train_test(some, every, spark.createDataFrame([("v",)], "uid string")).collect()} == {("u", False), ("v", True)}
+    with pytest.raises(ValueError):
+        evaluate.train_test(every, some, some)
     t = spark.createDataFrame([("u", True, T0), ("v", False, T0)], "uid string, anomalous boolean, onset timestamp")
     d = spark.createDataFrame([("u", T0 + dt.timedelta(seconds=30), True), ("u", T0, False)], "uid string, ts timestamp, anomaly boolean")
     assert {(r.uid, r.outcome, r.delay) for r in evaluate.delays(d, t).collect()} == {("u", True, 30.0), ("v", False, None)}
@@ -446,8 +447,10 @@ def test_simulation_and_batches(spark, tmp_path):
         simulate.trajectory([simulate.WayPoint(1, 1)], 1)
     with pytest.raises(ValueError):
         simulate.WayPoint(1, 1, -1)
-    picked = simulate.spaced(5, 20, 1)
-    assert all(b - a > 1 for a, b in zip(picked, picked[1:], strict=False))
+    picked = simulate.restless(300, 4, 1)
+    assert all(a != b for a, b in zip(picked, picked[1:], strict=False)) and set(picked) == {0, 1, 2, 3} and simulate.restless(3, 2, 5) in ([0, 1, 0], [1, 0, 1])
+    with pytest.raises(ValueError):
+        simulate.restless(3, 1, 5)
     (tmp_path / "b.json").write_text(simulate.batch([3, 4], places))
     got = batches.read_batches(spark, str(tmp_path / "b.json"))
     assert {r.uid for r in got.select("uid").distinct().collect()} == {"t3", "t4"} and got.where("ts is null or latitude is null").count() == 0
@@ -540,3 +543,39 @@ def test_blocked_scans_equal_whole_ones(spark, block_rows):
     plain = points.select("event_id", F.sum("value").over(run).alias("s"), F.min("value").over(run).alias("m"), F.last("value", True).over(run).alias("l"), F.lag("value").over(motion.by_time()).alias("p"))
     each = scans.scanned(scans.blocked(points, "user", block_rows=block_rows), scans.Scan({"p": "value"}, {"s": F.col("value")}, {"m": F.col("value")}, {"l": F.col("value")}), "user")
     assert sorted(map(repr, ((r.event_id, r.s, r.m, r.l, r.p) for r in each.collect()))) == sorted(map(repr, ((r.event_id, r.s, r.m, r.l, r.p) for r in plain.collect())))
+
+
+def test_polylines_of_tracks_and_the_known_line(spark):
+    rows = spark.createDataFrame([([(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)],), ([],), ([(0.0, 0.0), (-0.00001, 179.99999), (0.0, -180.0)],)], "p array<struct<lat:double,lon:double>>")
+    got = rows.select("p", geo.polyline_encoded(F.col("p"), 1e-5).alias("line"), geo.polyline_points(geo.polyline_encoded(F.col("p"), 1e-5), 1e-5).alias("back")).collect()
+    assert got[0].line == "_p~iF~ps|U_ulLnnqC_mqNvxq`@" and got[1].line == ""
+    for r in got:
+        assert [(round(b.lat, 5), round(b.lon, 5)) for b in r.back] == [(p.lat, p.lon) for p in r.p]
+
+
+def test_places_in_a_whole_order(spark):
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(i, rng.choice(["b", "A", "a", "C", None])) for i in range(500)], "k long, s string").repartition(7)
+    got = sorted((r.place, r.s, r.k) for r in filters.numbered(rows, [F.collate("s", "UNICODE_CI"), F.col("k")]).collect())
+    assert [p for p, *_ in got] == list(range(1, 501))
+    assert [(s, k) for _, s, k in got] == sorted(((s, k) for _, s, k in got), key=lambda r: (r[0] is not None, (r[0] or "").lower(), r[1]))
+
+
+def test_an_empty_queue_and_a_trajectory_without_a_user_are_errors(spark):
+    none = frame(spark, [(55, 10, 0)]).limit(0)
+    with pytest.raises(ValueError):
+        compress.compress_queue(none)
+    assert compress.compress_queue(frame(spark, [(55, 10, 0)])).count() == 1
+    homeless = frame(spark, [(55, 10, 0)]).withColumn("user", F.lit(None).cast("long"))
+    with pytest.raises(Exception, match="needs a user"):
+        codecs.trajectory_json(homeless).collect()
+
+
+def test_device_motion_and_magnetometer_come_back(spark):
+    at = F.lit(T0).cast("timestamp")
+    motion_ = F.struct(F.lit(0.5).alias("x"), F.lit(-1.0).alias("y"), F.lit(9.8).alias("z"), at.alias("external_timestamp"))
+    magnet = F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(2.0).alias("z"), F.lit(3.0).alias("magnitude"), at.alias("internal_timestamp"))
+    made = spark.range(2).select("id", codecs.point_json({"latitude": F.lit(55.0), "longitude": F.lit(10.0), "device_motion_data": F.when(F.col("id") == 0, motion_), "magnetometer_data": F.when(F.col("id") == 1, magnet)}).alias("d"))
+    got = {r.id: r.p for r in made.select("id", codecs.read_point(F.col("d")).alias("p")).collect()}
+    assert tuple(got[0].device_motion_data) == (0.5, -1.0, 9.8, T0) and got[0].magnetometer_data is None
+    assert tuple(got[1].magnetometer_data) == (1.0, 2.0, 2.0, 3.0, T0) and got[1].device_motion_data is None

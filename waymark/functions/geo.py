@@ -143,6 +143,21 @@ def polyline_points(encoded: Column, precision: float = 1e-6) -> Column:
     return F.aggregate(steps, total, add, lambda acc: acc["out"])
 
 
+def polyline_encoded(points: Column, precision: float = 1e-6) -> Column:
+    """The polyline string of an array of (lat, lon): polyline_points() gives the points back, rounded to the precision."""
+    whole = F.transform(points, lambda p: F.struct(F.round(p["lat"] / precision).cast("long").alias("a"), F.round(p["lon"] / precision).cast("long").alias("b")))
+
+    def groups(d: Column) -> Column:
+        """Zig-zag, then five bits at a time from the low end; all but the last carry a flag."""
+        turned = F.when(d < 0, F.bitwise_not(F.shiftleft(d, 1))).otherwise(F.shiftleft(d, 1))
+        last = F.greatest(F.ceil(F.length(F.bin(turned)) / 5).cast("int") - 1, F.lit(0))
+        low = lambda k: F.call_function("shiftright", turned, k * 5).bitwiseAND(31)
+        return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda k: F.char(low(k) + F.when(k < last, 32).otherwise(0) + 63)), "")
+
+    before = lambda w, i, c: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(w, i - 1)[c])
+    return F.get(F.transform(F.array(whole), lambda w: F.array_join(F.transform(w, lambda p, i: F.concat(groups(p["a"] - before(w, i, "a")), groups(p["b"] - before(w, i, "b")))), "")), 0)
+
+
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of a point to a segment in plane coordinates."""
     dx, dy = bx - ax, by - ay

@@ -185,6 +185,13 @@ def compress(points: DataFrame, params: StreamParams = StreamParams()) -> DataFr
     return found.withColumn("traj_id", F.sha2(F.concat_ws("|", "user", "session", "traj"), 256))
 
 
+def compress_queue(points: DataFrame, params: StreamParams = StreamParams()) -> DataFrame:
+    """compress() of a queue of points; ValueError if there is none."""
+    if points.isEmpty():
+        raise ValueError("the queue of points is empty")
+    return compress(points, params)
+
+
 def members(compressed: DataFrame) -> DataFrame:
     """The points behind each compressed row, or the row itself where it has none."""
     own = F.array(F.struct("lat", "lon", F.col("ts").alias("ts")))

@@ -29,12 +29,13 @@ def delays(detected: DataFrame, truth: DataFrame, key: str = "uid") -> DataFrame
     return both.select(key, "anomalous", "outcome", F.when(late >= 0, late).alias("delay"))
 
 
-def leave_one_out_support(seqs: DataFrame) -> DataFrame:
-    """(uid, pattern, freq): supports of all other trajectories; counted once, the own sequence is subtracted."""
-    counts = seqs.groupBy("seq").agg(F.count("*").alias("freq"))
-    pairs = seqs.select("uid", F.col("seq").alias("own")).join(counts, F.lit(True))
-    left = pairs.withColumn("freq", F.col("freq") - F.when(F.col("seq") == F.col("own"), 1).otherwise(0))
-    return left.where("freq > 0").select("uid", F.col("seq").alias("pattern"), "freq")
+def train_test(rows: DataFrame, train: DataFrame, test: DataFrame, key: str = "uid") -> DataFrame:
+    """rows with `test`: whether the row's key is in test or in train (test where it is in both). ValueError if it is in neither."""
+    known = test.select(key, F.lit(True).alias("test")).unionByName(train.select(key, F.lit(False).alias("test"))).groupBy(key).agg(F.max("test").alias("test"))
+    found = rows.join(known, key, "left")
+    if (lost := found.where("test is null").select(key).first()) is not None:
+        raise ValueError(f"{key} {lost[0]} is in neither set")
+    return found
 
 
 def sweep(results: DataFrame, *params: str) -> DataFrame:

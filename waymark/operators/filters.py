@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import to_utm
 from waymark.operators.percentiles import exact_percentiles
+from waymark.sources.tables import staged
 
 
 def bounding_box(points: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
@@ -90,6 +91,20 @@ def first_groups(rows: DataFrame, groups: int, key: str, order: list[str]) -> Da
     return rows.join(F.broadcast(first), key, "left_semi")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place, from 1, in an order of the whole table: ranges are sorted apart, and each begins where the counts of those before it end.
+
+    What is put in order as a whole and broadcast is one count for each range.
+    """
+    ranged = rows.withColumns({f"_k{i}": c for i, c in enumerate(order)})
+    ranged = ranged.repartitionByRange(*[F.col(f"_k{i}") for i in range(len(order))]).sortWithinPartitions(*[f"_k{i}" for i in range(len(order))])
+    ranged = ranged.drop(*[f"_k{i}" for i in range(len(order))])
+    held = staged(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranges")
+    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).select(*rows.columns, name)
+
+
 def in_order(rows: DataFrame, column: str, direction: str | None = "asc", collation: str = "UNICODE_CI") -> DataFrame:
     """rows sorted by a column, numbers as numbers and strings by a collation; None leaves them as they are."""
     if direction is None:

@@ -79,11 +79,17 @@ def trajectory(waypoints: list[WayPoint], seed: int, routes: dict | None = None)
     return out + (stop(rng, waypoints[-1]) if waypoints[-1].is_stop else [])
 
 
-def spaced(n: int, size: int, seed: int) -> list[int]:
-    """n numbers below size, no two of them neighbours, in order."""
-    if n > (size + 1) // 2:
-        raise ValueError("too many numbers for the range")
-    return [x + i for i, x in enumerate(sorted(random.Random(seed).sample(range(size - n + 1), n)))]
+def restless(n: int, size: int, seed: int) -> list[int]:
+    """n numbers below size, repeats allowed, but never one twice in a row: each is drawn from the others than the one before."""
+    if size < 2:
+        raise ValueError("two numbers or more are needed")
+    rng, out = random.Random(seed), []
+    last = rng.randrange(size)
+    for _ in range(n):
+        step = rng.randrange(1, size)
+        last = (last + step) % size
+        out.append(last)
+    return out
 
 
 def pattern(kind: str, places: list[tuple[float, float]], seed: int) -> list[WayPoint]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.cells import BASE32, base32, base32_centre, cell_spacing, cell_xy, decode, encode, neighbours, rectangle
-from waymark.functions.geo import polyline_points, to_utm
+from waymark.functions.geo import polyline_encoded, polyline_points, to_utm
 from waymark.functions.sequences import crossed_cells
 from waymark.operators.compress import StreamParams, compress, members
 from waymark.operators.equality import children, same_point
@@ -215,6 +215,17 @@ def cluster_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geofences(_clusters(spark, sf_dir), 28.0).select("user", "label", F.size("ring").alias("corners"), *[F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
 
 
+@query(f"""WITH {POINTS}, days AS (SELECT "user", CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY "user", CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS i, lat, lon FROM points)
+SELECT "user", day, i, round(lat, 5) AS lat, round(lon, 5) AS lon FROM days""")
+def polyline_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's track as a polyline and back: the points to five places."""
+    each = F.array_sort(F.collect_list(F.struct("ts", "event_id", "lat", "lon")))
+    days = points(spark, sf_dir).groupBy("user", F.to_date("ts").alias("day")).agg(each.alias("p"))
+    lines = days.select("user", "day", polyline_encoded(F.col("p"), 1e-5).alias("line"))
+    back = lines.select("user", "day", F.posexplode(polyline_points(F.col("line"), 1e-5)).alias("i", "p"))
+    return back.select("user", "day", F.col("i").cast("long").alias("i"), F.round("p.lat", 5).alias("lat"), F.round("p.lon", 5).alias("lon"))
+
+
 def _placed(tracks: DataFrame) -> DataFrame:
     rounded = {"lat": F.round("lat", 7), "lon": F.round("lon", 7), "track": F.col("track").cast("long"), "ord": F.col("ord").cast("long")}
     return tracks.withColumns(rounded)
@@ -345,15 +356,18 @@ DIAMONDS = """fences AS (SELECT n_nationkey AS ord, n_name AS label, n_nationkey
 people AS (SELECT c_custkey AS event_id, (c_custkey * 37 % 1201) / 10.0::DOUBLE - 60.05 AS lat, (c_custkey * 101 % 3601) / 10.0::DOUBLE - 180.01 + CASE WHEN (c_custkey * 101 % 3601) = 0 THEN 1 ELSE 0 END AS lon FROM customer)"""
 
 
-@query(f"""WITH {DIAMONDS} SELECT event_id, arg_min(label, ord) FILTER (WHERE abs(((lon - x + 900) % 360) - 180) / w + abs(lat - y) / h < 1) AS label FROM people, fences GROUP BY event_id""")
-def people_in_wide_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nation_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("label"), (F.col("n_nationkey") * 15.0 - 179.5).alias("x"), ((F.col("n_nationkey") % 5) * 17.0 - 40.3).alias("y"), (F.lit(5.0) + F.col("n_nationkey") % 4).alias("w"), (F.lit(4.0) + F.col("n_nationkey") % 3).alias("h"))
     x, y, w, h = (F.col(c) for c in "xywh")
     corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-    fences = nations.select("ord", "label", F.array(corner(x - w, y), corner(x, y - h), corner(x + w, y), corner(x, y + h)).alias("ring"), (x - w).alias("min_x"), (x + w).alias("max_x"), (y - h).alias("min_y"), (y + h).alias("max_y"))
+    return nations.select("ord", "label", F.array(corner(x - w, y), corner(x, y - h), corner(x + w, y), corner(x, y + h)).alias("ring"), (x - w).alias("min_x"), (x + w).alias("max_x"), (y - h).alias("min_y"), (y + h).alias("max_y"))
+
+
+@query(f"""WITH {DIAMONDS} SELECT event_id, arg_min(label, ord) FILTER (WHERE abs(((lon - x + 900) % 360) - 180) / w + abs(lat - y) / h < 1) AS label FROM people, fences GROUP BY event_id""")
+def people_in_wide_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("c_custkey") * 101 % 3601
     people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id"), ((F.col("c_custkey") * 37 % 1201) / 10.0 - 60.05).alias("lat"), (turn / 10.0 - 180.01 + F.when(turn == 0, 1).otherwise(0)).alias("lon"))
-    return label_by_fence(people, fences).select("event_id", "label")
+    return label_by_fence(people, nation_fences(spark, sf_dir)).select("event_id", "label")
 
 
 @query(f"""WITH {BREAKS} SELECT b.* FROM breaks b JOIN (SELECT "user", min(ts) AS f FROM points GROUP BY "user") USING ("user") WHERE scan_ts > f""")

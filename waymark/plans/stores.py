@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from waymark.functions.scalars import item_at, pop_left, pop_right, push_right, set_at
 from waymark.operators.compress import compress
-from waymark.operators.filters import delete_selected, first_groups, in_order, select_rows
+from waymark.operators.filters import delete_selected, first_groups, numbered, select_rows
 from waymark.operators.motion import by_time
 from waymark.operators.points import points, read
 from waymark.operators.stays import breakpoints
 from waymark.operators.tokens import support_set
 from waymark.plans.base import BY_USER, POINTS, query
-from waymark.plans.spatial import BREAKS, HEADERS, SCALED, STAY_SECONDS, _fences, _labelled
+from waymark.plans.spatial import BREAKS, DIAMONDS, HEADERS, SCALED, STAY_SECONDS, _labelled, nation_fences
 from waymark.plans.tokens import DAYS, _days
 from waymark.sources.batches import read_batches
 from waymark.sources.codecs import ingest, point_json, read_point
@@ -116,12 +116,13 @@ def result_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, path).where(F.col("params").isin("click", "view")).select("params", "n", "score")
 
 
-@query("""SELECT * FROM (VALUES ('home', 10.38045::DOUBLE, 55.3603::DOUBLE, 4), ('work', 10.38125::DOUBLE, 55.3609::DOUBLE, 4), ('shop', 10.3824::DOUBLE, 55.3617::DOUBLE, 4)) AS f(label, mid_lon, mid_lat, corners)""")
+@query(f"""WITH {DIAMONDS} SELECT label, round(x, 6) AS mid_lon, round(y, 6) AS mid_lat, 4 AS corners FROM fences WHERE label IN ('NATION_3', 'NATION_7')""")
 def fence_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fences with their rings in a table, and back."""
+    """Fences of all nations with their rings in a table by label, and two of them back."""
     path = scratch(spark, "fences")
-    save(_fences(spark), path, ["label"])
-    return load(spark, path).select("label", F.round((F.col("min_x") + F.col("max_x")) / 2, 6).alias("mid_lon"), F.round((F.col("min_y") + F.col("max_y")) / 2, 6).alias("mid_lat"), F.size("ring").alias("corners"))
+    save(nation_fences(spark, sf_dir), path, ["label"])
+    found = load(spark, path).where(F.col("label").isin("NATION_3", "NATION_7"))
+    return found.select("label", F.round((F.col("min_x") + F.col("max_x")) / 2, 6).alias("mid_lon"), F.round((F.col("min_y") + F.col("max_y")) / 2, 6).alias("mid_lat"), F.size("ring").alias("corners"))
 
 
 @query("""WITH q AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS items FROM events GROUP BY user_id), n AS (SELECT *, list_append(items, CAST(-1 AS BIGINT)) AS pushed FROM q)
@@ -161,11 +162,7 @@ def first_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collated_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in the order of a text column without regard to case, equal ones in order of their key."""
     rows = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("segment"))
-    sizes = in_order(rows.groupBy(F.lower("segment").alias("segment")).agg(F.count("*").alias("n")), "segment")
-    # Few segments: how many rows stand before each.
-    before = sizes.select("segment", (F.sum("n").over(W.orderBy(F.collate("segment", "UNICODE_CI"))) - F.col("n")).alias("before"))
-    own = rows.withColumn("segment", F.lower("segment")).withColumn("k", F.row_number().over(W.partitionBy("segment").orderBy("c_custkey")))
-    return own.join(F.broadcast(before), "segment").select("c_custkey", (F.col("before") + F.col("k")).alias("place"))
+    return numbered(rows, [F.collate("segment", "UNICODE_CI"), F.col("c_custkey")]).select("c_custkey", "place")
 
 
 @query(f"""WITH {POINTS}, h AS (SELECT "user", date_trunc('hour', ts) AS ts, event_id FROM points) SELECT a.event_id AS a, b.event_id AS b FROM h a JOIN h b ON a."user" = b."user" AND a.ts = b.ts""")
