@@ -429,6 +429,15 @@ def test_chat_escapes_round_trip(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_rows_with_the_fields_of_other_layouts(spark):
+    """Columns that another layout also has, filled or not, do not change what a table of turns says."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", None), (2, 0, "assistant", "b")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    want = {r.conv_id: (r.formatted, r.loss_spans) for r in chat.format_chats(plain).collect()}
+    more = plain.withColumns({"prompt": F.lit("x"), "response": F.when(F.col("turn") == 0, F.lit("y")), "_layout": F.lit(1), "_layout0": F.lit(2), "messages": F.lit("no list")})
+    assert {r.conv_id: (r.formatted, r.loss_spans) for r in chat.format_chats(more).collect()} == want
+
+
 def test_chat_layouts(spark):
     frames = [
         spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")])], "conv_id long, messages array<struct<role:string,content:string>>"),

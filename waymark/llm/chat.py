@@ -2,7 +2,8 @@ r"""Chat formatting: layouts are recognised by a fingerprint of field paths and
 
 A layout is declared by its nested field paths (`messages[].role` and so on) and a mapping to an array of turns. The paths of the fields that
 a row holds (that are not null) are hashed, and the hash selects the mapping, so one table may hold rows of several layouts. The table of
-hashes also lists what rows with nulls hold: such a row belongs to the smallest layout that its fields are part of. Rows that
+hashes also lists what rows with nulls hold: such a row belongs to the smallest layout that its fields are part of. A row that holds more, because
+further columns happen to be fields of another layout, belongs to the layout of which it holds most fields, of equal ones to the larger. Rows that
 two layouts of one size fit alike are refused. No Python runs on executors.
 
 Template: each turn is `### role:`, a line feed, the text, `</turn>`, a line feed. Inside roles and texts `\` becomes `\\`,
@@ -13,7 +14,7 @@ points: the texts of assistant turns.
 Nulls: null texts and roles count as empty; rows with a null conversation id form one conversation. Ties of turn are in order of role,
 then text; repeated rows are turns of their own. A null or empty list of messages gives no turns. Empty tables give no rows.
 A conversation is one output string, so its turns do meet in one row; conversations are spread by their id. Very long texts and very many
-turns are rows like any other: spans are running sums, so their work is n log n in the turns. A column called `_layout` is refused.
+turns are rows like any other: spans are running sums, so their work is n log n in the turns. Further columns may have any names.
 """
 
 from __future__ import annotations
@@ -118,6 +119,14 @@ def row_layout(df: DataFrame, layouts: list[tuple[str, ...]]) -> Column:
     return F.try_element_at(numbers, mark)
 
 
+def fullest_layout(layouts: list[tuple[str, ...]]) -> Column:
+    """Number of the layout of which a row holds most fields, of equal ones the larger; -1 for several."""
+    held = lambda layout: reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), len(paths)).otherwise(0) for c, paths in _fields(layout).items()])
+    ranks = F.array(*[F.struct(held(layout).alias("held"), F.lit(len(layout)).alias("size"), F.lit(k).alias("k")) for k, layout in enumerate(layouts)])
+    top = bound(ranks, lambda every: bound(F.array_max(every), lambda best: F.filter(every, lambda r: (r["held"] == best["held"]) & (r["size"] == best["size"]))))
+    return bound(top, lambda best: F.when(F.size(best) == 1, F.get(best, 0)["k"]).otherwise(-1))
+
+
 def canonical_turns(df: DataFrame) -> DataFrame:
     """(conv_id, turns) of a table whose rows have any of the declared layouts; fields of no layout are ignored.
 
@@ -125,8 +134,6 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     own fingerprint; a row that fits several alike, or none, fails the job with its fingerprint's cause (nothing is guessed or dropped), but a
     row of nulls, which has no turns.
     """
-    if "_layout" in df.columns:
-        raise ValueError("a column must not be called _layout")
     have = set(field_paths(df.schema))
     layouts = [p for p in LAYOUTS if have >= set(p)]
     if not layouts:
@@ -136,11 +143,13 @@ def canonical_turns(df: DataFrame) -> DataFrame:
         columns = {c for layout in layouts for c in _fields(layout)}
         nothing = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in sorted(columns)])
         refuse = F.raise_error(F.lit("a row fits no declared layout, or several alike")).cast("int")
-        number = F.when(nothing, -2).when(number.isNull() | (number < 0), refuse).otherwise(number)
-    marked = df.withColumn("_layout", number)
-    made = [LAYOUTS[layout](marked.where(F.col("_layout") == k)) for k, layout in enumerate(layouts)]
+        fullest = fullest_layout(layouts)
+        number = F.when(nothing, -2).when(number >= 0, number).when(fullest >= 0, fullest).otherwise(refuse)
+    mark = next(name for n in range(len(df.columns) + 1) if (name := f"_layout{n}") not in df.columns)
+    marked = df.withColumn(mark, number)
+    made = [LAYOUTS[layout](marked.where(F.col(mark) == k)) for k, layout in enumerate(layouts)]
     if len(layouts) > 1:
-        made.append(marked.where("_layout = -2").select("conv_id", F.array().cast(TURNS).alias("turns")))
+        made.append(marked.where(F.col(mark) == -2).select("conv_id", F.array().cast(TURNS).alias("turns")))
     return reduce(DataFrame.unionByName, made)
 
 
