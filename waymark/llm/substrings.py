@@ -122,10 +122,10 @@ def _scan(buckets: int, length: int):
             found = np.unique(np.concatenate([anchors(t, length)[0] for t in texts]))
             by = (found % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(by, kind="stable")
-            cuts = np.searchsorted(by[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
+            # Borders of equal buckets: work and memory follow the unit's hashes, not the number of buckets.
+            full, cuts = np.unique(by[order], return_index=True)
             n, m = len(ids), len(full)
-            blobs = [found[order[cuts[k] : cuts[k + 1]]].tobytes() for k in full]
+            blobs = [own.tobytes() for own in np.split(found[order], cuts[1:])] if m else []
             yield _batch(UNIT, [[unit] * (n + m), [*range(n), *[None] * m], [*ids, *[None] * m], [*[hashlib.sha256(t).hexdigest() for t in texts], *[None] * m], [*[None] * n, *full.tolist()], [*[None] * n, *blobs]])
 
     return run
