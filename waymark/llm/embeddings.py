@@ -33,6 +33,8 @@ from waymark.llm.simhash import Forest
 NEAREST = 8
 PIVOTS = 1 << 16
 BLOCK_FLOATS = 1 << 20
+#: Distances to pivots that a task holds at a time.
+NEAR_FLOATS = 1 << 22
 COSINE = 0.9
 
 
@@ -44,12 +46,15 @@ def _units(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def permutation(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
-    """The closest pivots of each row, closest first."""
-    near = -(x @ pivots.T)
+def permutation(x: np.ndarray, pivots: np.ndarray, nearest: int, most: int = NEAR_FLOATS) -> np.ndarray:
+    """The closest pivots of each row, closest first. Rows are taken so many at a time that no array has more than `most` distances."""
     k = min(nearest, len(pivots))
-    top = np.argpartition(near, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+    out, step = np.empty((len(x), k), np.int64), max(1, most // max(len(pivots), 1))
+    for at in range(0, len(x), step):
+        near = -(x[at : at + step] @ pivots.T)
+        top = np.argpartition(near, k - 1, axis=1)[:, :k]
+        out[at : at + step] = np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 def nearest_for(pivots: int) -> int:
