@@ -429,6 +429,29 @@ def test_chat_escapes_round_trip(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_every_large_block_group_is_dealt_again(spark):
+    """However many groups are large, and however little of all rows each holds."""
+    from waymark.llm import simhash
+
+    rng = random.Random(3)
+    prints = sorted({(a << 32) | rng.getrandbits(32) for a in range(40) for _ in range(60)})
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in prints], "fp long")
+    # Groups by the upper half hold 60 rows each; with a limit of 20 all of them are dealt.
+    dealt = simhash._dealt(fps, 20)
+    sizes = {(r.which, r.block, r.more, r.sub): r["count"] for r in dealt.groupBy("which", "block", "more", "sub").count().collect()}
+    assert max(n for (_, _, more, _), n in sizes.items() if more == -1) <= 20
+    want = {r.fp: r.root for r in simhash.near_groups(fps).collect()}
+    assert {r.fp: r.root for r in simhash.near_groups(fps, group_rows=20).collect()} == want
+
+
+def test_pivot_permutations_by_parts_are_the_same():
+    from waymark.llm import embeddings
+
+    rng = np.random.default_rng(6)
+    x, pivots = rng.normal(size=(500, 8)), rng.normal(size=(70, 8))
+    assert (embeddings.permutation(x, pivots, 9) == embeddings.permutation(x, pivots, 9, most=300)).all() and embeddings.permutation(x[:0], pivots, 9).shape == (0, 9)
+
+
 def test_chat_rows_with_the_fields_of_other_layouts(spark):
     """Columns that another layout also has, filled or not, do not change what a table of turns says."""
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", None), (2, 0, "assistant", "b")]

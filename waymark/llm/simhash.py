@@ -175,16 +175,19 @@ def _agreeing(fp: Column, size: int, first: int) -> list[Column]:
 
 
 def _dealt(distinct: DataFrame, group_rows: int) -> DataFrame:
-    """(which, block, more, sub, fp): distinct fingerprints by the pairs of blocks they may share. Groups of more rows than a fixed share
-    of all (and than group_rows) are dealt once more, by the pairs of four blocks of the bits that the first pair leaves open; two
+    """(which, block, more, sub, fp): distinct fingerprints by the pairs of blocks they may share. Groups of more than group_rows
+    rows are dealt once more, by the pairs of four blocks of the bits that the first pair leaves open; two
     fingerprints within two bits of each other agree on one of these as well. 16 open bits are left then, so no group has more than 65536 rows."""
     size = 64 // BLOCKS
     each = distinct.select("fp", F.explode(F.array(*_agreeing(F.col("fp"), size, 0))).alias("k")).select("fp", "k.which", "k.block")
     counted = stage(each.groupBy("which", "block").agg(F.count("*").alias("n")).where(F.col("n") > group_rows), "simhash-blocks")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # A group is dealt again if it holds more than its share of the rows in large groups: fewer than HOT_KEYS do.
-    hot = counted.where(F.col("n") > total // HOT_KEYS).select("which", "block", F.lit(True).alias("hot"))
+    # Large groups above a share of their rows are fewer than HOT_KEYS: they stay where they are and learn it by a broadcast. The other large
+    # ones, any number of them, are too small to weigh on a task and learn it in a join.
+    hot, warm = (counted.where(c).select("which", "block", F.lit(True).alias("hot")) for c in (F.col("n") > total // HOT_KEYS, F.col("n") <= total // HOT_KEYS))
     each = each.join(F.broadcast(hot), ["which", "block"], "left")
+    if not warm.isEmpty():
+        each = each.where("hot is not null").unionByName(each.where("hot is null").drop("hot").join(warm, ["which", "block"], "left"))
     # The open bits of a pair of blocks, side by side in the low 32 bits.
     pairs = list(combinations(range(BLOCKS), 2))
     part = lambda i: F.shiftrightunsigned("fp", size * i).bitwiseAND((1 << size) - 1)
