@@ -114,13 +114,20 @@ def triples(points: DataFrame) -> DataFrame:
     return out.where("start is not null").select("user", "event_id", "start", "middle", "end")
 
 
-def overlapping_vertices(triples: DataFrame, routes: DataFrame, buffer: float = 1e-5, limit: float = 5.0) -> DataFrame:
+def overlapping_vertices(triples: DataFrame, routes: DataFrame, buffer: float = 1e-5, limit: float = 5.0, cell: float = 1e-3) -> DataFrame:
     """Map matching: triples(id, a, b, c) and routes(src, dst, ord, x, y, length). Keeps the vertices of route (a, b) within `buffer` of route
-    (a, c), for triples whose route lengths differ by a factor of 1 + limit at most."""
+    (a, c), for triples whose route lengths differ by a factor of 1 + limit at most.
+
+    The edges of a route, widened by the buffer, are indexed by the cells (of `cell` degrees) they touch, and a vertex meets the edges of its own cell only.
+    """
     short, long = (routes.select(F.col("src").alias("a"), F.col("dst").alias(d), F.col("ord").alias(f"{p}_ord"), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y"), F.col("length").alias(f"{p}_len")) for p, d in (("s", "b"), ("l", "c")))
     after = W.partitionBy("a", "c").orderBy("l_ord")
     edges = long.withColumns({"_x": F.lead("l_x").over(after), "_y": F.lead("l_y").over(after)}).where("_x is not null")
-    both = triples.join(short, ["a", "b"]).join(edges, ["a", "c"])
+    at = lambda v: F.floor(v / cell).cast("long")
+    touched = [F.explode(F.sequence(at(F.least(f"l_{v}", f"_{v}") - buffer), at(F.greatest(f"l_{v}", f"_{v}") + buffer))) for v in "xy"]
+    indexed = edges.withColumn("_gx", touched[0]).withColumn("_gy", touched[1])
+    vertices = triples.join(short, ["a", "b"]).withColumns({"_gx": at(F.col("s_x")), "_gy": at(F.col("s_y"))})
+    both = vertices.join(indexed, ["a", "c", "_gx", "_gy"])
     ok = F.abs(F.col("l_len") - F.col("s_len")) / F.nullif(F.col("l_len"), F.lit(0.0)) <= limit
     near = segment_distance(*[F.col(c) for c in ("s_x", "s_y", "l_x", "l_y", "_x", "_y")])
     return both.where(ok & (near <= buffer)).select("id", F.col("s_ord").alias("ord"), F.col("s_x").alias("x"), F.col("s_y").alias("y")).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from waymark.functions.scalars import item_at, pop_left, pop_right, push_right, set_at
 from waymark.operators.compress import compress
 from waymark.operators.filters import delete_selected, first_groups, numbered, select_rows
+from waymark.operators.legacy import overlapping_vertices
 from waymark.operators.motion import by_time
 from waymark.operators.points import points, read
 from waymark.operators.stays import breakpoints
@@ -19,6 +20,7 @@ from waymark.plans.tokens import DAYS, _days
 from waymark.sources.batches import read_batches
 from waymark.sources.codecs import ingest, point_json, read_point
 from waymark.sources.gpx import gpx_points, write_gpx
+from waymark.sources.routes import read_routes, save_routes
 from waymark.sources.tables import clear, closed, load, newest_first, replace, save, scratch, trajectory_headers
 
 NTZ = "timestamp_ntz"
@@ -181,3 +183,30 @@ def trajectory_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = trajectory_headers(compress(points(spark, sf_dir), SCALED)).withColumn("t", F.struct("traj_id", "n_points"))
     h = h.withColumn("b", F.lag("t").over(w))
     return h.select("traj_id", F.coalesce(same_trajectory(F.col("t"), F.col("b")) & F.col("b").isNotNull(), F.lit(False)).alias("same"), same_trajectory(F.col("t"), F.col("t")).alias("itself"))
+
+
+#: Triples of a user's places, and routes that go along the row of the first place, then along the column of the last.
+ROUTED = f"""{POINTS}, placed AS (SELECT "user", event_id, ts, CAST(round((lat - 55.36) / 0.0002) AS BIGINT) AS r, CAST(round((lon - 10.38) / 0.0003) AS BIGINT) AS q FROM points),
+triples AS (SELECT * FROM (SELECT event_id AS id, lag(r, 2) OVER w AS ar, lag(q, 2) OVER w AS aq, lag(r) OVER w AS br, lag(q) OVER w AS bq, r AS cr, q AS cq FROM placed WINDOW w AS (PARTITION BY "user" ORDER BY ts, event_id)) WHERE ar IS NOT NULL),
+steps AS (SELECT *, abs(bq - aq) + abs(br - ar) AS n, 2 * abs(br - ar) + 3 * abs(bq - aq) AS s, 2 * abs(cr - ar) + 3 * abs(cq - aq) AS l FROM triples),
+vertices AS (SELECT *, CASE WHEN ord <= abs(bq - aq) THEN ar ELSE ar + sign(br - ar) * (ord - abs(bq - aq)) END AS vr, CASE WHEN ord <= abs(bq - aq) THEN aq + sign(bq - aq) * ord ELSE bq END AS vq FROM (SELECT *, unnest(range(0, n + 1)) AS ord FROM steps WHERE l > 0 AND abs(l - s) <= 2.5::DOUBLE * l))"""
+
+
+@query(f"""WITH {ROUTED} SELECT id, ord, round(10.38 + vq * 0.0003::DOUBLE, 4) AS x, round(55.36 + vr * 0.0002::DOUBLE, 4) AS y FROM vertices WHERE (vr = ar AND vq BETWEEN least(aq, cq) AND greatest(aq, cq)) OR (vq = cq AND vr BETWEEN least(ar, cr) AND greatest(ar, cr))""")
+def route_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every three places a user passes, what the route to the second shares with the route to the third; routes come from a store of encoded lines."""
+    row, column = F.round((F.col("lat") - 55.36) / 0.0002).cast("long"), F.round((F.col("lon") - 10.38) / 0.0003).cast("long")
+    w = by_time()
+    place = points(spark, sf_dir).select("user", "event_id", "ts", (row * 10 + column).alias("p"))
+    triples = place.select(F.col("event_id").alias("id"), F.lag("p", 2).over(w).alias("a"), F.lag("p").over(w).alias("b"), F.col("p").alias("c")).where("a is not null")
+    pairs = triples.select("a", F.explode(F.array("b", "c")).alias("d")).select(F.col("a").alias("src"), F.col("d").alias("dst")).distinct()
+    r, q = (lambda c: F.floor(F.col(c) / 10)), (lambda c: F.col(c) % 10)
+    dr, dq = r("dst") - r("src"), q("dst") - q("src")
+    at = lambda i, x, y: F.struct((55.36 + y(i) * 0.0002).alias("lat"), (10.38 + x(i) * 0.0003).alias("lon"))
+    x = lambda i: q("src") + F.signum(dq) * F.least(i, F.abs(dq))
+    y = lambda i: r("src") + F.signum(dr) * F.greatest(i - F.abs(dq), F.lit(0))
+    routes = pairs.select("src", "dst", (2 * F.abs(dr) + 3 * F.abs(dq)).cast("double").alias("length"), F.transform(F.sequence(F.lit(0).cast("long"), F.abs(dr) + F.abs(dq)), lambda i: at(i, x, y)).alias("points"))
+    path = scratch(spark, "routes")
+    save_routes(routes, path)
+    found = overlapping_vertices(triples, read_routes(spark, path), 1e-5, 2.5)
+    return found.select("id", F.col("ord").cast("long").alias("ord"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
