@@ -62,7 +62,7 @@ def evaluate(points: DataFrame, truth: DataFrame, precisions: list[int], thresho
     rows = staged(rows.select("precision", "uid", "batch", "event_id", "ts", "geohash", "between"), "token-rows")
     own = sequences(rows, ["precision", "uid", "batch"])
     support = own.groupBy("precision", "batch", F.col("seq").alias("pattern")).agg(F.count("*").alias("freq"))
-    found = anomaly(window_scores(rows, support, window, ["precision", "batch"], ["precision", "uid"], skip_own=True), 1.0, ["precision", "uid"])
+    found = anomaly(window_scores(rows, support, window, ["precision", "batch"], ["precision", "uid"], skip_own=True, stored=True), 1.0, ["precision", "uid"])
     levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     each = found.select("precision", "uid", "ts", "anomaly_score", levels.alias("threshold")).where(F.col("anomaly_score") > F.col("threshold"))
     first = each.groupBy("precision", "uid", "threshold").agg(F.min("ts").alias("first_ts"))

@@ -15,6 +15,7 @@ from waymark.functions.cells import cell_spacing, encode
 from waymark.functions.scalars import period_micros
 from waymark.functions.sequences import ensemble, line_cells
 from waymark.operators.filters import drop_consecutive
+from waymark.sources.tables import staged
 
 
 def _keys(key: str | list[str]) -> list[str]:
@@ -83,14 +84,16 @@ def window_tokens(rows: DataFrame, period: str, key: str | list[str] = "user") -
 PACK = 64
 
 
-def window_scores(rows: DataFrame, support: DataFrame, period: str, by: str | list[str], key: str | list[str] = "user", wanted: Column | None = None, skip_own: bool = False, pack: int = PACK) -> DataFrame:
+def window_scores(rows: DataFrame, support: DataFrame, period: str, by: str | list[str], key: str | list[str] = "user", wanted: Column | None = None, skip_own: bool = False, pack: int = PACK, stored: bool = False) -> DataFrame:
     """(key, event_id, similarity) of the token rows that are wanted (all, without it): the best common subsequence of the row's window with a pattern of support(by, pattern, freq), over
     the window's length; 0 without patterns.
 
     A trajectory is one row with all its tokens and its windows as positions in them, and meets the patterns of its group in packs. One pass over
-    trajectory x pattern answers all its windows. skip_own: the trajectory's own sequence is taken out of the support once (leave one out).
+    trajectory x pattern answers all its windows. skip_own: the trajectory's own sequence is taken out of the support once (leave one out). rows are read
+    twice, so they are staged unless stored says that they are.
     """
     keys, groups = _keys(key), _keys(by)
+    rows = rows if stored else staged(rows, "token-rows")
     spans = window_spans(rows, period, key).withColumn("_wanted", F.lit(True) if wanted is None else wanted)
     each = F.struct("start", tokens_of().alias("t"), F.struct("event_id", "from", "to").alias("w"), "_wanted")
     known = [c for c in groups if c not in keys]
@@ -99,14 +102,18 @@ def window_scores(rows: DataFrame, support: DataFrame, period: str, by: str | li
     whole = whole.select(*keys, *known, F.flatten(F.transform("r", lambda r: r["t"])).alias("tokens"), asked.alias("windows")).where(F.size("windows") > 0)
     numbered = support.withColumn("_pack", F.floor((F.row_number().over(W.partitionBy(*groups).orderBy("pattern")) - 1) / pack))
     packs = numbered.groupBy(*groups, "_pack").agg(F.collect_list(F.struct("pattern", "freq")).alias("patterns"))
-    met = whole.join(packs, groups).select(*keys, "tokens", "windows", "patterns")
+    met = whole.join(packs, groups).select(*keys, *[c for c in groups if c not in keys], "_pack", "tokens", "windows", "patterns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pack_of = None, []
         for b in batches:
             columns: list[list] = [[] for _ in range(len(keys) + 2)]
+            names = list(zip(*(b.column(c).to_pylist() for c in (*groups, "_pack")), strict=True))
             for row in range(b.num_rows):
                 tokens, windows = b.column("tokens")[row].as_py(), b.column("windows")[row].as_py()
-                patterns = [p["pattern"] for p in b.column("patterns")[row].as_py() if not (skip_own and p["freq"] == 1 and p["pattern"] == tokens)]
+                if names[row] != known:  # trajectories of a group mostly come together
+                    known, pack_of = names[row], b.column("patterns")[row].as_py()
+                patterns = [p["pattern"] for p in pack_of if not (skip_own and p["freq"] == 1 and p["pattern"] == tokens)]
                 starts, ends = (np.array([w[c] for w in windows]) for c in ("from", "to"))
                 score = best_lengths(tokens, patterns, starts, ends) / (ends - starts)
                 for own, k in zip(columns, keys, strict=False):
