@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -33,21 +34,39 @@ def cell_xy(lat: Column, lon: Column, level: int) -> tuple[Column, Column]:
     return at(lon, 360.0), at(lat, 180.0)
 
 
+def _curve_steps() -> list[int]:
+    """The curve three levels at a time: at 64 * state + 8 * (bits of x) + (bits of y), 4 * (six bits of the code) + the next state. Bit 0 of a state exchanges
+    x and y, bit 1 turns both over."""
+    out = []
+    for at in range(256):
+        state, code = at >> 6, 0
+        for s in (2, 1, 0):
+            rx, ry = at >> 3 + s & 1 ^ state >> 1, at >> s & 1 ^ state >> 1
+            rx, ry = (ry, rx) if state & 1 else (rx, ry)
+            code = code << 2 | 3 * rx ^ ry
+            state ^= 0 if ry else 3 if rx else 1
+        out.append(code << 2 | state)
+    return out
+
+
+CURVE = _curve_steps()
+
+
 def encode_xy(x: Column, y: Column, level: int, bits: int = 2) -> Column:
-    """Hilbert-order string of a cell."""
-    top = (1 << level) - 1
+    """Hilbert-order string of a cell. A step looks up three levels; levels put on top to fill the first step exchange x and y each."""
     if not level:
         return F.lit("")
-    start = F.struct(x.alias("x"), y.alias("y"), F.lit(0).cast("long").alias("code"))
+    groups, low = -(-level // 3), (1 << level) - 1
+    table = F.expr(f"array({', '.join(map(str, CURVE))})")
+    part = lambda v, s: F.call_function("shiftright", v, s).bitwiseAND(7)
 
-    def step(acc: Column, s: Column) -> Column:
-        rx = F.call_function("shiftright", acc["x"], s).bitwiseAND(1)
-        ry = F.call_function("shiftright", acc["y"], s).bitwiseAND(1)
-        turn, flip = ry == 0, (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, top - acc["x"]).otherwise(acc["x"]), F.when(flip, top - acc["y"]).otherwise(acc["y"])
-        return F.struct(F.when(turn, fy).otherwise(fx).alias("x"), F.when(turn, fx).otherwise(fy).alias("y"), (acc["code"] * 4 + (rx * 3).bitwiseXOR(ry)).alias("code"))
+    def step(at: Column) -> Callable[[Column, Column], Column]:
+        here = lambda acc, s: acc.bitwiseAND(3) * 64 + part(at["x"], s) * 8 + part(at["y"], s)
+        return lambda acc, s: F.shiftleft(F.call_function("shiftright", acc, F.lit(2)), 8) + F.get(table, here(acc, s).cast("int"))
 
-    code = F.aggregate(F.sequence(F.lit(level - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["code"])
+    walk = lambda at: F.aggregate(F.sequence(F.lit(3 * groups - 3), F.lit(0), F.lit(-3)), F.lit((3 * groups - level) % 2).cast("long"), step(at))
+    start = F.struct(x.cast("long").bitwiseAND(low).alias("x"), y.cast("long").bitwiseAND(low).alias("y"))
+    code = F.shiftrightunsigned(F.get(F.transform(F.array(start), walk), 0), 2)
     if bits == 2:
         return F.lpad(F.conv(code.cast("string"), 10, 4), level, "0")
     size = level * 2 // bits
