@@ -110,14 +110,22 @@ def from_utm(east: Number, north: Number, zone: Column | int) -> tuple[Column, C
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
     mu = north / UTM_SCALE / (WGS84_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
     phi = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
-    sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
-    n = WGS84_A / F.sqrt(1 - e2 * sin * sin)
-    r = WGS84_A * (1 - e2) / F.pow(1 - e2 * sin * sin, 1.5)
-    t, c, d = tan * tan, ep2 * cos * cos, (east - UTM_EASTING) / (n * UTM_SCALE)
-    d2 = d * d
-    lat = phi - n * tan / r * d2 * (F.lit(0.5) - d2 / 24 * (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) + d2 * d2 / 720 * (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c))
-    lon = d * (1 - d2 / 6 * (1 + 2 * t + c) + d2 * d2 / 120 * (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t)) / cos
-    return F.degrees(lat), F.degrees(lon) + (zone * 6 - 183)
+
+    def place(phi: Column) -> Column:
+        sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
+        n = WGS84_A / F.sqrt(1 - e2 * sin * sin)
+        parts = {"phi": phi, "tan": tan, "cos": cos, "n": n, "r": WGS84_A * (1 - e2) / F.pow(1 - e2 * sin * sin, 1.5), "t": tan * tan, "c": ep2 * cos * cos, "d": (east - UTM_EASTING) / (n * UTM_SCALE)}
+        return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in parts.items()])), series), 0)
+
+    def series(p: Column) -> Column:
+        phi, tan, cos, n, r, t, c, d = (p[k] for k in ("phi", "tan", "cos", "n", "r", "t", "c", "d"))
+        d2 = d * d
+        lat = phi - n * tan / r * d2 * (F.lit(0.5) - d2 / 24 * (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) + d2 * d2 / 720 * (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c))
+        lon = d * (1 - d2 / 6 * (1 + 2 * t + c) + d2 * d2 / 120 * (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t)) / cos
+        return F.struct(F.degrees(lat).alias("lat"), F.degrees(lon).alias("lon"))
+
+    at = F.get(F.transform(F.array(phi), place), 0)  # each step is worked out once
+    return at["lat"], at["lon"] + (zone * 6 - 183)
 
 
 def polyline_points(encoded: Column, precision: float = 1e-6) -> Column:
