@@ -66,3 +66,16 @@ def test_all_others_have_a_twin():
 @pytest.mark.parametrize("name", sorted(HELD))
 def test_without_twin(spark, name):
     assert HELD[name](entry.queries()[name](spark, str(SF)).collect())
+
+
+def test_wide_fences_on_borders(spark, tmp_path):
+    """Customers right on the border of a diamond, within rounding of it on either side."""
+    keys = [13973, 19125, 80253, 86065, 127743, 132895, 189049, 241513, 246665, 541234, 619851, 733621, 899231, 2364838, 2660156]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.read.parquet(str(SF / "nation.parquet")).write.parquet(str(tmp_path / "nation.parquet"))
+    con = duckdb.connect()
+    for t in ("customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["people_in_wide_fences"]).fetchall(), key=repr)
+    got = entry.queries()["people_in_wide_fences"](spark, str(tmp_path)).collect()
+    assert sorted(((r.event_id, r.label) for r in got), key=repr) == want and 0 < sum(label is None for _, label in want) < len(keys)

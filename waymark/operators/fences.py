@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,19 +96,22 @@ def cell_at(level: int | Column) -> tuple[Column, Column]:
     return F.pmod(F.floor((F.col("lon") + 180) / side), last.cast("long")), F.floor((F.col("lat") + 90) / side)
 
 
-def _holds(fence: Column) -> Column:
-    """Whether a fence with its box holds the place (lat, lon), also from beyond the seam."""
+def _holds(fence: Column, inside: Callable[[Column], Column] | None = None) -> Column:
+    """Whether a fence with its box holds the place (lat, lon), also from beyond the seam; inside: see label_by_fence()."""
+    if inside is not None:
+        return fence["inner"] | inside(fence)
     x, y = F.col("lon"), F.col("lat")
     x = F.when(x < fence["min_x"], x + 360).when(x > fence["max_x"], x - 360).otherwise(x)
     boxed = (x >= fence["min_x"]) & (x <= fence["max_x"]) & (y >= fence["min_y"]) & (y <= fence["max_y"])
     return fence["inner"] | (boxed & in_ring(x, y, fence["ring"]))
 
 
-def label_by_fence(points: DataFrame, fences: DataFrame, cells: int = CELLS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def label_by_fence(points: DataFrame, fences: DataFrame, cells: int = CELLS, broadcast_bytes: int = BROADCAST_BYTES, inside: Callable[[Column], Column] | None = None) -> DataFrame:
     """Adds `label` to points(event_id, lat, lon, ...): the first fence(ord, label, ring, min_x, max_x, min_y, max_y) that holds the point, or null.
 
     A fence is at most `cells` cells, however wide. Where all covers fit in broadcast_bytes, points look up their cell at each level that occurs and are never
     shuffled; else they meet the cells in a shuffle, and the first fence of each is found in another. A ring may go beyond 180 degrees on either side.
+    inside: a test of a fence struct for the place (lat, lon) that decides in edge cells in place of the ring, where rounding on the border has to be that of a formula.
     """
     found = staged(covers(fences.select("ord", "label", "ring", "min_x", "max_x", "min_y", "max_y"), cells), "covers")
     size = found.agg(F.sum(F.lit(64) + 16 * F.size("ring")), F.sort_array(F.collect_set("level"))).first()
@@ -123,10 +126,10 @@ def label_by_fence(points: DataFrame, fences: DataFrame, cells: int = CELLS, bro
             lists.append(F.coalesce(name, F.array().cast(at.schema[name].dataType)))
         if not lists:
             return points.withColumn("label", F.lit(None).cast("string"))
-        holding = F.transform(F.filter(F.concat(*lists), _holds), lambda f: F.struct(f["ord"].alias("ord"), f["label"].alias("label")))
+        holding = F.transform(F.filter(F.concat(*lists), lambda f: _holds(f, inside)), lambda f: F.struct(f["ord"].alias("ord"), f["label"].alias("label")))
         return out.withColumn("label", F.array_min(holding)["label"]).select(*points.columns, "label")
     levels = F.explode(F.array(*[F.struct(F.lit(z).alias("level"), cell_at(z)[0].alias("x"), cell_at(z)[1].alias("y")) for z in size[1]]))
     keyed = points.select("event_id", "lat", "lon", levels.alias("c")).select("event_id", "lat", "lon", "c.*")
-    hits = keyed.join(found.select("level", "x", "y", each.alias("_f")), ["level", "x", "y"]).where(_holds(F.col("_f")))
+    hits = keyed.join(found.select("level", "x", "y", each.alias("_f")), ["level", "x", "y"]).where(_holds(F.col("_f"), inside))
     first = hits.groupBy("event_id").agg(F.min(F.struct("_f.ord", "_f.label")).alias("_first"))
     return points.join(first, "event_id", "left").withColumn("label", F.col("_first.label")).select(*points.columns, "label")
