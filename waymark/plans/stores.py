@@ -24,6 +24,8 @@ from waymark.sources.routes import read_routes, save_routes
 from waymark.sources.tables import clear, closed, load, newest_first, replace, save, scratch, trajectory_headers
 
 NTZ = "timestamp_ntz"
+#: Points of a nested JSON batch.
+BATCH_POINTS = 50_000
 
 
 @query(f"""WITH {POINTS} SELECT ts, round(lat, 9) AS lat, round(lon, 9) AS lon, count(*) AS n FROM (SELECT date_trunc('millisecond', ts) AS ts, lat, lon FROM points) GROUP BY ALL""")
@@ -37,8 +39,10 @@ def gpx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {POINTS} SELECT 'u' || "user" AS uid, "user" % 10 = 0 AS anomalous, date_trunc('millisecond', ts) AS ts, round(lat, 9) AS latitude, round(lon, 9) AS longitude, row_number() OVER ({BY_USER}) = 3 AS anom_start FROM points""")
 def batch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled trajectories as nested JSON batches (a frame a user within a frame a batch), read back."""
-    p = points(spark, sf_dir).withColumn("i", F.row_number().over(by_time()))
+    """Labelled trajectories as nested JSON batches (a frame a user within a frame a batch of about BATCH_POINTS points, a file a batch), read back."""
+    p = points(spark, sf_dir)
+    many = max(4, -(-p.count() // BATCH_POINTS))
+    p = p.withColumn("i", F.row_number().over(by_time()))
     row = F.struct("ts", "event_id", (F.unix_millis("ts")).alias("ms"), F.to_json(F.array(*[F.to_json(F.struct(F.col(c).alias("v"))) for c in ("lat", "lon")])).alias("x"), "lat", "lon", (F.col("i") == 3).alias("s"))
     each = p.groupBy("user").agg(F.array_sort(F.collect_list(row)).alias("r"))
     uid = F.concat(F.lit("u"), F.col("user"))
@@ -47,13 +51,13 @@ def batch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = F.concat(F.lit('{"columns":["latitude","longitude","uid","anom_start"],"index":'), text(lambda r: r["ms"]), F.lit(',"data":'), data, F.lit("}"))
     quoted = lambda c: F.to_json(F.array(c))
     inner = F.concat(F.lit("["), F.expr("substring(q, 2, length(q) - 2)"), F.lit(","), F.lit('"'), uid, F.lit('",'), (F.col("user") % 10 == 0).cast("string"), F.lit("]"))
-    rows = each.withColumn("q", quoted(frame)).select((F.col("user") % 4).alias("batch"), inner.alias("row"), "user")
+    rows = each.withColumn("q", quoted(frame)).select(F.pmod("user", F.lit(many)).alias("batch"), inner.alias("row"), "user")
     outer = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("user", "row"))).alias("r"))
     joined = F.array_join(F.transform("r", lambda r: r["row"]), ",")
     index = F.to_json(F.sequence(F.lit(0), F.size("r") - 1))
-    document = outer.select(F.to_json(F.array(F.concat(F.lit('{"columns":["df","uid","anomalous"],"index":'), index, F.lit(',"data":['), joined, F.lit("]}")))).alias("value"))
+    document = outer.select("batch", F.to_json(F.array(F.concat(F.lit('{"columns":["df","uid","anomalous"],"index":'), index, F.lit(',"data":['), joined, F.lit("]}")))).alias("value"))
     path = scratch(spark, "batches")
-    document.repartition(4).write.text(path)
+    document.write.partitionBy("batch").text(path)  # one row a batch, so a file holds one document
     found = read_batches(spark, path)
     return found.select("uid", "anomalous", F.col("ts").cast(NTZ).alias("ts"), F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "anom_start")
 
@@ -76,7 +80,7 @@ def ingested_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {POINTS} SELECT event_id, ts, lat, lon FROM points WHERE "user" = 3""")
 def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points appended to a table by user in files of bounded size, and one user's read back from that user's partition alone."""
+    """Points appended to a table by user in files of bounded size, and one user's read back from the folder that holds it alone."""
     path = scratch(spark, "points")
     save(points(spark, sf_dir), path, ["user"], rows_a_file=5000)
     return load(spark, path, user=3).select("event_id", F.col("ts").cast(NTZ).alias("ts"), "lat", "lon")
@@ -105,7 +109,7 @@ def support_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def newest_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "headers")
     save(trajectory_headers(compress(points(spark, sf_dir), SCALED)), path, ["user"])
-    found = newest_first(load(spark, path), 4)
+    found = newest_first(load(spark, path, user=4), 4)
     # One user's headers: the order that the reader gives, as a number.
     return found.select("traj_id", "start_ts", "n_points", F.row_number().over(W.partitionBy("user").orderBy(F.col("start_ts").desc(), "traj_id")).cast("long").alias("rank"))
 
