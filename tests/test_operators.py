@@ -606,3 +606,39 @@ def test_counts_of_runs_say_what_the_detector_says():
     owners = ibdd.Owners({})
     ibdd.marked(tokens, many, 100_000, 0, owners, ibdd.IbddParams())
     assert owners.number == 0
+
+
+def test_stored_tables_by_many_values(spark, tmp_path):
+    """Folders do not grow with the values; values that share a folder are cleared and replaced one by one."""
+    path = str(tmp_path / "t")
+    rows = spark.range(3000).selectExpr("id % 1000 AS user", "id AS n").repartition(6)
+    tables.save(rows, path, ["user"], rows_a_file=50)
+    files = list((tmp_path / "t").glob("*/*.parquet"))
+    assert len({f.parent for f in files}) <= tables.BUCKETS and len(files) <= 2 * tables.BUCKETS
+    assert sorted(r.n for r in tables.load(spark, path, user=7).collect()) == [7, 1007, 2007] and tables.load(spark, path).columns == ["user", "n"]
+    tables.clear(spark, path, "user", [1, 2])
+    tables.replace(spark.createDataFrame([(3, -1), (5000, -2)], "user long, n long"), path, ["user"])
+    left = sorted(tuple(r) for r in tables.load(spark, path).collect())
+    assert left == sorted([(3, -1), (5000, -2), *((i % 1000, i) for i in range(3000) if i % 1000 not in (1, 2, 3))])
+
+
+def test_batches_longer_than_a_json_string(spark, tmp_path):
+    """A frame with more characters than a parser takes by default is read whole."""
+    n = 550_000
+    inner = json.dumps({"columns": ["latitude", "longitude", "uid", "anom_start"], "index": list(range(n)), "data": [[55.36, 10.38, "u1", False]] * n})
+    outer = json.dumps({"columns": ["df", "uid", "anomalous"], "index": [0], "data": [[inner, "u1", True]]})
+    assert len(outer) > 20_000_000
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "0.json").write_text(json.dumps([outer]))
+    assert batches.read_batches(spark, str(tmp_path / "b")).count() == n
+
+
+def test_ways_are_walked_once(spark, monkeypatch):
+    """Cells between neighbours come from a table of distinct ways, not from every row."""
+    seen = []
+    monkeypatch.setattr(tokens, "staged", lambda rows, name: seen.append((name, rows.count())) or rows)
+    track = frame(spark, [(55.0 + 0.01 * (i % 2), 10.0, 10 * i) for i in range(200)])
+    rows = tokens.token_rows(track, 18, interpolate=True)
+    assert seen == [("ways", 2)]
+    found = rows.orderBy("ts").collect()
+    assert [r.between for r in found[:1]] == [[]] and len({tuple(r.between) for r in found[1:]}) == 2 and found[1].between == found[2].between[::-1] != []

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,14 +22,34 @@ def trajectory_headers(compressed: DataFrame) -> DataFrame:
     )
 
 
+#: Folders of a table. A value's rows are in one of them, sorted, so folders and files do not grow with the number of values.
+BUCKETS = 256
+
+
+def _bucket(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
+
+
+def _bucketed(rows: DataFrame, by: list[str]) -> DataFrame:
+    name = f"{by[0]}_bucket"
+    dealt = rows.withColumn(name, _bucket(F.col(by[0])))
+    return dealt.hint("rebalance", F.col(name)).sortWithinPartitions(name, *by)
+
+
 def save(rows: DataFrame, path: str, by: list[str], rows_a_file: int = 1_000_000) -> None:
-    """Append to a table partitioned by the given columns; files are cut by rows."""
-    rows.write.mode("append").option("maxRecordsPerFile", rows_a_file).partitionBy(*by).parquet(path)
+    """Append to a table in folders by the hash of the first of the given columns, sorted by all of them; files are cut by rows."""
+    _bucketed(rows, by).write.mode("append").option("maxRecordsPerFile", rows_a_file).partitionBy(f"{by[0]}_bucket").parquet(path)
 
 
 def replace(rows: DataFrame, path: str, by: list[str]) -> None:
-    """Overwrite the partitions that rows has, no others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Overwrite what is stored under the values that rows has in the given columns, no others."""
+    name, rows = f"{by[0]}_bucket", staged(rows, "replacing")
+    new = rows.withColumn(name, _bucket(F.col(by[0])))
+    stored = rows.sparkSession.read.parquet(path)
+    touched = stored.join(F.broadcast(new.select(name).distinct()), name, "left_semi").drop(name)
+    kept = touched.join(rows.select(*by).distinct(), by, "left_anti")
+    both = staged(kept.unionByName(rows), "replaced")
+    _bucketed(both, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
 def newest_first(headers: DataFrame, user: int) -> DataFrame:
@@ -37,11 +57,13 @@ def newest_first(headers: DataFrame, user: int) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, **equal) -> DataFrame:
-    """A stored table, pruned to partitions with the given values."""
+    """A stored table, pruned to the folders of the given values."""
     rows = spark.read.parquet(path)
     for column, value in equal.items():
+        if f"{column}_bucket" in rows.columns:
+            rows = rows.where(F.col(f"{column}_bucket") == _bucket(F.lit(value).cast(rows.schema[column].dataType)))
         rows = rows.where(F.col(column) == value)
-    return rows
+    return rows.drop(*[c for c in rows.columns if c.endswith("_bucket")])
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -67,10 +89,16 @@ def closed(breaks: DataFrame) -> DataFrame:
 
 
 def clear(spark: SparkSession, path: str, by: str, values: list) -> None:
-    """Empties the partitions of a stored table whose `by` is one of the values; the others stay."""
-    for value in values:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+    """Takes the rows whose `by` is one of the values out of a stored table; only their folders are written anew."""
+    name, stored = f"{by}_bucket", spark.read.parquet(path)
+    kind = stored.schema[by].dataType
+    found = spark.range(1).select(F.explode(F.array_distinct(F.array(*[_bucket(F.lit(v).cast(kind)) for v in values]))).alias("b")).collect() if values else []
+    buckets = [r.b for r in found]
+    kept = staged(stored.where(F.col(name).isin(buckets) & ~F.coalesce(F.col(by).isin(values), F.lit(False))).drop(name), "cleared")
+    for bucket in buckets:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={bucket}")
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    save(kept, path, [by])
 
 
 def into_table(path: str, by: list[str]) -> Callable[[DataFrame, int], None]:
