@@ -642,3 +642,10 @@ def test_ways_are_walked_once(spark, monkeypatch):
     assert seen == [("ways", 2)]
     found = rows.orderBy("ts").collect()
     assert [r.between for r in found[:1]] == [[]] and len({tuple(r.between) for r in found[1:]}) == 2 and found[1].between == found[2].between[::-1] != []
+
+
+def test_fold_sizes_are_those_of_the_pairs(spark):
+    for users in ([4, 7, 9, 4, None], [5], [3, 8]):
+        uids = spark.createDataFrame([(u,) for u in users], "uid long")
+        want = evaluate.folds(uids).groupBy("test").agg(F.count("*").alias("n"), F.min("train").alias("least"))
+        assert sorted(map(tuple, evaluate.fold_sizes(uids).collect())) == sorted(map(tuple, want.collect()))

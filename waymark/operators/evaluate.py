@@ -12,6 +12,15 @@ def folds(uids: DataFrame) -> DataFrame:
     return a.join(b, F.col("test") != F.col("train"))
 
 
+def fold_sizes(uids: DataFrame) -> DataFrame:
+    """(test, n, least): of each of the folds() how many uids are learned from and the least of them, without the pairs: all others are all less the own one."""
+    each = uids.where("uid is not null").select(F.col("uid").alias("test")).distinct()
+    two = each.orderBy("test").limit(2).agg(F.min("test").alias("_least"), F.max("test").alias("_next"))
+    whole = each.agg((F.count("*") - 1).alias("n")).crossJoin(two)
+    least = F.when(F.col("test") == F.col("_least"), F.col("_next")).otherwise(F.col("_least"))
+    return each.crossJoin(F.broadcast(whole)).where("n > 0").select("test", "n", least.alias("least"))
+
+
 def rates(rows: DataFrame, *keys: str) -> DataFrame:
     """Of rows(anomalous, outcome) by keys: auc = (TPR + TNR) / 2, and auc_swapped with the arguments exchanged; 0 where a class is missing."""
     n = lambda a, o: F.sum(F.when((F.col("anomalous") == a) & (F.col("outcome") == o), 1).otherwise(0))
