@@ -649,3 +649,37 @@ def test_fold_sizes_are_those_of_the_pairs(spark):
         uids = spark.createDataFrame([(u,) for u in users], "uid long")
         want = evaluate.folds(uids).groupBy("test").agg(F.count("*").alias("n"), F.min("train").alias("least"))
         assert sorted(map(tuple, evaluate.fold_sizes(uids).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_short_sequences_are_aligned_side_by_side(monkeypatch):
+    """Many sequences with their own ranges of patterns at a time give what each gives by itself; only long ones are walked by themselves."""
+    rng = random.Random(4)
+    lists = lambda xs: alignment.Lists(np.array([t for x in xs for t in x], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in xs], dtype=np.int64)]))
+    walk, walked = alignment.window_table, []
+    monkeypatch.setattr(alignment, "window_table", lambda s, p: walked.append(len(s)) or walk(s, p))
+    monkeypatch.setattr(alignment, "BLOCK", 500)
+    seqs = [[rng.randrange(5) for _ in range(n)] for n in (0, 1, 2, 3, 3, 5, 9, 40, alignment.SHORT + 6)]
+    patterns = [[rng.randrange(6) for _ in range(rng.randrange(13))] for _ in range(20)] + seqs[:8]
+    spans = [[tuple(sorted(rng.sample(range(len(s) + 1), 2))) for _ in range(5)] if s else [] for s in seqs]
+    firsts, counts = np.array([20, 0, 20, 20, 0, 15, 20, 3, 1]), np.array([8, 28, 8, 4, 0, 13, 8, 25, 19])
+    once = np.array([rng.random() < 0.5 for _ in patterns])
+    for only in (None, once):
+        got = alignment.batch_lengths(lists(seqs), lists(patterns), lists([[a for a, _ in w] for w in spans]), np.array([b for w in spans for _, b in w]), firsts, counts, only)
+        assert set(walked) == {alignment.SHORT + 6}
+        want = []
+        for s, f, c, w in zip(seqs, firsts, counts, spans, strict=True):
+            mine = [p for p, o in zip(patterns[f : f + c], once[f : f + c], strict=True) if not (only is not None and o and p == s)]
+            want += alignment.best_lengths(s, mine, *(np.array(x) for x in zip(*w, strict=True))).tolist() if w else []
+        assert got.tolist() == want
+        walked.clear()
+
+
+def test_points_are_encoded_once_for_all_levels(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, i % 3, T0 + dt.timedelta(minutes=i), rng.uniform(54.9, 55.1) if i % 7 else 90.0, rng.choice([-180.0, 180.0, 10.0, 10.0003])) for i in range(120)]
+    points = spark.createDataFrame(rows, "event_id long, user long, ts timestamp, lat double, lon double")
+    each = {(p, r.event_id, r.geohash) for p in (0, 7, 12, 20) for r in tokens.token_rows(points, p, interpolate=False).collect()}
+    encode, asked = tokens.encode, []
+    monkeypatch.setattr(tokens, "encode", lambda *a: asked.append(a) or encode(*a))
+    got = tokens.token_rows(points, [7, 20, 0, 12], interpolate=False)
+    assert {(r.precision, r.event_id, r.geohash) for r in got.collect()} == each and len(asked) == 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions.cells import check_precision
 from waymark.functions.scalars import period_micros
 from waymark.operators.evaluate import rates
-from waymark.operators.tokens import anomaly, sequences, token_rows, window_scores
+from waymark.operators.tokens import anomaly, pack_scores, sequences, token_rows, whole_windows, window_scores
 from waymark.sources.tables import staged
 
 
@@ -52,22 +52,20 @@ def detect(points: DataFrame, support: DataFrame, params: PatternParams, by: str
 def evaluate(points: DataFrame, truth: DataFrame, precisions: list[int], thresholds: list[float], window: str, interpolate: bool = True) -> DataFrame:
     """Leave-one-out outcomes of all trajectories at all parameters: (precision, threshold, batch, uid, anomalous, outcome, delay).
 
-    points(uid, batch, event_id, ts, lat, lon); truth(uid, anomalous, onset). One plan for all folds and parameters: points are encoded at all precisions at once, the
-    token rows are staged, supports are counted once a batch and the own sequence is left out. Scores do not depend on the threshold. delay: seconds from the
+    points(uid, batch, event_id, ts, lat, lon); truth(uid, anomalous, onset). One plan for all folds and parameters: points are encoded once for all precisions, the
+    trajectories are staged, supports are counted once a batch and the own sequence is left out. Scores do not depend on the threshold. delay: seconds from the
     onset to the first detection, null where that is negative or there is none.
     """
     for p in precisions:
         PatternParams(p, 1.0, window, interpolate)
     rows = token_rows(points.select("uid", "batch", "event_id", "ts", "lat", "lon"), list(precisions), "uid", interpolate)
-    rows = staged(rows.select("precision", "uid", "batch", "event_id", "ts", "geohash", "between"), "token-rows")
-    own = sequences(rows, ["precision", "uid", "batch"])
-    support = own.groupBy("precision", "batch", F.col("seq").alias("pattern")).agg(F.count("*").alias("freq"))
-    found = anomaly(window_scores(rows, support, window, ["precision", "batch"], ["precision", "uid"], skip_own=True, stored=True), 1.0, ["precision", "uid"])
-    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    each = found.select("precision", "uid", "ts", "anomaly_score", levels.alias("threshold")).where(F.col("anomaly_score") > F.col("threshold"))
-    first = each.groupBy("precision", "uid", "threshold").agg(F.min("ts").alias("first_ts"))
-    groups = own.select("precision", "uid", "batch")
-    wanted = groups.join(truth, "uid").select("precision", "uid", "batch", "anomalous", "onset", levels.alias("threshold")).join(first, ["precision", "uid", "threshold"], "left")
+    whole = staged(whole_windows(rows, window, ["precision", "batch"], ["precision", "uid"], carry=("ts",)), "trajectories")
+    support = whole.groupBy("precision", "batch", F.col("tokens").alias("pattern")).agg(F.count("*").alias("freq"))
+    packs = pack_scores(whole, support, ["precision", "batch"], ["precision", "uid"], skip_own=True).repartition("precision", "uid")
+    best = packs.groupBy("precision", "uid", "batch", "event_id", "ts").agg(F.max("similarity").alias("similarity"))
+    # The least similarity so far falls below a limit where a row's own first does.
+    first = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.min(F.when(1 - F.col("similarity") > t, F.col("ts"))).alias("first_ts")) for t in thresholds])
+    wanted = best.groupBy("precision", "uid", "batch").agg(first.alias("_first")).join(truth, "uid").select("precision", "uid", "batch", "anomalous", "onset", F.inline("_first"))
     late = (F.unix_micros(F.col("first_ts").cast("timestamp")) - F.unix_micros(F.col("onset").cast("timestamp"))) / 1e6
     return wanted.select("precision", "threshold", "batch", "uid", "anomalous", F.col("first_ts").isNotNull().alias("outcome"), F.when(late >= 0, late).alias("delay"))
 
