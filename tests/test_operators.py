@@ -683,3 +683,21 @@ def test_points_are_encoded_once_for_all_levels(spark, monkeypatch):
     monkeypatch.setattr(tokens, "encode", lambda *a: asked.append(a) or encode(*a))
     got = tokens.token_rows(points, [7, 20, 0, 12], interpolate=False)
     assert {(r.precision, r.event_id, r.geohash) for r in got.collect()} == each and len(asked) == 1
+
+
+def test_lines_through_cells_that_are_decoded_once(spark, monkeypatch):
+    """Lines of several trajectories, across a zone's border in the zone of the first cell; one cell alone is no line."""
+    decode, asked = tokens.decode, []
+    monkeypatch.setattr(tokens, "decode", lambda *a: asked.append(a) or decode(*a))
+    rows = [(u, i, T0 + dt.timedelta(minutes=-i if u == 2 else i), 55.0 + 0.01 * (i % 3), 11.98 + 0.01 * i) for u in (1, 2) for i in range(5)] + [(3, 9, T0, 55.0, 11.98)]
+    points = spark.createDataFrame(rows, "user long, event_id long, ts timestamp, lat double, lon double")
+    table = tokens.token_rows(points, 18, interpolate=False)
+    got = {r.user: [(p.x, p.y) for p in r.line] for r in tokens.lines(table, tokens.cell_centres(table)).collect()}
+    at = {(r.user, r.event_id): r for r in table.withColumn("at", decode(F.col("geohash"))).collect()}
+    assert set(got) == {1, 2} and len(asked) == 1
+    for user, order in ((1, range(5)), (2, range(4, -1, -1))):
+        centres = [at[user, i]["at"] for i in order]
+        want = spark.createDataFrame([(k, c.lat, c.lon) for k, c in enumerate(centres)], "k int, lat double, lon double")
+        zone = int((centres[0].lon + 180) // 6) + 1
+        want = want.select("k", *geo.to_utm(F.col("lat"), F.col("lon"), zone)).orderBy("k").collect()
+        assert got[user] == [pytest.approx((r[1], r[2])) for r in want]

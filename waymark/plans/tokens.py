@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.cells import ALPHABETS, encode
-from waymark.functions.geo import near_path, path_length, point_along
-from waymark.functions.sequences import common_subsequence, contains_run, drop_repeats, interpolated, line_of
+from waymark.functions.geo import near_path, path_length, point_along, to_utm
+from waymark.functions.sequences import common_subsequence, contains_run, drop_repeats, interpolated
 from waymark.operators.closed import closed_patterns as all_closed_patterns
 from waymark.operators.closed import extract_support
 from waymark.operators.evaluate import sweep
@@ -17,9 +17,10 @@ from waymark.operators.patterns import PatternParams, batch_rates, evaluate
 from waymark.operators.patterns import detect as pattern_detector
 from waymark.operators.patterns import fit as pattern_fit
 from waymark.operators.points import points
-from waymark.operators.tokens import anomaly, sequences, support_fraction, support_set, token_rows, window_scores, window_tokens
+from waymark.operators.tokens import anomaly, cell_centres, lines, sequences, support_fraction, support_set, token_rows, window_scores, window_tokens
 from waymark.plans.base import BY_USER, POINTS, STEPS, query, sql_from_utm, sql_spacing, sql_utm
 from waymark.plans.spatial import _hilbert_sql
+from waymark.sources.tables import staged
 
 LEVEL = 20
 PERIOD = "1440T"
@@ -247,10 +248,11 @@ fits AS (SELECT "user", day, min(sqrt(pow(px - east - t * (e2 - east), 2) + pow(
 @query(f"""WITH {LINES} SELECT "user", day, count(*) + 1 AS n, round(sum(d), 3) AS length, round(any_value(h.x), 3) AS half_x, round(any_value(h.y), 3) AS half_y, any_value(near) AS near_middle FROM summed JOIN half h USING ("user", day) JOIN fits USING ("user", day) WHERE h.r = 1 GROUP BY "user", day""")
 def sequence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's sequence as a line: its length, the place half way, and whether it passes within 40 m of the middle of all cells."""
-    days = _days(spark, sf_dir).withColumn("line", line_of(F.col("seq"))).where("line is not null")
-    cells = _rows(spark, sf_dir).select("geohash").distinct().select(F.explode(F.slice(line_of(F.array("geohash", "geohash")), 1, 1)).alias("p"))
-    middle = cells.agg(F.avg("p.x").alias("mx"), F.avg("p.y").alias("my"))
-    days = days.join(F.broadcast(middle)).withColumn("length", path_length(F.col("line"))).withColumn("half", point_along(F.col("line"), F.col("length") / 2))
+    rows = staged(_rows(spark, sf_dir).select("user", F.to_date("ts").alias("day"), "ts", "event_id", "geohash"), "token-rows")
+    centres = staged(cell_centres(rows), "centres")
+    x, y = to_utm(F.col("lat"), F.col("lon"))
+    middle = centres.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    days = lines(rows, centres, ["user", "day"]).join(F.broadcast(middle)).withColumn("length", path_length(F.col("line"))).withColumn("half", point_along(F.col("line"), F.col("length") / 2))
     near = near_path(F.col("mx"), F.col("my"), F.col("line"), 40.0)
     return days.select("user", "day", F.size("line").cast("long").alias("n"), F.round("length", 3).alias("length"), F.round("half.x", 3).alias("half_x"), F.round("half.y", 3).alias("half_y"), near.alias("near_middle"))
 
