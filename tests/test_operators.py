@@ -701,3 +701,18 @@ def test_lines_through_cells_that_are_decoded_once(spark, monkeypatch):
         zone = int((centres[0].lon + 180) // 6) + 1
         want = want.select("k", *geo.to_utm(F.col("lat"), F.col("lon"), zone)).orderBy("k").collect()
         assert got[user] == [pytest.approx((r[1], r[2])) for r in want]
+
+
+@pytest.mark.parametrize("deal_tokens", [4096, 3])
+def test_many_small_groups_are_mined_in_batches(spark, deal_tokens):
+    """Groups whose tokens have different orders and that share some; none of them is a pandas group of its own."""
+    rng = random.Random(8)
+    groups = {f"g{g}": [[f"{rng.choice('abc')}{g % 5}" for _ in range(rng.randint(0, 5))] for _ in range(4)] for g in range(60)}
+    table = spark.createDataFrame([(g, s) for g, seqs in groups.items() for s in seqs], "user string, seq array<string>")
+    want = {(g, n, tuple(p)) for g, seqs in groups.items() for n, p in plain_closed(seqs, 2)}
+    got = closed.closed_patterns(table, "user", 2, deal_tokens)
+    assert {(r.user, r.freq, tuple(r.seq)) for r in got.collect()} == want
+    covered = closed.covering_patterns(table, "user", 2, deal_tokens)
+    best = Counter((g, min((-len(p), tuple(p)) for h, _, p in want if h == g and held(p, s))[1]) for g, seqs in groups.items() for s in seqs if any(h == g and held(p, s) for h, _, p in want))
+    assert {(r.user, tuple(r.seq)): r.freq for r in covered.collect()} == best
+    assert not any("FlatMapGroupsInPandas" in t._jdf.queryExecution().executedPlan().toString() for t in (got, covered))

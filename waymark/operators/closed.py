@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.operators.tokens import list_parts
 from waymark.sources.tables import staged
 
 #: At most so many tasks for a group of sequences, one for each so many tokens: a sequence goes to those that have one of its tokens.
@@ -99,22 +101,38 @@ def _dealt(seqs: DataFrame, group: str, deal_tokens: int) -> DataFrame:
     return each.withColumn("firsts", F.array_distinct(F.filter("seq", lambda t: deal(t) == F.col("deal"))))
 
 
-def _numbered(rows: pd.DataFrame) -> tuple[list[list[int]], list[int], list[str]]:
-    names = sorted({t for s in rows.seq for t in s})
-    number = {t: i for i, t in enumerate(names)}
-    return [[number[t] for t in s] for s in rows.seq], sorted({number[t] for f in rows.firsts for t in f}), names
+def _mined(seqs: DataFrame, group: str, deal_tokens: int, find: Callable[[list[list[int]], list[int]], list[tuple]], columns: str) -> DataFrame:
+    """(group, columns) of what find(sequences, firsts) gives for each deal: (number of a sequence or none, count, pattern). A deal is a row and many are in a batch, whose tokens are
+    numbered at once, in their order."""
+    one = _dealt(seqs, group, deal_tokens).groupBy(group, "deal").agg(F.collect_list(F.struct("id", "seq")).alias("rows"), F.array_distinct(F.flatten(F.collect_set("firsts"))).alias("firsts"))
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (rows, spans), (firsts, starts) = list_parts(b.column("rows")), list_parts(b.column("firsts"))
+            tokens, ends = list_parts(rows.field("seq"))
+            known = pc.unique(tokens)
+            known = known.take(pc.sort_indices(known))
+            number, begin, token, ids = pc.index_in(tokens, known).to_pylist(), pc.index_in(firsts, known).to_pylist(), known.to_pylist(), rows.field("id").to_pylist()
+            out: list[list] = [[] for _ in range(4)]
+            for k in range(b.num_rows):
+                lists = [number[ends[j] : ends[j + 1]] for j in range(spans[k], spans[k + 1])]
+                for holder, n, pattern in find(lists, begin[starts[k] : starts[k + 1]]):
+                    for column, value in zip(out, (k, None if holder is None else ids[spans[k] + holder], n, [token[t] for t in pattern]), strict=True):
+                        column.append(value)
+            found = {"id": pa.array(out[1], pa.int64()), "n": pa.array(out[2], pa.int64()), "seq": pa.array(out[3], pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([b.column(group).take(pa.array(out[0], pa.int64())), *(found[c] for c in names)], [group, *names])
+
+    return one.select(group, "rows", "firsts").mapInArrow(run, f"`{group}` {seqs.schema[group].dataType.simpleString()}, {columns}")
 
 
 def closed_patterns(seqs: DataFrame, group: str, least: int, deal_tokens: int = DEAL_TOKENS) -> DataFrame:
     """(group, freq, seq): all closed patterns that at least `least` sequences of the group hold."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lists, firsts, names = _numbered(rows)
-        found = [(rows[group].iloc[0], len(holders), [names[t] for t in pattern]) for pattern, holders in mine(lists, least, firsts)]
-        return pd.DataFrame(found, columns=[group, "freq", "seq"])
+    def find(lists: list[list[int]], firsts: list[int]) -> list[tuple]:
+        return [(None, len(holders), list(pattern)) for pattern, holders in mine(lists, least, firsts)]
 
-    kind = seqs.schema[group].dataType.simpleString()
-    return _dealt(seqs, group, deal_tokens).groupBy(group, "deal").applyInPandas(run, f"{group} {kind}, freq long, seq array<string>")
+    return _mined(seqs, group, deal_tokens, find, "n long, seq array<string>").withColumnRenamed("n", "freq")
 
 
 def covering_patterns(seqs: DataFrame, group: str, least: int, deal_tokens: int = DEAL_TOKENS) -> DataFrame:
@@ -123,19 +141,16 @@ def covering_patterns(seqs: DataFrame, group: str, least: int, deal_tokens: int
     A task keeps the longest pattern of each sequence so far and leaves branches that cannot beat it; the longest of all tasks is found in Spark.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lists, firsts, names = _numbered(rows)
+    def find(lists: list[list[int]], firsts: list[int]) -> list[tuple]:
         best: dict[int, list[int]] = {}
         worth = lambda n, places: any(n + len(lists[k]) - end > len(best.get(k, ())) for k, end in places)
         for pattern, holders in mine(lists, least, firsts, worth):
             for k in holders:
                 if len(pattern) > len(best.get(k, ())):
                     best[k] = pattern
-        found = [(rows[group].iloc[0], rows.id.iloc[k], len(p), [names[t] for t in p]) for k, p in best.items()]
-        return pd.DataFrame(found, columns=[group, "id", "n", "seq"])
+        return [(k, len(p), p) for k, p in best.items()]
 
-    kind = seqs.schema[group].dataType.simpleString()
-    found = _dealt(seqs, group, deal_tokens).groupBy(group, "deal").applyInPandas(run, f"{group} {kind}, id long, n int, seq array<string>")
+    found = _mined(seqs, group, deal_tokens, find, "id long, n long, seq array<string>")
     longest = found.groupBy(group, "id").agg(F.min(F.struct((-F.col("n")).alias("n"), "seq")).alias("p"))
     return longest.groupBy(group, F.col("p.seq").alias("seq")).agg(F.count("*").alias("freq")).select(group, "freq", "seq")
 

@@ -75,8 +75,8 @@ DAYS = f"""{TOKENS}, days AS (SELECT "user", CAST(ts AS DATE) AS day, list(geoha
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "geohash")))
-    return rows.groupBy("user", "day").agg(F.transform(ordered, lambda r: r["geohash"]).alias("seq"))
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "geohash")))
+    return rows.groupBy("user", "day").agg(ordered["geohash"].alias("seq"))
 
 
 @query(f"""WITH {DAYS} SELECT seq, count(*) AS freq FROM days GROUP BY seq""")
